@@ -131,3 +131,18 @@ class ThresholdAlertRules:
 HEALTH = HealthThresholds()
 RULES = RuleThresholds()
 THRESHOLD_ALERTS = ThresholdAlertRules()
+
+# ---- FIXED VALUES: diagnosis titles (rule id -> root cause) ----------------
+ROOT_CAUSES = {
+    "R1": "KV cache saturation causing request queuing",
+    "R2": "CPU-side bottleneck: tokenisation or pre/post-processing delay",
+    "R3": "Model at full GPU capacity: request throughput exceeds serving capacity",
+    "R4": "Prefill bottleneck: long prompts or chunked prefill queue congestion",
+    "R5": "GPU thermal throttling reducing effective compute throughput",
+    "R6": "VRAM near exhaustion causing OOM risk and potential evictions",
+    "R7": "TTS Real-Time Factor exceeded: synthesis speed below real-time requirement",
+    "R8": "Multi-dimensional anomaly: correlated degradation across multiple metrics",
+}
+# matched / max conditions per rule
+RULE_CONDITIONS = {"R1": (2, 2), "R2": (2, 2), "R3": (2, 2), "R4": (2, 2),
+                   "R5": (1, 1), "R6": (1, 1), "R7": (1, 1), "R8": (1, 2)}

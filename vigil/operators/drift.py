@@ -57,14 +57,23 @@ def distinct_counts(tagged: DataFrame) -> DataFrame:
         F.sum("is_cmp").cast("long").alias("n_c"))
 
 
-def ecdf_table(dv: DataFrame, n_chunks: int = 64) -> DataFrame:
-    """Adds inclusive running counts cum_n_r / cum_n_c in value order."""
-    return running_sums(value_chunks(dv, GROUP, "v", n_chunks), GROUP, ["v"], ["n_r", "n_c"])
+def ecdf_table(dv: DataFrame, n_chunks: int = 64, materialized: bool = True) -> DataFrame:
+    """Adds inclusive running counts cum_n_r / cum_n_c in value order.
+
+    The table feeds four consumers (totals, KS, quantiles, bins); it is
+    written once to the shared folder so it is computed once and the
+    downstream plans stay small."""
+    ecdf = running_sums(value_chunks(dv, GROUP, "v", n_chunks), GROUP, ["v"], ["n_r", "n_c"])
+    if materialized:
+        from ..sources.sinks import materialize
+        ecdf = materialize(ecdf, "drift_ecdf")
+    return ecdf
 
 
 def ks_statistic(ecdf: DataFrame, totals: DataFrame) -> DataFrame:
     x = ecdf.join(totals, GROUP)
-    gap = F.abs(F.col("cum_n_r") / F.col("n_reference") - F.col("cum_n_c") / F.col("n_comparison"))
+    gap = F.abs(F.try_divide(F.col("cum_n_r"), F.col("n_reference"))
+                - F.try_divide(F.col("cum_n_c"), F.col("n_comparison")))
     return x.groupBy(*GROUP).agg(F.max(gap).alias("ks_statistic"))
 
 
@@ -106,11 +115,11 @@ def drift_scan(telemetry: DataFrame, as_of, reference_window: str = "7d",
             raise ValueError(f"unknown drift metric {m!r}; valid: {list(DRIFT_METRICS)}")
     tagged = tag_windows(telemetry, as_of, reference_window, comparison_window, metrics, strict)
     dv = distinct_counts(tagged)
-    totals = dv.groupBy(*GROUP).agg(
-        F.sum("n_r").alias("n_reference"), F.sum("n_c").alias("n_comparison"),
-        (F.sum(F.col("v") * F.col("n_r")) / F.sum("n_r")).alias("reference_mean"),
-        (F.sum(F.col("v") * F.col("n_c")) / F.sum("n_c")).alias("comparison_mean"))
     ecdf = ecdf_table(dv, n_chunks)
+    totals = ecdf.groupBy(*GROUP).agg(
+        F.sum("n_r").alias("n_reference"), F.sum("n_c").alias("n_comparison"),
+        F.try_divide(F.sum(F.col("v") * F.col("n_r")), F.sum("n_r")).alias("reference_mean"),
+        F.try_divide(F.sum(F.col("v") * F.col("n_c")), F.sum("n_c")).alias("comparison_mean"))
     ks = ks_statistic(ecdf, totals)
     all_bins, binned, edges = psi_table(ecdf)
     counted = all_bins.join(binned, [*GROUP, "bin"], "left").join(totals, GROUP)

@@ -8,6 +8,7 @@ smallest scale.
 
 from __future__ import annotations
 
+import datetime as _dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,11 +33,39 @@ def query(name: str):
     return deco
 
 
-def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fact table with derived counter rates."""
+_FACT_TABLES: dict[tuple, str] = {}
+
+
+def build_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ingestion: project ``events`` onto the fact schema and derive the
+    counter rates (the collector's work), as one Spark plan."""
     return with_rates(telemetry_from_events(read_table(spark, sf_dir, "events")))
 
 
+def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored fact table for ``sf_dir``.
+
+    Written once per session (date-partitioned Parquet under the shared
+    checkpoint folder) and read back, the way the collector's table is
+    stored; keyed by the events file's size and mtime so new data
+    re-ingests."""
+    import os
+    src = f"{sf_dir.rstrip('/')}/events.parquet"
+    try:
+        st = os.stat(src)
+        stamp = (st.st_size, st.st_mtime_ns)
+    except OSError:
+        stamp = None
+    key = (id(spark.sparkContext._jsc), src, stamp)
+    path = _FACT_TABLES.get(key)
+    if path is None:
+        from ..sources.sinks import shared_path, write_table
+        fact = build_telemetry(spark, sf_dir).withColumn("date", F.to_date("time"))
+        path = write_table(fact, shared_path(spark, "telemetry"), ["date"])
+        _FACT_TABLES[key] = path
+    return spark.read.parquet(path).drop("date")
+
+
 # ------------------------------------------------------------------ drift --
 
 def _drift_all(spark, sf_dir, p_method="series"):
@@ -59,3 +88,327 @@ def q_drift_psi(spark, sf_dir):
 def q_drift_ks(spark, sf_dir):
     return _drift_all(spark, sf_dir).where(F.col("status") == "ok").select(
         "model_name", "metric", "n_reference", "n_comparison", "ks_statistic", "ks_p_value")
+
+
+# ------------------------------------------------------- shared inputs ----
+
+from ..operators import alerts as _alerts  # noqa: E402
+from ..operators import compare as _cmp  # noqa: E402
+from ..operators import forecast as _fc  # noqa: E402
+from ..operators import maintenance as _mnt  # noqa: E402
+from ..operators import panels as _pan  # noqa: E402
+from ..operators.counters import vram_util_pct  # noqa: E402
+from ..operators.events import cold_start_events  # noqa: E402
+from ..operators.health import model_health  # noqa: E402
+from ..operators.rules import root_cause, root_cause_rows  # noqa: E402
+from ..functions.exprs import rnd  # noqa: E402
+from ..windows import minus_seconds, ts_lit  # noqa: E402
+
+HEALTH_WINDOW = "24h"
+COMPARE_METRIC = "latency_p95_ms"
+ALERT_LIMIT = 20
+
+
+def events(tel: DataFrame) -> DataFrame:
+    """Detector events: the cold-start scorer replayed over every minute."""
+    return cold_start_events(tel)
+
+
+def drift_results(tel: DataFrame) -> DataFrame:
+    return _drift.drift_scan(tel, AS_OF, REF_WINDOW, CMP_WINDOW, p_method="series")
+
+
+# ------------------------------------------------------- health / latest --
+
+@query("health_snapshot")
+def q_health(spark, sf_dir):
+    tel = telemetry(spark, sf_dir)
+    return model_health(tel, events(tel), drift_results(tel), AS_OF, HEALTH_WINDOW)
+
+
+@query("latest_per_model")
+def q_latest(spark, sf_dir):
+    tel = telemetry(spark, sf_dir)
+    ev = _pan.latest_by(events(tel), ["model_name"], ["computed_at"], ["anomaly_score", "is_anomaly"])
+    last = _pan.latest_by(tel, ["model_name"], ["time", "seq"], ["latency_p95_ms", "requests_waiting"])
+    return (last.join(ev.withColumnRenamed("computed_at", "last_event_at"), "model_name", "left")
+                .select("model_name", F.col("time").alias("last_time"), F.col("seq").alias("last_seq"),
+                        "latency_p95_ms", "requests_waiting", "last_event_at", "anomaly_score",
+                        "is_anomaly"))
+
+
+@query("liveness")
+def q_liveness(spark, sf_dir):
+    return _pan.liveness(telemetry(spark, sf_dir))
+
+
+@query("distinct_models")
+def q_distinct_models(spark, sf_dir):
+    return _pan.distinct_models(telemetry(spark, sf_dir))
+
+
+# ------------------------------------------------------------- panels -----
+
+@query("bucket_1m")
+def q_bucket_1m(spark, sf_dir):
+    return _pan.bucketed_avg(telemetry(spark, sf_dir), _pan.PANEL_METRICS, 60)
+
+
+@query("bucket_15m")
+def q_bucket_15m(spark, sf_dir):
+    s = _fc.bucket_series(telemetry(spark, sf_dir), AS_OF)
+    return s.select("model_name", "metric", "bucket", rnd("y", 6).alias("avg_value"))
+
+
+@query("panel_legend")
+def q_panel_legend(spark, sf_dir):
+    b = _pan.bucketed_avg(telemetry(spark, sf_dir), _pan.PANEL_METRICS, 60)
+    return _pan.legend_reductions(b, ["model_name", "metric"], "bucket", "avg_value")
+
+
+@query("anomaly_score_panel")
+def q_anomaly_panel(spark, sf_dir):
+    ev = events(telemetry(spark, sf_dir))
+    return (ev.groupBy("model_name", _pan.bucket_start("computed_at", 60).alias("bucket"))
+              .agg(rnd(F.avg("anomaly_score"), 6).alias("avg_score")))
+
+
+@query("psi_panel")
+def q_psi_panel(spark, sf_dir):
+    """5-minute AVG PSI per 'model / metric' over the drift history: one scan
+    per day boundary (as_of at each day end of the last 3 days)."""
+    tel = telemetry(spark, sf_dir)
+    hist = None
+    for d in (2, 1, 0):
+        as_of = (_dt.datetime.fromisoformat(AS_OF) - _dt.timedelta(days=d)).isoformat(sep=" ")
+        r = _drift.drift_scan(tel, as_of, REF_WINDOW, CMP_WINDOW, p_method="series")
+        hist = r if hist is None else hist.unionByName(r)
+    h = hist.where(F.col("psi").isNotNull())
+    return (h.groupBy(F.concat_ws(" / ", "model_name", "metric").alias("series"),
+                      _pan.bucket_start("computed_at", 300).alias("bucket"))
+             .agg(rnd(F.avg("psi"), 6).alias("avg_psi")))
+
+
+@query("rtf_panel")
+def q_rtf_panel(spark, sf_dir):
+    b = _pan.bucketed_avg(telemetry(spark, sf_dir), ["rtf"], 60, models=["purchase"])
+    return b.select("bucket", F.lit("TTS RTF").alias("series"), "avg_value")
+
+
+@query("latency_panels")
+def q_latency_panels(spark, sf_dir):
+    return _pan.bucketed_avg(telemetry(spark, sf_dir), _pan.LATENCY_METRICS, 60)
+
+
+@query("gpu_heatmap")
+def q_gpu_heatmap(spark, sf_dir):
+    tel = telemetry(spark, sf_dir).where(F.col("time") >= minus_seconds(AS_OF, 86400))
+    return _pan.heatmap(tel, "gpu_util_pct", 300, ["click", "error", "purchase", "signup", "view"])
+
+
+# ------------------------------------------------------------ counters -----
+
+@query("counter_rate")
+def q_counter_rate(spark, sf_dir):
+    return telemetry(spark, sf_dir).select("model_name", "time", "seq", "request_success_total",
+                                           rnd("throughput_rps", 6).alias("throughput_rps"))
+
+
+@query("avg_tokens_per_request")
+def q_avg_tokens(spark, sf_dir):
+    return telemetry(spark, sf_dir).select("model_name", "time", "seq",
+                                           rnd("avg_prompt_tokens", 6).alias("avg_prompt_tokens"),
+                                           rnd("avg_completion_tokens", 6).alias("avg_completion_tokens"))
+
+
+@query("vram_util")
+def q_vram(spark, sf_dir):
+    return telemetry(spark, sf_dir).select("model_name", "time", "seq",
+                                           rnd(vram_util_pct(), 6).alias("gpu_mem_utilization_pct"))
+
+
+# ------------------------------------------------------------- compare -----
+
+@query("compare_stats")
+def q_compare_stats(spark, sf_dir):
+    st = _cmp.model_stats(telemetry(spark, sf_dir), AS_OF, COMPARE_METRIC, "24h")
+    return st.drop("_mean", "_var")
+
+
+@query("compare_welch")
+def q_compare_welch(spark, sf_dir):
+    tel = telemetry(spark, sf_dir)
+    st = _cmp.model_stats(tel, AS_OF, COMPARE_METRIC, "24h")
+    w = _cmp.welch(st, _cmp.busiest_model_pairs(tel, AS_OF, "24h"))
+    return w.select("model_a", "model_b", "metric", "n_a", "n_b", "mean_a", "mean_b",
+                    rnd("_t", 6).alias("t_statistic"), rnd("_df", 4).alias("welch_df"),
+                    "difference_pct")
+
+
+@query("compare_models")
+def q_compare_models(spark, sf_dir):
+    tel = telemetry(spark, sf_dir)
+    return _cmp.compare_models(tel, _cmp.busiest_model_pairs(tel, AS_OF, "24h"), AS_OF,
+                               COMPARE_METRIC, "24h")
+
+
+# ---------------------------------------------------------- root cause -----
+
+@query("root_cause")
+def q_root_cause(spark, sf_dir):
+    tel = telemetry(spark, sf_dir)
+    d = root_cause_rows(tel, events(tel))
+    return d.select("model_name", "time", "seq", "rule_id", "anomaly_detected", "root_cause",
+                    "confidence", "evidence")
+
+
+@query("root_cause_latest")
+def q_root_cause_latest(spark, sf_dir):
+    tel = telemetry(spark, sf_dir)
+    return root_cause(tel, events(tel), AS_OF, lookback_minutes=1440)
+
+
+# -------------------------------------------------------------- alerts -----
+
+def external_feed(tel: DataFrame) -> DataFrame:
+    """Captured external-alert payloads rendered from the fact table: one per
+    (model, hour) whose peak GPU temperature reaches 90 C.  Payloads of the
+    'error' model carry no model label (falls back to job); odd hours carry
+    no summary (falls back to alertname); alerts older than a day are
+    resolved."""
+    h = (tel.groupBy("model_name", F.date_trunc("hour", "time").alias("hour"))
+            .agg(F.max("gpu_temp_celsius").alias("peak")).where(F.col("peak") >= 90))
+    odd = (F.hour("hour") % 2) == 1
+    labels = F.when(F.col("model_name") == "error",
+                    F.create_map(F.lit("alertname"), F.lit("GpuTemperatureHigh"), F.lit("job"), F.col("model_name"),
+                                 F.lit("severity"), F.lit("critical")))\
+              .otherwise(F.create_map(F.lit("alertname"), F.lit("GpuTemperatureHigh"), F.lit("model_name"),
+                                      F.col("model_name"), F.lit("severity"), F.lit("warning")))
+    ann = F.when(odd, F.create_map(F.lit("description"), F.format_string("peak %.1f C", F.col("peak"))))\
+           .otherwise(F.create_map(F.lit("summary"), F.lit("GPU temperature high"),
+                                   F.lit("description"), F.format_string("peak %.1f C", F.col("peak"))))
+    state = F.when(F.col("hour") < minus_seconds(AS_OF, 86400), "resolved").otherwise("active")
+    return h.select(labels.alias("labels"), ann.alias("annotations"),
+                    F.struct(state.alias("state")).alias("status"),
+                    F.date_format("hour", "yyyy-MM-dd'T'HH:mm:ss").alias("startsAt"),
+                    F.date_format(F.col("hour") + F.expr("INTERVAL 1 HOUR"), "yyyy-MM-dd'T'HH:mm:ss").alias("endsAt"))
+
+
+def stored_alerts(tel: DataFrame) -> DataFrame:
+    return (_alerts.detector_alerts(events(tel))
+            .unionByName(_alerts.threshold_alerts(tel, AS_OF))
+            .unionByName(_alerts.drift_alerts(drift_results(tel))))
+
+
+@query("threshold_alerts")
+def q_threshold_alerts(spark, sf_dir):
+    return _alerts.threshold_alerts(telemetry(spark, sf_dir), AS_OF).drop("anomaly_score", "resolved")
+
+
+@query("drift_alerts")
+def q_drift_alerts(spark, sf_dir):
+    return _alerts.drift_alerts(drift_results(telemetry(spark, sf_dir))).drop("anomaly_score", "resolved")
+
+
+@query("external_alerts")
+def q_external_alerts(spark, sf_dir):
+    return _alerts.external_alerts(external_feed(telemetry(spark, sf_dir))).drop("anomaly_score")
+
+
+def _feed(spark, sf_dir, **kw):
+    tel = telemetry(spark, sf_dir)
+    return _alerts.alert_feed(stored_alerts(tel), _alerts.external_alerts(external_feed(tel)),
+                              limit=ALERT_LIMIT, **kw)
+
+
+@query("alert_feed")
+def q_alert_feed(spark, sf_dir):
+    return _feed(spark, sf_dir).drop("_src", "anomaly_score")
+
+
+@query("alert_feed_critical")
+def q_alert_feed_critical(spark, sf_dir):
+    return _feed(spark, sf_dir, severity="critical", include_resolved=True).drop("_src", "anomaly_score")
+
+
+@query("alert_totals")
+def q_alert_totals(spark, sf_dir):
+    return _alerts.alert_totals(_feed(spark, sf_dir))
+
+
+@query("alert_durations")
+def q_alert_durations(spark, sf_dir):
+    ext = _alerts.external_alerts(external_feed(telemetry(spark, sf_dir)))
+    # resolved alerts end one hour after they fire (the captured endsAt)
+    x = ext.select("model_name", "title", "severity", "fired_at",
+                   F.when(F.col("resolved"), F.col("fired_at") + F.expr("INTERVAL 1 HOUR")).alias("resolved_at"))
+    return _alerts.alert_durations(x, AS_OF, window_hours=48)
+
+
+# ------------------------------------------------------------ forecast -----
+
+@query("forecast_linear")
+def q_forecast_linear(spark, sf_dir):
+    _, pts = _fc.forecast(telemetry(spark, sf_dir), AS_OF, method="linear")
+    return _fc.rounded_points(pts)
+
+
+@query("saturation")
+def q_saturation(spark, sf_dir):
+    snap, _ = _fc.forecast(telemetry(spark, sf_dir), AS_OF, method="linear", requested_hours=2)
+    return snap
+
+
+@query("queue_overlay")
+def q_queue_overlay(spark, sf_dir):
+    """Queue history (15-min buckets) ++ forecast points as one series."""
+    tel = telemetry(spark, sf_dir)
+    hist = _fc.bucket_series(tel, AS_OF, ["requests_waiting"]).select(
+        "model_name", F.col("bucket").alias("ts"), rnd("y", 4).alias("value"), F.lit("history").alias("kind"))
+    _, pts = _fc.forecast(tel, AS_OF, ["requests_waiting"], method="linear")
+    fut = _fc.rounded_points(pts, 2).select("model_name", F.col("ds").alias("ts"),
+                                            F.col("yhat").alias("value"), F.lit("forecast").alias("kind"))
+    return hist.unionByName(fut)
+
+
+# --------------------------------------------------------- maintenance -----
+
+def _daily_snapshots(tel: DataFrame) -> DataFrame:
+    return (tel.groupBy("model_name", F.date_trunc("day", "time").alias("day"))
+               .agg(rnd(F.avg("latency_p95_ms"), 4).alias("latency_p95_ms"),
+                    F.count(F.lit(1)).alias("n"))
+               .select("model_name", (F.col("day") + F.expr("INTERVAL 1 DAY")).alias("computed_at"),
+                       "latency_p95_ms", "n"))
+
+
+@query("upsert_latest")
+def q_upsert(spark, sf_dir):
+    snaps = _daily_snapshots(telemetry(spark, sf_dir))
+    older = snaps.where(F.col("computed_at") < ts_lit("2024-01-20 00:00:00"))
+    newer = snaps.where(F.col("computed_at") >= ts_lit("2024-01-20 00:00:00"))
+    return _mnt.upsert_latest(older, newer, ["model_name"])
+
+
+@query("retention")
+def q_retention(spark, sf_dir):
+    kept = _mnt.retain(telemetry(spark, sf_dir), AS_OF, days=20)
+    return kept.groupBy("model_name").agg(F.count(F.lit(1)).alias("n_kept"),
+                                          F.min("time").alias("oldest_kept"))
+
+
+@query("stale_keys")
+def q_stale_keys(spark, sf_dir):
+    """Drift keys whose stored result (one per minute bucket replayed) is
+    older than the 6-minute freshness window."""
+    tel = telemetry(spark, sf_dir)
+    keys = tel.select("model_name").distinct().select(
+        "model_name", F.explode(F.array(*[F.lit(m) for m in _drift.DRIFT_METRICS])).alias("metric"))
+    stored = (_pan.bucketed_avg(tel, [_drift.DRIFT_METRICS[m] for m in _drift.DRIFT_METRICS], 60)
+              .select("model_name", F.col("metric").alias("col"),
+                      (F.col("bucket") + F.expr("INTERVAL 60 SECONDS")).alias("computed_at")))
+    inv = {v: k for k, v in _drift.DRIFT_METRICS.items()}
+    m = F.lit(None).cast("string")
+    for col, name in inv.items():
+        m = F.when(F.col("col") == col, F.lit(name)).otherwise(m)
+    stored = stored.withColumn("metric", m)
+    return _mnt.stale_keys(keys, stored, ["model_name", "metric"], AS_OF, 6)

@@ -77,78 +77,84 @@ def with_telemetry(*ctes: str, body: str) -> str:
 
 # ---------------------------------------------------------------- drift ----
 
-def drift_ctes(as_of: str, ref_s: int, cmp_s: int, metrics=None) -> list[str]:
+def bucket(col: str, seconds: int) -> str:
+    if seconds == 60:
+        return f"date_trunc('minute', {col})"
+    return f"time_bucket(INTERVAL {int(seconds)} SECOND, {col})"
+
+
+SEVERITY_SQL = """CASE WHEN psi < 0.1 THEN 'none'
+  WHEN psi < 0.2 THEN CASE WHEN p < 0.01 THEN 'medium' ELSE 'low' END
+  WHEN psi < 0.25 THEN 'medium' ELSE 'high' END"""
+
+
+def drift_ctes(as_of: str, ref: str = "30d", cmp: str = "10d", sfx: str = "", metrics=None) -> list[str]:
+    """CTEs ending in ``_drift_rows{sfx}`` (the drift_scan output)."""
+    from ..windows import window_seconds
+    ref_s, cmp_s = window_seconds(ref), window_seconds(cmp)
     metrics = list(metrics or DRIFT_METRICS)
+    n = lambda base: f"{base}{sfx}"
     cols = ", ".join(f"CAST({DRIFT_METRICS[m]} AS DOUBLE) AS {m}" for m in metrics)
     probs = ", ".join(f"{i / PSI_BINS!r}" for i in range(PSI_BINS + 1))
     return [
-        f"""_tag AS (
+        f"""{n('_tag')} AS (
   SELECT model_name, metric, v, is_cmp FROM (
     SELECT model_name, CAST(time >= {minus(as_of, cmp_s)} AS INT) AS is_cmp, {cols}
     FROM telemetry WHERE time >= {minus(as_of, ref_s)})
   UNPIVOT (v FOR metric IN ({", ".join(metrics)})))""",
-        """_dv AS (
+        f"""{n('_dv')} AS (
   SELECT model_name, metric, v, CAST(SUM(1 - is_cmp) AS BIGINT) AS n_r, CAST(SUM(is_cmp) AS BIGINT) AS n_c
-  FROM _tag GROUP BY model_name, metric, v)""",
-        """_tot AS (
+  FROM {n('_tag')} GROUP BY model_name, metric, v)""",
+        f"""{n('_tot')} AS (
   SELECT model_name, metric, CAST(SUM(n_r) AS BIGINT) AS nr, CAST(SUM(n_c) AS BIGINT) AS nc,
          SUM(v * n_r) / SUM(n_r) AS rm, SUM(v * n_c) / SUM(n_c) AS cm
-  FROM _dv GROUP BY model_name, metric)""",
-        """_ec AS (
-  SELECT d.*, SUM(n_r) OVER _w AS cr, SUM(n_c) OVER _w AS cc FROM _dv d
+  FROM {n('_dv')} GROUP BY model_name, metric)""",
+        f"""{n('_ec')} AS (
+  SELECT d.*, SUM(n_r) OVER _w AS cr, SUM(n_c) OVER _w AS cc FROM {n('_dv')} d
   WINDOW _w AS (PARTITION BY model_name, metric ORDER BY v ROWS UNBOUNDED PRECEDING))""",
-        """_ks AS (
+        f"""{n('_ks')} AS (
   SELECT e.model_name, e.metric, MAX(ABS(cr / t.nr - cc / t.nc)) AS d
-  FROM _ec e JOIN _tot t USING (model_name, metric) GROUP BY e.model_name, e.metric)""",
-        f"""_q AS (
+  FROM {n('_ec')} e JOIN {n('_tot')} t USING (model_name, metric) GROUP BY e.model_name, e.metric)""",
+        f"""{n('_q')} AS (
   SELECT model_name, metric, list_sort(list_distinct(quantile_cont(v, [{probs}]))) AS q
-  FROM _tag WHERE is_cmp = 0 GROUP BY model_name, metric)""",
-        f"""_edges AS (
+  FROM {n('_tag')} WHERE is_cmp = 0 GROUP BY model_name, metric)""",
+        f"""{n('_edges')} AS (
   SELECT model_name, metric,
     list_concat(q[1:len(q) - 1], [q[len(q)] + {PSI_EDGE_EPS!r}]) AS e
-  FROM _q WHERE len(q) >= 2)""",
-        """_bins AS (
-  SELECT model_name, metric, unnest(range(0, len(e) - 1)) AS bin FROM _edges)""",
-        """_binned AS (
+  FROM {n('_q')} WHERE len(q) >= 2)""",
+        f"""{n('_bins')} AS (
+  SELECT model_name, metric, unnest(range(0, len(e) - 1)) AS bin FROM {n('_edges')})""",
+        f"""{n('_binned')} AS (
   SELECT d.model_name, d.metric,
     least(len(list_filter(e, lambda b: b <= d.v)), len(e) - 1) - 1 AS bin,
     SUM(n_r) AS b_r, SUM(n_c) AS b_c
-  FROM _dv d JOIN _edges g USING (model_name, metric)
+  FROM {n('_dv')} d JOIN {n('_edges')} g USING (model_name, metric)
   WHERE d.v >= e[1] AND d.v <= e[len(e)]
   GROUP BY ALL)""",
-        f"""_psi AS (
+        f"""{n('_psi')} AS (
   SELECT b.model_name, b.metric,
     SUM((greatest(COALESCE(x.b_c, 0) / t.nc, {PSI_CLIP!r}) - greatest(COALESCE(x.b_r, 0) / t.nr, {PSI_CLIP!r}))
         * ln(greatest(COALESCE(x.b_c, 0) / t.nc, {PSI_CLIP!r}) / greatest(COALESCE(x.b_r, 0) / t.nr, {PSI_CLIP!r}))) AS psi
-  FROM _bins b LEFT JOIN _binned x USING (model_name, metric, bin)
-  JOIN _tot t ON t.model_name = b.model_name AND t.metric = b.metric
+  FROM {n('_bins')} b LEFT JOIN {n('_binned')} x USING (model_name, metric, bin)
+  JOIN {n('_tot')} t ON t.model_name = b.model_name AND t.metric = b.metric
   GROUP BY b.model_name, b.metric)""",
-        f"""_grid AS (
+        f"""{n('_grid')} AS (
   SELECT model_name, unnest([{", ".join(repr(m) for m in metrics)}]) AS metric
   FROM (SELECT DISTINCT model_name FROM telemetry))""",
-        f"""_drift AS (
+        f"""{n('_drift')} AS (
   SELECT g.model_name, g.metric,
     CAST(COALESCE(t.nr, 0) AS INT) AS n_reference, CAST(COALESCE(t.nc, 0) AS INT) AS n_comparison,
     COALESCE(t.nr, 0) >= 30 AND COALESCE(t.nc, 0) >= 30 AS ok,
     t.rm, t.cm, k.d,
     CASE WHEN q.model_name IS NOT NULL THEN COALESCE(p.psi, 0.0) END AS psi,
     {sql_ks_series_pvalue("t.nr", "t.nc", "k.d")} AS p
-  FROM _grid g
-  LEFT JOIN _tot t ON t.model_name = g.model_name AND t.metric = g.metric
-  LEFT JOIN _ks k ON k.model_name = g.model_name AND k.metric = g.metric
-  LEFT JOIN _q q ON q.model_name = g.model_name AND q.metric = g.metric
-  LEFT JOIN _psi p ON p.model_name = g.model_name AND p.metric = g.metric)""",
-    ]
-
-
-SEVERITY_SQL = """CASE WHEN psi < 0.1 THEN 'none'
-  WHEN psi < 0.2 THEN CASE WHEN p < 0.01 THEN 'medium' ELSE 'low' END
-  WHEN psi < 0.25 THEN 'medium' ELSE 'high' END"""
-
-
-def drift_scan_sql(as_of: str = AS_OF, ref: str = "30d", cmp: str = "10d") -> str:
-    from ..windows import window_seconds
-    body = f"""SELECT {ts(as_of)} AS computed_at, model_name, metric,
+  FROM {n('_grid')} g
+  LEFT JOIN {n('_tot')} t ON t.model_name = g.model_name AND t.metric = g.metric
+  LEFT JOIN {n('_ks')} k ON k.model_name = g.model_name AND k.metric = g.metric
+  LEFT JOIN {n('_q')} q ON q.model_name = g.model_name AND q.metric = g.metric
+  LEFT JOIN {n('_psi')} p ON p.model_name = g.model_name AND p.metric = g.metric)""",
+        f"""{n('_drift_rows')} AS (
+  SELECT {ts(as_of)} AS computed_at, model_name, metric,
   CASE WHEN ok THEN 'ok' ELSE 'insufficient_data' END AS status,
   CASE WHEN ok THEN {SEVERITY_SQL} END AS severity,
   CASE WHEN ok THEN {R('d', 6)} END AS ks_statistic,
@@ -158,18 +164,504 @@ def drift_scan_sql(as_of: str = AS_OF, ref: str = "30d", cmp: str = "10d") -> st
   CASE WHEN ok THEN {R('cm', 4)} END AS comparison_mean,
   CASE WHEN ok THEN {R('CASE WHEN rm <> 0 THEN (cm - rm) / rm * 100.0 ELSE 0.0 END', 2)} END AS drift_pct,
   n_reference, n_comparison, '{ref}' AS reference_window, '{cmp}' AS comparison_window
-FROM _drift"""
-    return with_telemetry(*drift_ctes(as_of, window_seconds(ref), window_seconds(cmp)), body=body)
+  FROM {n('_drift')})""",
+    ]
 
 
-def drift_psi_sql(as_of: str = AS_OF, ref: str = "30d", cmp: str = "10d") -> str:
-    from ..windows import window_seconds
-    body = f"""SELECT model_name, metric, {R('psi', 6)} AS psi FROM _drift WHERE psi IS NOT NULL"""
-    return with_telemetry(*drift_ctes(as_of, window_seconds(ref), window_seconds(cmp)), body=body)
+def drift_scan_sql(as_of: str = AS_OF) -> str:
+    return with_telemetry(*drift_ctes(as_of), body="SELECT * FROM _drift_rows")
 
 
-def drift_ks_sql(as_of: str = AS_OF, ref: str = "30d", cmp: str = "10d") -> str:
-    from ..windows import window_seconds
-    body = f"""SELECT model_name, metric, n_reference, n_comparison, {R('d', 6)} AS ks_statistic,
-  {R('p', 6)} AS ks_p_value FROM _drift WHERE d IS NOT NULL"""
-    return with_telemetry(*drift_ctes(as_of, window_seconds(ref), window_seconds(cmp)), body=body)
+def drift_psi_sql(as_of: str = AS_OF) -> str:
+    return with_telemetry(*drift_ctes(as_of), body="SELECT model_name, metric, psi FROM _drift_rows WHERE status = 'ok'")
+
+
+def drift_ks_sql(as_of: str = AS_OF) -> str:
+    return with_telemetry(*drift_ctes(as_of), body="""SELECT model_name, metric, n_reference, n_comparison,
+  ks_statistic, ks_p_value FROM _drift_rows WHERE status = 'ok'""")
+
+
+# ------------------------------------------------------ shared pieces -----
+
+EVENTS_CTE = f"""_events AS (
+  SELECT model_name, {bucket('time', 60)} + INTERVAL 60 SECOND AS computed_at,
+    -0.1 AS anomaly_score, FALSE AS is_anomaly, TRUE AS cold_start_mode,
+    CAST(NULL AS VARCHAR) AS top_feature, 0.0 AS total_deviation
+  FROM telemetry GROUP BY model_name, model_type, {bucket('time', 60)})"""
+
+PANEL_METRICS = ["latency_p95_ms", "kv_cache_usage_pct", "gpu_util_pct", "requests_waiting",
+                 "throughput_rps", "gpu_mem_free_mb", "gpu_temp_celsius"]
+LATENCY_METRICS = ["latency_p50_ms", "latency_p95_ms", "latency_p99_ms"]
+HEALTH_METRICS = ["latency_p95_ms", "latency_p99_ms", "ttft_p95_ms", "tpot_mean_ms",
+                  "throughput_rps", "requests_running", "requests_waiting",
+                  "kv_cache_usage_pct", "gpu_util_pct", "gpu_mem_free_mb",
+                  "gpu_temp_celsius", "gpu_power_watts", "rtf"]
+RCA_METRICS = ["latency_p95_ms", "ttft_p95_ms", "tpot_mean_ms", "kv_cache_usage_pct",
+               "requests_waiting", "gpu_util_pct", "gpu_temp_celsius", "gpu_mem_free_mb", "rtf"]
+SAT_METRICS = {"requests_waiting": 20.0, "kv_cache_usage_pct": 90.0, "gpu_util_pct": 95.0, "rtf": 1.0}
+
+
+def bucketed_avg_cte(name: str, metrics, seconds: int, where: str = "TRUE", digits: int = 6) -> str:
+    cols = ", ".join(f"CAST({m} AS DOUBLE) AS {m}" for m in metrics)
+    return f"""{name} AS (
+  SELECT model_name, metric, bucket, {R('avg(value)', digits)} AS avg_value, count(*) AS n
+  FROM (SELECT model_name, {bucket('time', seconds)} AS bucket, {cols} FROM telemetry WHERE {where})
+  UNPIVOT (value FOR metric IN ({", ".join(metrics)}))
+  GROUP BY model_name, metric, bucket)"""
+
+
+# ------------------------------------------------------- health / latest --
+
+def health_sql(as_of: str = AS_OF, window_s: int = 86400, window: str = "24h") -> str:
+    aggs = ", ".join(f"{R(f'avg({c})', 4)} AS {c}" for c in HEALTH_METRICS)
+    ctes = drift_ctes(as_of) + [EVENTS_CTE, f"""_snap AS (
+  SELECT model_name, model_type, {aggs} FROM telemetry
+  WHERE time >= {minus(as_of, window_s)} GROUP BY model_name, model_type)""",
+        f"""_evl AS (
+  SELECT model_name, arg_max(anomaly_score, computed_at) AS anomaly_score,
+    arg_max(is_anomaly, computed_at) AS is_anomaly, arg_max(cold_start_mode, computed_at) AS cold_start_mode
+  FROM _events WHERE computed_at <= {ts(as_of)} GROUP BY model_name)""",
+        f"""_dr AS (SELECT * FROM _drift_rows WHERE computed_at <= {ts(as_of)} AND severity IS NOT NULL)""",
+        """_dnew AS (
+  SELECT model_name, severity AS drift_severity FROM (
+    SELECT *, row_number() OVER (PARTITION BY model_name ORDER BY computed_at DESC, metric DESC) AS rk FROM _dr)
+  WHERE rk = 1)""",
+        """_dworst AS (
+  SELECT model_name, arg_max(severity, CASE severity WHEN 'none' THEN 0 WHEN 'low' THEN 1
+    WHEN 'medium' THEN 2 WHEN 'high' THEN 3 END) AS worst_drift_severity
+  FROM (SELECT *, row_number() OVER (PARTITION BY model_name, metric ORDER BY computed_at DESC) AS rk FROM _dr)
+  WHERE rk = 1 GROUP BY model_name)"""]
+    crit = ("anomaly_score < -0.15 OR kv_cache_usage_pct >= 90.0 OR requests_waiting >= 20.0 "
+            "OR gpu_mem_free_mb < 2048.0 OR gpu_temp_celsius >= 87.0 OR drift_severity = 'high'")
+    degr = ("anomaly_score < -0.05 OR kv_cache_usage_pct >= 75.0 OR requests_waiting >= 5.0 "
+            "OR gpu_mem_free_mb < 4096.0 OR gpu_temp_celsius >= 80.0 OR drift_severity = 'medium'")
+    body = f"""SELECT s.model_name, s.model_type,
+  CASE WHEN {crit} THEN 'critical' WHEN {degr} THEN 'degraded' ELSE 'healthy' END AS status,
+  '{window}' AS time_window, {", ".join("s." + c for c in HEALTH_METRICS)},
+  {R('e.anomaly_score', 6)} AS anomaly_score, COALESCE(e.is_anomaly, FALSE) AS is_anomaly,
+  COALESCE(e.cold_start_mode, FALSE) AS cold_start_mode, d.drift_severity, w.worst_drift_severity
+FROM _snap s LEFT JOIN _evl e USING (model_name) LEFT JOIN _dnew d USING (model_name)
+LEFT JOIN _dworst w USING (model_name)"""
+    return with_telemetry(*ctes, body=body)
+
+
+def latest_sql() -> str:
+    body = """SELECT t.model_name, t.last_time, t.last_seq, t.latency_p95_ms, t.requests_waiting,
+  e.last_event_at, e.anomaly_score, e.is_anomaly
+FROM (SELECT model_name, max(time) AS last_time,
+        arg_max(seq, (time, seq)) AS last_seq, arg_max(latency_p95_ms, (time, seq)) AS latency_p95_ms,
+        arg_max(requests_waiting, (time, seq)) AS requests_waiting FROM telemetry GROUP BY model_name) t
+LEFT JOIN (SELECT model_name, max(computed_at) AS last_event_at,
+        arg_max(anomaly_score, computed_at) AS anomaly_score, arg_max(is_anomaly, computed_at) AS is_anomaly
+      FROM _events GROUP BY model_name) e USING (model_name)"""
+    return with_telemetry(EVENTS_CTE, body=body)
+
+
+def liveness_sql() -> str:
+    return with_telemetry(body="SELECT model_name, count(*) AS n_rows, max(time) AS last_time FROM telemetry GROUP BY model_name")
+
+
+def distinct_models_sql() -> str:
+    return with_telemetry(body="SELECT model_name, min(model_type) AS model_type FROM telemetry GROUP BY model_name")
+
+
+# ------------------------------------------------------------- panels -----
+
+def bucket_1m_sql() -> str:
+    return with_telemetry(bucketed_avg_cte("_b", PANEL_METRICS, 60), body="SELECT * FROM _b")
+
+
+def latency_panels_sql() -> str:
+    return with_telemetry(bucketed_avg_cte("_b", LATENCY_METRICS, 60), body="SELECT * FROM _b")
+
+
+def series_cte(as_of: str = AS_OF, metrics=None, name: str = "_series") -> str:
+    metrics = list(metrics or SAT_METRICS)
+    cols = ", ".join(f"CAST({m} AS DOUBLE) AS {m}" for m in metrics)
+    return f"""{name} AS (
+  SELECT model_name, metric, bucket, avg(value) AS y
+  FROM (SELECT model_name, {bucket('time', 900)} AS bucket, {cols} FROM telemetry
+        WHERE time >= {minus(as_of, 14 * 86400)})
+  UNPIVOT (value FOR metric IN ({", ".join(metrics)}))
+  GROUP BY model_name, metric, bucket)"""
+
+
+def bucket_15m_sql() -> str:
+    return with_telemetry(series_cte(), body=f"SELECT model_name, metric, bucket, {R('y', 6)} AS avg_value FROM _series")
+
+
+def panel_legend_sql() -> str:
+    return with_telemetry(bucketed_avg_cte("_b", PANEL_METRICS, 60), body=f"""SELECT model_name, metric,
+  arg_max(avg_value, bucket) AS last_value, {R('avg(avg_value)', 6)} AS mean_value, max(avg_value) AS max_value
+FROM _b GROUP BY model_name, metric""")
+
+
+def anomaly_panel_sql() -> str:
+    return with_telemetry(EVENTS_CTE, body=f"""SELECT model_name, {bucket('computed_at', 60)} AS bucket,
+  {R('avg(anomaly_score)', 6)} AS avg_score FROM _events GROUP BY ALL""")
+
+
+def psi_panel_sql() -> str:
+    import datetime as dt
+    ctes, parts = [], []
+    for d in (2, 1, 0):
+        a = (dt.datetime.fromisoformat(AS_OF) - dt.timedelta(days=d)).strftime("%Y-%m-%d %H:%M:%S")
+        ctes += drift_ctes(a, sfx=f"_{d}")
+        parts.append(f"SELECT * FROM _drift_rows_{d}")
+    ctes.append("_hist AS (" + " UNION ALL ".join(parts) + ")")
+    return with_telemetry(*ctes, body=f"""SELECT concat_ws(' / ', model_name, metric) AS series,
+  {bucket('computed_at', 300)} AS bucket, {R('avg(psi)', 6)} AS avg_psi
+FROM _hist WHERE psi IS NOT NULL GROUP BY ALL""")
+
+
+def rtf_panel_sql() -> str:
+    return with_telemetry(bucketed_avg_cte("_b", ["rtf"], 60, "model_name IN ('purchase')"),
+                          body="SELECT bucket, 'TTS RTF' AS series, avg_value FROM _b")
+
+
+def gpu_heatmap_sql(as_of: str = AS_OF) -> str:
+    models = ["click", "error", "purchase", "signup", "view"]
+    cols = ", ".join(f"{R(f'avg(CASE WHEN model_name = {m!r} THEN gpu_util_pct END)', 6)} AS {m}" for m in models)
+    return with_telemetry(body=f"""SELECT {bucket('time', 300)} AS bucket, {cols}
+FROM telemetry WHERE time >= {minus(as_of, 86400)} GROUP BY ALL""")
+
+
+# ------------------------------------------------------------ counters -----
+
+def counter_rate_sql() -> str:
+    return with_telemetry(body=f"SELECT model_name, time, seq, request_success_total, {R('throughput_rps', 6)} AS throughput_rps FROM telemetry")
+
+
+def avg_tokens_sql() -> str:
+    return with_telemetry(body=f"""SELECT model_name, time, seq, {R('avg_prompt_tokens', 6)} AS avg_prompt_tokens,
+  {R('avg_completion_tokens', 6)} AS avg_completion_tokens FROM telemetry""")
+
+
+def vram_sql() -> str:
+    return with_telemetry(body=f"""SELECT model_name, time, seq,
+  {R('gpu_mem_used_mb / (gpu_mem_used_mb + gpu_mem_free_mb) * 100.0', 6)} AS gpu_mem_utilization_pct FROM telemetry""")
+
+
+# ------------------------------------------------------------- compare -----
+
+def _stats_ctes(as_of: str, metric: str, window_s: int) -> list[str]:
+    return [f"""_vals AS (
+  SELECT model_name, CAST({metric} AS DOUBLE) AS v FROM telemetry
+  WHERE time >= {minus(as_of, window_s)} AND {metric} IS NOT NULL AND isfinite(CAST({metric} AS DOUBLE)))""",
+            f"""_st AS (
+  SELECT model_name, '{metric}' AS metric, count(*) AS n, {R('avg(v)', 4)} AS mean,
+    {R('quantile_cont(v, 0.5)', 4)} AS p50, {R('quantile_cont(v, 0.95)', 4)} AS p95,
+    {R('quantile_cont(v, 0.99)', 4)} AS p99, avg(v) AS _mean, var_samp(v) AS _var
+  FROM _vals GROUP BY model_name)"""]
+
+
+def compare_stats_sql(as_of: str = AS_OF, metric: str = "latency_p95_ms") -> str:
+    return with_telemetry(*_stats_ctes(as_of, metric, 86400),
+                          body="SELECT model_name, metric, n, mean, p50, p95, p99 FROM _st")
+
+
+def compare_welch_sql(as_of: str = AS_OF, metric: str = "latency_p95_ms") -> str:
+    ctes = _stats_ctes(as_of, metric, 86400) + [f"""_busy AS (
+  SELECT model_name AS model_b FROM (SELECT model_name, count(*) AS n FROM telemetry
+    WHERE time >= {minus(as_of, 86400)} GROUP BY model_name) ORDER BY n DESC, model_name DESC LIMIT 1)""",
+        """_pairs AS (SELECT m.model_name AS model_a, b.model_b FROM (SELECT DISTINCT model_name FROM telemetry) m, _busy b
+  WHERE m.model_name <> b.model_b)""",
+        """_w AS (
+  SELECT p.model_a, p.model_b, COALESCE(a.metric, b.metric) AS metric,
+    COALESCE(a.n, 0) AS n_a, COALESCE(b.n, 0) AS n_b, a.mean AS mean_a, b.mean AS mean_b,
+    a._var / a.n AS sa, b._var / b.n AS sb, a._mean AS ma, b._mean AS mb,
+    COALESCE(a.n, 0) >= 2 AND COALESCE(b.n, 0) >= 2 AS both_ok, a.n AS na, b.n AS nb
+  FROM _pairs p LEFT JOIN _st a ON a.model_name = p.model_a LEFT JOIN _st b ON b.model_name = p.model_b)"""]
+    t = "(ma - mb) / sqrt(sa + sb)"
+    dfx = "((sa + sb) * (sa + sb)) / (sa * sa / (na - 1) + sb * sb / (nb - 1))"
+    body = f"""SELECT model_a, model_b, metric, n_a, n_b, mean_a, mean_b,
+  CASE WHEN both_ok THEN {R(t, 6)} END AS t_statistic, CASE WHEN both_ok THEN {R(dfx, 4)} END AS welch_df,
+  CASE WHEN mean_a IS NOT NULL AND mean_b IS NOT NULL AND mean_b <> 0
+       THEN {R('(mean_a - mean_b) / mean_b * 100.0', 2)} END AS difference_pct
+FROM _w"""
+    return with_telemetry(*ctes, body=body)
+
+
+# ---------------------------------------------------------- root cause -----
+
+ROOT_CAUSES = {
+    "R1": "KV cache saturation causing request queuing",
+    "R2": "CPU-side bottleneck: tokenisation or pre/post-processing delay",
+    "R3": "Model at full GPU capacity: request throughput exceeds serving capacity",
+    "R4": "Prefill bottleneck: long prompts or chunked prefill queue congestion",
+    "R5": "GPU thermal throttling reducing effective compute throughput",
+    "R6": "VRAM near exhaustion causing OOM risk and potential evictions",
+    "R7": "TTS Real-Time Factor exceeded: synthesis speed below real-time requirement",
+    "R8": "Multi-dimensional anomaly: correlated degradation across multiple metrics",
+}
+RULE_CONDITIONS = {"R1": (2, 2), "R2": (2, 2), "R3": (2, 2), "R4": (2, 2),
+                   "R5": (1, 1), "R6": (1, 1), "R7": (1, 1), "R8": (1, 2)}
+
+
+def rule_inputs_sql(src: str) -> str:
+    """Columns kv..dims from a relation with snapshot averages, baselines
+    (b_lat0, b_ttft0, b_tpot0), ev_score, ev_dev, ev_dims, model_type."""
+    c = lambda x, d="0.0": f"COALESCE(CAST({x} AS DOUBLE), {d})"
+    return f"""SELECT *, {c('kv_cache_usage_pct')} AS kv, {c('requests_waiting')} AS rw, {c('latency_p95_ms')} AS lat,
+  {c('gpu_util_pct')} AS gpu, {c('gpu_temp_celsius')} AS temp, {c('gpu_mem_free_mb', '99999.0')} AS free,
+  {c('ttft_p95_ms')} AS ttft, {c('tpot_mean_ms')} AS tpot, {c('rtf')} AS rtf_v, {c('ev_score')} AS score,
+  COALESCE(b_lat0, CASE WHEN {c('latency_p95_ms')} <> 0 THEN {c('latency_p95_ms')} ELSE 1.0 END) AS b_lat,
+  COALESCE(b_ttft0, CASE WHEN {c('ttft_p95_ms')} <> 0 THEN {c('ttft_p95_ms')} ELSE 1.0 END) AS b_ttft,
+  COALESCE(b_tpot0, CASE WHEN {c('tpot_mean_ms')} <> 0 THEN {c('tpot_mean_ms')} ELSE 1.0 END) AS b_tpot,
+  COALESCE(ev_dev, 0.0) AS dev, COALESCE(ev_dims, '') AS dims
+FROM {src}"""
+
+
+def rules_select_sql() -> str:
+    tdev = "(abs(tpot - b_tpot) / greatest(b_tpot, 1e-06))"
+    conds = {
+        "R1": "kv > 90.0 AND rw > 5.0",
+        "R2": "lat > 2.0 * b_lat AND gpu < 30.0",
+        "R3": "rw > 20.0 AND gpu > 90.0",
+        "R4": f"ttft > 2.0 * b_ttft AND {tdev} < 0.2",
+        "R5": "temp > 85.0",
+        "R6": "free < 2048.0",
+        "R7": "model_type = 'tts' AND rtf_v > 1.0",
+        "R8": "score < -0.15",
+    }
+    r1 = lambda x: R(x, 1)
+    ev = {
+        "R1": f"concat_ws(' | ', printf('KV cache usage at %.1f%% (threshold: 90%%)', {r1('kv')}), "
+              f"printf('%d requests queued waiting for cache space', CAST(trunc(rw) AS BIGINT)))",
+        "R2": f"concat_ws(' | ', printf('p95 latency %.1fms is %.1fx baseline (%.1fms)', {r1('lat')}, "
+              f"{r1('lat / greatest(b_lat, 1.0)')}, {r1('b_lat')}), "
+              f"printf('GPU utilisation low at %.1f%% indicating CPU/IO bottleneck', {r1('gpu')}))",
+        "R3": f"concat_ws(' | ', printf('%d requests waiting (threshold: 20)', CAST(trunc(rw) AS BIGINT)), "
+              f"printf('GPU utilisation saturated at %.1f%%', {r1('gpu')}))",
+        "R4": f"concat_ws(' | ', printf('TTFT p95 %.1fms is %.1fx baseline (%.1fms)', {r1('ttft')}, "
+              f"{r1('ttft / greatest(b_ttft, 1.0)')}, {r1('b_ttft')}), "
+              f"printf('TPOT stable at %.1fms (deviation %.1f%% < 20%%)', {r1('tpot')}, {r1(tdev + ' * 100.0')}))",
+        "R5": f"printf('GPU temperature %.1f°C exceeds 85°C thermal threshold', {r1('temp')})",
+        "R6": f"printf('GPU free VRAM only %.0f MB remaining (critical threshold: 2048 MB)', {R('free', 0)})",
+        "R7": f"printf('Real-Time Factor %.3f > 1.0 (model generating slower than real-time)', {R('rtf_v', 3)})",
+        "R8": f"concat_ws(' | ', printf('IsolationForest anomaly score %.4f below critical threshold (-0.15)', "
+              f"{R('score', 4)}), 'Top deviating dimensions: ' || dims)",
+    }
+    rid = "CASE " + " ".join(f"WHEN {c} THEN '{k}'" for k, c in conds.items()) + " END"
+    cause = "CASE " + " ".join(f"WHEN {c} THEN '{ROOT_CAUSES[k]}'" for k, c in conds.items()) + " END"
+    conf = "CASE " + " ".join(
+        f"WHEN {c} THEN {R(f'least(greatest({0.6 * (RULE_CONDITIONS[k][0] / RULE_CONDITIONS[k][1])!r} + 0.4 * least(dev / 100.0, 1.0), 0.0), 1.0)', 4)}"
+        for k, c in conds.items()) + " ELSE 0.0 END"
+    evid = "CASE " + " ".join(f"WHEN {c} THEN {ev[k]}" for k, c in conds.items()) + " ELSE '' END"
+    return (f"COALESCE({rid}, 'R0') AS rule_id, ({rid}) IS NOT NULL AS anomaly_detected, "
+            f"{cause} AS root_cause, {conf} AS confidence, {evid} AS evidence")
+
+
+def root_cause_rows_sql() -> str:
+    ctes = [EVENTS_CTE, """_mm AS (SELECT model_name, avg(latency_p95_ms) AS b_lat0, avg(ttft_p95_ms) AS b_ttft0,
+  avg(tpot_mean_ms) AS b_tpot0 FROM telemetry GROUP BY model_name)""",
+            f"""_rin AS (SELECT t.*, m.b_lat0, m.b_ttft0, m.b_tpot0, e.anomaly_score AS ev_score,
+  e.total_deviation AS ev_dev, e.top_feature AS ev_dims
+  FROM telemetry t LEFT JOIN _mm m USING (model_name)
+  LEFT JOIN _events e ON e.model_name = t.model_name AND e.computed_at = {bucket('t.time', 60)} + INTERVAL 60 SECOND)""",
+            f"_ri AS ({rule_inputs_sql('_rin')})"]
+    return with_telemetry(*ctes, body=f"SELECT model_name, time, seq, {rules_select_sql()} FROM _ri")
+
+
+def root_cause_latest_sql(as_of: str = AS_OF, lookback_minutes: int = 1440) -> str:
+    lo = minus(as_of, lookback_minutes * 60)
+    avgs = ", ".join(f"avg({c}) AS {c}" for c in RCA_METRICS)
+    ctes = [EVENTS_CTE, f"""_evr AS (SELECT model_name, max(computed_at) AS computed_at,
+  arg_max(anomaly_score, computed_at) AS ev_score, arg_max(is_anomaly, computed_at) AS is_anomaly,
+  arg_max(cold_start_mode, computed_at) AS cold_start_mode, arg_max(total_deviation, computed_at) AS ev_dev,
+  CAST(NULL AS VARCHAR) AS ev_dims
+  FROM _events WHERE computed_at >= {lo} AND computed_at <= {ts(as_of)} GROUP BY model_name)""",
+            f"_snap AS (SELECT model_name, {avgs} FROM telemetry WHERE time >= {lo} GROUP BY model_name)",
+            "_types AS (SELECT model_name, min(model_type) AS model_type FROM telemetry GROUP BY model_name)",
+            """_rin AS (SELECT e.*, COALESCE(ty.model_type, 'llm') AS model_type, s.* EXCLUDE (model_name),
+  CAST(NULL AS DOUBLE) AS b_lat0, CAST(NULL AS DOUBLE) AS b_ttft0, CAST(NULL AS DOUBLE) AS b_tpot0
+  FROM _evr e LEFT JOIN _types ty USING (model_name) LEFT JOIN _snap s USING (model_name))""",
+            f"_ri AS ({rule_inputs_sql('_rin')})"]
+    body = f"""SELECT model_name, model_type, 'ok' AS status, CAST({lookback_minutes} AS INT) AS lookback_minutes,
+  {R('ev_score', 6)} AS anomaly_score, is_anomaly, cold_start_mode, {rules_select_sql()},
+  {", ".join(f"{R(c, 4)} AS {c}" for c in RCA_METRICS)}, computed_at FROM _ri"""
+    return with_telemetry(*ctes, body=body)
+
+
+# -------------------------------------------------------------- alerts -----
+
+def threshold_ctes(as_of: str = AS_OF) -> list[str]:
+    checks = [
+        ("latency_p95_ms", "lat", ">", "2.0 * bl", "3.0 * bl"),
+        ("requests_waiting", "rw", ">", "5.0", "20.0"),
+        ("kv_cache_usage_pct", "kv", ">", "75.0", "90.0"),
+        ("gpu_mem_free_mb", "free", "<", "4096.0", "2048.0"),
+        ("gpu_temp_celsius", "temp", ">", "80.0", "87.0"),
+        ("rtf", "rtf_t", ">", "0.8", "1.0"),
+    ]
+    parts = []
+    for metric, v, op, w, c in checks:
+        parts.append(f"""SELECT model_name, bucket, '{metric}' AS metric, {v} AS value,
+    CASE WHEN {v} {op} {c} THEN 'critical' WHEN {v} {op} {w} THEN 'warning' END AS severity,
+    CASE WHEN {v} {op} {c} THEN {c} ELSE {w} END AS threshold, '{op}' AS op FROM _tb""")
+    return [
+        f"""_bl AS (SELECT model_name, avg(latency_p95_ms) AS bl FROM telemetry
+  WHERE time >= {minus(as_of, 7 * 86400)} AND time < {ts(as_of)} GROUP BY model_name)""",
+        f"""_tb AS (SELECT b.*, l.bl FROM (
+  SELECT model_name, model_type, {bucket('time', 60)} AS bucket, avg(latency_p95_ms) AS lat,
+    avg(requests_waiting) AS rw, avg(kv_cache_usage_pct) AS kv, avg(gpu_mem_free_mb) AS free,
+    avg(gpu_temp_celsius) AS temp, avg(CASE WHEN model_type = 'tts' THEN rtf END) AS rtf_t
+  FROM telemetry WHERE time < {ts(as_of)} GROUP BY ALL) b LEFT JOIN _bl l USING (model_name))""",
+        "_checks AS (" + "\n  UNION ALL ".join(parts) + ")",
+        f"""_thr AS (SELECT 'threshold' AS source, 'threshold' AS alert_type, model_name,
+  printf('%s %s %.4f', metric, op, {R('threshold', 4)}) AS title,
+  printf('%s averaged %.4f', metric, {R('value', 4)}) AS description, severity, bucket AS fired_at,
+  FALSE AS resolved, CAST(NULL AS DOUBLE) AS anomaly_score
+  FROM _checks WHERE severity IS NOT NULL)""",
+    ]
+
+
+DRIFT_ALERTS_CTE = """_dal AS (SELECT 'drift' AS source, 'drift' AS alert_type, model_name,
+  'Drift detected: ' || metric AS title, printf('PSI %.6f, KS p-value %.6f', psi, ks_p_value) AS description,
+  CASE WHEN psi > 0.25 THEN 'high' ELSE 'medium' END AS severity, computed_at AS fired_at,
+  FALSE AS resolved, CAST(NULL AS DOUBLE) AS anomaly_score FROM _drift_rows WHERE psi > 0.2)"""
+
+DETECTOR_CTE = f"""_det AS (SELECT 'anomaly_detector' AS source, 'anomaly' AS alert_type, model_name,
+  'Anomaly detected: ' || COALESCE(top_feature, 'unknown') || ' deviation' AS title,
+  printf('IsolationForest score %.4f', {R('anomaly_score', 4)}) AS description,
+  CASE WHEN anomaly_score <= -0.15 THEN 'critical' WHEN anomaly_score <= -0.05 THEN 'warning' ELSE 'info' END AS severity,
+  computed_at AS fired_at, FALSE AS resolved, anomaly_score FROM _events WHERE is_anomaly)"""
+
+
+def external_cte(as_of: str = AS_OF) -> str:
+    return f"""_ext AS (SELECT 'alertmanager' AS source, 'external' AS alert_type, model_name,
+  CASE WHEN hour(hr) % 2 = 1 THEN 'GpuTemperatureHigh' ELSE 'GPU temperature high' END AS title,
+  printf('peak %.1f C', peak) AS description,
+  CASE WHEN model_name = 'error' THEN 'critical' ELSE 'warning' END AS severity,
+  hr AS fired_at, hr < {minus(as_of, 86400)} AS resolved, CAST(NULL AS DOUBLE) AS anomaly_score
+  FROM (SELECT model_name, date_trunc('hour', time) AS hr, max(gpu_temp_celsius) AS peak FROM telemetry
+        GROUP BY ALL HAVING max(gpu_temp_celsius) >= 90))"""
+
+
+ALERT_COLS = "source, alert_type, model_name, title, description, severity, fired_at, resolved"
+
+
+def threshold_alerts_sql() -> str:
+    return with_telemetry(*threshold_ctes(),
+                          body="SELECT source, alert_type, model_name, title, description, severity, fired_at FROM _thr")
+
+
+def drift_alerts_sql() -> str:
+    return with_telemetry(*drift_ctes(AS_OF), DRIFT_ALERTS_CTE,
+                          body="SELECT source, alert_type, model_name, title, description, severity, fired_at FROM _dal")
+
+
+def external_alerts_sql() -> str:
+    return with_telemetry(external_cte(), body=f"SELECT {ALERT_COLS} FROM _ext")
+
+
+def feed_ctes(severity: str | None = None, include_resolved: bool = False, limit: int = 20) -> list[str]:
+    sev = f" AND severity = '{severity}'" if severity else ""
+    res = "" if include_resolved else " AND NOT resolved"
+    order = "fired_at DESC, model_name, title, alert_type"
+    return drift_ctes(AS_OF) + threshold_ctes() + [
+        EVENTS_CTE, DRIFT_ALERTS_CTE, DETECTOR_CTE, external_cte(),
+        f"""_stored AS (SELECT * FROM _det UNION ALL SELECT * FROM _thr UNION ALL SELECT * FROM _dal)""",
+        f"""_stop AS (SELECT *, 0 AS _src FROM _stored WHERE TRUE{sev} ORDER BY {order} LIMIT {limit})""",
+        f"""_xtop AS (SELECT *, 1 AS _src FROM _ext WHERE TRUE{sev}{res} ORDER BY {order} LIMIT {2 * limit})""",
+        """_dd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model_name, title, fired_at
+    ORDER BY _src, alert_type, source, description, severity, resolved, anomaly_score) AS _rk
+    FROM (SELECT * FROM _stop UNION ALL SELECT * FROM _xtop)) WHERE _rk = 1)""",
+        f"""_feed AS (SELECT * FROM _dd ORDER BY _src, {order} LIMIT {limit})""",
+    ]
+
+
+def alert_feed_sql(**kw) -> str:
+    return with_telemetry(*feed_ctes(**kw), body=f"SELECT {ALERT_COLS} FROM _feed")
+
+
+def alert_totals_sql() -> str:
+    return with_telemetry(*feed_ctes(), body="""SELECT CAST(count_if(NOT resolved) AS BIGINT) AS total_active,
+  CAST(count_if(severity = 'critical' AND NOT resolved) AS BIGINT) AS total_critical FROM _feed""")
+
+
+def alert_durations_sql(as_of: str = AS_OF) -> str:
+    body = f"""SELECT model_name, title, severity, fired_at, resolved_at,
+  CASE WHEN resolved_at IS NOT NULL THEN CAST(floor((epoch_us(resolved_at) - epoch_us(fired_at)) / 60000000) AS BIGINT) END AS duration_minutes
+FROM (SELECT model_name, title, severity, fired_at, CASE WHEN resolved THEN fired_at + INTERVAL 1 HOUR END AS resolved_at FROM _ext)
+WHERE resolved_at IS NULL OR resolved_at >= {minus(as_of, 48 * 3600)}"""
+    return with_telemetry(external_cte(), body=body)
+
+
+# ------------------------------------------------------------ forecast -----
+
+def fit_ctes(as_of: str = AS_OF, metrics=None, horizon_hours: int = 6) -> list[str]:
+    thr = "CASE metric " + " ".join(f"WHEN '{m}' THEN {t!r}" for m, t in SAT_METRICS.items()) + " END"
+    return [series_cte(as_of, metrics), """_idx AS (SELECT *, CAST(row_number() OVER _w - 1 AS DOUBLE) AS x,
+  CAST(epoch_us(bucket) - epoch_us(lag(bucket) OVER _w) AS DOUBLE) AS gap FROM _series
+  WINDOW _w AS (PARTITION BY model_name, metric ORDER BY bucket))""",
+            """_fit0 AS (SELECT model_name, metric, count(*) AS n, regr_slope(y, x) AS sl, regr_intercept(y, x) AS ic,
+  stddev_pop(y) AS sd, avg(y) AS mean_y, arg_max(y, bucket) AS last_y, quantile_cont(gap, 0.5) AS med,
+  max(bucket) AS last_bucket FROM _idx GROUP BY model_name, metric)""",
+            """_fit AS (SELECT model_name, metric, n, last_bucket,
+  CASE WHEN n < 2 THEN 0.0 ELSE COALESCE(sl, 0.0) END AS slope,
+  CASE WHEN n < 2 THEN last_y ELSE COALESCE(ic, mean_y) END AS intercept,
+  CASE WHEN n < 2 THEN 0.0 ELSE sd END AS std,
+  CASE WHEN n < 2 OR med IS NULL OR med = 0 THEN 900000000.0 ELSE med END AS step_us FROM _fit0)""",
+            f"""_pts AS (SELECT model_name, metric, CAST(r.step AS INT) AS step,
+  last_bucket + to_microseconds(CAST(trunc(r.step * step_us) AS BIGINT)) AS ds,
+  slope * (n - 1 + r.step) + intercept AS yhat,
+  slope * (n - 1 + r.step) + intercept - 2.0 * std AS yhat_lower,
+  slope * (n - 1 + r.step) + intercept + 2.0 * std AS yhat_upper, {thr} AS threshold
+  FROM _fit CROSS JOIN (SELECT range AS step FROM range(1, {horizon_hours * 4 + 1})) r)"""]
+
+
+def forecast_linear_sql() -> str:
+    return with_telemetry(*fit_ctes(), body=f"""SELECT model_name, metric, step, ds, {R('yhat', 4)} AS yhat,
+  {R('yhat_lower', 4)} AS yhat_lower, {R('yhat_upper', 4)} AS yhat_upper FROM _pts""")
+
+
+def saturation_sql(as_of: str = AS_OF, requested_hours: int = 2) -> str:
+    hours = f"((epoch_us(s.saturation_time) - epoch_us({ts(as_of)})) / 3600000000.0)"
+    body = f"""SELECT {ts(as_of)} AS computed_at, f.model_name, f.metric, CAST(6 AS INT) AS horizon_hours,
+  t.threshold AS saturation_threshold, s.saturation_time,
+  CASE WHEN {hours} IS NULL THEN 'low' WHEN {hours} <= 1.0 THEN 'critical' WHEN {hours} <= 3.0 THEN 'high'
+       WHEN {hours} <= 6.0 THEN 'medium' ELSE 'low' END AS saturation_risk,
+  CAST(f.n AS INT) AS n_training_points, TRUE AS cold_start_mode,
+  {hours} <= {requested_hours} AS saturation_within_horizon
+FROM _fit f
+LEFT JOIN (SELECT DISTINCT model_name, metric, threshold FROM _pts) t USING (model_name, metric)
+LEFT JOIN (SELECT model_name, metric, min(ds) AS saturation_time FROM _pts WHERE yhat_upper >= threshold
+           GROUP BY model_name, metric) s USING (model_name, metric)"""
+    return with_telemetry(*fit_ctes(), body=body)
+
+
+def queue_overlay_sql() -> str:
+    body = f"""SELECT model_name, bucket AS ts, {R('y', 4)} AS value, 'history' AS kind FROM _series
+UNION ALL
+SELECT model_name, ds AS ts, {R('yhat', 4)} AS value, 'forecast' AS kind FROM _pts WHERE step <= 8"""
+    return with_telemetry(*fit_ctes(metrics=["requests_waiting"]), body=body)
+
+
+# --------------------------------------------------------- maintenance -----
+
+def upsert_sql() -> str:
+    body = f"""SELECT model_name, computed_at, latency_p95_ms, n FROM (
+  SELECT *, row_number() OVER (PARTITION BY model_name ORDER BY computed_at DESC) AS rk FROM (
+    SELECT model_name, date_trunc('day', time) + INTERVAL 1 DAY AS computed_at,
+      {R('avg(latency_p95_ms)', 4)} AS latency_p95_ms, count(*) AS n
+    FROM telemetry GROUP BY model_name, date_trunc('day', time)))
+WHERE rk = 1"""
+    return with_telemetry(body=body)
+
+
+def retention_sql(as_of: str = AS_OF, days: int = 20) -> str:
+    return with_telemetry(body=f"""SELECT model_name, count(*) AS n_kept, min(time) AS oldest_kept
+FROM telemetry WHERE time >= {minus(as_of, days * 86400)} GROUP BY model_name""")
+
+
+def stale_keys_sql(as_of: str = AS_OF, fresh_minutes: int = 6) -> str:
+    cols = [DRIFT_METRICS[m] for m in DRIFT_METRICS]
+    back = "CASE col " + " ".join(f"WHEN '{c}' THEN '{m}'" for m, c in DRIFT_METRICS.items()) + " END"
+    ctes = [f"""_keys AS (SELECT model_name, unnest([{", ".join(repr(m) for m in DRIFT_METRICS)}]) AS metric
+  FROM (SELECT DISTINCT model_name FROM telemetry))""",
+            bucketed_avg_cte("_sb", cols, 60),
+            f"""_fresh AS (SELECT DISTINCT model_name, {back.replace('col', 'metric', 1)} AS metric FROM _sb
+  WHERE bucket + INTERVAL 60 SECOND >= {minus(as_of, fresh_minutes * 60)})"""]
+    return with_telemetry(*ctes, body="""SELECT k.model_name, k.metric FROM _keys k
+WHERE NOT EXISTS (SELECT 1 FROM _fresh f WHERE f.model_name = k.model_name AND f.metric = k.metric)""")

@@ -4,13 +4,40 @@ from __future__ import annotations
 
 from . import oracle_sql as O
 
-ORACLES: dict[str, str] = {}
-
-
-def _reg(name: str, sql: str) -> None:
-    ORACLES[name] = sql
-
-
-_reg("drift_scan", O.drift_scan_sql())
-_reg("drift_psi", O.drift_psi_sql())
-_reg("drift_ks", O.drift_ks_sql())
+ORACLES: dict[str, str] = {
+    "drift_scan": O.drift_scan_sql(),
+    "drift_psi": O.drift_psi_sql(),
+    "drift_ks": O.drift_ks_sql(),
+    "health_snapshot": O.health_sql(),
+    "latest_per_model": O.latest_sql(),
+    "liveness": O.liveness_sql(),
+    "distinct_models": O.distinct_models_sql(),
+    "bucket_1m": O.bucket_1m_sql(),
+    "bucket_15m": O.bucket_15m_sql(),
+    "panel_legend": O.panel_legend_sql(),
+    "anomaly_score_panel": O.anomaly_panel_sql(),
+    "psi_panel": O.psi_panel_sql(),
+    "rtf_panel": O.rtf_panel_sql(),
+    "latency_panels": O.latency_panels_sql(),
+    "gpu_heatmap": O.gpu_heatmap_sql(),
+    "counter_rate": O.counter_rate_sql(),
+    "avg_tokens_per_request": O.avg_tokens_sql(),
+    "vram_util": O.vram_sql(),
+    "compare_stats": O.compare_stats_sql(),
+    "compare_welch": O.compare_welch_sql(),
+    "root_cause": O.root_cause_rows_sql(),
+    "root_cause_latest": O.root_cause_latest_sql(),
+    "threshold_alerts": O.threshold_alerts_sql(),
+    "drift_alerts": O.drift_alerts_sql(),
+    "external_alerts": O.external_alerts_sql(),
+    "alert_feed": O.alert_feed_sql(),
+    "alert_feed_critical": O.alert_feed_sql(severity="critical", include_resolved=True),
+    "alert_totals": O.alert_totals_sql(),
+    "alert_durations": O.alert_durations_sql(),
+    "forecast_linear": O.forecast_linear_sql(),
+    "saturation": O.saturation_sql(),
+    "queue_overlay": O.queue_overlay_sql(),
+    "upsert_latest": O.upsert_sql(),
+    "retention": O.retention_sql(),
+    "stale_keys": O.stale_keys_sql(),
+}

@@ -36,9 +36,32 @@ def get_session(master: str | None = None, app: str = "vigil",
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``vigil`` importable in Python workers (needed by pandas UDFs).
+
+    The package is zipped once per driver process and added with
+    ``addPyFile``, so executors fetch it from the driver like any
+    ``--py-files`` dependency."""
+    sc = spark.sparkContext
+    key = id(sc._jsc)
+    if key in _SHIPPED:
+        return
+    import shutil
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out_dir = tempfile.mkdtemp(prefix="vigil-pkg-")
+    archive = shutil.make_archive(os.path.join(out_dir, "vigil"), "zip",
+                                  root_dir=os.path.dirname(pkg_dir), base_dir="vigil")
+    sc.addPyFile(archive)
+    _SHIPPED.add(key)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
