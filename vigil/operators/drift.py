@@ -19,7 +19,7 @@ from ..config import (DRIFT_METRICS, DRIFT_MIN_SAMPLES, PSI_BINS, PSI_CLIP, PSI_
 from ..functions.exprs import rnd
 from ..functions.stats import ks_exact_pvalue, ks_series_pvalue
 from ..windows import minus_seconds, ts_lit, window_seconds
-from .scan import quantiles_from_counts, running_sums, value_chunks
+from .scan import quantile_hits, running_sums, value_chunks
 
 GROUP = ["model_name", "metric"]
 
@@ -63,41 +63,56 @@ def ecdf_table(dv: DataFrame, n_chunks: int = 64, materialized: bool = True) ->
     The table feeds four consumers (totals, KS, quantiles, bins); it is
     written once to the shared folder so it is computed once and the
     downstream plans stay small."""
-    ecdf = running_sums(value_chunks(dv, GROUP, "v", n_chunks), GROUP, ["v"], ["n_r", "n_c"])
+    ecdf = running_sums(value_chunks(dv, GROUP, "v", n_chunks), GROUP, ["v"], ["n_r", "n_c"],
+                        totals_prefix="tot_")
     if materialized:
         from ..sources.sinks import materialize
         ecdf = materialize(ecdf, "drift_ecdf")
     return ecdf
 
 
-def ks_statistic(ecdf: DataFrame, totals: DataFrame) -> DataFrame:
-    x = ecdf.join(totals, GROUP)
-    gap = F.abs(F.try_divide(F.col("cum_n_r"), F.col("n_reference"))
-                - F.try_divide(F.col("cum_n_c"), F.col("n_comparison")))
-    return x.groupBy(*GROUP).agg(F.max(gap).alias("ks_statistic"))
+def group_stats(ecdf: DataFrame) -> DataFrame:
+    """Sizes, means and the KS statistic in one aggregation over the ECDF."""
+    gap = F.abs(F.try_divide(F.col("cum_n_r"), F.col("tot_n_r"))
+                - F.try_divide(F.col("cum_n_c"), F.col("tot_n_c")))
+    return ecdf.groupBy(*GROUP).agg(
+        F.first("tot_n_r").alias("n_reference"), F.first("tot_n_c").alias("n_comparison"),
+        F.try_divide(F.sum(F.col("v") * F.col("n_r")), F.first("tot_n_r")).alias("reference_mean"),
+        F.try_divide(F.sum(F.col("v") * F.col("n_c")), F.first("tot_n_c")).alias("comparison_mean"),
+        F.max(gap).alias("ks_statistic"))
 
 
-def psi_table(ecdf: DataFrame, n_bins: int = PSI_BINS) -> DataFrame:
+def psi_table(ecdf: DataFrame, stats: DataFrame, n_bins: int = PSI_BINS) -> DataFrame:
     """PSI with reference decile edges (deduplicated, last edge + eps),
     half-open bins, out-of-range comparison values dropped, proportions
-    clipped at 1e-6.  A constant reference gives 0."""
+    clipped at 1e-6.  A constant reference gives 0; no reference gives NULL."""
     probs = [i / n_bins for i in range(n_bins + 1)]
-    q = quantiles_from_counts(ecdf.where(F.col("n_r") > 0), GROUP, "v", "n_r", probs,
-                              cum="cum_n_r")
+    q = quantile_hits(ecdf, GROUP, "v", "n_r", "cum_n_r", "tot_n_r", probs)
     edges = q.select(*GROUP, F.array_distinct("q").alias("e"))
     edges = edges.select(*GROUP, F.when(
         F.size("e") >= 2,
         F.concat(F.slice("e", 1, F.size("e") - 1),
                  F.array(F.element_at("e", -1) + F.lit(PSI_EDGE_EPS)))).alias("e"))
-    n_edges = F.size("e")
-    binned = (ecdf.join(edges.where(F.col("e").isNotNull()), GROUP)
-                  .where((F.col("v") >= F.element_at("e", 1)) & (F.col("v") <= F.element_at("e", -1)))
-                  .select(*GROUP, (F.least(F.size(F.filter("e", lambda b: b <= F.col("v"))),
-                                           n_edges - 1) - 1).alias("bin"), "n_r", "n_c")
+    usable = edges.where(F.col("e").isNotNull())
+    # one row per bin: [lo, hi), the last bin closed at hi
+    bins = usable.select(
+        F.col("model_name").alias("_bm"), F.col("metric").alias("_bk"),
+        F.posexplode(F.arrays_zip(F.slice("e", 1, F.size("e") - 1).alias("lo"),
+                                  F.slice("e", 2, F.size("e")).alias("hi"))).alias("bin", "_iv"),
+        (F.size("e") - 2).alias("_last"))
+    bins = bins.select("_bm", "_bk", "bin", "_last", F.col("_iv.lo").alias("_lo"), F.col("_iv.hi").alias("_hi"))
+    v = ecdf["v"]
+    cond = ((ecdf["model_name"] == bins["_bm"]) & (ecdf["metric"] == bins["_bk"])
+            & (v >= bins["_lo"]) & ((v < bins["_hi"]) | ((bins["bin"] == bins["_last"]) & (v <= bins["_hi"]))))
+    binned = (ecdf.join(bins, cond, "inner")
                   .groupBy(*GROUP, "bin").agg(F.sum("n_r").alias("b_r"), F.sum("n_c").alias("b_c")))
-    all_bins = edges.where(F.col("e").isNotNull()).select(
-        *GROUP, F.explode(F.sequence(F.lit(0), F.size("e") - 2)).alias("bin"))
-    return all_bins, binned, edges
+    all_bins = bins.select(F.col("_bm").alias("model_name"), F.col("_bk").alias("metric"), "bin")
+    counted = all_bins.join(binned, [*GROUP, "bin"], "left").join(
+        stats.select(*GROUP, "n_reference", "n_comparison"), GROUP)
+    rp = F.greatest(F.coalesce(F.col("b_r"), F.lit(0)) / F.col("n_reference"), F.lit(PSI_CLIP))
+    cp = F.greatest(F.coalesce(F.col("b_c"), F.lit(0)) / F.col("n_comparison"), F.lit(PSI_CLIP))
+    psi = counted.groupBy(*GROUP).agg(F.sum((cp - rp) * F.log(cp / rp)).alias("psi"))
+    return edges.join(psi, GROUP, "left").select(*GROUP, F.coalesce("psi", F.lit(0.0)).alias("psi"))
 
 
 def drift_scan(telemetry: DataFrame, as_of, reference_window: str = "7d",
@@ -116,21 +131,12 @@ def drift_scan(telemetry: DataFrame, as_of, reference_window: str = "7d",
     tagged = tag_windows(telemetry, as_of, reference_window, comparison_window, metrics, strict)
     dv = distinct_counts(tagged)
     ecdf = ecdf_table(dv, n_chunks)
-    totals = ecdf.groupBy(*GROUP).agg(
-        F.sum("n_r").alias("n_reference"), F.sum("n_c").alias("n_comparison"),
-        F.try_divide(F.sum(F.col("v") * F.col("n_r")), F.sum("n_r")).alias("reference_mean"),
-        F.try_divide(F.sum(F.col("v") * F.col("n_c")), F.sum("n_c")).alias("comparison_mean"))
-    ks = ks_statistic(ecdf, totals)
-    all_bins, binned, edges = psi_table(ecdf)
-    counted = all_bins.join(binned, [*GROUP, "bin"], "left").join(totals, GROUP)
-    rp = F.greatest(F.coalesce(F.col("b_r"), F.lit(0)) / F.col("n_reference"), F.lit(PSI_CLIP))
-    cp = F.greatest(F.coalesce(F.col("b_c"), F.lit(0)) / F.col("n_comparison"), F.lit(PSI_CLIP))
-    psi = counted.groupBy(*GROUP).agg(F.sum((cp - rp) * F.log(cp / rp)).alias("psi"))
-    psi = edges.join(psi, GROUP, "left").select(*GROUP, F.coalesce("psi", F.lit(0.0)).alias("psi"))
+    stats = group_stats(ecdf)
+    psi = psi_table(ecdf, stats)
 
     grid = telemetry.select("model_name").distinct().select(
         "model_name", F.explode(F.array(*[F.lit(m) for m in metrics])).alias("metric"))
-    res = (grid.join(totals, GROUP, "left").join(ks, GROUP, "left").join(psi, GROUP, "left"))
+    res = grid.join(stats, GROUP, "left").join(psi, GROUP, "left")
     n_r = F.coalesce(F.col("n_reference"), F.lit(0)).cast("int")
     n_c = F.coalesce(F.col("n_comparison"), F.lit(0)).cast("int")
     ok = (n_r >= DRIFT_MIN_SAMPLES) & (n_c >= DRIFT_MIN_SAMPLES)

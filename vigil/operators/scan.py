@@ -38,17 +38,21 @@ def with_chunk(df: DataFrame, chunk: Column) -> DataFrame:
 
 def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                  values: Sequence[str], prefix: str = "cum_",
-                 inclusive: bool = True) -> DataFrame:
+                 inclusive: bool = True, totals_prefix: str | None = None) -> DataFrame:
     """Running sums of ``values`` per ``keys`` in ``order``.
 
     ``df`` must carry a ``_chunk`` column that is non-decreasing in ``order``
-    within each key.  ``order`` must be a total order within a key.
+    within each key.  ``order`` must be a total order within a key.  With
+    ``totals_prefix`` every row also gets the key's grand totals (taken from
+    the small chunk summary, so no extra pass over the rows).
     """
     totals = df.groupBy(*keys, CHUNK).agg(*[F.sum(v).alias(v) for v in values])
     before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys)
     offsets = totals.select(
         *keys, CHUNK,
-        *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"_off_{v}") for v in values])
+        *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"_off_{v}") for v in values],
+        *([F.sum(v).over(whole).alias(f"{totals_prefix}{v}") for v in values] if totals_prefix else []))
     end = Window.currentRow if inclusive else -1
     within = Window.partitionBy(*keys, CHUNK).orderBy(*_cols(order)).rowsBetween(
         Window.unboundedPreceding, end)
@@ -57,7 +61,8 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     out = local.join(offsets, [*keys, CHUNK], "left")
     return out.select(
         *[c for c in local.columns if not c.startswith("_loc_")],
-        *[(F.col(f"_loc_{v}") + F.col(f"_off_{v}")).alias(f"{prefix}{v}") for v in values])
+        *[(F.col(f"_loc_{v}") + F.col(f"_off_{v}")).alias(f"{prefix}{v}") for v in values],
+        *([F.col(f"{totals_prefix}{v}") for v in values] if totals_prefix else []))
 
 
 def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str],
@@ -91,20 +96,51 @@ def last_non_null_before(df: DataFrame, keys: Sequence[str], order: Sequence[str
         *[F.coalesce(F.col(f"_in_{v}"), F.col(f"_carry_{v}")).alias(f"{prefix}{v}") for v in values])
 
 
+def _key_cond(left: DataFrame, right: DataFrame, keys: Sequence[str]):
+    cond = None
+    for k in keys:
+        c = left[k] == right[k]
+        cond = c if cond is None else cond & c
+    return cond
+
+
 def value_chunks(df: DataFrame, keys: Sequence[str], value: str, n_chunks: int = 64,
                  accuracy: int = 2000) -> DataFrame:
     """Attach an order-preserving ``_chunk`` to a value domain.
 
-    Chunk borders are approximate quantiles of ``value`` per key, so a hot
-    key is cut into ``n_chunks`` similar slices.  The border table has one
-    row per key (an array of ``n_chunks - 1`` doubles).
+    Chunk borders are approximate quantiles of ``value`` per key (a bounded
+    sketch per key), so a hot key is cut into ``n_chunks`` similar slices.
+    Rows find their slice by an equi-join on the key plus a range condition
+    against the (keys x n_chunks) interval table: code-generated, and AQE
+    broadcasts the interval table when it measures it small, otherwise it
+    uses a sort-merge join whose skewed partitions it splits.
     """
     probs = [i / n_chunks for i in range(1, n_chunks)]
-    borders = df.groupBy(*keys).agg(
-        F.percentile_approx(value, probs, accuracy).alias("_borders"))
-    joined = df.join(borders, list(keys), "left")
-    return joined.withColumn(
-        CHUNK, F.size(F.filter("_borders", lambda b: b < F.col(value)))).drop("_borders")
+    borders = df.groupBy(*keys).agg(F.percentile_approx(value, probs, accuracy).alias("_b"))
+    lows = F.concat(F.array(F.lit(float("-inf"))), F.col("_b"))
+    highs = F.concat(F.col("_b"), F.array(F.lit(float("inf"))))
+    iv = borders.select(*[F.col(k).alias(f"_k_{k}") for k in keys],
+                        F.posexplode(F.arrays_zip(lows.alias("lo"), highs.alias("hi"))).alias(CHUNK, "_iv"))
+    iv = iv.select(*[f"_k_{k}" for k in keys], CHUNK, F.col("_iv.lo").alias("_lo"), F.col("_iv.hi").alias("_hi"))
+    cond = None
+    for k in keys:
+        c = df[k] == iv[f"_k_{k}"]
+        cond = c if cond is None else cond & c
+    cond = cond & (df[value] > iv["_lo"]) & (df[value] <= iv["_hi"])
+    return df.join(iv, cond, "inner").drop(*[f"_k_{k}" for k in keys], "_lo", "_hi")
+
+
+def rank_hits(dv: DataFrame, keys: Sequence[str], value: str, count: str, cum: str,
+              targets: DataFrame) -> DataFrame:
+    """Value at each requested 0-based rank: the row whose running-count
+    range [cum - count, cum) holds it.  ``targets`` = (keys, _rank), small."""
+    t = targets.select(*[F.col(k).alias(f"_t_{k}") for k in keys], "_rank")
+    cond = None
+    for k in keys:
+        c = dv[k] == t[f"_t_{k}"]
+        cond = c if cond is None else cond & c
+    cond = cond & (t["_rank"] >= dv[cum] - dv[count]) & (t["_rank"] < dv[cum])
+    return dv.where(F.col(count) > 0).join(t, cond, "inner").select(*keys, "_rank", F.col(value).alias("_val"))
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
@@ -117,36 +153,26 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
     """
     dv = (df.where(F.col(value).isNotNull())
             .groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n")))
-    return quantiles_from_counts(dv, keys, "_v", "_n", probs, n_chunks)
+    scanned = running_sums(value_chunks(dv, keys, "_v", n_chunks), keys, ["_v"], ["_n"],
+                           prefix="_cum", totals_prefix="_tot")
+    return quantile_hits(scanned, keys, "_v", "_n", "_cum_n", "_tot_n", probs)
 
 
-def quantiles_from_counts(dv: DataFrame, keys: Sequence[str], value: str, count: str,
-                          probs: Sequence[float], n_chunks: int = 64,
-                          cum: str | None = None) -> DataFrame:
-    """Quantiles from a (keys, distinct value, count) table.
-
-    If ``cum`` names an existing inclusive running count the scan is reused.
-    """
-    if cum is None:
-        dv = running_sums(value_chunks(dv, keys, value, n_chunks), keys, [value], [count],
-                          prefix="_cum_")
-        cum = f"_cum_{count}"
-    totals = dv.groupBy(*keys).agg(F.sum(count).alias("_total"))
+def quantile_hits(dv: DataFrame, keys: Sequence[str], value: str, count: str, cum: str,
+                  total: str, probs: Sequence[float]) -> DataFrame:
+    """Quantiles from a table that already carries, per distinct value, its
+    inclusive running count ``cum`` and the key's ``total``.  Only the
+    order statistics needed (at most 2 x len(probs) per key) are gathered."""
     p_arr = F.array(*[F.lit(float(p)) for p in probs])
-    # virtual 0-based rank of each prob and the two order statistics it needs
-    targets = totals.select(
-        *keys, "_total",
-        F.transform(p_arr, lambda p: (F.col("_total") - 1) * p).alias("_pos"))
-    targets = targets.withColumn(
-        "_need", F.array_distinct(F.flatten(F.transform(
-            "_pos", lambda r: F.array(F.floor(r).cast("long"), F.ceil(r).cast("long"))))))
-    hit = (dv.where(F.col(count) > 0)
-             .join(targets.select(*keys, "_need"), list(keys))
-             .select(*keys, F.col(value), F.explode(F.filter(
-                 "_need", lambda k: (k >= F.col(cum) - F.col(count)) & (k < F.col(cum)))).alias("_rank")))
+    totals = dv.groupBy(*keys).agg(F.max(total).alias("_total"))
+    pos = F.transform(p_arr, lambda p: (F.col("_total") - 1) * p)
+    need = F.array_distinct(F.flatten(F.transform(
+        pos, lambda r: F.array(F.floor(r).cast("long"), F.ceil(r).cast("long")))))
+    targets = totals.select(*keys, F.explode(need).alias("_rank"))
+    hit = rank_hits(dv, keys, value, count, cum, targets)
     at = hit.groupBy(*keys).agg(F.map_from_entries(F.collect_list(
-        F.struct(F.col("_rank"), F.col(value)))).alias("_at"))
-    res = targets.join(at, list(keys), "left")
+        F.struct(F.col("_rank"), F.col("_val")))).alias("_at"))
+    res = totals.join(at, list(keys), "left")
 
     def interp(r):
         lo = F.element_at("_at", F.floor(r).cast("long"))
@@ -154,4 +180,12 @@ def quantiles_from_counts(dv: DataFrame, keys: Sequence[str], value: str, count:
         return lo + (r - F.floor(r)) * (hi - lo)
 
     return res.select(*keys, F.col("_total").alias("n"),
-                      F.when(F.col("_total") > 0, F.transform("_pos", interp)).alias("q"))
+                      F.when(F.col("_total") > 0, F.transform(pos, interp)).alias("q"))
+
+
+def quantiles_from_counts(dv: DataFrame, keys: Sequence[str], value: str, count: str,
+                          probs: Sequence[float], n_chunks: int = 64) -> DataFrame:
+    """Quantiles from a (keys, distinct value, count) table."""
+    scanned = running_sums(value_chunks(dv, keys, value, n_chunks), keys, [value], [count],
+                           prefix="_cum_", totals_prefix="_tot_")
+    return quantile_hits(scanned, keys, value, count, f"_cum_{count}", f"_tot_{count}", probs)
