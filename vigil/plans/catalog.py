@@ -412,3 +412,47 @@ def q_stale_keys(spark, sf_dir):
         m = F.when(F.col("col") == col, F.lit(name)).otherwise(m)
     stored = stored.withColumn("metric", m)
     return _mnt.stale_keys(keys, stored, ["model_name", "metric"], AS_OF, 6)
+
+
+# ------------------------------------------------------------- anomaly -----
+
+from ..operators import anomaly as _an  # noqa: E402
+
+
+@query("anomaly_baselines")
+def q_anomaly_baselines(spark, sf_dir):
+    base = _an.baselines(_an.training_rows(telemetry(spark, sf_dir), AS_OF))
+    return base.select("model_name", "model_type", F.col("n").alias("n_training_samples"),
+                       *[rnd(f"mean_{s}", 6).alias(f"mean_{s}") for s in _an.SLOTS],
+                       *[rnd(f"std_{s}", 6).alias(f"std_{s}") for s in _an.SLOTS])
+
+
+@query("contributing_dims")
+def q_contributing_dims(spark, sf_dir):
+    tel = telemetry(spark, sf_dir)
+    base = _an.baselines(_an.training_rows(tel, AS_OF)).select(
+        "model_name", *[rnd(f"mean_{s}", 6).alias(f"mean_{s}") for s in _an.SLOTS])
+    vec = _an.window_vectors(tel).join(base, "model_name")
+    d = vec.select("model_name", "bucket", F.posexplode(_an.contributing_dims(vec, base)).alias("pos", "d"))
+    return d.select("model_name", "bucket", (F.col("pos") + 1).alias("rank"), F.col("d.feature").alias("feature"),
+                    F.col("d.value").alias("value"), F.col("d.baseline").alias("baseline"),
+                    F.col("d.deviation_pct").alias("deviation_pct"))
+
+
+@query("anomaly_train")
+def q_anomaly_train(spark, sf_dir):
+    mb, nodes = _an.train(telemetry(spark, sf_dir), AS_OF)
+    sizes = nodes.groupBy("model_name").agg(F.count(F.lit(1)).alias("n_nodes"),
+                                            F.countDistinct("tree").alias("n_trees"))
+    return mb.join(sizes, "model_name", "left").select(
+        "model_name", "model_type", "trained_at", "n_training_samples", rnd("score_offset", 6).alias("score_offset"),
+        "n_nodes", "n_trees", *[f"mean_{s}" for s in _an.SLOTS], *[f"std_{s}" for s in _an.SLOTS])
+
+
+@query("anomaly_score")
+def q_anomaly_score(spark, sf_dir):
+    tel = telemetry(spark, sf_dir)
+    mb, nodes = _an.train(tel, AS_OF)
+    ev = _an.score_windows(tel, mb, nodes)
+    return ev.select("computed_at", "model_name", "anomaly_score", "is_anomaly", "cold_start_mode",
+                     "top_feature", rnd("total_deviation", 2).alias("total_deviation"))

@@ -665,3 +665,51 @@ def stale_keys_sql(as_of: str = AS_OF, fresh_minutes: int = 6) -> str:
   WHERE bucket + INTERVAL 60 SECOND >= {minus(as_of, fresh_minutes * 60)})"""]
     return with_telemetry(*ctes, body="""SELECT k.model_name, k.metric FROM _keys k
 WHERE NOT EXISTS (SELECT 1 FROM _fresh f WHERE f.model_name = k.model_name AND f.metric = k.metric)""")
+
+
+# ------------------------------------------------------------- anomaly -----
+
+SLOT_SQL = {
+    "f0": "latency_p95_ms", "f1": "gpu_util_pct",
+    "f2": "CASE WHEN model_type = 'tts' THEN rtf ELSE kv_cache_usage_pct END",
+    "f3": "CAST(requests_waiting AS DOUBLE)",
+}
+SLOT_NAMES = {"f0": ("latency_p95_ms", "latency_p95_ms"), "f1": ("gpu_util_pct", "gpu_util_pct"),
+              "f2": ("kv_cache_usage_pct", "rtf"), "f3": ("requests_waiting", "requests_waiting")}
+
+
+def train_ctes(as_of: str = AS_OF, days: int = 7) -> list[str]:
+    cols = ", ".join(f"COALESCE(CAST({e} AS DOUBLE), 0.0) AS {s}" for s, e in SLOT_SQL.items())
+    aggs = ", ".join(f"avg({s}) AS mean_{s}, stddev_pop({s}) AS std_{s}" for s in SLOT_SQL)
+    return [f"""_train AS (SELECT model_name, model_type, {cols} FROM telemetry
+  WHERE time >= {minus(as_of, days * 86400)} AND time <= {ts(as_of)})""",
+            f"""_abase AS (SELECT model_name, count(*) AS n, min(model_type) AS model_type, {aggs}
+  FROM _train GROUP BY model_name)"""]
+
+
+def anomaly_baselines_sql() -> str:
+    cols = ", ".join(f"{R(f'mean_{s}', 6)} AS mean_{s}" for s in SLOT_SQL) + ", " + \
+        ", ".join(f"{R(f'std_{s}', 6)} AS std_{s}" for s in SLOT_SQL)
+    return with_telemetry(*train_ctes(), body=f"SELECT model_name, model_type, n AS n_training_samples, {cols} FROM _abase")
+
+
+def contributing_dims_sql() -> str:
+    vec_cols = ", ".join(f"avg({e}) AS {s}" for s, e in SLOT_SQL.items())
+    parts = []
+    for i, s in enumerate(SLOT_SQL):
+        llm, tts = SLOT_NAMES[s]
+        base = f"b.bm_{s}"
+        val = f"COALESCE(v.{s}, 0.0)"
+        dev = f"CASE WHEN {base} <> 0 THEN abs(({val} - {base}) / {base}) * 100.0 ELSE abs({val}) * 100.0 END"
+        parts.append(f"""SELECT v.model_name, v.bucket, {i} AS slot,
+    CASE WHEN v.model_type = 'tts' THEN '{tts}' ELSE '{llm}' END AS feature,
+    {R(val, 4)} AS value, {R(base, 4)} AS baseline, {R(dev, 2)} AS deviation_pct
+  FROM _vec v JOIN _bm b USING (model_name)""")
+    ctes = train_ctes() + [
+        f"""_vec AS (SELECT model_name, model_type, {bucket('time', 60)} AS bucket, {vec_cols}
+  FROM telemetry GROUP BY model_name, model_type, {bucket('time', 60)})""",
+        "_bm AS (SELECT model_name, " + ", ".join(f"{R(f'mean_{s}', 6)} AS bm_{s}" for s in SLOT_SQL) + " FROM _abase)",
+        "_dims AS (" + "\n  UNION ALL ".join(parts) + ")"]
+    body = """SELECT model_name, bucket, CAST(row_number() OVER (PARTITION BY model_name, bucket
+    ORDER BY deviation_pct DESC, slot) AS INT) AS rank, feature, value, baseline, deviation_pct FROM _dims"""
+    return with_telemetry(*ctes, body=body)

@@ -41,3 +41,5 @@ ORACLES: dict[str, str] = {
     "retention": O.retention_sql(),
     "stale_keys": O.stale_keys_sql(),
 }
+ORACLES["anomaly_baselines"] = O.anomaly_baselines_sql()
+ORACLES["contributing_dims"] = O.contributing_dims_sql()
