@@ -456,3 +456,66 @@ def q_anomaly_score(spark, sf_dir):
     ev = _an.score_windows(tel, mb, nodes)
     return ev.select("computed_at", "model_name", "anomaly_score", "is_anomaly", "cold_start_mode",
                      "top_feature", rnd("total_deviation", 2).alias("total_deviation"))
+
+
+@query("forecast_seasonal")
+def q_forecast_seasonal(spark, sf_dir):
+    """Seasonal fit where a series has >= 672 buckets, linear elsewhere."""
+    snap, pts = _fc.forecast(telemetry(spark, sf_dir), AS_OF, method="auto")
+    return snap.join(_fc.rounded_points(pts), ["model_name", "metric"]).select(
+        "model_name", "metric", "cold_start_mode", "n_training_points", "saturation_risk",
+        "step", "ds", "yhat", "yhat_lower", "yhat_upper")
+
+
+# ----------------------------------------------------------- ingestion -----
+
+from ..operators import ingest as _ing  # noqa: E402
+from ..sources import captures as _cap  # noqa: E402
+
+
+def _events_for_capture(spark, sf_dir):
+    return _cap.with_counter_base(read_table(spark, sf_dir, "events"))
+
+
+@query("exposition_samples")
+def q_exposition_samples(spark, sf_dir):
+    from ..sources.exposition import parse_samples
+    s = parse_samples(_cap.model_scrapes(_events_for_capture(spark, sf_dir)), keep=("scrape_id",))
+    return s.select("scrape_id", "ordinal", "name", F.col("labels")["model_name"].alias("model_label"),
+                    F.col("labels")["quantile"].alias("quantile_label"),
+                    F.col("labels")["engine"].alias("engine_label"), "value")
+
+
+@query("gpu_node_match")
+def q_gpu_node_match(spark, sf_dir):
+    g = _ing.gpu_metrics(_cap.gpu_scrapes(_events_for_capture(spark, sf_dir)), _cap.registry(spark))
+    return g.select("tick_id", "model_name", *[rnd(c, 6).alias(c) for c in _ing.GPU_COLUMNS.values()])
+
+
+@query("pod_usage")
+def q_pod_usage(spark, sf_dir):
+    p = _ing.pod_usage(_cap.pod_documents(_events_for_capture(spark, sf_dir)), _cap.registry(spark))
+    return p.select("tick_id", "model_name", rnd("pod_cpu_millicores", 6).alias("pod_cpu_millicores"),
+                    rnd("pod_mem_mb", 6).alias("pod_mem_mb"))
+
+
+SCRAPE_DOUBLES = ["latency_p50_ms", "latency_p95_ms", "latency_p99_ms", "ttft_p50_ms", "ttft_p95_ms",
+                  "tpot_mean_ms", "requests_running", "requests_waiting", "kv_cache_usage_pct",
+                  "request_success_total", "prompt_tokens_total", "generation_tokens_total", "rtf",
+                  "gpu_util_pct", "gpu_mem_used_mb", "gpu_mem_free_mb", "gpu_temp_celsius", "gpu_power_watts",
+                  "pod_cpu_millicores", "pod_mem_mb"]
+
+
+def scrape_rows(spark, sf_dir) -> DataFrame:
+    ev = _events_for_capture(spark, sf_dir)
+    reg = _cap.registry(spark)
+    return _ing.assemble(_ing.model_metrics(_cap.model_scrapes(ev), reg),
+                         _ing.gpu_metrics(_cap.gpu_scrapes(ev), reg),
+                         _ing.pod_usage(_cap.pod_documents(ev), reg))
+
+
+@query("scrape_metrics")
+def q_scrape_metrics(spark, sf_dir):
+    a = scrape_rows(spark, sf_dir)
+    return a.select("scrape_id", "scrape_ts", "model_name", "model_type",
+                    *[rnd(c, 6).alias(c) for c in SCRAPE_DOUBLES])

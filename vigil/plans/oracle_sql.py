@@ -713,3 +713,116 @@ def contributing_dims_sql() -> str:
     body = """SELECT model_name, bucket, CAST(row_number() OVER (PARTITION BY model_name, bucket
     ORDER BY deviation_pct DESC, slot) AS INT) AS rank, feature, value, baseline, deviation_pct FROM _dims"""
     return with_telemetry(*ctes, body=body)
+
+
+# ----------------------------------------------------------- ingestion -----
+
+def _p6(x: str) -> str:
+    """value after a round trip through the '%.6f' text rendering"""
+    return f"CAST(printf('%.6f', {x}) AS DOUBLE)"
+
+
+_CAP = """_cap AS (SELECT event_id, ts, user_id, event_type, value,
+  CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k, event_id * 3 AS ctr FROM events)"""
+_TPOT = "((20.0 + CAST(k AS DOUBLE) / 10.0) / 1000.0)"
+_CNT = "CAST(user_id + 1 AS DOUBLE)"
+
+
+def exposition_samples_sql() -> str:
+    m = "event_type"
+    rows = [
+        (2, "'vllm:e2e_request_latency_seconds'", "'0.5'", "NULL", _p6("value * 5.0 / 1000.0"), "TRUE"),
+        (3, "'vllm:e2e_request_latency_seconds'", "'0.95'", "NULL", _p6("value * 10.0 / 1000.0"), "TRUE"),
+        (4, "'vllm:e2e_request_latency_seconds'", "'0.99'", "NULL", _p6("value * 14.0 / 1000.0"), "TRUE"),
+        (5, "'vllm:time_to_first_token_seconds'", "'0.5'", "NULL", _p6("value * 2.0 / 1000.0"), "TRUE"),
+        (6, "'vllm:time_to_first_token_seconds'", "'0.95'", "NULL", _p6("value * 4.0 / 1000.0"), "k % 10 <> 0"),
+        (7, "'vllm:time_per_output_token_seconds_sum'", "NULL", "NULL", _p6(f"{_TPOT} * (user_id + 1)"), "TRUE"),
+        (8, "'vllm:time_per_output_token_seconds_count'", "NULL", "NULL", _CNT, "TRUE"),
+        (9, "'vllm:num_requests_running'", "NULL", "'v1, \"fast\" {x}'", "CAST(user_id % 12 AS DOUBLE)", "TRUE"),
+        (10, "'vllm:num_requests_waiting'", "NULL", "NULL", "CAST(user_id % 30 AS DOUBLE)", "TRUE"),
+        (11, "'vllm:gpu_cache_usage_perc'", "NULL", "NULL",
+         _p6("CASE WHEN k % 2 = 0 THEN CAST(k AS DOUBLE) / 100.0 ELSE CAST(k AS DOUBLE) END"), "TRUE"),
+        (12, "'vllm:request_success_total'", "NULL", "NULL", "CAST(ctr AS DOUBLE)", "TRUE"),
+        (13, "'vllm:request_prompt_tokens_total'", "NULL", "NULL", "CAST(ctr * (50 + k) AS DOUBLE)", "TRUE"),
+        (14, "'vllm:request_generation_tokens_total'", "NULL", "NULL", "CAST(ctr * (20 + k) AS DOUBLE)", "TRUE"),
+    ]
+    parts = []
+    for idx, name, q, eng, val, cond in rows:
+        ordinal = f"CAST({idx} - CASE WHEN k % 10 = 0 AND {idx} > 6 THEN 1 ELSE 0 END AS INT)"
+        parts.append(f"""SELECT event_id AS scrape_id, {ordinal} AS ordinal, {name} AS name, {m} AS model_label,
+    CAST({q} AS VARCHAR) AS quantile_label, CAST({eng} AS VARCHAR) AS engine_label, {val} AS value
+  FROM _cap WHERE {cond}""")
+    return "WITH " + _CAP + "\n" + "\nUNION ALL\n".join(parts)
+
+
+GPU_BASE = {
+    "gpu_util_pct": "CAST((event_id * 37) % 101 AS DOUBLE)",
+    "gpu_mem_used_mb": "(40000.0 - CAST((event_id * 7919) % 40000 AS DOUBLE))",
+    "gpu_mem_free_mb": "(1024.0 + CAST((event_id * 7919) % 40000 AS DOUBLE))",
+    "gpu_temp_celsius": "(60.0 + CAST((event_id * 13) % 31 AS DOUBLE))",
+    "gpu_power_watts": "(200.0 + CAST((event_id * 17) % 200 AS DOUBLE))",
+}
+# model -> offset of the first host whose label contains its node selector
+GPU_MATCH = {"click": 0, "error": 3, "purchase": 4, "signup": 0}
+
+
+def _gpu_cte() -> str:
+    parts = []
+    for model, off in GPU_MATCH.items():
+        cols = ", ".join(f"{R(_p6(f'{e} + {float(off)!r}'), 6)} AS {c}" for c, e in GPU_BASE.items())
+        parts.append(f"SELECT event_id AS tick_id, '{model}' AS model_name, {cols} FROM _cap")
+    return "_gpu AS (" + " UNION ALL ".join(parts) + ")"
+
+
+def gpu_node_match_sql() -> str:
+    return "WITH " + _CAP + ",\n" + _gpu_cte() + "\nSELECT * FROM _gpu"
+
+
+def _pods_cte() -> str:
+    own_cpu = ("(CAST(event_id % 4000 AS DOUBLE) + CAST((event_id * 7) % 1000000 AS DOUBLE) / 1000.0"
+               " + CAST((event_id * 1000003) % 4000000000 AS DOUBLE) / 1000000.0 + CAST(event_id % 2 AS DOUBLE) * 1000.0)")
+    own_mem = ("(CAST(512 + event_id % 512 AS DOUBLE) * 1048576.0 + CAST(event_id % 3 + 1 AS DOUBLE) * 1073741824.0"
+               " + CAST(1048576 + event_id % 1048576 AS DOUBLE) * 1024.0 + CAST(134217728 + event_id AS DOUBLE))")
+    ui_cpu = "CAST(event_id % 50 AS DOUBLE)"
+    ui_mem = "(CAST(64 + event_id % 64 AS DOUBLE) * 1048576.0)"
+    return f"""_pods AS (
+  SELECT event_id AS tick_id, event_type AS model_name,
+    {own_cpu} + CASE WHEN event_type = 'view' THEN {ui_cpu} ELSE 0.0 END AS cpu,
+    ({own_mem} + CASE WHEN event_type = 'view' THEN {ui_mem} ELSE 0.0 END) / 1048576.0 AS mem
+  FROM _cap
+  UNION ALL
+  SELECT event_id, 'view', {ui_cpu}, {ui_mem} / 1048576.0 FROM _cap WHERE event_type <> 'view')"""
+
+
+def pod_usage_sql() -> str:
+    return ("WITH " + _CAP + ",\n" + _pods_cte() + f"""
+SELECT tick_id, model_name, {R('cpu', 6)} AS pod_cpu_millicores, {R('mem', 6)} AS pod_mem_mb FROM _pods""")
+
+
+def scrape_metrics_sql() -> str:
+    kv = _p6("CASE WHEN k % 2 = 0 THEN CAST(k AS DOUBLE) / 100.0 ELSE CAST(k AS DOUBLE) END")
+    tpot_s = f"({_p6(f'{_TPOT} * (user_id + 1)')} / {_CNT})"
+    cols = {
+        "latency_p50_ms": f"{_p6('value * 5.0 / 1000.0')} * 1000.0",
+        "latency_p95_ms": f"{_p6('value * 10.0 / 1000.0')} * 1000.0",
+        "latency_p99_ms": f"{_p6('value * 14.0 / 1000.0')} * 1000.0",
+        "ttft_p50_ms": f"{_p6('value * 2.0 / 1000.0')} * 1000.0",
+        "ttft_p95_ms": f"CASE WHEN k % 10 <> 0 THEN {_p6('value * 4.0 / 1000.0')} * 1000.0 END",
+        "tpot_mean_ms": f"{tpot_s} * 1000.0",
+        "requests_running": "CAST(user_id % 12 AS DOUBLE)",
+        "requests_waiting": "CAST(user_id % 30 AS DOUBLE)",
+        "kv_cache_usage_pct": f"CASE WHEN {kv} <= 1.0 THEN {kv} * 100.0 ELSE {kv} END",
+        "request_success_total": "CAST(ctr AS DOUBLE)",
+        "prompt_tokens_total": "CAST(ctr * (50 + k) AS DOUBLE)",
+        "generation_tokens_total": "CAST(ctr * (20 + k) AS DOUBLE)",
+        "rtf": f"CASE WHEN event_type = 'purchase' AND {tpot_s} > 0 THEN 86.0 / (1.0 / {tpot_s}) END",
+    }
+    sel = ", ".join(f"{R(e, 6)} AS {c}" for c, e in cols.items())
+    gsel = ", ".join(f"g.{c}" for c in GPU_BASE)
+    body = f"""SELECT c.event_id AS scrape_id, c.ts AS scrape_ts, c.event_type AS model_name,
+  CASE WHEN c.event_type = 'purchase' THEN 'tts' ELSE 'llm' END AS model_type, {sel}, {gsel},
+  {R('p.cpu', 6)} AS pod_cpu_millicores, {R('p.mem', 6)} AS pod_mem_mb
+FROM _cap c
+LEFT JOIN _gpu g ON g.tick_id = c.event_id AND g.model_name = c.event_type
+LEFT JOIN _pods p ON p.tick_id = c.event_id AND p.model_name = c.event_type"""
+    return "WITH " + _CAP + ",\n" + _gpu_cte() + ",\n" + _pods_cte() + "\n" + body

@@ -43,3 +43,7 @@ ORACLES: dict[str, str] = {
 }
 ORACLES["anomaly_baselines"] = O.anomaly_baselines_sql()
 ORACLES["contributing_dims"] = O.contributing_dims_sql()
+ORACLES["exposition_samples"] = O.exposition_samples_sql()
+ORACLES["gpu_node_match"] = O.gpu_node_match_sql()
+ORACLES["pod_usage"] = O.pod_usage_sql()
+ORACLES["scrape_metrics"] = O.scrape_metrics_sql()
