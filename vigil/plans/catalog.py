@@ -49,6 +49,11 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     checkpoint folder) and read back, the way the collector's table is
     stored; keyed by the events file's size and mtime so new data
     re-ingests."""
+    return spark.read.parquet(telemetry_path(spark, sf_dir)).drop("date")
+
+
+def telemetry_path(spark: SparkSession, sf_dir: str) -> str:
+    """Path of the stored, date-partitioned fact table for ``sf_dir``."""
     import os
     src = f"{sf_dir.rstrip('/')}/events.parquet"
     try:
@@ -63,7 +68,7 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
         fact = build_telemetry(spark, sf_dir).withColumn("date", F.to_date("time"))
         path = write_table(fact, shared_path(spark, "telemetry"), ["date"])
         _FACT_TABLES[key] = path
-    return spark.read.parquet(path).drop("date")
+    return path
 
 
 # ------------------------------------------------------------------ drift --
@@ -519,3 +524,67 @@ def q_scrape_metrics(spark, sf_dir):
     a = scrape_rows(spark, sf_dir)
     return a.select("scrape_id", "scrape_ts", "model_name", "model_type",
                     *[rnd(c, 6).alias(c) for c in SCRAPE_DOUBLES])
+
+
+# ----------------------------------------------------------- streaming -----
+
+from ..streaming import jobs as _st  # noqa: E402
+
+
+def _fact_stream(spark, sf_dir):
+    path = telemetry_path(spark, sf_dir)
+    schema = spark.read.parquet(path).schema
+    return spark.readStream.schema(schema).option("basePath", path).parquet(path)
+
+
+@query("stream_rate")
+def q_stream_rate(spark, sf_dir):
+    """Throughput from the keyed-state stream; equals counter_rate."""
+    r = _st.run_available_now(_st.counter_rate_stream(_fact_stream(spark, sf_dir)), "stream_rate")
+    return r.select("model_name", "time", "seq", "request_success_total",
+                    rnd("throughput_rps", 6).alias("throughput_rps"))
+
+
+STREAM_BUCKET_METRICS = ["requests_waiting", "kv_cache_usage_pct", "gpu_util_pct", "rtf"]
+
+
+@query("stream_bucket")
+def q_stream_bucket(spark, sf_dir):
+    """T4: watermarked 15-minute windows; only windows closed by the
+    watermark (max event time) are emitted."""
+    return _st.run_available_now(_st.bucket_stream(_fact_stream(spark, sf_dir), STREAM_BUCKET_METRICS),
+                                 "stream_bucket")
+
+
+_CAPTURE_TABLES: dict[tuple, str] = {}
+
+
+def _capture_path(spark, sf_dir, kind):
+    key = (id(spark.sparkContext._jsc), sf_dir, kind)
+    if key not in _CAPTURE_TABLES:
+        from ..sources.sinks import shared_path, write_table
+        ev = _events_for_capture(spark, sf_dir)
+        df = {"model": _cap.model_scrapes, "gpu": _cap.gpu_scrapes, "pods": _cap.pod_documents}[kind](ev)
+        _CAPTURE_TABLES[key] = write_table(df, shared_path(spark, f"capture_{kind}"))
+    return _CAPTURE_TABLES[key]
+
+
+@query("stream_ingest")
+def q_stream_ingest(spark, sf_dir):
+    """Captured scrapes streamed through the collector pipeline in
+    foreachBatch; GPU and pod captures are static sides joined per batch."""
+    mpath = _capture_path(spark, sf_dir, "model")
+    gpu = spark.read.parquet(_capture_path(spark, sf_dir, "gpu"))
+    pods = spark.read.parquet(_capture_path(spark, sf_dir, "pods"))
+    reg = _cap.registry(spark)
+    stream = spark.readStream.schema(spark.read.parquet(mpath).schema).parquet(mpath)
+
+    def process(batch):
+        ticks = batch.select(F.col("scrape_id").alias("tick_id"))
+        g = _ing.gpu_metrics(gpu.join(ticks, "tick_id", "left_semi"), reg)
+        p = _ing.pod_usage(pods.join(ticks, "tick_id", "left_semi"), reg)
+        return _ing.assemble(_ing.model_metrics(batch, reg), g, p)
+
+    a = _st.ingest_stream(stream, process, "stream_ingest")
+    return a.select("scrape_id", "scrape_ts", "model_name", "model_type",
+                    *[rnd(c, 6).alias(c) for c in SCRAPE_DOUBLES])

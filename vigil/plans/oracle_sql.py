@@ -826,3 +826,12 @@ FROM _cap c
 LEFT JOIN _gpu g ON g.tick_id = c.event_id AND g.model_name = c.event_type
 LEFT JOIN _pods p ON p.tick_id = c.event_id AND p.model_name = c.event_type"""
     return "WITH " + _CAP + ",\n" + _gpu_cte() + ",\n" + _pods_cte() + "\n" + body
+
+
+# ----------------------------------------------------------- streaming -----
+
+def stream_bucket_sql(metrics=("requests_waiting", "kv_cache_usage_pct", "gpu_util_pct", "rtf")) -> str:
+    cols = ", ".join(f"{R(f'avg({m})', 6)} AS {m}" for m in metrics)
+    return with_telemetry(body=f"""SELECT model_name, {bucket('time', 900)} AS bucket, {cols}
+FROM telemetry GROUP BY model_name, {bucket('time', 900)}
+HAVING {bucket('time', 900)} + INTERVAL 900 SECOND <= (SELECT max(time) FROM telemetry)""")

@@ -47,3 +47,6 @@ ORACLES["exposition_samples"] = O.exposition_samples_sql()
 ORACLES["gpu_node_match"] = O.gpu_node_match_sql()
 ORACLES["pod_usage"] = O.pod_usage_sql()
 ORACLES["scrape_metrics"] = O.scrape_metrics_sql()
+ORACLES["stream_rate"] = O.counter_rate_sql()
+ORACLES["stream_bucket"] = O.stream_bucket_sql()
+ORACLES["stream_ingest"] = O.scrape_metrics_sql()
