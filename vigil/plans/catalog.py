@@ -479,7 +479,8 @@ from ..sources import captures as _cap  # noqa: E402
 
 
 def _events_for_capture(spark, sf_dir):
-    return _cap.with_counter_base(read_table(spark, sf_dir, "events"))
+    from ..session import ensure_parallelism
+    return _cap.with_counter_base(ensure_parallelism(read_table(spark, sf_dir, "events")))
 
 
 @query("exposition_samples")
