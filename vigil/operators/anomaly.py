@@ -297,3 +297,28 @@ def score_windows(telemetry: DataFrame, model_baselines: DataFrame, nodes: DataF
         (~trained).alias("cold_start_mode"), dims.alias("dims"))
     return out.select("*", F.col("dims")[0]["feature"].alias("top_feature"),
                       F.aggregate("dims", F.lit(0.0), lambda acc, d: acc + d["deviation_pct"]).alias("total_deviation"))
+
+
+def save_artifacts(model_baselines: DataFrame, nodes: DataFrame, root: str,
+                   existing_root: str | None = None) -> str:
+    """Upsert the trained artifacts by model (newest trained_at wins) into a
+    new version directory under ``root`` (S11); returns that directory."""
+    from ..sources.sinks import swap_write
+    from .maintenance import upsert_latest
+    spark = model_baselines.sparkSession
+    old = spark.read.parquet(f"{existing_root}/baselines") if existing_root else None
+    merged = upsert_latest(old, model_baselines, ["model_name"], "trained_at")
+    version = swap_write(merged, f"{root}/baselines_versions")
+    n = nodes.join(merged.select("model_name", "trained_at"), "model_name", "left_semi")
+    if existing_root:
+        old_nodes = spark.read.parquet(f"{existing_root}/nodes").join(
+            model_baselines.select("model_name"), "model_name", "left_anti")
+        n = n.unionByName(old_nodes)
+    nodes_path = swap_write(n, f"{root}/nodes_versions")
+    return f"{version}|{nodes_path}"
+
+
+def load_artifacts(spark, handle: str) -> tuple[DataFrame, DataFrame]:
+    """Latest baselines + forest nodes written by ``save_artifacts``."""
+    base_path, nodes_path = handle.split("|")
+    return spark.read.parquet(base_path), spark.read.parquet(nodes_path)

@@ -50,3 +50,11 @@ def vram_util_pct() -> Column:
     """used / (used + free) * 100, NULL when either side is missing or both are 0."""
     used, free = F.col("gpu_mem_used_mb"), F.col("gpu_mem_free_mb")
     return F.try_divide(used, used + free) * 100.0
+
+
+def rtf_from_tokens(df: DataFrame, tts_tokens_per_second: float, interval_s: float = COUNTER_INTERVAL_S) -> Column:
+    """Documented alternative RTF (P14): delta(generated tokens) / tokens per
+    audio second / interval.  Needs ``delta_generation_tokens_total`` from
+    ``counter_deltas``; NULL unless the model is TTS."""
+    return F.when(F.col("model_type") == "tts",
+                  F.col("delta_generation_tokens_total") / F.lit(float(tts_tokens_per_second)) / F.lit(float(interval_s)))

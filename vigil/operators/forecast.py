@@ -133,3 +133,13 @@ def rounded_points(points: DataFrame, requested_hours: int | None = None) -> Dat
     if requested_hours is not None:
         p = p.where(F.col("step") <= clamp_horizon(requested_hours) * 4)
     return p.select(*SERIES, "step", "ds", *[rnd(c, 4).alias(c) for c in ["yhat", "yhat_lower", "yhat_upper"]])
+
+
+def snapshot_rows(snap: DataFrame, points: DataFrame) -> DataFrame:
+    """forecast_snapshots rows: the snapshot plus its points as
+    array<struct<timestamp, yhat, yhat_lower, yhat_upper>> in step order (S10).
+    A series has at most horizon x 4 points, so the gather is bounded."""
+    p = rounded_points(points).groupBy(*SERIES).agg(F.sort_array(F.collect_list(F.struct(
+        "step", F.col("ds").alias("timestamp"), "yhat", "yhat_lower", "yhat_upper"))).alias("_p"))
+    p = p.select(*SERIES, F.transform("_p", lambda s: s.dropFields("step")).alias("points"))
+    return snap.join(p, SERIES, "left")

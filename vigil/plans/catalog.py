@@ -589,3 +589,21 @@ def q_stream_ingest(spark, sf_dir):
     a = _st.ingest_stream(stream, process, "stream_ingest")
     return a.select("scrape_id", "scrape_ts", "model_name", "model_type",
                     *[rnd(c, 6).alias(c) for c in SCRAPE_DOUBLES])
+
+
+# -------------------------------------------------------------- advice -----
+
+from ..operators import advice as _adv  # noqa: E402
+
+
+@query("drift_advice")
+def q_drift_advice(spark, sf_dir):
+    d = drift_results(telemetry(spark, sf_dir)).where(F.col("status") == "ok")
+    return _adv.with_drift_advice(d).select("model_name", "metric", "severity", "interpretation",
+                                            "recommendation")
+
+
+@query("saturation_advice")
+def q_saturation_advice(spark, sf_dir):
+    snap, _ = _fc.forecast(telemetry(spark, sf_dir), AS_OF, method="linear", requested_hours=2)
+    return _adv.with_saturation_advice(snap).select("model_name", "metric", "saturation_risk", "recommendation")

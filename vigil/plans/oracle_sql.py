@@ -835,3 +835,31 @@ def stream_bucket_sql(metrics=("requests_waiting", "kv_cache_usage_pct", "gpu_ut
     return with_telemetry(body=f"""SELECT model_name, {bucket('time', 900)} AS bucket, {cols}
 FROM telemetry GROUP BY model_name, {bucket('time', 900)}
 HAVING {bucket('time', 900)} + INTERVAL 900 SECOND <= (SELECT max(time) FROM telemetry)""")
+
+
+# -------------------------------------------------------------- advice -----
+
+def _values(rows) -> str:
+    esc = lambda s: "'" + s.replace("'", "''") + "'"
+    return "VALUES " + ", ".join("(" + ", ".join(esc(v) for v in r) + ")" for r in rows)
+
+
+def drift_advice_sql() -> str:
+    from ..operators.advice import drift_texts
+    dim = f"_dim(metric, severity, interpretation, recommendation) AS ({_values(drift_texts())})"
+    body = """SELECT d.model_name, d.metric, d.severity,
+  COALESCE(x.interpretation, printf('Drift severity %s for %s.', d.severity, d.metric)) AS interpretation,
+  COALESCE(x.recommendation, 'Review the metric and recent changes.') AS recommendation
+FROM _drift_rows d LEFT JOIN _dim x ON x.metric = d.metric AND x.severity = d.severity
+WHERE d.status = 'ok'"""
+    return with_telemetry(*drift_ctes(AS_OF), dim, body=body)
+
+
+def saturation_advice_sql() -> str:
+    from ..operators.advice import saturation_texts
+    dim = f"_sdim(metric, saturation_risk, recommendation) AS ({_values(saturation_texts())})"
+    inner = saturation_sql()
+    return f"""WITH {dim}, _sat AS ({inner})
+SELECT s.model_name, s.metric, s.saturation_risk,
+  COALESCE(x.recommendation, 'Watch the trend and plan capacity accordingly.') AS recommendation
+FROM _sat s LEFT JOIN _sdim x ON x.metric = s.metric AND x.saturation_risk = s.saturation_risk"""

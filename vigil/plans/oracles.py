@@ -50,3 +50,5 @@ ORACLES["scrape_metrics"] = O.scrape_metrics_sql()
 ORACLES["stream_rate"] = O.counter_rate_sql()
 ORACLES["stream_bucket"] = O.stream_bucket_sql()
 ORACLES["stream_ingest"] = O.scrape_metrics_sql()
+ORACLES["drift_advice"] = O.drift_advice_sql()
+ORACLES["saturation_advice"] = O.saturation_advice_sql()
