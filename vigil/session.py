@@ -28,6 +28,10 @@ def get_session(master: str | None = None, app: str = "vigil",
     if master:
         builder = builder.master(master)
     conf = dict(_DEFAULT_CONF)
+    if master and master.startswith("local"):
+        # small CPU-heavy shuffles (ECDF scans, range joins) keep their
+        # parallelism on one machine; cluster-sized stages are unaffected
+        conf["spark.sql.adaptive.coalescePartitions.minPartitionSize"] = "16k"
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra_conf or {})
