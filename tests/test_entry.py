@@ -8,7 +8,7 @@ import __spark_entry__ as E
 from vigil.sources.tables import TABLES
 from conftest import SF0001
 
-ROWS_ONLY = {"compare_models", "anomaly_train", "anomaly_score", "forecast_seasonal"}
+ROWS_ONLY = {"compare_models", "anomaly_train", "anomaly_score", "forecast_seasonal", "stream_scoring"}
 
 
 def test_contract_keys():

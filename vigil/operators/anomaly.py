@@ -274,8 +274,13 @@ def score_windows(telemetry: DataFrame, model_baselines: DataFrame, nodes: DataF
     """Anomaly events for every (model, bucket): decision value, flag,
     sorted contributing dimensions; models without a trained forest get
     the cold-start event (M6, M7, M8, M9)."""
-    vec = window_vectors(telemetry, seconds).withColumn(
-        "row_id", F.xxhash64("model_name", "bucket"))
+    return score_vectors(window_vectors(telemetry, seconds), model_baselines, nodes, seconds)
+
+
+def score_vectors(vectors: DataFrame, model_baselines: DataFrame, nodes: DataFrame,
+                  seconds: int = 60) -> DataFrame:
+    """Score (model_name, model_type, bucket, f0..f3) window vectors."""
+    vec = vectors.withColumn("row_id", F.xxhash64("model_name", "bucket"))
     mb = model_baselines
     base_for_scaling = mb.select("model_name", "n_training_samples",
                                  *[F.col(f"_exact_mean_{s}").alias(f"mean_{s}") for s in SLOTS],

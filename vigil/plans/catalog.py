@@ -607,3 +607,14 @@ def q_drift_advice(spark, sf_dir):
 def q_saturation_advice(spark, sf_dir):
     snap, _ = _fc.forecast(telemetry(spark, sf_dir), AS_OF, method="linear", requested_hours=2)
     return _adv.with_saturation_advice(snap).select("model_name", "metric", "saturation_risk", "recommendation")
+
+
+@query("stream_scoring")
+def q_stream_scoring(spark, sf_dir):
+    """Streamed 1-minute windows scored with the trained forest;
+    the output equals the batch ``anomaly_score`` for closed windows."""
+    tel = telemetry(spark, sf_dir)
+    mb, nodes = _an.train(tel, AS_OF)
+    ev = _st.scoring_stream(_fact_stream(spark, sf_dir), mb, nodes)
+    return ev.select("computed_at", "model_name", "anomaly_score", "is_anomaly", "cold_start_mode",
+                     "top_feature", rnd("total_deviation", 2).alias("total_deviation"))
