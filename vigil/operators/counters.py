@@ -14,7 +14,7 @@ KEYS = ["model_name"]
 ORDER = ["time", "seq"]
 
 
-def counter_deltas(df: DataFrame, counters: Sequence[str], time_chunk: str = "day") -> DataFrame:
+def counter_deltas(df: DataFrame, counters: Sequence[str], time_chunk: str = "minute") -> DataFrame:
     """Adds ``delta_<c>``: current minus the previous non-NULL value of the
     same model; NULL on the first value, on NULL and on a reset (cur < prev)."""
     x = with_chunk(df, F.date_trunc(time_chunk, "time"))
@@ -27,7 +27,7 @@ def counter_deltas(df: DataFrame, counters: Sequence[str], time_chunk: str = "da
 
 
 def with_rates(df: DataFrame, interval_s: float = COUNTER_INTERVAL_S,
-               time_chunk: str = "day") -> DataFrame:
+               time_chunk: str = "minute") -> DataFrame:
     """Adds ``throughput_rps`` and the documented per-request averages.
 
     throughput_rps        = delta(request_success_total) / interval
