@@ -52,6 +52,17 @@ def test_sample_sizes(spark):
     assert all(r["count"] == 40 for r in s2)
 
 
+def test_large_model_sampling_is_uniform_and_complete(spark):
+    # n above trees x 3 x sample switches to one hash per row
+    tr = _train(spark, n=5000)
+    base = A.baselines(tr)
+    s = A.sample_for_trees(tr, base, n_trees=5, sample=256).toPandas()
+    counts = s.groupby("tree").size()
+    assert list(counts.index) == [0, 1, 2, 3, 4] and (counts == 256).all()
+    assert s["row_id"].is_unique                       # disjoint per tree in this regime
+    assert 1500 < s["row_id"].mean() < 3500            # no bias towards low/high ids
+
+
 def test_avg_path_length():
     assert list(A.avg_path_length([0, 1, 2])) == [0.0, 0.0, 1.0]
     n = 256

@@ -96,16 +96,37 @@ def _scaled(df: DataFrame, base: DataFrame) -> DataFrame:
 def sample_for_trees(train: DataFrame, base: DataFrame, n_trees: int = FOREST_TREES,
                      sample: int = FOREST_SAMPLE, seed: int = FOREST_SEED,
                      oversample: float = 3.0) -> DataFrame:
-    """(model, tree, row) for each tree's sample of min(sample, n) rows."""
+    """(model, tree, row) for each tree's sample of min(sample, n) rows.
+
+    Each tree takes the rows with the smallest hash -- a uniform sample
+    without replacement.  Two regimes, chosen per model from its size:
+
+    * n <= trees x oversample x sample: every (row, tree) pair is hashed
+      independently (rows may serve several trees, as in the classic scheme);
+      the pre-filter keeps ~oversample x sample candidates per tree;
+    * larger n: one hash per row both filters (u < trees x q, q = oversample x
+      sample / n) and assigns the row to tree floor(u / q).  Each tree's
+      sample is still a uniform subset; samples are disjoint, which changes
+      nothing measurable when n is this large, and the work per row is one
+      hash instead of one per tree.
+    """
+    from pyspark.sql import Window
     n_tab = base.select("model_name", "n")
     x = train.join(n_tab, "model_name")
+    limit_small = n_trees * oversample * sample
+    unit = lambda *cols: (F.xxhash64(F.lit(seed), F.col("model_name"), *cols).cast("double")
+                          / 18446744073709551616.0 + 0.5)
+    small = x.where(F.col("n") <= limit_small)
     thr = F.least(F.lit(1.0), F.lit(oversample * sample) / F.col("n"))
-    h = lambda t: (F.xxhash64(F.lit(seed), F.col("model_name"), t, F.col("row_id")).cast("double")
-                   / 18446744073709551616.0 + 0.5)
-    cand = (x.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"))
-             .select("*", h(F.col("tree")).alias("_u"))
-             .where(F.col("_u") < thr))
-    from pyspark.sql import Window
+    cand_small = (small.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"))
+                       .select("*", unit(F.col("tree"), F.col("row_id")).alias("_u"))
+                       .where(F.col("_u") < thr))
+    big = x.where(F.col("n") > limit_small)
+    q = F.lit(oversample * sample) / F.col("n")
+    u = unit(F.lit(-1), F.col("row_id"))
+    cand_big = (big.select("*", u.alias("_u")).where(F.col("_u") < q * n_trees)
+                   .select(*x.columns, F.floor(F.col("_u") / q).cast("int").alias("tree"), "_u"))
+    cand = cand_small.select(*x.columns, F.col("tree").cast("int").alias("tree"), "_u").unionByName(cand_big)
     w = Window.partitionBy("model_name", "tree").orderBy("_u", "row_id")
     return cand.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= sample).drop("_r", "_u")
 
