@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from ..config import (FEATURES_LLM, FEATURES_TTS, FOREST_CONTAMINATION, FOREST_SAMPLE,
                       FOREST_SEED, FOREST_TREES, TRAIN_MIN_ROWS)
 from ..functions.exprs import rnd
-from ..windows import minus_seconds, ts_lit
+from ..windows import minus_seconds, ts_lit, since
 from .events import feature_slots
 from .panels import bucket_start
 from .scan import exact_quantiles
@@ -66,7 +66,7 @@ def feature_names(model_type: str) -> list[str]:
 
 def training_rows(telemetry: DataFrame, as_of, days: int = 7) -> DataFrame:
     """Feature vectors of the trailing window; NULL features count as 0."""
-    x = telemetry.where(F.col("time") >= minus_seconds(as_of, days * 86400))
+    x = since(telemetry, as_of, days * 86400)
     x = x.where(F.col("time") <= ts_lit(as_of))
     x = feature_slots(x)
     return x.select("model_name", "model_type", F.col("seq").alias("row_id"),

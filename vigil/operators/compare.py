@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import COMPARE_METRICS
 from ..functions.exprs import finite, rnd
 from ..functions.stats import student_t_two_sided_p
-from ..windows import enum_window_seconds, minus_seconds
+from ..windows import enum_window_seconds, minus_seconds, since
 from .scan import exact_quantiles
 
 
@@ -16,7 +16,7 @@ def metric_values(telemetry: DataFrame, as_of, metric: str, time_window: str) ->
     if metric not in COMPARE_METRICS:
         raise ValueError(f"invalid metric {metric!r}; valid: {COMPARE_METRICS}")
     secs = enum_window_seconds(time_window, "24h")
-    x = telemetry.where(F.col("time") >= minus_seconds(as_of, secs)).select(
+    x = since(telemetry, as_of, secs).select(
         "model_name", F.col(metric).cast("double").alias("v"))
     return x.where(finite("v"))
 
@@ -86,7 +86,7 @@ def busiest_model_pairs(telemetry: DataFrame, as_of, time_window: str = "24h") -
     window (ties: greatest name).  A global max over per-model counts:
     partial aggregation, one row per task reaches the final merge."""
     secs = enum_window_seconds(time_window, "24h")
-    counts = (telemetry.where(F.col("time") >= minus_seconds(as_of, secs))
+    counts = (since(telemetry, as_of, secs)
                        .groupBy("model_name").agg(F.count(F.lit(1)).alias("n")))
     top = counts.agg(F.max(F.struct("n", "model_name")).getField("model_name").alias("model_b"))
     models = telemetry.select(F.col("model_name").alias("model_a")).distinct()

@@ -18,7 +18,7 @@ from ..config import (DRIFT_METRICS, DRIFT_MIN_SAMPLES, PSI_BINS, PSI_CLIP, PSI_
                       PSI_HIGH, PSI_LOW, PSI_MEDIUM)
 from ..functions.exprs import rnd
 from ..functions.stats import ks_exact_pvalue, ks_series_pvalue
-from ..windows import minus_seconds, ts_lit, window_seconds
+from ..windows import minus_seconds, ts_lit, window_seconds, since
 from .scan import quantile_hits, running_sums, value_chunks
 
 GROUP = ["model_name", "metric"]
@@ -37,7 +37,7 @@ def tag_windows(telemetry: DataFrame, as_of, reference_window: str, comparison_w
     """(model_name, metric, v, is_cmp) for the reference window
     [as_of - ref, as_of - cmp) and the comparison window [as_of - cmp, inf)."""
     ref_s, cmp_s = window_seconds(reference_window), window_seconds(comparison_window)
-    base = telemetry.where(F.col("time") >= minus_seconds(as_of, ref_s))
+    base = since(telemetry, as_of, ref_s)
     if strict:
         base = base.where(F.col("time") < ts_lit(as_of))
     cut = minus_seconds(as_of, cmp_s)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import FORECAST_MAX_HORIZON_H, FORECAST_MIN_BUCKETS, SATURATION_THRESHOLDS
 from ..functions.exprs import rnd
-from ..windows import clamp_horizon, minus_seconds, ts_lit
+from ..windows import clamp_horizon, minus_seconds, ts_lit, since
 from .panels import bucket_start, long_metrics
 
 SERIES = ["model_name", "metric"]
@@ -28,7 +28,7 @@ def bucket_series(telemetry: DataFrame, as_of, metrics: Sequence[str] | None = N
     for m in metrics:
         if m not in SATURATION_THRESHOLDS:
             raise ValueError(f"unknown forecast metric {m!r}; valid: {list(SATURATION_THRESHOLDS)}")
-    x = telemetry.where(F.col("time") >= minus_seconds(as_of, days * 86400)).select(
+    x = since(telemetry, as_of, days * 86400).select(
         "model_name", bucket_start("time", seconds).alias("bucket"), *metrics)
     return (long_metrics(x, metrics, ["model_name", "bucket"])
             .groupBy("model_name", "metric", "bucket").agg(F.avg("value").alias("y")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import HEALTH, HEALTH_METRICS
 from ..functions.exprs import rnd
-from ..windows import enum_window_seconds, minus_seconds, ts_lit
+from ..windows import enum_window_seconds, minus_seconds, ts_lit, since
 from .panels import latest_by
 
 SEVERITY_RANK = {"none": 0, "low": 1, "medium": 2, "high": 3}
@@ -48,7 +48,7 @@ def latest_drift(drift: DataFrame, as_of) -> DataFrame:
 def model_health(telemetry: DataFrame, events: DataFrame, drift: DataFrame, as_of,
                  time_window: str = "15m", model_name: str | None = None) -> DataFrame:
     secs = enum_window_seconds(time_window, "15m")
-    m = telemetry.where(F.col("time") >= minus_seconds(as_of, secs))
+    m = since(telemetry, as_of, secs)
     if model_name:
         m = m.where(F.col("model_name") == model_name)
     snap = m.groupBy("model_name", "model_type").agg(

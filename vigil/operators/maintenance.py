@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..windows import minus_seconds
+from ..windows import minus_seconds, since
 from .panels import latest_by
 
 
@@ -24,7 +24,7 @@ def upsert_latest(existing: DataFrame | None, new: DataFrame, keys: Sequence[str
 def retain(df: DataFrame, as_of, days: int, time_col: str = "time") -> DataFrame:
     """Rows younger than ``days`` at ``as_of``.  On partitioned storage the
     same predicate on the date column prunes whole directories."""
-    return df.where(F.col(time_col) >= minus_seconds(as_of, days * 86400))
+    return since(df, as_of, days * 86400, time_col)
 
 
 def stale_keys(requested: DataFrame, results: DataFrame, keys: Sequence[str], as_of,

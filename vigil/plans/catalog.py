@@ -48,8 +48,9 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     Written once per session (date-partitioned Parquet under the shared
     checkpoint folder) and read back, the way the collector's table is
     stored; keyed by the events file's size and mtime so new data
-    re-ingests."""
-    return spark.read.parquet(telemetry_path(spark, sf_dir)).drop("date")
+    re-ingests.  The ``date`` partition column is kept so time windows
+    (``windows.since``) prune partitions."""
+    return spark.read.parquet(telemetry_path(spark, sf_dir))
 
 
 def telemetry_path(spark: SparkSession, sf_dir: str) -> str:
@@ -107,7 +108,7 @@ from ..operators.events import cold_start_events  # noqa: E402
 from ..operators.health import model_health  # noqa: E402
 from ..operators.rules import root_cause, root_cause_rows  # noqa: E402
 from ..functions.exprs import rnd  # noqa: E402
-from ..windows import minus_seconds, ts_lit  # noqa: E402
+from ..windows import minus_seconds, since, ts_lit  # noqa: E402
 
 HEALTH_WINDOW = "24h"
 COMPARE_METRIC = "latency_p95_ms"
@@ -207,7 +208,7 @@ def q_latency_panels(spark, sf_dir):
 
 @query("gpu_heatmap")
 def q_gpu_heatmap(spark, sf_dir):
-    tel = telemetry(spark, sf_dir).where(F.col("time") >= minus_seconds(AS_OF, 86400))
+    tel = since(telemetry(spark, sf_dir), AS_OF, 86400)
     return _pan.heatmap(tel, "gpu_util_pct", 300, ["click", "error", "purchase", "signup", "view"])
 
 

@@ -49,3 +49,15 @@ def minus_seconds(as_of, seconds: int) -> Column:
 def sql_ts(as_of) -> str:
     """`as_of` as a SQL literal usable by Spark SQL and DuckDB alike."""
     return f"TIMESTAMP '{as_of_value(as_of).strftime('%Y-%m-%d %H:%M:%S')}'"
+
+
+def since(df, as_of, seconds: int, time_col: str = "time"):
+    """Rows with ``time >= as_of - seconds``.  When the frame carries the
+    fact table's ``date`` partition column, the equivalent date predicate is
+    added so the scan prunes whole partitions instead of opening every file
+    (Spark does not derive it from the time predicate by itself)."""
+    lo = as_of_value(as_of) - _dt.timedelta(seconds=seconds)
+    out = df.where(F.col(time_col) >= minus_seconds(as_of, seconds))
+    if "date" in df.columns:
+        out = out.where(F.col("date") >= F.lit(lo.date()))
+    return out
