@@ -64,11 +64,17 @@ def feature_names(model_type: str) -> list[str]:
 
 # ------------------------------------------------------------- training ----
 
-def training_rows(telemetry: DataFrame, as_of, days: int = 7) -> DataFrame:
-    """Feature vectors of the trailing window; NULL features count as 0."""
+def training_rows(telemetry: DataFrame, as_of, days: int = 7, null_policy: str = "zero") -> DataFrame:
+    """Feature vectors of the trailing window.  ``null_policy='zero'``
+    counts NULL features as 0 (the reference collector's behaviour, which
+    pulls baselines down); ``'skip'`` drops rows with any NULL feature."""
     x = since(telemetry, as_of, days * 86400)
     x = x.where(F.col("time") <= ts_lit(as_of))
     x = feature_slots(x)
+    if null_policy == "skip":
+        x = x.dropna(subset=SLOTS)
+    elif null_policy != "zero":
+        raise ValueError(f"unknown null_policy {null_policy!r}")
     return x.select("model_name", "model_type", F.col("seq").alias("row_id"),
                     *[F.coalesce(F.col(s).cast("double"), F.lit(0.0)).alias(s) for s in SLOTS])
 

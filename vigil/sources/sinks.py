@@ -47,3 +47,17 @@ def swap_write(df: DataFrame, table_root: str) -> str:
     """Upsert sink: write the merged table to a new version directory; the
     caller points readers at it (never overwrite the path being read)."""
     return write_table(df, f"{table_root.rstrip('/')}/v={uuid.uuid4().hex[:12]}")
+
+
+def write_drift_results(results: DataFrame, root: str, latest_version: str | None = None) -> str:
+    """Append every run to ``{root}/history`` (the PSI trend needs it) and
+    rewrite the keyed latest table (model, metric, windows) into a new
+    version directory; returns the new latest path."""
+    from ..operators.maintenance import upsert_latest
+    ok = results.where(F.col("status") == "ok")
+    ok.withColumn("date", F.to_date("computed_at")).write.mode("append").partitionBy("date").parquet(
+        f"{root.rstrip('/')}/history")
+    spark = results.sparkSession
+    existing = spark.read.parquet(latest_version) if latest_version else None
+    latest = upsert_latest(existing, ok, ["model_name", "metric", "reference_window", "comparison_window"])
+    return swap_write(latest, f"{root.rstrip('/')}/latest")
