@@ -73,9 +73,21 @@ def heatmap(df: DataFrame, metric: str, seconds: int, models: Sequence[str]) ->
 
 def latest_by(df: DataFrame, keys: Sequence[str], ts_cols: Sequence[str],
               values: Sequence[str]) -> DataFrame:
-    """Newest row per key (W2) as a partial aggregate: max over a struct led
-    by the ordering columns.  Map-side combine keeps one row per key per task,
-    so even a hot key costs one small record in the shuffle."""
+    """Newest row per key (W2), without sorting the input.
+
+    One ordering column: per-column ``max_by`` -- a hash aggregate with
+    map-side combine, so even a hot key costs one small record per task in
+    the shuffle (the ordering column must be unique within a key).
+    Several ordering columns (a tie-break): a hash ``max`` of the first one,
+    a semi-join back to the rows holding it, and a struct ``max`` over those
+    few survivors only.
+    """
+    if len(ts_cols) == 1:
+        ts = ts_cols[0]
+        return df.groupBy(*keys).agg(F.max(ts).alias(ts), *[F.max_by(v, ts).alias(v) for v in values])
+    lead = ts_cols[0]
+    top = df.groupBy(*keys).agg(F.max(lead).alias(lead))
+    survivors = df.join(top, [*keys, lead], "left_semi")
     packed = F.struct(*[F.col(c) for c in ts_cols], *[F.col(v) for v in values])
-    agg = df.groupBy(*keys).agg(F.max(packed).alias("_m"))
+    agg = survivors.groupBy(*keys).agg(F.max(packed).alias("_m"))
     return agg.select(*keys, *[F.col("_m").getField(c).alias(c) for c in [*ts_cols, *values]])

@@ -78,21 +78,23 @@ def last_non_null_before(df: DataFrame, keys: Sequence[str], order: Sequence[str
     """Per row: the last non-NULL value of each column strictly before it.
 
     Equals ``last(v) IGNORE NULLS OVER (PARTITION BY keys ORDER BY order
-    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)``.
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)``.  The per-chunk
+    summary is read off the chunk window itself (its last non-NULL value),
+    so the rows are sorted once and the summary is a hash aggregate over
+    rows already partitioned by (key, chunk).
     """
-    order_struct = F.struct(*_cols(order))
-    summary = df.groupBy(*keys, CHUNK).agg(*[
-        F.max(F.when(F.col(v).isNotNull(), F.struct(order_struct.alias("o"), F.col(v).alias("v"))))
-        .getField("v").alias(v) for v in values])
-    before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    carry = summary.select(*keys, CHUNK, *[F.last(v, ignorenulls=True).over(before).alias(f"_carry_{v}")
+    within = Window.partitionBy(*keys, CHUNK).orderBy(*_cols(order))
+    before = within.rowsBetween(Window.unboundedPreceding, -1)
+    whole = within.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    local = df.select("*", *[F.last(v, ignorenulls=True).over(before).alias(f"_in_{v}") for v in values],
+                      *[F.last(v, ignorenulls=True).over(whole).alias(f"_cl_{v}") for v in values])
+    summary = local.groupBy(*keys, CHUNK).agg(*[F.first(f"_cl_{v}").alias(v) for v in values])
+    prior = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    carry = summary.select(*keys, CHUNK, *[F.last(v, ignorenulls=True).over(prior).alias(f"_carry_{v}")
                                           for v in values])
-    within = Window.partitionBy(*keys, CHUNK).orderBy(*_cols(order)).rowsBetween(
-        Window.unboundedPreceding, -1)
-    local = df.select("*", *[F.last(v, ignorenulls=True).over(within).alias(f"_in_{v}") for v in values])
     joined = local.join(carry, [*keys, CHUNK], "left")
     return joined.select(
-        *[c for c in local.columns if not c.startswith("_in_")],
+        *df.columns,
         *[F.coalesce(F.col(f"_in_{v}"), F.col(f"_carry_{v}")).alias(f"{prefix}{v}") for v in values])
 
 
