@@ -94,8 +94,10 @@ def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> Data
     text-heavy rows) over the cluster before expensive per-row work.
     A no-op when the input already has enough splits, so large inputs are
     never shuffled for it."""
-    sc = df.sparkSession.sparkContext
-    want = min_partitions or sc.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
+    try:
+        sc = df.sparkSession.sparkContext
+        want = min_partitions or sc.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # sessions without RDD access: leave the plan alone
         return df
-    return df.repartition(want)
+    return df if have >= want else df.repartition(want)
