@@ -1,5 +1,7 @@
 """Public tool API and file readers."""
 import json
+
+import pytest
 import os
 import tempfile
 
@@ -41,3 +43,29 @@ def test_readers(spark):
     p = read_pod_documents(spark, os.path.join(d, "pods.json")).collect()
     assert p[0].pod == "a-0" and p[0].containers[0].cpu == "250m"
     assert read_external_alerts(spark, os.path.join(d, "missing.json")).count() == 0
+
+
+def test_fact_append_scrape_files_and_token_rtf(spark):
+    from vigil.operators.counters import counter_deltas, rtf_from_tokens
+    from vigil.sources.readers import read_scrape_texts
+    from vigil.sources.sinks import append_fact_rows
+    from vigil.sources.exposition import parse_samples
+    from conftest import fact_rows, ts
+    d = tempfile.mkdtemp(prefix="vigil-fact-")
+    rows = [{"time": ts("2024-01-30 00:00:00"), "seq": 1, "model_name": "t", "model_type": "tts",
+             "generation_tokens_total": 100},
+            {"time": ts("2024-01-30 00:00:15"), "seq": 2, "model_name": "t", "model_type": "tts",
+             "generation_tokens_total": 1390}]
+    append_fact_rows(fact_rows(spark, rows[:1]), d)
+    append_fact_rows(fact_rows(spark, rows[1:]), d)
+    back = spark.read.parquet(d)
+    assert back.count() == 2 and "date" in back.columns
+    x = counter_deltas(back.drop("date"), ["generation_tokens_total"])
+    r = x.select("seq", rtf_from_tokens(x, 86.0).alias("rtf")).orderBy("seq").collect()
+    assert r[0].rtf is None and r[1].rtf == pytest.approx(1290 / 86.0 / 15.0)
+    sd = tempfile.mkdtemp(prefix="vigil-scrapes-")
+    for i in range(3):
+        with open(os.path.join(sd, f"scrape{i}.txt"), "w") as f:
+            f.write(f"# TYPE up gauge\nup{{job=\"x\"}} {i}\n")
+    s = parse_samples(read_scrape_texts(spark, sd))
+    assert sorted(r.value for r in s.collect()) == [0.0, 1.0, 2.0]

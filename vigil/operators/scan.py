@@ -98,14 +98,6 @@ def last_non_null_before(df: DataFrame, keys: Sequence[str], order: Sequence[str
         *[F.coalesce(F.col(f"_in_{v}"), F.col(f"_carry_{v}")).alias(f"{prefix}{v}") for v in values])
 
 
-def _key_cond(left: DataFrame, right: DataFrame, keys: Sequence[str]):
-    cond = None
-    for k in keys:
-        c = left[k] == right[k]
-        cond = c if cond is None else cond & c
-    return cond
-
-
 def value_chunks(df: DataFrame, keys: Sequence[str], value: str, n_chunks: int = 64,
                  accuracy: int = 2000) -> DataFrame:
     """Attach an order-preserving ``_chunk`` to a value domain.
@@ -183,11 +175,3 @@ def quantile_hits(dv: DataFrame, keys: Sequence[str], value: str, count: str, cu
 
     return res.select(*keys, F.col("_total").alias("n"),
                       F.when(F.col("_total") > 0, F.transform(pos, interp)).alias("q"))
-
-
-def quantiles_from_counts(dv: DataFrame, keys: Sequence[str], value: str, count: str,
-                          probs: Sequence[float], n_chunks: int = 64) -> DataFrame:
-    """Quantiles from a (keys, distinct value, count) table."""
-    scanned = running_sums(value_chunks(dv, keys, value, n_chunks), keys, [value], [count],
-                           prefix="_cum_", totals_prefix="_tot_")
-    return quantile_hits(scanned, keys, value, count, f"_cum_{count}", f"_tot_{count}", probs)
