@@ -102,3 +102,20 @@ def test_series_pvalue_close_to_exact_for_large_samples(spark):
     r = spark.range(1).select(ks_series_pvalue(F.lit(n), F.lit(m), F.lit(d)).alias("p")).collect()[0]
     assert r.p == pytest.approx(_ks_exact_one(n, m, d), abs=5e-4)
     assert math.isfinite(r.p)
+
+
+def psi_open_ref(ref, cur, n_bins=10):
+    bp = np.percentile(ref, np.linspace(0, 100, n_bins + 1))
+    bp[0], bp[-1] = -np.inf, np.inf
+    rc, _ = np.histogram(ref, bins=bp)
+    cc, _ = np.histogram(cur, bins=bp)
+    rp, cp = rc / len(ref) + 1e-6, cc / len(cur) + 1e-6
+    return float(np.sum((cp - rp) * np.log(cp / rp)))
+
+
+@pytest.mark.parametrize("case", ["shifted", "heavy_ties", "out_of_range", "constant_reference"])
+def test_psi_open_variant(spark, case):
+    ref, cmp = CASES[case]
+    r = drift_scan(_frame(spark, ref, cmp), AS_OF, "30d", "10d", metrics=["latency"], p_method="series",
+                   psi_mode="open").collect()[0]
+    assert r.psi == pytest.approx(round(psi_open_ref(ref, cmp), 6), abs=2e-6)

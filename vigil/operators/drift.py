@@ -82,12 +82,20 @@ def group_stats(ecdf: DataFrame) -> DataFrame:
         F.max(gap).alias("ks_statistic"))
 
 
-def psi_table(ecdf: DataFrame, stats: DataFrame, n_bins: int = PSI_BINS) -> DataFrame:
+def psi_table(ecdf: DataFrame, stats: DataFrame, n_bins: int = PSI_BINS, mode: str = "clipped") -> DataFrame:
     """PSI with reference decile edges (deduplicated, last edge + eps),
     half-open bins, out-of-range comparison values dropped, proportions
-    clipped at 1e-6.  A constant reference gives 0; no reference gives NULL."""
+    clipped at 1e-6.  A constant reference gives 0; no reference gives NULL.
+
+    ``mode='open'`` is the documented variant: the outer edges are -inf and
+    +inf (nothing is dropped), edges are not deduplicated (empty bins stay)
+    and 1e-6 is added to every proportion instead of clipping."""
     probs = [i / n_bins for i in range(n_bins + 1)]
     q = quantile_hits(ecdf, GROUP, "v", "n_r", "cum_n_r", "tot_n_r", probs)
+    if mode == "open":
+        return _psi_open(ecdf, stats, q, n_bins)
+    if mode != "clipped":
+        raise ValueError(f"unknown psi mode {mode!r}")
     edges = q.select(*GROUP, F.array_distinct("q").alias("e"))
     edges = edges.select(*GROUP, F.when(
         F.size("e") >= 2,
@@ -115,9 +123,31 @@ def psi_table(ecdf: DataFrame, stats: DataFrame, n_bins: int = PSI_BINS) -> Data
     return edges.join(psi, GROUP, "left").select(*GROUP, F.coalesce("psi", F.lit(0.0)).alias("psi"))
 
 
+def _psi_open(ecdf: DataFrame, stats: DataFrame, q: DataFrame, n_bins: int) -> DataFrame:
+    interior = F.slice("q", 2, n_bins - 1)
+    lows = F.concat(F.array(F.lit(float("-inf"))), interior)
+    highs = F.concat(interior, F.array(F.lit(float("inf"))))
+    bins = q.select(F.col("model_name").alias("_bm"), F.col("metric").alias("_bk"),
+                    F.posexplode(F.arrays_zip(lows.alias("lo"), highs.alias("hi"))).alias("bin", "_iv"))
+    bins = bins.select("_bm", "_bk", "bin", F.col("_iv.lo").alias("_lo"), F.col("_iv.hi").alias("_hi"))
+    v = ecdf["v"]
+    cond = ((ecdf["model_name"] == bins["_bm"]) & (ecdf["metric"] == bins["_bk"])
+            & (v >= bins["_lo"]) & (v < bins["_hi"]))
+    binned = (ecdf.join(bins, cond, "inner")
+                  .groupBy(*GROUP, "bin").agg(F.sum("n_r").alias("b_r"), F.sum("n_c").alias("b_c")))
+    all_bins = bins.select(F.col("_bm").alias("model_name"), F.col("_bk").alias("metric"), "bin")
+    counted = all_bins.join(binned, [*GROUP, "bin"], "left").join(
+        stats.select(*GROUP, "n_reference", "n_comparison"), GROUP)
+    rp = F.coalesce(F.col("b_r"), F.lit(0)) / F.col("n_reference") + F.lit(PSI_CLIP)
+    cp = F.coalesce(F.col("b_c"), F.lit(0)) / F.col("n_comparison") + F.lit(PSI_CLIP)
+    psi = counted.groupBy(*GROUP).agg(F.sum((cp - rp) * F.log(cp / rp)).alias("psi"))
+    return q.select(*GROUP).join(psi, GROUP, "left")
+
+
 def drift_scan(telemetry: DataFrame, as_of, reference_window: str = "7d",
                comparison_window: str = "1h", metrics: Sequence[str] | None = None,
-               p_method: str = "auto", strict: bool = False, n_chunks: int = 64) -> DataFrame:
+               p_method: str = "auto", strict: bool = False, n_chunks: int = 64,
+               psi_mode: str = "clipped") -> DataFrame:
     """Drift check for every model x metric.
 
     ``p_method``: 'series' (asymptotic, JVM-side), 'exact' (lattice paths in
@@ -132,7 +162,7 @@ def drift_scan(telemetry: DataFrame, as_of, reference_window: str = "7d",
     dv = distinct_counts(tagged)
     ecdf = ecdf_table(dv, n_chunks)
     stats = group_stats(ecdf)
-    psi = psi_table(ecdf, stats)
+    psi = psi_table(ecdf, stats, mode=psi_mode)
 
     grid = telemetry.select("model_name").distinct().select(
         "model_name", F.explode(F.array(*[F.lit(m) for m in metrics])).alias("metric"))
