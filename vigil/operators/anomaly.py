@@ -81,10 +81,11 @@ def training_rows(telemetry: DataFrame, as_of, days: int = 7, null_policy: str =
 
 def baselines(train: DataFrame) -> DataFrame:
     """n, means and population stds per model and slot."""
-    aggs = [F.count(F.lit(1)).alias("n"), F.min("model_type").alias("model_type")]
+    from .panels import distinct_models
+    aggs = [F.count(F.lit(1)).alias("n")]
     for s in SLOTS:
         aggs += [F.avg(s).alias(f"mean_{s}"), F.stddev_pop(s).alias(f"std_{s}")]
-    return train.groupBy("model_name").agg(*aggs)
+    return train.groupBy("model_name").agg(*aggs).join(distinct_models(train), "model_name")
 
 
 def _scaled(df: DataFrame, base: DataFrame) -> DataFrame:

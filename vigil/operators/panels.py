@@ -60,8 +60,13 @@ def liveness(df: DataFrame) -> DataFrame:
 
 
 def distinct_models(df: DataFrame) -> DataFrame:
-    """DISTINCT (model, type); a model seen with two types keeps the smallest (A10)."""
-    return df.groupBy("model_name").agg(F.min("model_type").alias("model_type"))
+    """DISTINCT (model, type); a model seen with two types keeps the smallest (A10).
+
+    Distinct pairs first (hash aggregate on the keys), then the per-model
+    minimum over that tiny table: a string ``min`` over the raw rows would
+    plan a sort-based aggregate over the whole fact table."""
+    pairs = df.select("model_name", "model_type").distinct()
+    return pairs.groupBy("model_name").agg(F.min("model_type").alias("model_type"))
 
 
 def heatmap(df: DataFrame, metric: str, seconds: int, models: Sequence[str]) -> DataFrame:
@@ -71,18 +76,25 @@ def heatmap(df: DataFrame, metric: str, seconds: int, models: Sequence[str]) ->
     return (x.groupBy("bucket").pivot("model_name", list(models)).agg(rnd(F.avg(metric), 6)))
 
 
+_FIXED = ("int", "bigint", "smallint", "tinyint", "double", "float", "boolean", "timestamp", "timestamp_ntz",
+          "date")
+
+
 def latest_by(df: DataFrame, keys: Sequence[str], ts_cols: Sequence[str],
               values: Sequence[str]) -> DataFrame:
     """Newest row per key (W2), without sorting the input.
 
-    One ordering column: per-column ``max_by`` -- a hash aggregate with
-    map-side combine, so even a hot key costs one small record per task in
-    the shuffle (the ordering column must be unique within a key).
-    Several ordering columns (a tie-break): a hash ``max`` of the first one,
-    a semi-join back to the rows holding it, and a struct ``max`` over those
-    few survivors only.
+    One ordering column and fixed-width values: per-column ``max_by`` -- a
+    hash aggregate with map-side combine, so even a hot key costs one small
+    record per task in the shuffle (the ordering column must be unique
+    within a key).  Otherwise (a tie-break column, or string/array values,
+    which would force a sort-based aggregate): a hash ``max`` of the first
+    ordering column, a semi-join back to the rows holding it, and a struct
+    ``max`` over those few survivors only.
     """
-    if len(ts_cols) == 1:
+    types = dict(df.dtypes)
+    fixed = all(types[v] in _FIXED or types[v].startswith("decimal") for v in values)
+    if len(ts_cols) == 1 and fixed:
         ts = ts_cols[0]
         return df.groupBy(*keys).agg(F.max(ts).alias(ts), *[F.max_by(v, ts).alias(v) for v in values])
     lead = ts_cols[0]
