@@ -67,3 +67,17 @@ def test_avg_path_length():
     assert list(A.avg_path_length([0, 1, 2])) == [0.0, 0.0, 1.0]
     n = 256
     assert abs(A.avg_path_length([n])[0] - (2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n)) < 1e-9
+
+
+def test_zscore_cold_start_option(spark):
+    tr = _train(spark, n=400)
+    stats = A.baselines(tr)
+    vec = spark.createDataFrame([
+        ("m", "llm", "2024-01-30 00:00:00", 100.0, 50.0, 40.0, 5.0),     # typical
+        ("m", "llm", "2024-01-30 00:01:00", 100.0, 50.0, 40.0, 10.0),    # ~5 sigma on queue
+    ], "model_name string, model_type string, bucket string, f0 double, f1 double, f2 double, f3 double"
+    ).withColumn("bucket", F.to_timestamp_ntz("bucket"))
+    ev = {str(r.computed_at): r for r in A.zscore_events(vec, stats).collect()}
+    calm, hot = ev["2024-01-30 00:01:00"], ev["2024-01-30 00:02:00"]
+    assert calm.is_anomaly is False and calm.anomaly_score > -0.05
+    assert hot.is_anomaly is True and hot.anomaly_score < -0.1 and hot.dims[0].feature == "requests_waiting"

@@ -305,6 +305,26 @@ def score_windows(telemetry: DataFrame, model_baselines: DataFrame, nodes: DataF
     return score_vectors(window_vectors(telemetry, seconds), model_baselines, nodes, seconds)
 
 
+def zscore_events(vectors: DataFrame, stats: DataFrame, seconds: int = 60, z_threshold: float = 3.0) -> DataFrame:
+    """Documented cold-start alternative (``cold_start='zscore'``): per window,
+    z = (value - mean) / population std of the training window per feature;
+    anomalous when max |z| > 3.  Our score mapping keeps the detector's bands:
+    score = -0.05 x (max|z| - 2), so |z| = 3 sits on the warning cut (-0.05)
+    and |z| = 5 on the critical cut (-0.15).  Features with zero std are ignored."""
+    x = vectors.join(stats.select("model_name", *[f"mean_{s}" for s in SLOTS], *[f"std_{s}" for s in SLOTS]),
+                     "model_name")
+    zs = [F.when(F.col(f"std_{s}") > 1e-12, F.abs((F.col(s) - F.col(f"mean_{s}")) / F.col(f"std_{s}")))
+          for s in SLOTS]
+    zmax = F.coalesce(F.greatest(*zs), F.lit(0.0))
+    base = x.select("*", zmax.alias("_z"), rnd(zmax, 4).alias("max_abs_z"))
+    dims = contributing_dims(base, stats)
+    return base.select(
+        (F.col("bucket") + F.expr(f"INTERVAL {int(seconds)} SECONDS")).alias("computed_at"),
+        "model_name", "model_type", rnd(-0.05 * (F.col("_z") - 2.0), 6).alias("anomaly_score"),
+        (F.col("_z") > z_threshold).alias("is_anomaly"), F.lit(True).alias("cold_start_mode"),
+        dims.alias("dims"), "max_abs_z")
+
+
 def score_vectors(vectors: DataFrame, model_baselines: DataFrame, nodes: DataFrame,
                   seconds: int = 60) -> DataFrame:
     """Score (model_name, model_type, bucket, f0..f3) window vectors."""
