@@ -81,3 +81,21 @@ def test_zscore_cold_start_option(spark):
     calm, hot = ev["2024-01-30 00:01:00"], ev["2024-01-30 00:02:00"]
     assert calm.is_anomaly is False and calm.anomaly_score > -0.05
     assert hot.is_anomaly is True and hot.anomaly_score < -0.1 and hot.dims[0].feature == "requests_waiting"
+
+
+def test_score_windows_zscore_for_untrained_models(spark):
+    from conftest import fact_rows, ts
+    rows = [{"time": ts(f"2024-01-30 0{i // 60}:{i % 60:02d}:00"), "seq": i, "model_name": "big" if i % 4 else "tiny",
+             "model_type": "llm", "latency_p95_ms": 100.0 + i % 7, "gpu_util_pct": 50.0 + i % 5,
+             "kv_cache_usage_pct": 40.0 + i % 3, "requests_waiting": i % 6} for i in range(300)]
+    tel = fact_rows(spark, rows, extra_cols=["throughput_rps"])
+    tr = A.training_rows(tel, "2024-01-31 00:00:00")
+    stats = A.baselines(tr)
+    big_only = tr.where(F.col("model_name") == "big")
+    mb, nodes = A.train(big_only.select("model_name").distinct().join(tel, "model_name"), "2024-01-31 00:00:00",
+                        n_trees=10)
+    ev = A.score_windows(tel, mb, nodes, cold_start="zscore", stats=stats).toPandas()
+    assert set(ev["model_name"]) == {"big", "tiny"}
+    assert not ev[ev["model_name"] == "big"]["cold_start_mode"].any()
+    tiny = ev[ev["model_name"] == "tiny"]
+    assert tiny["cold_start_mode"].all() and (tiny["anomaly_score"] != -0.1).any()

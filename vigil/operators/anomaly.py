@@ -298,11 +298,23 @@ def window_vectors(telemetry: DataFrame, seconds: int = 60) -> DataFrame:
 
 
 def score_windows(telemetry: DataFrame, model_baselines: DataFrame, nodes: DataFrame,
-                  seconds: int = 60) -> DataFrame:
+                  seconds: int = 60, cold_start: str = "constant", stats: DataFrame | None = None) -> DataFrame:
     """Anomaly events for every (model, bucket): decision value, flag,
     sorted contributing dimensions; models without a trained forest get
-    the cold-start event (M6, M7, M8, M9)."""
-    return score_vectors(window_vectors(telemetry, seconds), model_baselines, nodes, seconds)
+    the cold-start event (M6, M7, M8, M9).  ``cold_start='zscore'`` scores
+    those models with ``zscore_events`` against ``stats`` (``baselines`` of
+    their training rows) instead of the constant."""
+    vec = window_vectors(telemetry, seconds)
+    if cold_start == "constant":
+        return score_vectors(vec, model_baselines, nodes, seconds)
+    if cold_start != "zscore" or stats is None:
+        raise ValueError("cold_start must be 'constant', or 'zscore' with stats")
+    trained = model_baselines.select("model_name")
+    forest = score_vectors(vec.join(trained, "model_name", "left_semi"), model_baselines, nodes, seconds)
+    z = zscore_events(vec.join(trained, "model_name", "left_anti"), stats, seconds).drop("max_abs_z")
+    z = z.select("*", F.col("dims")[0]["feature"].alias("top_feature"),
+                 F.aggregate("dims", F.lit(0.0), lambda acc, d: acc + d["deviation_pct"]).alias("total_deviation"))
+    return forest.unionByName(z)
 
 
 def zscore_events(vectors: DataFrame, stats: DataFrame, seconds: int = 60, z_threshold: float = 3.0) -> DataFrame:
