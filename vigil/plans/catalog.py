@@ -383,7 +383,7 @@ def _daily_snapshots(tel: DataFrame) -> DataFrame:
     return (tel.groupBy("model_name", F.date_trunc("day", "time").alias("day"))
                .agg(rnd(F.avg("latency_p95_ms"), 4).alias("latency_p95_ms"),
                     F.count(F.lit(1)).alias("n"))
-               .select("model_name", (F.col("day") + F.expr("INTERVAL 1 DAY")).alias("computed_at"),
+               .select("model_name", (F.col("day") + F.expr("INTERVAL 1 DAY")).cast("timestamp_ntz").alias("computed_at"),
                        "latency_p95_ms", "n"))
 
 

@@ -185,8 +185,8 @@ def drift_ks_sql(as_of: str = AS_OF) -> str:
 
 EVENTS_CTE = f"""_events AS (
   SELECT model_name, {bucket('time', 60)} + INTERVAL 60 SECOND AS computed_at,
-    -0.1 AS anomaly_score, FALSE AS is_anomaly, TRUE AS cold_start_mode,
-    CAST(NULL AS VARCHAR) AS top_feature, 0.0 AS total_deviation
+    CAST(-0.1 AS DOUBLE) AS anomaly_score, FALSE AS is_anomaly, TRUE AS cold_start_mode,
+    CAST(NULL AS VARCHAR) AS top_feature, CAST(0.0 AS DOUBLE) AS total_deviation
   FROM telemetry GROUP BY model_name, model_type, {bucket('time', 60)})"""
 
 PANEL_METRICS = ["latency_p95_ms", "kv_cache_usage_pct", "gpu_util_pct", "requests_waiting",
@@ -591,7 +591,7 @@ WHERE resolved_at IS NULL OR resolved_at >= {minus(as_of, 48 * 3600)}"""
 # ------------------------------------------------------------ forecast -----
 
 def fit_ctes(as_of: str = AS_OF, metrics=None, horizon_hours: int = 6) -> list[str]:
-    thr = "CASE metric " + " ".join(f"WHEN '{m}' THEN {t!r}" for m, t in SAT_METRICS.items()) + " END"
+    thr = "CAST(CASE metric " + " ".join(f"WHEN '{m}' THEN {t!r}" for m, t in SAT_METRICS.items()) + " END AS DOUBLE)"
     return [series_cte(as_of, metrics), """_idx AS (SELECT *, CAST(row_number() OVER _w - 1 AS DOUBLE) AS x,
   CAST(epoch_us(bucket) - epoch_us(lag(bucket) OVER _w) AS DOUBLE) AS gap FROM _series
   WINDOW _w AS (PARTITION BY model_name, metric ORDER BY bucket))""",
