@@ -81,11 +81,15 @@ def training_rows(telemetry: DataFrame, as_of, days: int = 7, null_policy: str =
 
 def baselines(train: DataFrame) -> DataFrame:
     """n, means and population stds per model and slot."""
-    from .panels import distinct_models
-    aggs = [F.count(F.lit(1)).alias("n")]
+    # type resolved inside the same hash aggregate: min over a numeric code
+    # (llm < tts, as the string order) instead of a string min, which would
+    # plan a sort-based aggregate; unknown types fall back to the LLM set
+    code = F.when(F.col("model_type") == "tts", 1).otherwise(0)
+    aggs = [F.count(F.lit(1)).alias("n"), F.min(code).alias("_type_code")]
     for s in SLOTS:
         aggs += [F.avg(s).alias(f"mean_{s}"), F.stddev_pop(s).alias(f"std_{s}")]
-    return train.groupBy("model_name").agg(*aggs).join(distinct_models(train), "model_name")
+    out = train.groupBy("model_name").agg(*aggs)
+    return out.withColumn("model_type", F.when(F.col("_type_code") == 1, "tts").otherwise("llm")).drop("_type_code")
 
 
 def _scaled(df: DataFrame, base: DataFrame) -> DataFrame:
