@@ -13,10 +13,11 @@ expected 0.75: more than five standard deviations).  So of its values, taken
 rarest first, only the first ``size - t + 1`` need a list entry; most
 documents have none, because a value seen once needs no list.
 
-Links are found in two exact-covering rounds.  First every list links its
-members to its smallest member.  Then members of *different* components that
-still share a list are all compared.  What the first round joined needs no
-second look: components, not pairs, are the result.
+Links are found in two rounds.  First every list links its members to its
+smallest member.  Then documents of *different* components that still share a
+list are compared wherever exact bounds on their full sets allow a link (see
+``_prefix_pairs``).  What the first round joined needs no second look:
+components, not pairs, are the result.
 
 Defined results: a null or empty text has no shingles and links with
 nothing.  With fewer than 5 words the whole sequence is the one shingle.
@@ -78,8 +79,8 @@ def _sketches(k: int, size: int):
 def _sets(size: int):
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [s.tobytes() for s in _shingles(X.texts_of(b), size)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["rep", "hashes"])
+            sets = [s.view(np.int64) for s in _shingles(X.texts_of(b), size)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["rep", "hashes"])
     return fn
 
 
@@ -89,7 +90,7 @@ def _exact(num: int, den: int):
         for b in batches:
             ok = []
             for x, y in zip(b.column(2), b.column(3)):
-                p, q = (np.frombuffer(v.as_buffer(), X.U) for v in (x, y))
+                p, q = x.values.to_numpy(), y.values.to_numpy()
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 ok.append(den * both >= num * (len(p) + len(q) - both))
             keep = pa.array(ok, pa.bool_())
@@ -103,6 +104,44 @@ def _est_ok(k: int, floor: float):
     return F.size(F.array_intersect(F.array_intersect("sa", "sb"), union)) >= F.floor(F.size(union) * F.lit(floor))
 
 
+def _prefix_pairs(docs: DataFrame, stage: Stage, num: int, den: int) -> DataFrame:
+    """Pairs of different components that can still reach the threshold.
+
+    ``docs``: rep, n, component, hashes (the full set).  Exact bounds only, no
+    estimate: a document's values are ordered rarest first, and a partner must
+    share one of the first ``n - ceil(0.75 n) + 1``.  Values nobody else holds
+    can't be shared, so they bound the overlap, hence the partner's size, and
+    lists are keyed by value and size class.  In each list only members
+    outside its commonest component ask, since two members of one component
+    need no comparison."""
+    x = docs.select("rep", "n", "component", F.explode("hashes").alias("value"))
+    df = x.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    own = (x.join(df, "value").groupBy("rep", "n", "component")
+           .agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("vals")).withColumn("m", F.size("vals"))
+           .where(F.col("m") * den >= F.col("n") * num))
+    own = own.withColumn("lo", F.ceil(F.col("n") * num / F.lit(den)).cast("long"))
+    most = F.least(F.floor(F.col("m") * (num + den) / F.lit(num)) - F.col("n"), F.floor(F.col("n") * den / F.lit(num)))
+    own = own.withColumn("hi", most.cast("long")).where("lo <= hi")
+    head = F.expr("posexplode(slice(vals, 1, cast(m - lo + 1 as int)))")
+    entry = own.select("rep", "n", "component", "m", "lo", "hi", head.alias("i", "v"))
+    entry = stage.put(entry.select("rep", "n", "component", "m", "lo", "hi", "i", F.col("v.value").alias("value")), "entries")
+    per = entry.groupBy("value", "component").agg(F.count(F.lit(1)).alias("c"))
+    top = per.groupBy("value").agg(F.max(F.struct("c", "component")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    top = top.select("value", F.col("top.component").alias("common"))
+
+    def size_class(n):
+        return F.floor(F.log(n) / F.lit(0.14)).cast("int")
+
+    ask = (entry.join(top, "value").where("component <> common").drop("common")
+           .withColumn("size", F.explode(F.sequence(size_class(F.col("lo")), size_class(F.col("hi"))))))
+    p, q = ask.alias("p"), entry.withColumn("size", size_class(F.col("n"))).alias("q")
+    cond = F.expr(f"""p.value = q.value and p.size = q.size and p.component <> q.component
+        and q.n between p.lo and p.hi and p.n between q.lo and q.hi
+        and (least(p.i, q.i) + least(p.m - p.i, q.m - q.i)) * {num + den} >= {num} * (p.n + q.n)""")
+    pairs = p.join(q, cond).select(F.greatest("p.rep", "q.rep").alias("a"), F.least("p.rep", "q.rep").alias("b")).distinct()
+    return stage.put(pairs, "pairs")
+
+
 def near_duplicates(docs: DataFrame, num: int = NUM, den: int = DEN, k: int = K, size: int = SHINGLE,
                     floor: float = FLOOR) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept."""
@@ -128,33 +167,28 @@ def near_duplicates(docs: DataFrame, num: int = NUM, den: int = DEN, k: int = K,
                       .select("rep", "n", "m", "t", "i", F.col("x.value").alias("value")), "lists")
     # full sets and sketches of the documents that have list entries
     ids = lists.select("rep").distinct()
-    sets = stage.put(base.join(ids, base.doc_id == ids.rep, "left_semi").mapInArrow(_sets(size), "rep long, hashes binary"), "sets")
+    sets = stage.put(base.join(ids, base.doc_id == ids.rep, "left_semi").mapInArrow(_sets(size), "rep long, hashes array<long>"), "sets")
     sk = stage.put(cls.select(F.col("doc_id").alias("rep"), "sketch").join(ids, "rep", "left_semi"), "sketches")
 
-    def verified(pairs: DataFrame, tag: str) -> DataFrame:
-        a, b = (sk.select(F.col("rep").alias(x), F.col("sketch").alias(f"s{x}")) for x in "ab")
-        maybe = stage.put(pairs.join(a, "a").join(b, "b").where(_est_ok(k, floor)).select("a", "b"), f"maybe{tag}")
+    def exact(pairs: DataFrame, tag: str) -> DataFrame:
         a, b = (sets.select(F.col("rep").alias(x), F.col("hashes").alias(f"h{x}")) for x in "ab")
-        full = maybe.join(a, "a").join(b, "b").select("a", "b", "ha", "hb")
+        full = pairs.join(a, "a").join(b, "b").select("a", "b", "ha", "hb")
         return stage.put(full.mapInArrow(_exact(num, den), "a long, b long"), f"links{tag}")
 
+    def likely(pairs: DataFrame) -> DataFrame:
+        a, b = (sk.select(F.col("rep").alias(x), F.col("sketch").alias(f"s{x}")) for x in "ab")
+        return stage.put(pairs.join(a, "a").join(b, "b").where(_est_ok(k, floor)).select("a", "b"), "likely")
+
     # round 1: every member against the smallest member of its list
     head = lists.groupBy("value").agg(F.min("rep").alias("b"))
-    links = verified(lists.join(head, "value").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct(), "1")
+    links = exact(likely(lists.join(head, "value").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()), "1")
     comp = stage.put(components(links, stage, "cc1"), "comp1")
-    # round 2: members of different components that still share a list
-    c = comp.select(F.col("node").alias("rep"), "component")
-    lab = lists.join(c, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    lab = stage.put(lab, "labelled")
+    # round 2: documents of different components that still share a list
+    lab = lists.select("rep", "n", "value").join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    lab = stage.put(lab.withColumn("component", F.coalesce("component", "rep")), "labelled")
     mixed = lab.groupBy("value").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("value")
-    left = lab.join(mixed, "value", "left_semi")
-    p, q = left.alias("p"), left.alias("q")
-    # sizes must allow the threshold, and so must the list entries left
-    cond = (F.expr("p.value = q.value and p.component < q.component")
-            & F.expr(f"{den} * least(p.n, q.n) >= {num} * greatest(p.n, q.n)")
-            & F.expr("least(p.i, q.i) + least(p.m - p.i, q.m - q.i) >= least(p.t, q.t)"))
-    pairs = p.join(q, cond).select(F.least("p.rep", "q.rep").alias("b"), F.greatest("p.rep", "q.rep").alias("a")).distinct()
-    more = verified(pairs, "2")
+    open_ = stage.put(lab.join(mixed, "value", "left_semi").select("rep", "n", "component").distinct(), "open")
+    more = exact(_prefix_pairs(open_.join(sets, "rep"), stage, num, den), "2")
     comp = stage.put(components(links.unionByName(more), stage, "cc2"), "comp2")
 
     member = reps.join(comp, reps.rep == comp.node, "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
