@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, minhash, mixing, packing, quality, substrings
+from . import chat, lines, minhash, mixing, packing, quality, substrings, vectors
 from .common import prepare, read
 
 QUERIES = {}
@@ -27,6 +27,16 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+@query
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(own).alias("text"))
+    return chat.read_back(chat.windows(turns.unionByName(extra)))
+
+
 @query
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.dedup_lines(read(spark, sf_dir, "documents"))
@@ -58,6 +68,11 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("q_failed").alias("failed_bits"))
 
 
+@query
+def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
