@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, lines, minhash, mixing, packing, quality, substrings, vectors
+from . import chat, lines, minhash, mixing, packing, pii, quality, substrings, vectors
 from .common import prepare, read
 
 QUERIES = {}
@@ -27,6 +27,11 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+@query
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(read(spark, sf_dir, "documents")))
+
+
 @query
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
