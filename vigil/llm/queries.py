@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, lines, minhash, mixing, packing, pii, quality, substrings, vectors
+from . import chat, lines, minhash, mixing, packing, pii, quality, substrings, suffixes, vectors
 from .common import prepare, read
 
 QUERIES = {}
@@ -62,6 +62,13 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("ss_text").alias("kept_sha256"))
 
 
+@query
+def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.dedup_bytes(read(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
+    return out.select("doc_id", F.col("sa_bytes").alias("n_bytes"), F.col("sa_removed").alias("n_removed"),
+                      F.col("sa_spans").alias("n_spans"), F.col("sa_kept").cast("string").alias("kept_sha256"))
+
+
 @query
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)

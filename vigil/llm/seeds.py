@@ -34,22 +34,49 @@ RUN = "doc_id long, tkey int, lo int, n int, anchor long, body long"
 WIN = "doc_id long, tkey int, pos int, anchor long, body long"
 
 
-class Plan:
-    """``symbols(texts) -> (hashes, first)`` cuts texts into hashed symbols."""
+STEP = 1 << 20      # symbols handled at a time inside a long text
+
 
-    def __init__(self, symbols: Callable, window: int, gram: int):
+class Plan:
+    """``symbols(texts) -> (symbols, first)`` cuts texts into symbols: 64-bit
+    hashes, or plain bytes.  ``width`` is the number of k-grams a minimum is
+    taken over; by default those of a whole window.  A smaller width makes
+    more and shorter runs: the minima of all ``width`` neighbours are the
+    sampled positions, and a window's anchor is its first sample that no
+    context outside the window can change."""
+
+    def __init__(self, symbols: Callable, window: int, gram: int, width: int = 0):
         self.symbols, self.window, self.gram = symbols, window, gram
+        self.width = width or window - gram + 1
+        self.whole = self.width == window - gram + 1
+        # a sample must fall in every window's settled zone
+        assert self.whole or window - gram + 1 - 2 * (self.width - 1) >= self.width
+
+
+def _hashed(symbols: np.ndarray) -> np.ndarray:
+    return X.BYTE[symbols] if symbols.dtype == np.uint8 else symbols
 
 
-def _anchors(h: np.ndarray, first: np.ndarray, p: Plan):
-    """For each window start inside one text: start, owner text, anchor index."""
+def _steps(sym: np.ndarray, first: np.ndarray, p: Plan):
+    """For each step over the window starts: its first symbol, the symbol
+    hashes it needs, the starts of windows inside one text and their texts."""
+    for a in range(0, len(sym), STEP):
+        h = _hashed(sym[a:a + STEP + p.window + 2 * p.width])
+        start = np.arange(a, min(a + STEP, len(sym)))
+        owner = np.searchsorted(first, start, "right") - 1
+        ok = start + p.window <= first[np.minimum(owner + 1, len(first) - 1)]
+        if ok.any():
+            yield a, h, start[ok], owner[ok]
+
+
+def _anchors(h: np.ndarray, at: np.ndarray, p: Plan) -> tuple[np.ndarray, np.ndarray]:
+    """k-gram hashes and the anchor of the window at each of ``at``."""
     g = X.grams(h, p.gram)
-    arg = X.window_argmin(g, p.window - p.gram + 1)
-    size = np.diff(first)
-    n = np.maximum(size - p.window + 1, 0)
-    owner = np.repeat(np.arange(len(size)), n)
-    start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[:-1], n)
-    return g, start, owner, (arg[start] if len(start) else start)
+    arg = X.window_argmin(g, p.width)
+    if p.whole:
+        return g, arg[at]
+    samples = np.unique(arg)
+    return g, samples[np.searchsorted(samples, at + p.width - 1)]
 
 
 def _batch(cols: list, names: list[str]) -> pa.RecordBatch:
@@ -65,18 +92,17 @@ def _runs(p: Plan):
         for b in batches:
             texts = X.texts_of(b)
             for lo, hi in X.groups(texts):
-                h, first = p.symbols(texts[lo:hi])
-                g, start, owner, arg = _anchors(h, first, p)
-                if not len(start):
-                    continue
-                # a run: consecutive windows of one text with one anchor
-                new = np.flatnonzero(np.concatenate(([True], (arg[1:] != arg[:-1]) | (owner[1:] != owner[:-1]))))
-                n = np.diff(np.append(new, len(start)))
-                s, o, a = start[new], owner[new], arg[new]
-                body = X.span_hash(h, s, s + n + p.window - 1) ^ X.mix((a - s).astype(X.U))
-                ids = pa.array(lo + o)
-                yield _batch([b.column(0).take(ids), b.column(1).take(ids), _ints(s - first[o]), _ints(n),
-                              X.longs(g[a]), X.longs(body)], ["doc_id", "tkey", "lo", "n", "anchor", "body"])
+                sym, first = p.symbols(texts[lo:hi])
+                for a, h, start, owner in _steps(sym, first, p):
+                    g, arg = _anchors(h, start - a, p)
+                    # a run: consecutive windows of one text with one anchor
+                    new = np.flatnonzero(np.concatenate(([True], (arg[1:] != arg[:-1]) | (owner[1:] != owner[:-1]))))
+                    n = np.diff(np.append(new, len(start)))
+                    s, o, c = start[new], owner[new], arg[new]
+                    body = X.span_hash(h, s - a, s - a + n + p.window - 1) ^ X.mix((c + a - s).astype(X.U))
+                    ids = pa.array(lo + o)
+                    yield _batch([b.column(0).take(ids), b.column(1).take(ids), _ints(s - first[o]), _ints(n),
+                                  X.longs(g[c]), X.longs(body)], ["doc_id", "tkey", "lo", "n", "anchor", "body"])
     return fn
 
 
@@ -86,8 +112,7 @@ def _windows(p: Plan):
         for b in batches:
             texts, runs = X.texts_of(b), b.column(b.schema.get_field_index("runs"))
             for lo, hi in X.groups(texts):
-                h, first = p.symbols(texts[lo:hi])
-                g = X.grams(h, p.window)
+                sym, first = p.symbols(texts[lo:hi])
                 part = runs.slice(lo, hi - lo)
                 flat = part.flatten()
                 size = np.asarray(part.value_lengths())
@@ -96,20 +121,18 @@ def _windows(p: Plan):
                 anchor = np.asarray(flat.field(2))
                 pos = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(rlo, n)
                 o, anchor = np.repeat(o, n), np.repeat(anchor, n)
-                ids = pa.array(lo + o)
-                yield _batch([b.column(0).take(ids), b.column(1).take(ids), _ints(pos), X.longs(anchor),
-                              X.longs(g[first[o] + pos])], ["doc_id", "tkey", "pos", "anchor", "body"])
+                at = first[o] + pos
+                for a in range(0, len(sym), STEP):
+                    mine = np.flatnonzero((at >= a) & (at < a + STEP))
+                    if not len(mine):
+                        continue
+                    g = X.grams(_hashed(sym[a:a + STEP + p.window - 1]), p.window)
+                    ids = pa.array(lo + o[mine])
+                    yield _batch([b.column(0).take(ids), b.column(1).take(ids), _ints(pos[mine]), X.longs(anchor[mine]),
+                                  X.longs(g[at[mine] - a])], ["doc_id", "tkey", "pos", "anchor", "body"])
     return fn
 
 
-def _on(a: DataFrame, b: DataFrame, *keys: str):
-    out = None
-    for k in keys:
-        c = same(a[k], b[k]) if k == "doc_id" else a[k] == b[k]
-        out = c if out is None else out & c
-    return out
-
-
 def _repeated(rows: DataFrame, keys: list[str], at: str, later: bool) -> DataFrame:
     """Rows whose key occurs again; ``later``: only those after the first."""
     aggs = [F.count(F.lit(1)).alias("c")]
