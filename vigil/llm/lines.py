@@ -74,12 +74,12 @@ def dedup_lines(docs: DataFrame, run_lines: int = RUN_LINES) -> DataFrame:
     spans = seeds.repeats(base, seeds.Plan(_symbols, run_lines, 1), True, stage)
     rest = keyed.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"),
                         F.col("doc_id").cast("long").alias("doc_id"), F.col("ld__key").alias("tkey"), "text")
-    joined = seeds.with_spans(rest, spans).select("row", "text", "spans")
+    joined = seeds.with_spans(rest, spans).select("row", "ztext", "spans")
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             old, out, n, gone = b.column(1), [], [], []
-            for t, null, sp in zip(X.texts_of(b), old.is_null().to_pylist(), b.column(2).to_pylist()):
+            for t, null, sp in zip(X.unzipped(b), old.is_null().to_pylist(), b.column(2).to_pylist()):
                 kept, k, g = drop_lines(t, seeds.merged((x["s"], x["e"]) for x in sp or ()))
                 out.append(None if null else kept)
                 n.append(k)

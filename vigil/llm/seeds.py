@@ -7,11 +7,12 @@ at equal offsets: joining anchors finds every repeated window.  Consecutive
 windows that pick the same anchor form one *run*.
 
 1. Runs are joined on the anchor; an anchor seen once ends here.
-2. Where all runs of an anchor extend alike on both sides (equal content of
-   the whole run), the match is settled without looking at texts again.
-3. Elsewhere (edges of matches) the windows of the run are compared one by
-   one: the match is extended from the anchor to both sides as far as some
-   other occurrence agrees.  No pairs are formed: occurrences meet in
+2. Runs of an anchor that extend alike on both sides (equal content of the
+   whole run) form a class: all their windows repeat, which settles them
+   without looking at texts again.
+3. Where an anchor has several classes (edges of matches), one head a class
+   goes on and its windows are compared one by one: the match is extended
+   from the anchor to both sides as far as some other class agrees.  No pairs are formed: occurrences meet in
    grouped counts, so a passage in n documents costs n rows, not n * n.
 
 Rows are keyed by (doc_id, tkey): rows equal in both are one document listed
@@ -30,7 +31,8 @@ from pyspark.sql import functions as F
 from . import text as X
 from .common import Stage, same
 
-RUN = "doc_id long, tkey int, lo int, n int, anchor long, body long"
+RUN = "doc_id long, tkey int, at long, anchor long, body long"      # at: first window * LEN + windows
+LEN = 1 << 16
 WIN = "doc_id long, tkey int, pos int, anchor long, body long"
 
 
@@ -43,7 +45,8 @@ class Plan:
     taken over; by default those of a whole window.  A smaller width makes
     more and shorter runs: the minima of all ``width`` neighbours are the
     sampled positions, and a window's anchor is its first sample that no
-    context outside the window can change."""
+    context outside the window can change.  Such an anchor is named by all the
+    ``window - width + 1`` symbols that its windows have in common."""
 
     def __init__(self, symbols: Callable, window: int, gram: int, width: int = 0):
         self.symbols, self.window, self.gram = symbols, window, gram
@@ -70,13 +73,18 @@ def _steps(sym: np.ndarray, first: np.ndarray, p: Plan):
 
 
 def _anchors(h: np.ndarray, at: np.ndarray, p: Plan) -> tuple[np.ndarray, np.ndarray]:
-    """k-gram hashes and the anchor of the window at each of ``at``."""
+    """Names by position, and the anchor of the window at each of ``at``."""
     g = X.grams(h, p.gram)
     arg = X.window_argmin(g, p.width)
     if p.whole:
         return g, arg[at]
     samples = np.unique(arg)
-    return g, samples[np.searchsorted(samples, at + p.width - 1)]
+    # the name of a sample: all that every window with this anchor holds
+    lo, hi = samples - (p.width - 1), samples + (p.window - 2 * p.width + 2)
+    whole = np.flatnonzero((lo >= 0) & (hi <= len(h)))
+    names = np.zeros(len(g), X.U)
+    names[samples[whole]] = X.span_hash(h, lo[whole], hi[whole])
+    return names, samples[np.searchsorted(samples, at + p.width - 1)]
 
 
 def _batch(cols: list, names: list[str]) -> pa.RecordBatch:
@@ -101,24 +109,24 @@ def _runs(p: Plan):
                     s, o, c = start[new], owner[new], arg[new]
                     body = X.span_hash(h, s - a, s - a + n + p.window - 1) ^ X.mix((c + a - s).astype(X.U))
                     ids = pa.array(lo + o)
-                    yield _batch([b.column(0).take(ids), b.column(1).take(ids), _ints(s - first[o]), _ints(n),
-                                  X.longs(g[c]), X.longs(body)], ["doc_id", "tkey", "lo", "n", "anchor", "body"])
+                    yield _batch([b.column(0).take(ids), b.column(1).take(ids), X.longs((s - first[o]) * LEN + n),
+                                  X.longs(g[c]), X.longs(body)], ["doc_id", "tkey", "at", "anchor", "body"])
     return fn
 
 
 def _windows(p: Plan):
-    """Windows of the listed runs (``runs``: structs lo, n, anchor)."""
+    """Windows of the listed runs (``runs``: structs at, anchor)."""
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, runs = X.texts_of(b), b.column(b.schema.get_field_index("runs"))
+            texts, runs = X.unzipped(b), b.column(b.schema.get_field_index("runs"))
             for lo, hi in X.groups(texts):
                 sym, first = p.symbols(texts[lo:hi])
                 part = runs.slice(lo, hi - lo)
                 flat = part.flatten()
                 size = np.asarray(part.value_lengths())
                 o = np.repeat(np.arange(hi - lo), size)
-                rlo, n = (np.asarray(flat.field(k)).astype(np.int64) for k in (0, 1))
-                anchor = np.asarray(flat.field(2))
+                rlo, n = np.divmod(np.asarray(flat.field(0)), LEN)
+                anchor = np.asarray(flat.field(1))
                 pos = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(rlo, n)
                 o, anchor = np.repeat(o, n), np.repeat(anchor, n)
                 at = first[o] + pos
@@ -161,18 +169,26 @@ def repeats(docs: DataFrame, p: Plan, later: bool, stage: Stage) -> DataFrame:
     again = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor")
     shared = stage.put(runs.join(again, "anchor", "left_semi"), "shared")
     stage.drop("runs")
-    # 2. anchors whose occurrences all extend alike
-    kinds = shared.groupBy("anchor").agg((F.min("body") == F.max("body")).alias("alike"))
-    told = stage.put(shared.join(kinds, "anchor"), "told")
+    # 2. occurrences that extend alike over the whole run form a class
+    row = F.struct("doc_id", "tkey", "at")
+    per = shared.groupBy("anchor", "body").agg(F.count(F.lit(1)).alias("c"), F.min(row).alias("head"))
+    kinds = per.groupBy("anchor").agg(F.count(F.lit(1)).alias("k"), F.min("c").alias("c_min"))
+    told = stage.put(shared.join(per.join(kinds, "anchor"), ["anchor", "body"]), "told")
     stage.drop("shared")
-    whole = told.where("alike")
+    at_head = same(F.col("doc_id"), F.col("head.doc_id")) & (F.col("tkey") == F.col("head.tkey")) & (F.col("at") == F.col("head.at"))
     if later:
-        whole = _repeated(whole, ["anchor", "body"], "lo", True)
-    whole = whole.select("doc_id", "tkey", F.col("lo").alias("s"), (F.col("lo") + F.col("n") + (p.window - 1)).alias("e"))
-    # 3. the others, window by window
-    open_ = told.where("not alike").distinct().groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("lo", "n", "anchor")).alias("runs"))
+        whole = told.where((F.col("c") > 1) & ~(same(F.col("doc_id"), F.col("head.doc_id")) & (F.col("at") == F.col("head.at"))))
+        other = F.lit(True)
+    else:
+        whole = told.where("c > 1")
+        other = (F.col("c") == 1) | (F.col("c_min") == 1)
+    lo, n = F.floor(F.col("at") / LEN).cast("int"), (F.col("at") % LEN).cast("int")
+    whole = whole.select("doc_id", "tkey", lo.alias("s"), (lo + n + (p.window - 1)).alias("e"))
+    # 3. the others, window by window; a class is stood for by its head
+    open_ = (told.where((F.col("k") > 1) & at_head & other).select("doc_id", "tkey", "at", "anchor").distinct()
+             .groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("at", "anchor")).alias("runs")))
     o = open_.select(F.col("doc_id").alias("o_id"), F.col("tkey").alias("o_key"), "runs")
-    with_text = docs.join(o, same(F.col("doc_id"), F.col("o_id")) & (F.col("tkey") == F.col("o_key"))).select("doc_id", "tkey", "text", "runs")
+    with_text = X.zipped(docs).join(o, same(F.col("doc_id"), F.col("o_id")) & (F.col("tkey") == F.col("o_key"))).select("doc_id", "tkey", "ztext", "runs")
     wins = stage.put(with_text.mapInArrow(_windows(p), WIN), "windows")
     part = _repeated(wins, ["anchor", "body"], "pos", later)
     part = part.select("doc_id", "tkey", F.col("pos").alias("s"), (F.col("pos") + p.window).alias("e"))
@@ -192,6 +208,7 @@ def merged(spans) -> list[tuple[int, int]]:
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """Every row of ``docs`` with its ``spans`` (null where there are none)."""
+    """Every row of ``docs``, its text packed as ``ztext``, with its ``spans``
+    (null where there are none)."""
     x = spans.select(F.col("doc_id").alias("s_id"), F.col("tkey").alias("s_key"), "spans")
-    return docs.join(x, same(F.col("doc_id"), F.col("s_id")) & (F.col("tkey") == F.col("s_key")), "left").drop("s_id", "s_key")
+    return X.zipped(docs).join(x, same(F.col("doc_id"), F.col("s_id")) & (F.col("tkey") == F.col("s_key")), "left").drop("s_id", "s_key")

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from . import seeds, text as X
 from .common import Stage, prepare, text_key
 
-WINDOW, GRAM = 35, 6
+WINDOW, GRAM = 35, 10
 
 
 def _symbols(texts: list[bytes]):
@@ -51,12 +51,12 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, di
     spans = seeds.repeats(base, seeds.Plan(_symbols, window, gram), False, stage)
     rest = keyed.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text" or not digest]).alias("row"),
                         F.col("doc_id").cast("long").alias("doc_id"), F.col("ss__key").alias("tkey"), "text")
-    joined = seeds.with_spans(rest, spans).select("row", "text", "spans")
+    joined = seeds.with_spans(rest, spans).select("row", "ztext", "spans")
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out, n, gone = [], [], []
-            for t, sp in zip(X.texts_of(b), b.column(2).to_pylist()):
+            for t, sp in zip(X.unzipped(b), b.column(2).to_pylist()):
                 kept, k, g = cut_words(t, seeds.merged((x["s"], x["e"]) for x in sp or ()))
                 out.append(hashlib.sha256(kept).hexdigest() if digest else kept.decode())
                 n.append(k)

@@ -10,8 +10,9 @@ chosen by content (minima of the hashed 16-byte prefixes among ``width``
 neighbours), so equal strings sample equal offsets and the sample is
 ``2 / (width + 1)`` of the bytes.  README gives the figures that led to this.
 
-1. Each sampled suffix is named by its prefix; a name found once is settled:
-   no other suffix starts like it.
+1. Each sampled suffix is named by the bytes that all windows it stands for
+   have in common (``window - width + 1`` of them); a name found once is
+   settled: none of its windows can repeat.
 2. Sampled suffixes with equal names are neighbours; where all of a name agree
    over everything their windows reach, all those windows repeat.
 3. For the rest, the suffixes that lie between two samples (every window start
@@ -40,7 +41,7 @@ from pyspark.sql import types as T
 from . import seeds, text as X
 from .common import Stage, prepare, text_key
 
-WINDOW, PREFIX, WIDTH = 400, 16, 120
+WINDOW, PREFIX, WIDTH = 400, 16, 128
 
 
 def _symbols(texts: list[bytes]):
@@ -68,12 +69,12 @@ def dedup_bytes(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, wid
     spans = seeds.repeats(base, seeds.Plan(_symbols, window, prefix, width), False, stage)
     rest = keyed.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text" or not digest]).alias("row"),
                         F.col("doc_id").cast("long").alias("doc_id"), F.col("sa__key").alias("tkey"), "text")
-    joined = seeds.with_spans(rest, spans).select("row", "text", "spans")
+    joined = seeds.with_spans(rest, spans).select("row", "ztext", "spans")
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, gone, k, out = [], [], [], []
-            for t, sp in zip(X.texts_of(b), b.column(2).to_pylist()):
+            for t, sp in zip(X.unzipped(b), b.column(2).to_pylist()):
                 runs = seeds.merged((x["s"], x["e"]) for x in sp or ())
                 kept = cut_bytes(t, runs)
                 n.append(len(t))

@@ -12,6 +12,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 CHUNK = 1 << 20
 U = np.uint64
@@ -149,3 +151,26 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
 
 def longs(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64) if x.dtype == U else x.astype(np.int64))
+
+
+def zipped(df: DataFrame) -> DataFrame:
+    """``df`` with ``text`` replaced by ``ztext``: zstd after an 8-byte length.
+    Texts that go through a shuffle only to be read in Python cross it so."""
+    rest = [c for c in df.columns if c != "text"]
+    schema = T.StructType([*[df.schema[c] for c in rest], T.StructField("ztext", T.BinaryType())])
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", compression_level=1)
+        for b in batches:
+            col = b.column(b.schema.get_field_index("text")).cast(pa.large_binary())
+            z = [None if t is None else len(t).to_bytes(8, "little") + codec.compress(t, asbytes=True) for t in col.to_pylist()]
+            yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(c)) for c in rest], pa.array(z, pa.binary())],
+                                             names=[*rest, "ztext"])
+    return df.mapInArrow(fn, schema)
+
+
+def unzipped(batch: pa.RecordBatch, name: str = "ztext") -> list[bytes]:
+    """The texts of ``zipped``; a null text counts as empty."""
+    codec = pa.Codec("zstd")
+    return [b"" if z is None else codec.decompress(z[8:], int.from_bytes(z[:8], "little"), asbytes=True)
+            for z in batch.column(batch.schema.get_field_index(name)).to_pylist()]
