@@ -116,6 +116,7 @@ def _prefix_pairs(docs: DataFrame, stage: Stage, num: int, den: int) -> DataFram
     need no comparison."""
     x = docs.select("rep", "n", "component", F.explode("hashes").alias("value"))
     df = x.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    df = stage.put(df, "df2")
     own = (x.join(df, "value").groupBy("rep", "n", "component")
            .agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("vals")).withColumn("m", F.size("vals"))
            .where(F.col("m") * den >= F.col("n") * num))
@@ -127,7 +128,7 @@ def _prefix_pairs(docs: DataFrame, stage: Stage, num: int, den: int) -> DataFram
     entry = stage.put(entry.select("rep", "n", "component", "m", "lo", "hi", "i", F.col("v.value").alias("value")), "entries")
     per = entry.groupBy("value", "component").agg(F.count(F.lit(1)).alias("c"))
     top = per.groupBy("value").agg(F.max(F.struct("c", "component")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    top = top.select("value", F.col("top.component").alias("common"))
+    top = stage.put(top.select("value", F.col("top.component").alias("common")), "top")
 
     def size_class(n):
         return F.floor(F.log(n) / F.lit(0.14)).cast("int")
@@ -159,6 +160,7 @@ def near_duplicates(docs: DataFrame, num: int = NUM, den: int = DEN, k: int = K,
     # inverted lists of the values that occur again
     post = cls.select(F.col("doc_id").alias("rep"), "n", F.size("sketch").alias("kept"), F.explode("sketch").alias("value"))
     df = post.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    df = stage.put(df, "df")               # written, so that joins can split a hot value
     t = F.greatest(F.lit(1), F.floor(F.col("kept") * F.lit(floor)))
     own = (post.join(df, "value").groupBy("rep", "n", "kept")
            .agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("vals")))
@@ -180,13 +182,14 @@ def near_duplicates(docs: DataFrame, num: int = NUM, den: int = DEN, k: int = K,
         return stage.put(pairs.join(a, "a").join(b, "b").where(_est_ok(k, floor)).select("a", "b"), "likely")
 
     # round 1: every member against the smallest member of its list
-    head = lists.groupBy("value").agg(F.min("rep").alias("b"))
+    head = stage.put(lists.groupBy("value").agg(F.min("rep").alias("b")), "heads")
     links = exact(likely(lists.join(head, "value").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()), "1")
     comp = stage.put(components(links, stage, "cc1"), "comp1")
     # round 2: documents of different components that still share a list
     lab = lists.select("rep", "n", "value").join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
     lab = stage.put(lab.withColumn("component", F.coalesce("component", "rep")), "labelled")
     mixed = lab.groupBy("value").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("value")
+    mixed = stage.put(mixed, "mixed")
     open_ = stage.put(lab.join(mixed, "value", "left_semi").select("rep", "n", "component").distinct(), "open")
     more = exact(_prefix_pairs(open_.join(sets, "rep"), stage, num, den), "2")
     comp = stage.put(components(links.unionByName(more), stage, "cc2"), "comp2")

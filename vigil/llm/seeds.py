@@ -141,13 +141,14 @@ def _windows(p: Plan):
     return fn
 
 
-def _repeated(rows: DataFrame, keys: list[str], at: str, later: bool) -> DataFrame:
+def _repeated(rows: DataFrame, keys: list[str], at: str, later: bool, stage: Stage) -> DataFrame:
     """Rows whose key occurs again; ``later``: only those after the first."""
     aggs = [F.count(F.lit(1)).alias("c")]
     if later:
         aggs.append(F.min(F.struct("doc_id", at)).alias("at0"))
     again = rows.groupBy(*keys).agg(*aggs).where("c > 1").select(
         *[F.col(k).alias(f"k_{k}") for k in keys], *(["at0"] if later else []))
+    again = stage.put(again, "repeated")
     cond = None
     for k in keys:
         c = F.col(k) == F.col(f"k_{k}")
@@ -167,13 +168,16 @@ def repeats(docs: DataFrame, p: Plan, later: bool, stage: Stage) -> DataFrame:
     runs = stage.put(docs.mapInArrow(_runs(p), RUN), "runs")
     # 1. anchors seen more than once
     again = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor")
+    again = stage.put(again, "again")      # written, so that the join can split a hot anchor
     shared = stage.put(runs.join(again, "anchor", "left_semi"), "shared")
     stage.drop("runs")
     # 2. occurrences that extend alike over the whole run form a class
     row = F.struct("doc_id", "tkey", "at")
     per = shared.groupBy("anchor", "body").agg(F.count(F.lit(1)).alias("c"), F.min(row).alias("head"))
     kinds = per.groupBy("anchor").agg(F.count(F.lit(1)).alias("k"), F.min("c").alias("c_min"))
-    told = stage.put(shared.join(per.join(kinds, "anchor"), ["anchor", "body"]), "told")
+    per, kinds = stage.put(per, "classes"), stage.put(kinds, "kinds")
+    per = stage.put(per.join(kinds, "anchor"), "per")
+    told = stage.put(shared.join(per, ["anchor", "body"]), "told")
     stage.drop("shared")
     at_head = same(F.col("doc_id"), F.col("head.doc_id")) & (F.col("tkey") == F.col("head.tkey")) & (F.col("at") == F.col("head.at"))
     if later:
@@ -190,7 +194,7 @@ def repeats(docs: DataFrame, p: Plan, later: bool, stage: Stage) -> DataFrame:
     o = open_.select(F.col("doc_id").alias("o_id"), F.col("tkey").alias("o_key"), "runs")
     with_text = X.zipped(docs).join(o, same(F.col("doc_id"), F.col("o_id")) & (F.col("tkey") == F.col("o_key"))).select("doc_id", "tkey", "ztext", "runs")
     wins = stage.put(with_text.mapInArrow(_windows(p), WIN), "windows")
-    part = _repeated(wins, ["anchor", "body"], "pos", later)
+    part = _repeated(wins, ["anchor", "body"], "pos", later, stage)
     part = part.select("doc_id", "tkey", F.col("pos").alias("s"), (F.col("pos") + p.window).alias("e"))
     spans = whole.unionByName(part).groupBy("doc_id", "tkey").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("spans"))
     return spans
