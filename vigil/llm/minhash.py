@@ -41,6 +41,8 @@ from .graph import components
 
 K, SHINGLE, FLOOR = 64, 5, 0.47
 NUM, DEN = 75, 100
+ODD = 8
+ODDS = [f"odd{i}" for i in range(ODD)]
 SALT = X.U(0x5851F42D4C957F2D)
 
 
@@ -79,11 +81,21 @@ def _sketches(k: int, size: int):
 def _sets(size: int):
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [s.view(np.int64) for s in _shingles(X.texts_of(b), size)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["rep", "hashes"])
+            sets = list(_shingles(X.texts_of(b), size))
+            odd = np.array([_odd(s) for s in sets], np.int64).reshape(-1, ODD)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
+                                              *[pa.array(odd[:, i]) for i in range(ODD)]], names=["rep", "hashes", *ODDS])
     return fn
 
 
+def _odd(hashes: np.ndarray) -> np.ndarray:
+    """Parity of the set in 64 * ODD cells.  Every element of a symmetric
+    difference flips one cell, so two parities differ in at most as many
+    cells as the sets differ in elements."""
+    cells = np.bincount((X.mix(hashes + SALT) % X.U(64 * ODD)).astype(np.int64), minlength=64 * ODD) & 1
+    return np.packbits(cells.astype(np.uint8)).view(np.int64)
+
+
 def _exact(num: int, den: int):
     """Pairs (a, b, set of a, set of b) whose Jaccard reaches num / den."""
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,13 +119,14 @@ def _est_ok(k: int, floor: float):
 def _prefix_pairs(docs: DataFrame, stage: Stage, num: int, den: int) -> DataFrame:
     """Pairs of different components that can still reach the threshold.
 
-    ``docs``: rep, n, component, hashes (the full set).  Exact bounds only, no
-    estimate: a document's values are ordered rarest first, and a partner must
+    ``docs``: rep, n, component, hashes (the full set) and its parity cells.
+    Exact bounds only, no estimate: a document's values are ordered rarest first, and a partner must
     share one of the first ``n - ceil(0.75 n) + 1``.  Values nobody else holds
     can't be shared, so they bound the overlap, hence the partner's size, and
     lists are keyed by value and size class.  In each list only members
     outside its commonest component ask, since two members of one component
-    need no comparison."""
+    need no comparison, and a pair whose parities already differ in more cells
+    than the threshold leaves to the symmetric difference goes no further."""
     x = docs.select("rep", "n", "component", F.explode("hashes").alias("value"))
     df = x.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     df = stage.put(df, "df2")
@@ -125,7 +138,8 @@ def _prefix_pairs(docs: DataFrame, stage: Stage, num: int, den: int) -> DataFram
     own = own.withColumn("hi", most.cast("long")).where("lo <= hi")
     head = F.expr("posexplode(slice(vals, 1, cast(m - lo + 1 as int)))")
     entry = own.select("rep", "n", "component", "m", "lo", "hi", head.alias("i", "v"))
-    entry = stage.put(entry.select("rep", "n", "component", "m", "lo", "hi", "i", F.col("v.value").alias("value")), "entries")
+    entry = entry.select("rep", "n", "component", "m", "lo", "hi", "i", F.col("v.value").alias("value"))
+    entry = stage.put(entry.join(docs.select("rep", *ODDS), "rep"), "entries")
     per = entry.groupBy("value", "component").agg(F.count(F.lit(1)).alias("c"))
     top = per.groupBy("value").agg(F.max(F.struct("c", "component")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1")
     top = stage.put(top.select("value", F.col("top.component").alias("common")), "top")
@@ -136,9 +150,11 @@ def _prefix_pairs(docs: DataFrame, stage: Stage, num: int, den: int) -> DataFram
     ask = (entry.join(top, "value").where("component <> common").drop("common")
            .withColumn("size", F.explode(F.sequence(size_class(F.col("lo")), size_class(F.col("hi"))))))
     p, q = ask.alias("p"), entry.withColumn("size", size_class(F.col("n"))).alias("q")
+    differ = " + ".join(f"bit_count(p.{o} ^ q.{o})" for o in ODDS)
     cond = F.expr(f"""p.value = q.value and p.size = q.size and p.component <> q.component
         and q.n between p.lo and p.hi and p.n between q.lo and q.hi
-        and (least(p.i, q.i) + least(p.m - p.i, q.m - q.i)) * {num + den} >= {num} * (p.n + q.n)""")
+        and (least(p.i, q.i) + least(p.m - p.i, q.m - q.i)) * {num + den} >= {num} * (p.n + q.n)
+        and ({differ}) * {num + den} <= {den - num} * (p.n + q.n)""")
     pairs = p.join(q, cond).select(F.greatest("p.rep", "q.rep").alias("a"), F.least("p.rep", "q.rep").alias("b")).distinct()
     return stage.put(pairs, "pairs")
 
@@ -169,7 +185,7 @@ def near_duplicates(docs: DataFrame, num: int = NUM, den: int = DEN, k: int = K,
                       .select("rep", "n", "m", "t", "i", F.col("x.value").alias("value")), "lists")
     # full sets and sketches of the documents that have list entries
     ids = lists.select("rep").distinct()
-    sets = stage.put(base.join(ids, base.doc_id == ids.rep, "left_semi").mapInArrow(_sets(size), "rep long, hashes array<long>"), "sets")
+    sets = stage.put(base.join(ids, base.doc_id == ids.rep, "left_semi").mapInArrow(_sets(size), "rep long, hashes array<long>, " + ", ".join(f"{o} long" for o in ODDS)), "sets")
     sk = stage.put(cls.select(F.col("doc_id").alias("rep"), "sketch").join(ids, "rep", "left_semi"), "sketches")
 
     def exact(pairs: DataFrame, tag: str) -> DataFrame:
