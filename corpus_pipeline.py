@@ -23,8 +23,7 @@ def vocabulary() -> str:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the current policy keeps."""
     prepare(spark)
-    led = quality.apply_policy(quality.ledger(docs), quality.POLICY)
-    return led.where("q_kept").select(*docs.columns)
+    return quality.kept(quality.ledger(docs), quality.POLICY).select(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

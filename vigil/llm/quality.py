@@ -59,26 +59,41 @@ def _chars_of(text: Column, chars: str) -> Column:
     return F.length(text) - F.length(F.translate(text, chars, ""))
 
 
-def _repeat_words(words: Column, windows: Column) -> Column:
+def _bind(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often it is used
+    and wherever the optimizer copies the expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _windows(words: Column) -> Column:
+    """One long per 3-word window."""
+    return F.when(F.size(words) < 3, F.array().cast("array<bigint>")).otherwise(F.transform(
+        F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0))),
+        lambda x, i: F.xxhash64(x, F.get(words, i + 1), F.get(words, i + 2))))
+
+
+def _covered(pairs: Column) -> Column:
+    """Words covered by repeated windows, from (hash, start) pairs sorted."""
+    n = F.size(pairs)
+    hits = F.filter(pairs, lambda x, j: ((j > 0) & (F.get(pairs, j - 1)["h"] == x["h"]))
+                    | ((j < n - 1) & (F.get(pairs, j + 1)["h"] == x["h"])))
+    at = F.array_sort(F.transform(hits, lambda x: x["i"]))
+    return F.aggregate(at, F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last")),
+                       lambda a, i: F.struct((a["n"] + F.least(F.lit(3), i - a["last"])).alias("n"), i.alias("last")),
+                       lambda a: a["n"])
+
+
+def _repeat_words(words: Column) -> Column:
     """Words inside a 3-word window that occurs twice or more.
 
     Windows are hashed to longs and sorted with their position; equal
     neighbours are the repeated ones.  In position order each repeated start
     covers 3 words, less what the next repeated start covers too."""
-    pairs = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-
-    def covered(p: Column) -> Column:
-        n = F.size(p)
-        hits = F.filter(p, lambda x, j: ((j > 0) & (F.get(p, j - 1)["h"] == x["h"]))
-                        | ((j < n - 1) & (F.get(p, j + 1)["h"] == x["h"])))
-        at = F.array_sort(F.transform(hits, lambda x: x["i"]))
-        return F.aggregate(at, F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last")),
-                           lambda a, i: F.struct((a["n"] + F.least(F.lit(3), i - a["last"])).alias("n"), i.alias("last")),
-                           lambda a: a["n"])
+    def count(g: Column) -> Column:
+        pairs = F.array_sort(F.transform(g, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(g)) == F.size(g), F.lit(0)).otherwise(_bind(pairs, _covered))
 
-    # bind the sorted pairs once: a one-element array, read back by transform
-    some = F.get(F.transform(F.array(pairs), covered), F.lit(0))
-    return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0)).otherwise(some)
+    return _bind(words, lambda w: _bind(_windows(w), count))
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -88,21 +103,17 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     df = docs.withColumn("q__w", words).withColumn("q__l", lines)
     w = F.col("q__w")
-    grams = F.when(F.size(w) < 3, F.array().cast("array<bigint>")).otherwise(F.transform(
-        F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0))),
-        lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2))))
-    df = df.withColumn("q__g", grams)
     out = {
         "n_words": F.size(w),
         "word_chars": F.length(t) - _chars_of(t, " \t\n\x0b\x0c\r"),
         "n_symbols": _chars_of(t, "#*$%&|<>"),
         "n_lines": F.size("q__l"),
         "n_dup_lines": F.size("q__l") - F.size(F.array_distinct("q__l")),
-        "n_repeat_words": _repeat_words(w, F.col("q__g")),
+        "n_repeat_words": _repeat_words(w),
         "n_bangs": _chars_of(t, "!"),
         "n_upper": F.length(F.regexp_replace(t, r"[^\p{Lu}]+", "")),
     }
-    return df.withColumns({f"q_{k}": v.cast("long") for k, v in out.items()}).drop("q__w", "q__l", "q__g")
+    return df.withColumns({f"q_{k}": v.cast("long") for k, v in out.items()}).drop("q__w", "q__l")
 
 
 def ledger(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
@@ -126,6 +137,13 @@ def apply_policy(led: DataFrame, policy: str, rules=RULES, policies=None) -> Dat
     return led.withColumn("q_kept", F.col("q_failed").bitwiseAND(m) == 0)
 
 
+def kept(led: DataFrame, policy: str, rules=RULES, policies=None) -> DataFrame:
+    """The rows the policy keeps.  The row number only stands in the filter's
+    way: without it the optimizer copies every measurement into the filter."""
+    out = apply_policy(led.withColumn("q__row", F.monotonically_increasing_id()), policy, rules, policies)
+    return out.where(F.col("q_kept") & (F.col("q__row") >= 0)).drop("q__row")
+
+
 def ablations(led: DataFrame, policy: str, rules=RULES, policies=None) -> DataFrame:
     """Per enforced rule: documents failing it, failing it alone, and kept
     without it.  The ledger is first reduced to counts per failure mask (at
