@@ -57,8 +57,6 @@ class Encoder:
         self.tok, self.known = Tokenizer.from_file(path), {}
 
     def _learn(self, parts: set[bytes]) -> None:
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
         plain = [w for w in parts if b"<|" not in w]
         for i in range(0, len(plain), 512):
             some = plain[i:i + 512]
@@ -84,10 +82,9 @@ class Encoder:
         try:
             return b"".join(map(self.known.__getitem__, parts))
         except KeyError:
-            need = set(parts)
-            self._learn(need - self.known.keys())
-            if len(need - self.known.keys()):
-                self._learn(need - self.known.keys())
+            if len(self.known) > CACHE_WORDS:
+                self.known.clear()
+            self._learn({w for w in parts if w not in self.known})
             return b"".join(map(self.known.__getitem__, parts))
 
 
