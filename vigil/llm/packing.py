@@ -33,6 +33,7 @@ from .common import Stage, prepare
 
 CAPACITY, END_ID = 4096, 1
 CELL_ROWS, CELL_TOKENS = 40_000, 1 << 25
+PASSES = 4                     # over all bins that are not full
 CACHE_WORDS = 1_400_000
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -158,12 +159,12 @@ def local_search(lengths: np.ndarray, bins: list[list[int]], cap: int) -> np.nda
         owner[b] = k
     fill = np.bincount(owner, lengths, len(bins)).astype(np.int64)
     alive, least = len(bins), -(-int(lengths.sum()) // cap)
-    tried = fill >= cap
+    tried, changed, passes = fill >= cap, False, 0
 
     def give(v: int, mine: list[int]) -> bool:
         x = int(lengths[mine].sum())
         free = cap - fill
-        fits = (free >= x) & (fill > 0)
+        fits = (free >= x) & (fill > 0) & (fill + x > fill[v])
         fits[v] = False
         if fits.any():
             k = int(np.where(fits, free, cap + 1).argmin())
@@ -185,7 +186,11 @@ def local_search(lengths: np.ndarray, bins: list[list[int]], cap: int) -> np.nda
     while alive > least:
         v = int(np.where(tried | (fill == 0), cap + 1, fill).argmin())
         if tried[v] or fill[v] == 0:
-            break
+            passes += 1
+            if not changed or passes == PASSES:
+                break
+            tried, changed = fill >= cap, False
+            continue
         tried[v] = True
         while fill[v]:
             mine = np.flatnonzero(owner == v)
@@ -194,6 +199,7 @@ def local_search(lengths: np.ndarray, bins: list[list[int]], cap: int) -> np.nda
             two = ([a, b] for n, a in enumerate(one) for b in one[n + 1:])
             if not any(give(v, g) for g in [[i] for i in one]) and not any(give(v, g) for g in two):
                 break
+            changed = True
         alive -= fill[v] == 0
     return owner
 
