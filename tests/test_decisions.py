@@ -134,3 +134,34 @@ def test_alert_feed_dedupe_limit_and_order(spark):
     # stored first (newest first); the duplicate external (m1, s1, 10:00) is dropped; resolved excluded
     assert [(r.source, r.model_name) for r in feed] == [
         ("anomaly_detector", "m2"), ("anomaly_detector", "m1"), ("alertmanager", "unknown")]
+
+
+def test_feed_keeps_distinct_alerts_behind_repeats(spark):
+    import datetime as dt
+    from vigil.operators.alerts import ALERT_COLUMNS, alert_feed
+    t = dt.datetime(2024, 1, 30)
+    cols = "model_name string, title string, fired_at timestamp, alert_type string, source string, description string, severity string, resolved boolean, anomaly_score double"
+    rows = [("m", "same", t, "external", f"inst{i}", "", "warning", False, None) for i in range(60)]
+    rows += [("m", f"t{i:02d}", t - dt.timedelta(minutes=i + 1), "external", "x", "", "warning", False, None) for i in range(30)]
+    ext = spark.createDataFrame(rows, cols)
+    out = alert_feed(ext.where("false"), ext, limit=20)
+    assert set(ALERT_COLUMNS) <= set(out.columns)
+    assert [r["title"] for r in out.orderBy("fired_at", ascending=False).collect()] == ["same"] + [f"t{i:02d}" for i in range(19)]
+
+
+def test_upsert_rerun_wins_ties(spark):
+    import datetime as dt
+    from vigil.operators.maintenance import upsert_latest
+    t = dt.datetime(2024, 1, 30)
+    cols = "k string, computed_at timestamp, severity string, psi double"
+    old = spark.createDataFrame([("a", t, "none", 0.01), ("b", t, "low", 1.0)], cols)
+    new = spark.createDataFrame([("a", t, "high", 0.4), ("b", t, "high", 9.0)], cols)
+    got = {r["k"]: (r["severity"], r["psi"]) for r in upsert_latest(old, new, ["k"]).collect()}
+    assert got == {"a": ("high", 0.4), "b": ("high", 9.0)}
+
+
+def test_tree_streams_differ_for_names_with_a_common_prefix():
+    import numpy as np
+    from vigil.operators.anomaly import _grow
+    z = np.random.default_rng(0).standard_normal((64, 4))
+    assert _grow("gpt-prod-eu", 0, z, 1) != _grow("gpt-prod-us", 0, z, 1)

@@ -18,6 +18,7 @@ invariants (outliers rank lowest, ~contamination of training rows flagged).
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -145,7 +146,9 @@ def sample_for_trees(train: DataFrame, base: DataFrame, n_trees: int = FOREST_TR
 def _grow(model: str, tree: int, Z: np.ndarray, seed: int) -> list[tuple]:
     """Grow one isolation tree; nodes as (node, feature, threshold, left, right, path)."""
     n = Z.shape[0]
-    rng = np.random.default_rng([seed, tree, int.from_bytes(model.encode()[:8].ljust(8, b"\0"), "little")])
+    # the whole name seeds the stream: names that share a prefix must differ
+    name = int.from_bytes(hashlib.sha256(model.encode()).digest()[:16], "little")
+    rng = np.random.default_rng([seed, tree, name])
     max_depth = int(math.ceil(math.log2(max(n, 2))))
     nodes: list[list] = []
     stack = [(np.arange(n), 0, 0)]

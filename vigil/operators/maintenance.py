@@ -15,10 +15,15 @@ from .panels import latest_by
 def upsert_latest(existing: DataFrame | None, new: DataFrame, keys: Sequence[str],
                   ts_col: str = "computed_at") -> DataFrame:
     """Newest row per key over existing + new (ON CONFLICT DO UPDATE).
+
+    On equal ``ts_col`` the new row wins; among equals of one side the larger
+    value row does, so a rerun gives the same table.  The row is taken whole.
     Write the result to a new path and swap; never overwrite the input path."""
-    u = new if existing is None else existing.unionByName(new, allowMissingColumns=True)
-    values = [c for c in u.columns if c not in keys and c != ts_col]
-    return latest_by(u, keys, [ts_col], values).select(*u.columns)
+    u = new.withColumn("_rank", F.lit(1))
+    if existing is not None:
+        u = existing.withColumn("_rank", F.lit(0)).unionByName(u, allowMissingColumns=True)
+    values = [c for c in u.columns if c not in keys and c not in (ts_col, "_rank")]
+    return latest_by(u, keys, [ts_col, "_rank"], values).select(*[c for c in u.columns if c != "_rank"])
 
 
 def retain(df: DataFrame, as_of, days: int, time_col: str = "time") -> DataFrame:

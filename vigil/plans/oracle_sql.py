@@ -559,11 +559,13 @@ def feed_ctes(severity: str | None = None, include_resolved: bool = False, limit
     sev = f" AND severity = '{severity}'" if severity else ""
     res = "" if include_resolved else " AND NOT resolved"
     order = "fired_at DESC, model_name, title, alert_type"
+    once = ("row_number() OVER (PARTITION BY model_name, title, fired_at"
+            " ORDER BY alert_type, source, description, severity, resolved, anomaly_score)")
     return drift_ctes(AS_OF) + threshold_ctes() + [
         EVENTS_CTE, DRIFT_ALERTS_CTE, DETECTOR_CTE, external_cte(),
         f"""_stored AS (SELECT * FROM _det UNION ALL SELECT * FROM _thr UNION ALL SELECT * FROM _dal)""",
-        f"""_stop AS (SELECT *, 0 AS _src FROM _stored WHERE TRUE{sev} ORDER BY {order} LIMIT {limit})""",
-        f"""_xtop AS (SELECT *, 1 AS _src FROM _ext WHERE TRUE{sev}{res} ORDER BY {order} LIMIT {2 * limit})""",
+        f"""_stop AS (SELECT *, 0 AS _src FROM _stored WHERE TRUE{sev} QUALIFY {once} = 1 ORDER BY {order} LIMIT {limit})""",
+        f"""_xtop AS (SELECT *, 1 AS _src FROM _ext WHERE TRUE{sev}{res} QUALIFY {once} = 1 ORDER BY {order} LIMIT {limit})""",
         """_dd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model_name, title, fired_at
     ORDER BY _src, alert_type, source, description, severity, resolved, anomaly_score) AS _rk
     FROM (SELECT * FROM _stop UNION ALL SELECT * FROM _xtop)) WHERE _rk = 1)""",

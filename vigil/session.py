@@ -28,10 +28,6 @@ def get_session(master: str | None = None, app: str = "vigil",
     if master:
         builder = builder.master(master)
     conf = dict(_DEFAULT_CONF)
-    if master and master.startswith("local"):
-        # small CPU-heavy shuffles (ECDF scans, range joins) keep their
-        # parallelism on one machine; cluster-sized stages are unaffected
-        conf["spark.sql.adaptive.coalescePartitions.minPartitionSize"] = "16k"
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra_conf or {})
@@ -78,6 +74,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current.get()
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="vigil-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return configured
