@@ -83,9 +83,9 @@ def test_rules_first_match(spark):
         assert r.anomaly_detected == (r.exp != "R0")
     by = {r.exp: r for r in out}
     assert by["R8"].confidence == 0.3 and by["R5"].confidence == 0.6 and by["R0"].confidence == 0.0
-    assert any(r.evidence == "KV cache usage at 90.1% (threshold: 90%) | 6 requests queued waiting for cache space"
+    assert any(r.evidence == "cache fill 90.1%, limit 90% | queue length 6, limit 5"
                for r in out)
-    assert "Top deviating dimensions: gpu_util_pct, rtf" in by["R8"].evidence
+    assert "furthest off: gpu_util_pct, rtf" in by["R8"].evidence
 
 
 @pytest.mark.parametrize("dev,matched,mx,exp", [(0, 1, 2, 0.3), (50, 2, 2, 0.8), (100, 1, 1, 1.0),

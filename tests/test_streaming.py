@@ -38,7 +38,7 @@ def test_scoring_stream_equals_batch(spark):
     tel = C.telemetry(spark, SF0001)
     mb, nodes = A.train(tel, C.AS_OF)
     batch = A.score_windows(tel, mb, nodes).select("model_name", "computed_at", "anomaly_score").toPandas()
-    stream = J.scoring_stream(C._fact_stream(spark, SF0001), mb, nodes).select(
+    stream = J.scoring_stream(C._fact_stream(spark, SF0001), mb, nodes, "0 seconds").select(
         "model_name", "computed_at", "anomaly_score").toPandas()
     m = stream.merge(batch, on=["model_name", "computed_at"], suffixes=("", "_b"))
     assert len(m) == len(stream) and len(stream) >= len(batch) - 5   # only still-open windows missing

@@ -28,13 +28,15 @@ def detect_drift(telemetry: DataFrame, as_of, model_name: str | None = None, met
     metrics = [metric] if metric else None
 
     def compute(keys: DataFrame | None = None) -> DataFrame:
-        r = drift.drift_scan(t, as_of, reference_window, comparison_window, metrics)
+        x = t if keys is None else t.join(keys.select("model_name").distinct(), "model_name", "left_semi")
+        r = drift.drift_scan(x, as_of, reference_window, comparison_window, metrics)
         return r if keys is None else r.join(keys, ["model_name", "metric"], "left_semi")
 
     if stored is None:
         res = compute()
     else:
-        req = compute().select("model_name", "metric")
+        names = F.array(*[F.lit(m) for m in metrics or drift.DRIFT_METRICS])
+        req = t.select("model_name").distinct().select("model_name", F.explode(names).alias("metric"))
         res = maintenance.serve_with_cache(req, stored, compute, ["model_name", "metric"], as_of,
                                            DRIFT_FRESH_MINUTES)
     return advice.with_drift_advice(res)

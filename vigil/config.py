@@ -83,8 +83,6 @@ RETENTION_DAYS = {"inference_metrics": 90, "anomaly_events": 90, "drift_scores":
 ALERT_CRITICAL_SCORE = -0.15
 ALERT_WARNING_SCORE = -0.05
 
-# ---- end of fixed values ---------------------------------------------------
-
 
 @dataclass(frozen=True)
 class HealthThresholds:
@@ -132,7 +130,7 @@ HEALTH = HealthThresholds()
 RULES = RuleThresholds()
 THRESHOLD_ALERTS = ThresholdAlertRules()
 
-# ---- FIXED VALUES: diagnosis titles (rule id -> root cause) ----------------
+# diagnosis titles (rule id -> root cause)
 ROOT_CAUSES = {
     "R1": "KV cache saturation causing request queuing",
     "R2": "CPU-side bottleneck: tokenisation or pre/post-processing delay",
@@ -146,3 +144,5 @@ ROOT_CAUSES = {
 # matched / max conditions per rule
 RULE_CONDITIONS = {"R1": (2, 2), "R2": (2, 2), "R3": (2, 2), "R4": (2, 2),
                    "R5": (1, 1), "R6": (1, 1), "R7": (1, 1), "R8": (1, 2)}
+
+# ---- end of fixed values ---------------------------------------------------

@@ -22,6 +22,19 @@ DRIFT_ACTIONS = {"medium": "compare recent inputs and configuration with the ref
 RISK_ACTIONS = {"low": "no capacity action is needed", "medium": "plan extra capacity within the day",
                 "high": "add capacity within hours", "critical": "add capacity or shed load now"}
 
+# what to do about each diagnosis rule (R0: none matched)
+RULE_ACTIONS = {
+    "R0": "No action; keep watching.",
+    "R1": "Give the cache more memory, or admit fewer or shorter requests.",
+    "R2": "Profile the host: tokeniser threads, request handling and storage.",
+    "R3": "Add a replica or spread the load.",
+    "R4": "Look at prompt lengths and at how prefill is batched.",
+    "R5": "Check cooling and power limits of the node.",
+    "R6": "Free GPU memory: smaller batches, or fewer models on the card.",
+    "R7": "Lower the synthesis load or move it to a faster card.",
+    "R8": "Check the listed metrics together with recent changes.",
+}
+
 
 def drift_texts() -> list[tuple[str, str, str, str]]:
     rows = []

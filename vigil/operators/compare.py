@@ -69,10 +69,10 @@ def compare_models(telemetry: DataFrame, pairs: DataFrame, as_of, metric: str =
     direction = F.when(F.col("difference_pct") > 0, "higher").otherwise("lower")
     summary = F.when(
         F.col("difference_pct").isNotNull(),
-        F.format_string("%s has %.1f%% %s %s than %s %s", F.col("model_a"),
-                        rnd(F.abs("difference_pct"), 1), direction, F.lit(metric), F.col("model_b"),
-                        F.when(sig, "(statistically significant)").otherwise("(not statistically significant)")),
-    ).otherwise(F.format_string("Insufficient data to compare %s between %s and %s",
+        F.format_string("mean %s: %s is %.1f%% %s than %s, p %s 0.05", F.lit(metric), F.col("model_a"),
+                        rnd(F.abs("difference_pct"), 1), direction, F.col("model_b"),
+                        F.when(sig, "under").otherwise("not under")),
+    ).otherwise(F.format_string("%s has too few values of %s or %s",
                                 F.lit(metric), F.col("model_a"), F.col("model_b")))
     status = F.when((F.col("n_a") == 0) & (F.col("n_b") == 0), "no_data").otherwise("ok")
     return w.select("model_a", "model_b", "metric", status.alias("status"), "n_a", "n_b",

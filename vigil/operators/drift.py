@@ -35,7 +35,7 @@ def severity(psi: Column, p_value: Column) -> Column:
 def tag_windows(telemetry: DataFrame, as_of, reference_window: str, comparison_window: str,
                 metrics: Sequence[str], strict: bool = False) -> DataFrame:
     """(model_name, metric, v, is_cmp) for the reference window
-    [as_of - ref, as_of - cmp) and the comparison window [as_of - cmp, inf)."""
+    [as_of - ref, as_of - cmp) and the comparison window [as_of - cmp, as_of]."""
     ref_s, cmp_s = window_seconds(reference_window), window_seconds(comparison_window)
     base = since(telemetry, as_of, ref_s)
     if strict:
@@ -174,9 +174,11 @@ def drift_scan(telemetry: DataFrame, as_of, reference_window: str = "7d",
     if p_method == "series":
         p = series
     elif p_method in ("exact", "auto"):
-        exact = ks_exact_pvalue(F.col("n_reference"), F.col("n_comparison"), F.col("ks_statistic"))
-        p = exact if p_method == "exact" else F.when(
-            F.greatest("n_reference", "n_comparison") <= 10000, exact).otherwise(series)
+        # the UDF runs on every row whatever stands around it: rows that are not
+        # its own reach it as nulls, which cost nothing
+        mine = ok if p_method == "exact" else ok & (F.greatest("n_reference", "n_comparison") <= 10000)
+        exact = ks_exact_pvalue(*[F.when(mine, F.col(c)) for c in ("n_reference", "n_comparison", "ks_statistic")])
+        p = F.when(mine, exact).otherwise(series)
     else:
         raise ValueError(f"unknown p_method {p_method!r}")
     res = res.select("*", F.when(ok, p).alias("_p"))

@@ -29,7 +29,7 @@ def upsert_latest(existing: DataFrame | None, new: DataFrame, keys: Sequence[str
 def retain(df: DataFrame, as_of, days: int, time_col: str = "time") -> DataFrame:
     """Rows younger than ``days`` at ``as_of``.  On partitioned storage the
     same predicate on the date column prunes whole directories."""
-    return since(df, as_of, days * 86400, time_col)
+    return since(df, as_of, days * 86400, time_col, open_end=True)
 
 
 def stale_keys(requested: DataFrame, results: DataFrame, keys: Sequence[str], as_of,
@@ -42,9 +42,12 @@ def stale_keys(requested: DataFrame, results: DataFrame, keys: Sequence[str], as
 
 def serve_with_cache(requested: DataFrame, results: DataFrame, compute, keys: Sequence[str],
                      as_of, fresh_minutes: int, ts_col: str = "computed_at") -> DataFrame:
-    """Fresh stored rows for cached keys + ``compute(stale_keys)`` for the rest."""
+    """Fresh stored rows for cached keys + ``compute(stale_keys)`` for the rest;
+    nothing is computed when no key is stale."""
     stale = stale_keys(requested, results, keys, as_of, fresh_minutes, ts_col)
+    none_stale = stale.isEmpty()        # a job over the keys alone
     fresh = results.where(F.col(ts_col) >= minus_seconds(as_of, fresh_minutes * 60))
     cached = latest_by(fresh.join(requested, list(keys), "left_semi"), keys, [ts_col],
                        [c for c in results.columns if c not in keys and c != ts_col])
-    return cached.select(*results.columns).unionByName(compute(stale), allowMissingColumns=True)
+    cached = cached.select(*results.columns)
+    return cached if none_stale else cached.unionByName(compute(stale), allowMissingColumns=True)

@@ -111,8 +111,8 @@ def value_chunks(df: DataFrame, keys: Sequence[str], value: str, n_chunks: int =
     """
     probs = [i / n_chunks for i in range(1, n_chunks)]
     borders = df.groupBy(*keys).agg(F.percentile_approx(value, probs, accuracy).alias("_b"))
-    lows = F.concat(F.array(F.lit(float("-inf"))), F.col("_b"))
-    highs = F.concat(F.col("_b"), F.array(F.lit(float("inf"))))
+    lows = F.concat(F.array(F.lit(None).cast("double")), F.col("_b"))
+    highs = F.concat(F.col("_b"), F.array(F.lit(None).cast("double")))
     iv = borders.select(*[F.col(k).alias(f"_k_{k}") for k in keys],
                         F.posexplode(F.arrays_zip(lows.alias("lo"), highs.alias("hi"))).alias(CHUNK, "_iv"))
     iv = iv.select(*[f"_k_{k}" for k in keys], CHUNK, F.col("_iv.lo").alias("_lo"), F.col("_iv.hi").alias("_hi"))
@@ -120,7 +120,8 @@ def value_chunks(df: DataFrame, keys: Sequence[str], value: str, n_chunks: int =
     for k in keys:
         c = df[k] == iv[f"_k_{k}"]
         cond = c if cond is None else cond & c
-    cond = cond & (df[value] > iv["_lo"]) & (df[value] <= iv["_hi"])
+    # the outer slices have no outer border, so infinities and NaN have a slice too
+    cond = cond & (iv["_lo"].isNull() | (df[value] > iv["_lo"])) & (iv["_hi"].isNull() | (df[value] <= iv["_hi"]))
     return df.join(iv, cond, "inner").drop(*[f"_k_{k}" for k in keys], "_lo", "_hi")
 
 

@@ -99,14 +99,14 @@ def q_drift_ks(spark, sf_dir):
 # ------------------------------------------------------- shared inputs ----
 
 from ..operators import alerts as _alerts  # noqa: E402
+from ..operators import anomaly as _an  # noqa: E402
 from ..operators import compare as _cmp  # noqa: E402
 from ..operators import forecast as _fc  # noqa: E402
 from ..operators import maintenance as _mnt  # noqa: E402
 from ..operators import panels as _pan  # noqa: E402
 from ..operators.counters import vram_util_pct  # noqa: E402
-from ..operators.events import cold_start_events  # noqa: E402
 from ..operators.health import model_health  # noqa: E402
-from ..operators.rules import root_cause, root_cause_rows  # noqa: E402
+from ..operators.rules import root_cause, root_cause_rows, rule_baselines  # noqa: E402
 from ..functions.exprs import rnd  # noqa: E402
 from ..windows import minus_seconds, since, ts_lit  # noqa: E402
 
@@ -116,8 +116,13 @@ ALERT_LIMIT = 20
 
 
 def events(tel: DataFrame) -> DataFrame:
-    """Detector events: the cold-start scorer replayed over every minute."""
-    return cold_start_events(tel)
+    """Detector events: the z-score scorer replayed over every minute against
+    the baselines of the training window."""
+    stats = _an.baselines(_an.training_rows(tel, AS_OF))
+    return _an.zscore_events(_an.window_vectors(tel), stats).select(
+        "computed_at", "model_name", "anomaly_score", "is_anomaly", "cold_start_mode",
+        F.col("dims")[0]["feature"].alias("top_feature"),
+        rnd(F.aggregate("dims", F.lit(0.0), lambda acc, d: acc + d["deviation_pct"]), 2).alias("total_deviation"))
 
 
 def drift_results(tel: DataFrame) -> DataFrame:
@@ -209,7 +214,7 @@ def q_latency_panels(spark, sf_dir):
 @query("gpu_heatmap")
 def q_gpu_heatmap(spark, sf_dir):
     tel = since(telemetry(spark, sf_dir), AS_OF, 86400)
-    return _pan.heatmap(tel, "gpu_util_pct", 300, ["click", "error", "purchase", "signup", "view"])
+    return _pan.heatmap(tel, "gpu_util_pct", 300)
 
 
 # ------------------------------------------------------------ counters -----
@@ -271,7 +276,7 @@ def q_root_cause(spark, sf_dir):
 @query("root_cause_latest")
 def q_root_cause_latest(spark, sf_dir):
     tel = telemetry(spark, sf_dir)
-    return root_cause(tel, events(tel), AS_OF, lookback_minutes=1440)
+    return root_cause(tel, events(tel), AS_OF, lookback_minutes=1440, baselines=rule_baselines(tel, AS_OF))
 
 
 # -------------------------------------------------------------- alerts -----
@@ -422,9 +427,6 @@ def q_stale_keys(spark, sf_dir):
 
 # ------------------------------------------------------------- anomaly -----
 
-from ..operators import anomaly as _an  # noqa: E402
-
-
 @query("anomaly_baselines")
 def q_anomaly_baselines(spark, sf_dir):
     base = _an.baselines(_an.training_rows(telemetry(spark, sf_dir), AS_OF))
@@ -547,6 +549,8 @@ def q_stream_rate(spark, sf_dir):
                     rnd("throughput_rps", 6).alias("throughput_rps"))
 
 
+# the stored fact table is read in one batch: nothing comes late
+STREAM_DELAY = "0 seconds"
 STREAM_BUCKET_METRICS = ["requests_waiting", "kv_cache_usage_pct", "gpu_util_pct", "rtf"]
 
 
@@ -554,7 +558,7 @@ STREAM_BUCKET_METRICS = ["requests_waiting", "kv_cache_usage_pct", "gpu_util_pct
 def q_stream_bucket(spark, sf_dir):
     """T4: watermarked 15-minute windows; only windows closed by the
     watermark (max event time) are emitted."""
-    return _st.run_available_now(_st.bucket_stream(_fact_stream(spark, sf_dir), STREAM_BUCKET_METRICS),
+    return _st.run_available_now(_st.bucket_stream(_fact_stream(spark, sf_dir), STREAM_BUCKET_METRICS, STREAM_DELAY),
                                  "stream_bucket")
 
 
@@ -616,6 +620,6 @@ def q_stream_scoring(spark, sf_dir):
     the output equals the batch ``anomaly_score`` for closed windows."""
     tel = telemetry(spark, sf_dir)
     mb, nodes = _an.train(tel, AS_OF)
-    ev = _st.scoring_stream(_fact_stream(spark, sf_dir), mb, nodes)
+    ev = _st.scoring_stream(_fact_stream(spark, sf_dir), mb, nodes, STREAM_DELAY)
     return ev.select("computed_at", "model_name", "anomaly_score", "is_anomaly", "cold_start_mode",
                      "top_feature", rnd("total_deviation", 2).alias("total_deviation"))

@@ -7,9 +7,10 @@ same IEEE expression on both sides (``sql_rnd``).
 
 from __future__ import annotations
 
-from ..config import DRIFT_METRICS, PSI_BINS, PSI_CLIP, PSI_EDGE_EPS
+from ..config import DRIFT_METRICS, PSI_BINS, PSI_CLIP, PSI_EDGE_EPS, ROOT_CAUSES
 from ..functions.exprs import sql_rnd as R
 from ..functions.stats import sql_ks_series_pvalue
+from ..operators.advice import RULE_ACTIONS
 
 AS_OF = "2024-01-31 00:00:00"
 
@@ -100,7 +101,7 @@ def drift_ctes(as_of: str, ref: str = "30d", cmp: str = "10d", sfx: str = "", me
         f"""{n('_tag')} AS (
   SELECT model_name, metric, v, is_cmp FROM (
     SELECT model_name, CAST(time >= {minus(as_of, cmp_s)} AS INT) AS is_cmp, {cols}
-    FROM telemetry WHERE time >= {minus(as_of, ref_s)})
+    FROM telemetry WHERE time >= {minus(as_of, ref_s)} AND time <= {ts(as_of)})
   UNPIVOT (v FOR metric IN ({", ".join(metrics)})))""",
         f"""{n('_dv')} AS (
   SELECT model_name, metric, v, CAST(SUM(1 - is_cmp) AS BIGINT) AS n_r, CAST(SUM(is_cmp) AS BIGINT) AS n_c
@@ -183,11 +184,24 @@ def drift_ks_sql(as_of: str = AS_OF) -> str:
 
 # ------------------------------------------------------ shared pieces -----
 
-EVENTS_CTE = f"""_events AS (
-  SELECT model_name, {bucket('time', 60)} + INTERVAL 60 SECOND AS computed_at,
-    CAST(-0.1 AS DOUBLE) AS anomaly_score, FALSE AS is_anomaly, TRUE AS cold_start_mode,
-    CAST(NULL AS VARCHAR) AS top_feature, CAST(0.0 AS DOUBLE) AS total_deviation
-  FROM telemetry GROUP BY model_name, model_type, {bucket('time', 60)})"""
+def events_cte(as_of: str = AS_OF) -> str:
+    """``_events``: z-score events of every model and minute."""
+    vec = ", ".join(f"COALESCE(avg({e}), 0.0) AS {s}" for s, e in SLOT_SQL.items())
+    z = ", ".join(f"CASE WHEN b.std_{s} > 1e-12 THEN abs((v.{s} - b.mean_{s}) / b.std_{s}) END" for s in SLOT_SQL)
+    dev = {s: f"CASE WHEN b.mean_{s} <> 0 THEN abs((v.{s} - b.mean_{s}) / b.mean_{s}) * 100.0 ELSE abs(v.{s}) * 100.0 END"
+           for s in SLOT_SQL}
+    devs = ", ".join(f"{R(d, 2)} AS d_{s}" for s, d in dev.items())
+    name = {s: f"CASE WHEN model_type = 'tts' THEN '{tts}' ELSE '{llm}' END" for s, (llm, tts) in SLOT_NAMES.items()}
+    return ",\n".join([*train_ctes(as_of), f"""_wv AS (
+  SELECT model_name, model_type, {bucket('time', 60)} AS bucket, {vec}
+  FROM telemetry GROUP BY model_name, model_type, {bucket('time', 60)})""", f"""_wz AS (
+  SELECT v.model_name, v.model_type, v.bucket, COALESCE(greatest({z}), 0.0) AS z, {devs}
+  FROM _wv v JOIN _abase b USING (model_name))""", f"""_events AS (
+  SELECT model_name, bucket + INTERVAL 60 SECOND AS computed_at, {R('-0.05 * (z - 2.0)', 6)} AS anomaly_score,
+    z > 3.0 AS is_anomaly, TRUE AS cold_start_mode,
+    CASE WHEN d_f0 >= greatest(d_f1, d_f2, d_f3) THEN {name['f0']} WHEN d_f1 >= greatest(d_f2, d_f3) THEN {name['f1']}
+         WHEN d_f2 >= d_f3 THEN {name['f2']} ELSE {name['f3']} END AS top_feature,
+    {R('d_f0 + d_f1 + d_f2 + d_f3', 2)} AS total_deviation FROM _wz)"""])
 
 PANEL_METRICS = ["latency_p95_ms", "kv_cache_usage_pct", "gpu_util_pct", "requests_waiting",
                  "throughput_rps", "gpu_mem_free_mb", "gpu_temp_celsius"]
@@ -214,9 +228,9 @@ def bucketed_avg_cte(name: str, metrics, seconds: int, where: str = "TRUE", digi
 
 def health_sql(as_of: str = AS_OF, window_s: int = 86400, window: str = "24h") -> str:
     aggs = ", ".join(f"{R(f'avg({c})', 4)} AS {c}" for c in HEALTH_METRICS)
-    ctes = drift_ctes(as_of) + [EVENTS_CTE, f"""_snap AS (
+    ctes = drift_ctes(as_of) + [events_cte(), f"""_snap AS (
   SELECT model_name, model_type, {aggs} FROM telemetry
-  WHERE time >= {minus(as_of, window_s)} GROUP BY model_name, model_type)""",
+  WHERE time >= {minus(as_of, window_s)} AND time <= {ts(as_of)} GROUP BY model_name, model_type)""",
         f"""_evl AS (
   SELECT model_name, arg_max(anomaly_score, computed_at) AS anomaly_score,
     arg_max(is_anomaly, computed_at) AS is_anomaly, arg_max(cold_start_mode, computed_at) AS cold_start_mode
@@ -254,7 +268,7 @@ FROM (SELECT model_name, max(time) AS last_time,
 LEFT JOIN (SELECT model_name, max(computed_at) AS last_event_at,
         arg_max(anomaly_score, computed_at) AS anomaly_score, arg_max(is_anomaly, computed_at) AS is_anomaly
       FROM _events GROUP BY model_name) e USING (model_name)"""
-    return with_telemetry(EVENTS_CTE, body=body)
+    return with_telemetry(events_cte(), body=body)
 
 
 def liveness_sql() -> str:
@@ -281,7 +295,7 @@ def series_cte(as_of: str = AS_OF, metrics=None, name: str = "_series") -> str:
     return f"""{name} AS (
   SELECT model_name, metric, bucket, avg(value) AS y
   FROM (SELECT model_name, {bucket('time', 900)} AS bucket, {cols} FROM telemetry
-        WHERE time >= {minus(as_of, 14 * 86400)})
+        WHERE time >= {minus(as_of, 14 * 86400)} AND time <= {ts(as_of)})
   UNPIVOT (value FOR metric IN ({", ".join(metrics)}))
   GROUP BY model_name, metric, bucket)"""
 
@@ -297,7 +311,7 @@ FROM _b GROUP BY model_name, metric""")
 
 
 def anomaly_panel_sql() -> str:
-    return with_telemetry(EVENTS_CTE, body=f"""SELECT model_name, {bucket('computed_at', 60)} AS bucket,
+    return with_telemetry(events_cte(), body=f"""SELECT model_name, {bucket('computed_at', 60)} AS bucket,
   {R('avg(anomaly_score)', 6)} AS avg_score FROM _events GROUP BY ALL""")
 
 
@@ -320,10 +334,8 @@ def rtf_panel_sql() -> str:
 
 
 def gpu_heatmap_sql(as_of: str = AS_OF) -> str:
-    models = ["click", "error", "purchase", "signup", "view"]
-    cols = ", ".join(f"{R(f'avg(CASE WHEN model_name = {m!r} THEN gpu_util_pct END)', 6)} AS {m}" for m in models)
-    return with_telemetry(body=f"""SELECT {bucket('time', 300)} AS bucket, {cols}
-FROM telemetry WHERE time >= {minus(as_of, 86400)} GROUP BY ALL""")
+    return with_telemetry(body=f"""SELECT {bucket('time', 300)} AS bucket, model_name, {R('avg(gpu_util_pct)', 6)} AS avg_value
+FROM telemetry WHERE time >= {minus(as_of, 86400)} AND time <= {ts(as_of)} GROUP BY {bucket('time', 300)}, model_name""")
 
 
 # ------------------------------------------------------------ counters -----
@@ -347,7 +359,7 @@ def vram_sql() -> str:
 def _stats_ctes(as_of: str, metric: str, window_s: int) -> list[str]:
     return [f"""_vals AS (
   SELECT model_name, CAST({metric} AS DOUBLE) AS v FROM telemetry
-  WHERE time >= {minus(as_of, window_s)} AND {metric} IS NOT NULL AND isfinite(CAST({metric} AS DOUBLE)))""",
+  WHERE time >= {minus(as_of, window_s)} AND time <= {ts(as_of)} AND {metric} IS NOT NULL AND isfinite(CAST({metric} AS DOUBLE)))""",
             f"""_st AS (
   SELECT model_name, '{metric}' AS metric, count(*) AS n, {R('avg(v)', 4)} AS mean,
     {R('quantile_cont(v, 0.5)', 4)} AS p50, {R('quantile_cont(v, 0.95)', 4)} AS p95,
@@ -363,7 +375,7 @@ def compare_stats_sql(as_of: str = AS_OF, metric: str = "latency_p95_ms") -> str
 def compare_welch_sql(as_of: str = AS_OF, metric: str = "latency_p95_ms") -> str:
     ctes = _stats_ctes(as_of, metric, 86400) + [f"""_busy AS (
   SELECT model_name AS model_b FROM (SELECT model_name, count(*) AS n FROM telemetry
-    WHERE time >= {minus(as_of, 86400)} GROUP BY model_name) ORDER BY n DESC, model_name DESC LIMIT 1)""",
+    WHERE time >= {minus(as_of, 86400)} AND time <= {ts(as_of)} GROUP BY model_name) ORDER BY n DESC, model_name DESC LIMIT 1)""",
         """_pairs AS (SELECT m.model_name AS model_a, b.model_b FROM (SELECT DISTINCT model_name FROM telemetry) m, _busy b
   WHERE m.model_name <> b.model_b)""",
         """_w AS (
@@ -384,16 +396,6 @@ FROM _w"""
 
 # ---------------------------------------------------------- root cause -----
 
-ROOT_CAUSES = {
-    "R1": "KV cache saturation causing request queuing",
-    "R2": "CPU-side bottleneck: tokenisation or pre/post-processing delay",
-    "R3": "Model at full GPU capacity: request throughput exceeds serving capacity",
-    "R4": "Prefill bottleneck: long prompts or chunked prefill queue congestion",
-    "R5": "GPU thermal throttling reducing effective compute throughput",
-    "R6": "VRAM near exhaustion causing OOM risk and potential evictions",
-    "R7": "TTS Real-Time Factor exceeded: synthesis speed below real-time requirement",
-    "R8": "Multi-dimensional anomaly: correlated degradation across multiple metrics",
-}
 RULE_CONDITIONS = {"R1": (2, 2), "R2": (2, 2), "R3": (2, 2), "R4": (2, 2),
                    "R5": (1, 1), "R6": (1, 1), "R7": (1, 1), "R8": (1, 2)}
 
@@ -426,21 +428,21 @@ def rules_select_sql() -> str:
     }
     r1 = lambda x: R(x, 1)
     ev = {
-        "R1": f"concat_ws(' | ', printf('KV cache usage at %.1f%% (threshold: 90%%)', {r1('kv')}), "
-              f"printf('%d requests queued waiting for cache space', CAST(trunc(rw) AS BIGINT)))",
-        "R2": f"concat_ws(' | ', printf('p95 latency %.1fms is %.1fx baseline (%.1fms)', {r1('lat')}, "
-              f"{r1('lat / greatest(b_lat, 1.0)')}, {r1('b_lat')}), "
-              f"printf('GPU utilisation low at %.1f%% indicating CPU/IO bottleneck', {r1('gpu')}))",
-        "R3": f"concat_ws(' | ', printf('%d requests waiting (threshold: 20)', CAST(trunc(rw) AS BIGINT)), "
-              f"printf('GPU utilisation saturated at %.1f%%', {r1('gpu')}))",
-        "R4": f"concat_ws(' | ', printf('TTFT p95 %.1fms is %.1fx baseline (%.1fms)', {r1('ttft')}, "
-              f"{r1('ttft / greatest(b_ttft, 1.0)')}, {r1('b_ttft')}), "
-              f"printf('TPOT stable at %.1fms (deviation %.1f%% < 20%%)', {r1('tpot')}, {r1(tdev + ' * 100.0')}))",
-        "R5": f"printf('GPU temperature %.1f°C exceeds 85°C thermal threshold', {r1('temp')})",
-        "R6": f"printf('GPU free VRAM only %.0f MB remaining (critical threshold: 2048 MB)', {R('free', 0)})",
-        "R7": f"printf('Real-Time Factor %.3f > 1.0 (model generating slower than real-time)', {R('rtf_v', 3)})",
-        "R8": f"concat_ws(' | ', printf('IsolationForest anomaly score %.4f below critical threshold (-0.15)', "
-              f"{R('score', 4)}), 'Top deviating dimensions: ' || dims)",
+        "R1": f"concat_ws(' | ', printf('cache fill %.1f%%, limit 90%%', {r1('kv')}), "
+              f"printf('queue length %d, limit 5', CAST(trunc(rw) AS BIGINT)))",
+        "R2": f"concat_ws(' | ', printf('p95 latency %.1f ms, usual %.1f ms, factor %.1f', {r1('lat')}, "
+              f"{r1('b_lat')}, {r1('lat / greatest(b_lat, 1.0)')}), "
+              f"printf('GPU load %.1f%%, under 30%%', {r1('gpu')}))",
+        "R3": f"concat_ws(' | ', printf('queue length %d, limit 20', CAST(trunc(rw) AS BIGINT)), "
+              f"printf('GPU load %.1f%%, over 90%%', {r1('gpu')}))",
+        "R4": f"concat_ws(' | ', printf('first-token p95 %.1f ms, usual %.1f ms, factor %.1f', {r1('ttft')}, "
+              f"{r1('b_ttft')}, {r1('ttft / greatest(b_ttft, 1.0)')}), "
+              f"printf('per-token time %.1f ms, %.1f%% off its usual value', {r1('tpot')}, {r1(tdev + ' * 100.0')}))",
+        "R5": f"printf('GPU at %.1f C, limit 85 C', {r1('temp')})",
+        "R6": f"printf('%.0f MB of GPU memory left, limit 2048 MB', {R('free', 0)})",
+        "R7": f"printf('real-time factor %.3f, limit 1', {R('rtf_v', 3)})",
+        "R8": f"concat_ws(' | ', printf('detector score %.4f, limit -0.15', "
+              f"{R('score', 4)}), 'furthest off: ' || dims)",
     }
     rid = "CASE " + " ".join(f"WHEN {c} THEN '{k}'" for k, c in conds.items()) + " END"
     cause = "CASE " + " ".join(f"WHEN {c} THEN '{ROOT_CAUSES[k]}'" for k, c in conds.items()) + " END"
@@ -453,7 +455,7 @@ def rules_select_sql() -> str:
 
 
 def root_cause_rows_sql() -> str:
-    ctes = [EVENTS_CTE, """_mm AS (SELECT model_name, avg(latency_p95_ms) AS b_lat0, avg(ttft_p95_ms) AS b_ttft0,
+    ctes = [events_cte(), """_mm AS (SELECT model_name, avg(latency_p95_ms) AS b_lat0, avg(ttft_p95_ms) AS b_ttft0,
   avg(tpot_mean_ms) AS b_tpot0 FROM telemetry GROUP BY model_name)""",
             f"""_rin AS (SELECT t.*, m.b_lat0, m.b_ttft0, m.b_tpot0, e.anomaly_score AS ev_score,
   e.total_deviation AS ev_dev, e.top_feature AS ev_dims
@@ -466,20 +468,33 @@ def root_cause_rows_sql() -> str:
 def root_cause_latest_sql(as_of: str = AS_OF, lookback_minutes: int = 1440) -> str:
     lo = minus(as_of, lookback_minutes * 60)
     avgs = ", ".join(f"avg({c}) AS {c}" for c in RCA_METRICS)
-    ctes = [EVENTS_CTE, f"""_evr AS (SELECT model_name, max(computed_at) AS computed_at,
+    ctes = [events_cte(), f"""_evr AS (SELECT model_name, max(computed_at) AS computed_at,
   arg_max(anomaly_score, computed_at) AS ev_score, arg_max(is_anomaly, computed_at) AS is_anomaly,
   arg_max(cold_start_mode, computed_at) AS cold_start_mode, arg_max(total_deviation, computed_at) AS ev_dev,
-  CAST(NULL AS VARCHAR) AS ev_dims
+  arg_max(top_feature, computed_at) AS ev_dims
   FROM _events WHERE computed_at >= {lo} AND computed_at <= {ts(as_of)} GROUP BY model_name)""",
-            f"_snap AS (SELECT model_name, {avgs} FROM telemetry WHERE time >= {lo} GROUP BY model_name)",
+            f"""_snap AS (SELECT model_name, {avgs} FROM telemetry
+  WHERE time >= {lo} AND time <= {ts(as_of)} GROUP BY model_name)""",
             "_types AS (SELECT model_name, min(model_type) AS model_type FROM telemetry GROUP BY model_name)",
-            """_rin AS (SELECT e.*, COALESCE(ty.model_type, 'llm') AS model_type, s.* EXCLUDE (model_name),
-  CAST(NULL AS DOUBLE) AS b_lat0, CAST(NULL AS DOUBLE) AS b_ttft0, CAST(NULL AS DOUBLE) AS b_tpot0
-  FROM _evr e LEFT JOIN _types ty USING (model_name) LEFT JOIN _snap s USING (model_name))""",
-            f"_ri AS ({rule_inputs_sql('_rin')})"]
-    body = f"""SELECT model_name, model_type, 'ok' AS status, CAST({lookback_minutes} AS INT) AS lookback_minutes,
-  {R('ev_score', 6)} AS anomaly_score, is_anomaly, cold_start_mode, {rules_select_sql()},
-  {", ".join(f"{R(c, 4)} AS {c}" for c in RCA_METRICS)}, computed_at FROM _ri"""
+            f"""_usual AS (SELECT model_name, avg(latency_p95_ms) AS b_lat0, avg(ttft_p95_ms) AS b_ttft0,
+  avg(tpot_mean_ms) AS b_tpot0 FROM telemetry
+  WHERE time >= {minus(as_of, 7 * 86400)} AND time < {ts(as_of)} GROUP BY model_name)""",
+            """_rin AS (SELECT ty.model_name, COALESCE(ty.model_type, 'llm') AS model_type, e.* EXCLUDE (model_name),
+  s.* EXCLUDE (model_name), u.b_lat0, u.b_ttft0, u.b_tpot0
+  FROM _types ty LEFT JOIN _evr e USING (model_name) LEFT JOIN _snap s USING (model_name)
+  LEFT JOIN _usual u USING (model_name))""",
+            f"_ri AS ({rule_inputs_sql('_rin')})",
+            f"_diag AS (SELECT *, {rules_select_sql()} FROM _ri)"]
+    rule = "CASE WHEN computed_at IS NULL THEN 'R0' ELSE rule_id END"
+    action = f"CASE {rule} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in RULE_ACTIONS.items()) + " END"
+    body = f"""SELECT model_name, model_type, CASE WHEN computed_at IS NULL THEN 'no_anomaly' ELSE 'ok' END AS status,
+  CAST({lookback_minutes} AS INT) AS lookback_minutes,
+  {R('ev_score', 6)} AS anomaly_score, is_anomaly, cold_start_mode,
+  computed_at IS NOT NULL AND anomaly_detected AS anomaly_detected, {rule} AS rule_id,
+  CASE WHEN computed_at IS NOT NULL THEN root_cause END AS root_cause,
+  CASE WHEN computed_at IS NOT NULL THEN confidence ELSE 0.0 END AS confidence,
+  CASE WHEN computed_at IS NOT NULL THEN evidence ELSE '' END AS evidence, {action} AS recommendation,
+  {", ".join(f"{R(c, 4)} AS {c}" for c in RCA_METRICS)}, computed_at FROM _diag"""
     return with_telemetry(*ctes, body=body)
 
 
@@ -522,8 +537,8 @@ DRIFT_ALERTS_CTE = """_dal AS (SELECT 'drift' AS source, 'drift' AS alert_type,
   FALSE AS resolved, CAST(NULL AS DOUBLE) AS anomaly_score FROM _drift_rows WHERE psi > 0.2)"""
 
 DETECTOR_CTE = f"""_det AS (SELECT 'anomaly_detector' AS source, 'anomaly' AS alert_type, model_name,
-  'Anomaly detected: ' || COALESCE(top_feature, 'unknown') || ' deviation' AS title,
-  printf('IsolationForest score %.4f', {R('anomaly_score', 4)}) AS description,
+  'Unusual ' || COALESCE(top_feature, 'unknown') AS title,
+  printf('detector score %.4f', {R('anomaly_score', 4)}) AS description,
   CASE WHEN anomaly_score <= -0.15 THEN 'critical' WHEN anomaly_score <= -0.05 THEN 'warning' ELSE 'info' END AS severity,
   computed_at AS fired_at, FALSE AS resolved, anomaly_score FROM _events WHERE is_anomaly)"""
 
@@ -562,7 +577,7 @@ def feed_ctes(severity: str | None = None, include_resolved: bool = False, limit
     once = ("row_number() OVER (PARTITION BY model_name, title, fired_at"
             " ORDER BY alert_type, source, description, severity, resolved, anomaly_score)")
     return drift_ctes(AS_OF) + threshold_ctes() + [
-        EVENTS_CTE, DRIFT_ALERTS_CTE, DETECTOR_CTE, external_cte(),
+        events_cte(), DRIFT_ALERTS_CTE, DETECTOR_CTE, external_cte(),
         f"""_stored AS (SELECT * FROM _det UNION ALL SELECT * FROM _thr UNION ALL SELECT * FROM _dal)""",
         f"""_stop AS (SELECT *, 0 AS _src FROM _stored WHERE TRUE{sev} QUALIFY {once} = 1 ORDER BY {order} LIMIT {limit})""",
         f"""_xtop AS (SELECT *, 1 AS _src FROM _ext WHERE TRUE{sev}{res} QUALIFY {once} = 1 ORDER BY {order} LIMIT {limit})""",

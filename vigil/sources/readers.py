@@ -3,6 +3,7 @@ declared schemas (no inference pass over the data)."""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +40,9 @@ def read_external_alerts(spark: SparkSession, path: str) -> DataFrame:
     (the feed is optional)."""
     try:
         return spark.read.schema(ALERT_SCHEMA).option("multiLine", "true").json(path)
-    except Exception:  # absent feed degrades to no external alerts
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], ALERT_SCHEMA)
 
 

@@ -51,13 +51,18 @@ def sql_ts(as_of) -> str:
     return f"TIMESTAMP '{as_of_value(as_of).strftime('%Y-%m-%d %H:%M:%S')}'"
 
 
-def since(df, as_of, seconds: int, time_col: str = "time"):
-    """Rows with ``time >= as_of - seconds``.  When the frame carries the
-    fact table's ``date`` partition column, the equivalent date predicate is
-    added so the scan prunes whole partitions instead of opening every file
-    (Spark does not derive it from the time predicate by itself)."""
-    lo = as_of_value(as_of) - _dt.timedelta(seconds=seconds)
+def since(df, as_of, seconds: int, time_col: str = "time", open_end: bool = False):
+    """Rows with ``as_of - seconds <= time <= as_of``: a past ``as_of`` does not
+    see what came after it (``open_end`` keeps later rows).  When the frame
+    carries the fact table's ``date`` partition column, the equivalent date
+    predicates are added so the scan prunes whole partitions instead of opening
+    every file (Spark does not derive them from the time predicate by itself)."""
+    hi = as_of_value(as_of)
+    lo = hi - _dt.timedelta(seconds=seconds)
     out = df.where(F.col(time_col) >= minus_seconds(as_of, seconds))
     if "date" in df.columns:
         out = out.where(F.col("date") >= F.lit(lo.date()))
-    return out
+    if open_end:
+        return out
+    out = out.where(F.col(time_col) <= ts_lit(as_of))
+    return out.where(F.col("date") <= F.lit(hi.date())) if "date" in df.columns else out
