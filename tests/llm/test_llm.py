@@ -225,3 +225,19 @@ def test_chat(spark):
     assert wins.where("conv_id = 2 and text not like '%rules%'").count() == 0
     assert wins.where("conv_id = 2 and n_repeated > 1").count() > 0
     assert chat.windows(df.where("false")).count() == 0
+
+
+def test_components(spark):
+    """A long path, a hot star, a ring and loose pairs: smallest reachable id."""
+    from vigil.llm.common import Stage, prepare
+    from vigil.llm.graph import components
+    prepare(spark)
+    edges = [(k, k + 1) for k in range(100, 140)] + [(500, k) for k in range(501, 700)] + [(7, 8), (8, 7), (9, 9)]
+    edges += [(900 + k, 900 + (k + 1) % 6) for k in range(6)] + [(int(a), int(b)) for a, b in rng.integers(2000, 2100, (60, 2))]
+    low = {x: x for e in edges for x in e}
+    for _ in low:
+        for a, b in edges:
+            low[a] = low[b] = min(low[a], low[b])
+    want = sorted((x, c) for x, c in low.items() if any(a != b and x in (a, b) for a, b in edges))
+    found = components(spark.createDataFrame(edges, "a long, b long"), Stage(spark, "graph"))
+    assert sorted(map(tuple, found.collect())) == want

@@ -208,7 +208,13 @@ def near_duplicates(docs: DataFrame, num: int = NUM, den: int = DEN, k: int = K,
     mixed = stage.put(mixed, "mixed")
     open_ = stage.put(lab.join(mixed, "value", "left_semi").select("rep", "n", "component").distinct(), "open")
     more = exact(_prefix_pairs(open_.join(sets, "rep"), stage, num, den), "2")
-    comp = stage.put(components(links.unionByName(more), stage, "cc2"), "comp2")
+    # the few components that round 2 joins, as nodes of a smaller graph
+    a, b = (comp.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
+    more = more.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    met = components(more, stage, "cc2").select(F.col("node").alias("old"), F.col("component").alias("new"))
+    ends = comp.join(met, comp.component == met.old, "left").select("node", F.coalesce("new", "component").alias("component"))
+    alone = met.join(comp, met.old == comp.node, "left_anti").select(F.col("old").alias("node"), F.col("new").alias("component"))
+    comp = stage.put(ends.unionByName(alone), "comp2")
 
     member = reps.join(comp, reps.rep == comp.node, "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
     linked = rows.join(member, ["n", "s1", "s2"], "left")
