@@ -121,6 +121,27 @@ def test_lines(docs):
     assert out[0]["text"] is None and out[2]["text"] == " \n\t "
 
 
+def test_lines_alone(spark):
+    """A repeated line goes wherever it stands, also alone or as the only line;
+    short lines need a repeated neighbour."""
+    long_, url = words(60), "https://example.org/a-path-without-blanks"
+    texts = [f"{words(9)}\n{long_}\n{words(7)}", f"{words(8)}\n{long_}\n{words(6)}", long_, "All rights reserved.\n" + words(5),
+             words(12) + "\n \nAll rights reserved.", f"{url}\n{words(4)}", f"{words(4)}\n{url}", f"Of.\n{words(4)}", f"{words(4)}\nOf.",
+             f"{long_}\nnew {words(9)}\n{long_}"]
+    seen, want = set(), []
+    for i, t in enumerate(texts):
+        keep = [x for x in t.split("\n") if x not in seen or not x.strip() or x == "Of."]
+        at = [x for x in t.split("\n")]
+        seen.update(at)
+        want.append((i, "\n".join(keep), len([x for x in at if x.strip()]), len(at) - len(keep)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert got(lines.dedup_lines(df)) == sorted(want, key=repr)
+    import corpus_pipeline
+    docs = df.withColumn("n_chars", F.length("text").cast("long"))
+    out = corpus_pipeline.line_stage(spark, docs, "")
+    assert got(out) == sorted(((i, t, len(t)) for i, t, n, k in want if k < n), key=repr)
+
+
 def test_pii(docs):
     r = {x["doc_id"]: [(s["kind"], s["base"]) for s in x["spans"]] for x in pii.find(docs).collect()}
     assert r[14] == [("email", True), ("ip", True), ("card", True), ("phone", True)] and r[0] == []

@@ -5,12 +5,15 @@ byte).  Window minima of the line hashes are guaranteed fingerprints of any
 run of ``run_lines`` lines; fingerprints are joined on, matches extended both
 ways (``seeds``), and every run of at least ``run_lines`` lines that already
 stands earlier - smaller doc_id, or further up in the same text - is deleted.
+A line of at least ``LINE_WORDS`` words or ``LINE_BYTES`` bytes is a run by
+itself: it is deleted wherever it stands again, whatever its neighbours.  Only
+shorter lines need a repeated neighbour.
 
 Defined results: a null text has no lines and stays null; empty and blank
 texts are unchanged.  Blank lines between two deleted lines go with them.
 Rows equal in doc_id and text are one document listed twice: neither is
 earlier, both are treated alike.  A null doc_id counts as smallest.  Extra
-columns pass through.  Fewer than ``run_lines`` lines: nothing to delete.
+columns pass through.  A text whose lines are all deleted becomes empty.
 """
 
 from __future__ import annotations
@@ -27,21 +30,23 @@ from . import seeds, text as X
 from .common import Stage, prepare, text_key
 
 RUN_LINES = 2
+LINE_WORDS, LINE_BYTES = 3, 24
+LONE = "doc_id long, tkey int, pos int, anchor long, body long"
 
 
 def line_bounds(texts: list[bytes]):
-    """Byte bounds of every non-blank line and each text's first line."""
+    """Byte bounds of every non-blank line, each text's first line and each
+    line's words."""
     w = X.Words(texts)
     nl = np.flatnonzero(w.buf == 10)
     starts = np.concatenate(([0], nl[:-1] + 1)) if len(nl) else nl
     seen = np.searchsorted(w.starts, np.append(starts, len(w.buf)))
     full = seen[1:] > seen[:-1]            # a line that starts a word in it
     starts, ends = starts[full], nl[full]
-    return w.buf, starts, ends, np.searchsorted(starts, w.at)
+    return w.buf, starts, ends, np.searchsorted(starts, w.at), np.diff(seen)[full]
 
 
-def _symbols(texts: list[bytes]):
-    buf, s, e, first = line_bounds(texts)
+def _hashes(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     h = np.empty(len(s), X.U)
     at = 0
     while at < len(s):                     # bounded steps over the bytes
@@ -49,7 +54,26 @@ def _symbols(texts: list[bytes]):
         to = max(at + 1, int(np.searchsorted(e, lo + X.CHUNK, "right")))
         h[at:to] = X.span_hash(X.BYTE[buf[lo:e[to - 1]]], s[at:to] - lo, e[at:to] - lo)
         at = to
-    return h, first
+    return h
+
+
+def _symbols(texts: list[bytes]):
+    buf, s, e, first, _ = line_bounds(texts)
+    return _hashes(buf, s, e), first
+
+
+def _lone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines that are a run by themselves: position, hash and bytes."""
+    for b in batches:
+        texts = X.texts_of(b)
+        for lo, hi in X.groups(texts):
+            buf, s, e, first, words = line_bounds(texts[lo:hi])
+            mine = np.flatnonzero((words >= LINE_WORDS) | (e - s >= LINE_BYTES))
+            s, e = s[mine], e[mine]
+            o = np.searchsorted(first, mine, "right") - 1
+            ids = pa.array(lo + o)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(ids), b.column(1).take(ids), pa.array((mine - first[o]).astype(np.int32)),
+                                              X.longs(_hashes(buf, s, e)), X.longs(e - s)], names=["doc_id", "tkey", "pos", "anchor", "body"])
 
 
 def drop_lines(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
@@ -72,6 +96,9 @@ def dedup_lines(docs: DataFrame, run_lines: int = RUN_LINES) -> DataFrame:
     keyed = docs.withColumn("ld__key", text_key())
     base = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ld__key").alias("tkey"), "text")
     spans = seeds.repeats(base, seeds.Plan(_symbols, run_lines, 1), True, stage)
+    lone = seeds.repeated(stage.put(base.mapInArrow(_lone, LONE), "lone"), ["anchor", "body"], "pos", True, stage, "lone-repeated")
+    lone = lone.select("doc_id", "tkey", F.array(F.struct(F.col("pos").alias("s"), (F.col("pos") + 1).alias("e"))).alias("spans"))
+    spans = spans.unionByName(lone).groupBy("doc_id", "tkey").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"))
     rest = keyed.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"),
                         F.col("doc_id").cast("long").alias("doc_id"), F.col("ld__key").alias("tkey"), "text")
     joined = seeds.with_spans(rest, spans).select("row", "ztext", "spans")

@@ -141,14 +141,14 @@ def _windows(p: Plan):
     return fn
 
 
-def _repeated(rows: DataFrame, keys: list[str], at: str, later: bool, stage: Stage) -> DataFrame:
+def repeated(rows: DataFrame, keys: list[str], at: str, later: bool, stage: Stage, name: str = "repeated") -> DataFrame:
     """Rows whose key occurs again; ``later``: only those after the first."""
     aggs = [F.count(F.lit(1)).alias("c")]
     if later:
         aggs.append(F.min(F.struct("doc_id", at)).alias("at0"))
     again = rows.groupBy(*keys).agg(*aggs).where("c > 1").select(
         *[F.col(k).alias(f"k_{k}") for k in keys], *(["at0"] if later else []))
-    again = stage.put(again, "repeated")
+    again = stage.put(again, name)
     cond = None
     for k in keys:
         c = F.col(k) == F.col(f"k_{k}")
@@ -194,7 +194,7 @@ def repeats(docs: DataFrame, p: Plan, later: bool, stage: Stage) -> DataFrame:
     o = open_.select(F.col("doc_id").alias("o_id"), F.col("tkey").alias("o_key"), "runs")
     with_text = X.zipped(docs).join(o, same(F.col("doc_id"), F.col("o_id")) & (F.col("tkey") == F.col("o_key"))).select("doc_id", "tkey", "ztext", "runs")
     wins = stage.put(with_text.mapInArrow(_windows(p), WIN), "windows")
-    part = _repeated(wins, ["anchor", "body"], "pos", later, stage)
+    part = repeated(wins, ["anchor", "body"], "pos", later, stage)
     part = part.select("doc_id", "tkey", F.col("pos").alias("s"), (F.col("pos") + p.window).alias("e"))
     spans = whole.unionByName(part).groupBy("doc_id", "tkey").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("spans"))
     return spans
