@@ -154,6 +154,27 @@ def test_pii_bootstrap(spark):
     assert [(s["kind"], s["base"], rows[-1][1][s["start"]:s["end"]]) for s in out[99]] == [("ip", False, "HX7744-Q")]
 
 
+def test_pii_bootstrap_blanks(spark):
+    """Identifiers written with blanks, and very short or long ones, are found
+    as one span in a learned context; what is not in one is not."""
+    phones = ["(743) 555-3824", "020 7946 0958", "743 - 555 (3824)", "x7", "9" * 300]
+    cards = ["4111 1111 1111 1112", "4111-1111 1111-1112"]
+    rows = [(i, f"{words(8)} call me at +1 (743) 555-{3000 + i} or {words(5)}") for i in range(60)]
+    rows += [(100 + i, f"{words(8)} paid by card no. {c} was {words(5)}") for i, c in enumerate(
+        f"{n // 10000:04d} {n % 10000:04d} 0000 0000"[:18] + f"{d}" for n in range(41110000, 41110040) for d in range(10)
+        if pii.luhn(f"{n:08d}0000000{d}"))]
+    rows += [(900 + i, f"{words(8)} call me at {x} or {words(5)}") for i, x in enumerate(phones)]
+    rows += [(950 + i, f"{words(8)} paid by card no. {x} was {words(5)}") for i, x in enumerate(cards)]
+    rows += [(990, f"{words(4)} 12 345 6789 {words(4)}")]
+    text = dict(rows)
+    out = {r["doc_id"]: [(s["kind"], s["base"], text[r["doc_id"]][s["start"]:s["end"]]) for s in r["spans"]]
+           for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(len(out[i]) == 1 and out[i][0][1] for i in text if i < 900)
+    assert {i: v for i, v in out.items() if i >= 900} == {
+        **{900 + i: [("phone", False, x)] for i, x in enumerate(phones)},
+        **{950 + i: [("card", False, x)] for i, x in enumerate(cards)}, 990: []}
+
+
 def test_mixing_budgets(docs, rows):
     out = mixing.standard_mix(docs)
     assert set(docs.columns) <= set(out.columns)

@@ -3,7 +3,10 @@
 Seeds are the validated base entities (e-mail, IP, payment card, phone).  The
 words around a seed are lexical patterns.  Other identifier-like tokens (a
 digit or ``@`` in them, outside every base span) are candidates with patterns
-of their own.  Patterns and instances form a bipartite graph that Spark scores
+of their own, whatever their length; so are maximal runs of neighbouring tokens
+with digits, joined on one line by blanks, hyphens or brackets, such as a phone
+or card written in groups.  A run is one instance: its tokens do not count in a
+pattern's confidence, and where the run becomes a span, they do not.  Patterns and instances form a bipartite graph that Spark scores
 in rounds: a pattern's confidence for a kind is the share of its instances
 known to be of that kind, an instance's score is the noisy-or of its
 patterns.  Occurrences of well-scored instances in confident patterns become
@@ -20,6 +23,7 @@ are code points, ends exclusive.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -43,6 +47,9 @@ _MARK = re.compile(rb"[0-9@]")
 _TOKEN = re.compile(r"[0-9@][^\x20\x09-\x0D]*")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _BLANK = " \t\n\x0b\x0c\r"
+_BEFORE, _AFTER = "([{\"'<", ".,;:!?)]}\"'>"
+_JOIN = re.compile(r"[\x20\t()\[\]-]+")
+_STOP = re.compile(r"[.,;:!?]")
 _DIGIT = re.compile(r"[0-9]+")
 EDGE = 48      # code points of context on each side
 
@@ -88,26 +95,70 @@ def patterns(text: str, start: int, end: int) -> list[str]:
     return out
 
 
-def candidates(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
-    """Identifier-like tokens that no base span touches."""
+def _whole(text: str, s: int, e: int) -> tuple[int, int]:
+    """Bounds of a run without the punctuation around it; a bracket stays if
+    the run holds its partner."""
+    lo, hi = s, e
+    while hi > lo and text[hi - 1] in _AFTER:
+        hi -= 1
+    while lo < hi and text[lo] in _BEFORE:
+        lo += 1
+    for left, right in ("()", "[]", "{}", "<>"):
+        more = text.count(right, lo, hi) - text.count(left, lo, hi)
+        if more > 0 and lo > s and text[lo - 1] == left:
+            lo -= 1
+        elif more < 0 and hi < e and text[hi] == right:
+            hi += 1
+    return lo, hi
+
+
+def candidates(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int, tuple[int, int] | None]]:
+    """Identifier-like tokens that no base span touches and maximal runs of
+    them: start, end and, for a token of a run, the run."""
     taken = sorted(taken)
-    k = 0
+    k, run = 0, []                         # run: (raw start, raw end, start, end) of its tokens
+
+    def flush():
+        whole = _whole(text, run[0][0], run[-1][1]) if len(run) > 1 else None
+        if whole:
+            yield *whole, None
+        for _, _, s, e in run:
+            yield s, e, whole
+
     for m in _TOKEN.finditer(text):
         s, e = m.span()
         while s and text[s - 1] not in _BLANK:
             s -= 1
-        while e > s and text[e - 1] in ".,;:!?)]}\"'>":
+        raw = s, e
+        while e > s and text[e - 1] in _AFTER:
             e -= 1
-        while s < e and text[s] in "([{\"'<":
+        while s < e and text[s] in _BEFORE:
             s += 1
         while k < len(taken) and taken[k][1] <= s:
             k += 1
-        if 5 <= e - s <= 64 and not any(a < e and s < b for a, b in taken[k:k + 8]):
-            yield s, e
+        if s == e or any(a < e and s < b for a, b in taken[k:k + 8]):
+            continue
+        # a base span or any word between them ends a run, as does punctuation
+        if run and not ("@" not in text[s:e] and _JOIN.fullmatch(text, run[-1][1], raw[0]) and not _STOP.search(text, run[-1][3], run[-1][1])):
+            yield from flush()
+            run = []
+        run.append((*raw, s, e))
+        if "@" in text[s:e]:
+            yield from flush()
+            run = []
+    if run:
+        yield from flush()
+
+
+def instance(found: str) -> str:
+    """The graph's key of an instance; a long one goes by its hash."""
+    key = found.lower()
+    return key if len(key) <= 64 else "#" + hashlib.sha256(key.encode()).hexdigest()
 
 
-_SPAN = pa.struct([("kind", pa.string()), ("s", pa.int32()), ("e", pa.int32()), ("inst", pa.string()), ("pats", pa.list_(pa.string()))])
-SCAN = "doc_id long, tkey int, found array<struct<kind:string, s:int, e:int, inst:string, pats:array<string>>>"
+_SPAN = pa.struct([("kind", pa.string()), ("s", pa.int32()), ("e", pa.int32()), ("inst", pa.string()), ("pats", pa.list_(pa.string())),
+                   ("rs", pa.int32()), ("re", pa.int32())])
+SCAN = "doc_id long, tkey int, found array<struct<kind:string, s:int, e:int, inst:string, pats:array<string>, rs:int, re:int>>"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,9 +170,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if _MARK.search(raw):
                 t = raw.decode()
                 base = base_spans(t)
-                rows = [(k, s, e) for k in KINDS for s, e in base[k]]
-                rows += [(None, s, e) for s, e in candidates(t, [x for k in KINDS for x in base[k]])]
-                found = [{"kind": k, "s": s, "e": e, "inst": t[s:e].lower(), "pats": patterns(t, s, e)} for k, s, e in rows]
+                rows = [(k, s, e, None) for k in KINDS for s, e in base[k]]
+                rows += [(None, *c) for c in candidates(t, [x for k in KINDS for x in base[k]])]
+                found = [{"kind": k, "s": s, "e": e, "inst": instance(t[s:e]), "pats": patterns(t, s, e),
+                          "rs": run and run[0], "re": run and run[1]} for k, s, e, run in rows]
             out.append(found)
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(_SPAN))], names=["doc_id", "tkey", "found"])
 
@@ -129,12 +181,14 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def score(edges: DataFrame, seeds: DataFrame, stage: Stage, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """Iterative scores: (pattern, kind, conf) and (inst, kind, score).
 
-    ``edges``: distinct (pattern, inst); ``seeds``: distinct (inst, kind)."""
-    n = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
+    ``edges``: distinct (pattern, inst) with ``part``, true where the instance
+    is only ever a token of a run there; ``seeds``: distinct (inst, kind)."""
+    whole = edges.where("not part")
+    n = whole.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
     known = seeds.select("inst", "kind", F.lit(1.0).alias("score"))
     free = edges.join(seeds, "inst", "left_anti")
     for k in range(rounds):
-        hits = edges.join(known, "inst").groupBy("pattern", "kind").agg(
+        hits = whole.join(known, "inst").groupBy("pattern", "kind").agg(
             F.sum("score").alias("hit"), F.count(F.lit(1)).alias("known")).where(F.col("known") >= MIN_SEEDS)
         conf = hits.join(n, "pattern").select("pattern", "kind", (F.col("hit") / (F.col("n") + 1)).alias("conf"))
         conf = stage.put(conf.where(F.col("conf") >= MIN_PATTERN), f"conf{k}")
@@ -154,13 +208,19 @@ def find(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(), "text")
     rows = stage.put(base.mapInArrow(_scan, SCAN), "scan")
     flat = rows.select("doc_id", "tkey", F.explode("found").alias("x")).select("doc_id", "tkey", "x.*")
-    edges = stage.put(flat.select("inst", F.explode("pats").alias("pattern")).distinct(), "edges")
+    edges = flat.select("inst", F.explode("pats").alias("pattern"), F.col("rs").isNotNull().alias("part"))
+    edges = stage.put(edges.groupBy("inst", "pattern").agg(F.min("part").alias("part")), "edges")
     seeds = stage.put(flat.where("kind is not null").select("inst", "kind").distinct(), "seeds")
     conf, found = score(edges, seeds, stage, rounds)
     good = found.where(F.col("score") >= MIN_INSTANCE).select("inst", F.col("kind").alias("new"))
-    occ = flat.where("kind is null").select("doc_id", "tkey", "s", "e", "inst", F.explode("pats").alias("pattern"))
+    occ = flat.where("kind is null").select("doc_id", "tkey", "s", "e", "rs", "re", "inst", F.explode("pats").alias("pattern"))
     new = (occ.join(good, "inst").join(conf.select("pattern", F.col("kind").alias("new")), ["pattern", "new"])
-           .select("doc_id", "tkey", "new", "s", "e").distinct())
+           .select("doc_id", "tkey", "new", "s", "e", "rs", "re").distinct())
+    new = stage.put(new, "new")
+    runs = new.where("rs is null").select(*[F.col(c).alias(f"r_{c}") for c in ("doc_id", "tkey", "new", "s", "e")])
+    inside = same(F.col("doc_id"), F.col("r_doc_id")) & (F.col("tkey") == F.col("r_tkey")) & (F.col("new") == F.col("r_new"))
+    new = new.join(runs, inside & (F.col("rs") == F.col("r_s")) & (F.col("re") == F.col("r_e")), "left_anti")
+    new = new.select("doc_id", "tkey", "new", "s", "e").distinct()
     more = new.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct(F.col("new").alias("kind"), "s", "e")).alias("more"))
     more = more.select(F.col("doc_id").alias("m_id"), F.col("tkey").alias("m_key"), "more")
     out = rows.join(more, same(F.col("doc_id"), F.col("m_id")) & (F.col("tkey") == F.col("m_key")), "left")
