@@ -1,23 +1,20 @@
-"""Operator 8, exact substring dedup over sorted sampled suffixes.
-
-The method named for this operator is the difference-cover suffix array.  Its
-idea is kept: sort a sample of the suffixes such that any two equal strings of
-``window`` bytes meet in an aligned sampled pair, name them by their prefix,
-settle all other suffixes from the sampled ones, compare neighbours with equal
-names.  What is changed is the cover: positions with fixed residues need two
-thirds of all bytes sorted as triples, level by level; here the sample is
-chosen by content (minima of the hashed 16-byte prefixes among ``width``
-neighbours), so equal strings sample equal offsets and the sample is
-``2 / (width + 1)`` of the bytes.  README gives the figures that led to this.
-
-1. Each sampled suffix is named by the bytes that all windows it stands for
+"""Operator 8, exact substring dedup over sampled bytes.
+
+The method named for this operator, the difference-cover suffix array, is not
+used and was not tried: no suffixes or triples are sorted, nothing recurses on
+names, no neighbours in a sorted order are compared.  This is the winnowing of
+operator 7 (``seeds``) on bytes: positions are sampled by content (minima of the
+hashed ``prefix``-byte grams among ``width`` neighbours), so equal strings of
+``window`` bytes sample equal offsets, and equal windows meet in grouped counts
+of 64-bit hashes.
+
+1. Each sample is named by the hash of the bytes that all windows it stands for
    have in common (``window - width + 1`` of them); a name found once is
    settled: none of its windows can repeat.
-2. Sampled suffixes with equal names are neighbours; where all of a name agree
-   over everything their windows reach, all those windows repeat.
-3. For the rest, the suffixes that lie between two samples (every window start
-   that the sample stands for) are compared under the sample's name by their
-   first ``window`` bytes.
+2. Where samples of one name agree over everything their windows reach, all
+   those windows repeat.
+3. For the rest, every window that a sample stands for is compared under the
+   sample's name by the hash of its ``window`` bytes.
 
 Every byte covered by a repeated window is removed, in all places.
 
