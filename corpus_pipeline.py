@@ -57,8 +57,8 @@ STAGES = [
     ("pack", pack_stage),
 ]
 
-#: Sketching and tokenising cannot be put in SQL; tests compare each stage
-#: with a brute-force version.
+#: Sketching and tokenising cannot be put in SQL.  Tests compare the line stage
+#: with a brute-force version on a small table; no test compares the other stages.
 ORACLE_SQL = None
 
 
