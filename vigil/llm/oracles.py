@@ -52,4 +52,20 @@ SELECT e.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, coalesce(comp.c, e
   e.vec_id = coalesce(comp.c, e.vec_id) AS kept
 FROM embeddings e LEFT JOIN n ON e.vec_id = n.a LEFT JOIN comp ON e.vec_id = comp.a"""
 
-ORACLES: dict[str, str] = {"op7_substrings": OP7, "op9_quality": OP9, "op10_vectors": OP10}
+_T = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+OP11 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_T} AS t FROM documents),
+has AS (SELECT r, doc_id, len(t) AS n, t FROM d WHERE len(t) > 0),
+size AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM has),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM has) GROUP BY r, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, size GROUP BY term, docs),
+q AS (SELECT row_number() OVER () AS i, item_id, {_T} AS t FROM benchmark),
+qt AS (SELECT i, item_id, term, count(*) AS c FROM (SELECT i, item_id, unnest(t) AS term FROM q) GROUP BY i, item_id, term),
+s AS (SELECT i, item_id, r, doc_id, CAST(sum(c * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms)))) AS BIGINT) AS score
+  FROM qt JOIN w USING (term) JOIN tf USING (term) JOIN has USING (r), size GROUP BY i, item_id, r, doc_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS FIRST) AS p FROM s WHERE score > 0)
+SELECT item_id, CAST(p AS INTEGER) AS rank, doc_id, score FROM k WHERE p <= 10"""
+
+ORACLES: dict[str, str] = {"op7_substrings": OP7, "op9_quality": OP9, "op10_vectors": OP10, "op11_search": OP11}

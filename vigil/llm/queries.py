@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, lines, minhash, mixing, packing, pii, quality, substrings, suffixes, trie, vectors
+from . import chat, lines, minhash, mixing, packing, pii, quality, search, substrings, suffixes, toxic, trie, vectors
 from .common import prepare, read
 
 QUERIES = {}
@@ -85,11 +85,21 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(read(spark, sf_dir, "embeddings"))
 
 
+@query
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 @query
 def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.shared_starts(read(spark, sf_dir, "conversations"))
 
 
+@query
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxic.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
