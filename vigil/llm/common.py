@@ -53,5 +53,28 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def text_key(col: str = "text"):
-    """Second half of a row key: rows that share id *and* text are one key."""
-    return F.hash(F.col(col)).alias("tkey")
+    """Second half of a row key: rows that share id *and* text are one key.
+    128 bits of sha256, so different texts never share one; null counts as empty."""
+    digest = F.sha2(F.coalesce(F.col(col), F.lit("")), 256)
+    return F.unhex(F.substr(digest, F.lit(1), F.lit(32))).alias("tkey")
+
+
+def packed(df: DataFrame, *without: str):
+    """The columns of ``df`` (but ``without``) as one struct ``row``: whatever
+    their names, they cannot clash with an operator's own columns."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in without]).alias("row")
+
+
+def free_of(df: DataFrame, *names: str) -> None:
+    """Raise if ``df`` has a column that the result adds."""
+    taken = sorted(set(names) & {c.lower() for c in df.columns})
+    if taken:
+        raise ValueError(f"the result adds {', '.join(taken)}: rename these columns first")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    have = {c.lower() for c in df.columns}
+    while name in have:
+        name += "_"
+    return name

@@ -5,15 +5,17 @@ byte).  Window minima of the line hashes are guaranteed fingerprints of any
 run of ``run_lines`` lines; fingerprints are joined on, matches extended both
 ways (``seeds``), and every run of at least ``run_lines`` lines that already
 stands earlier - smaller doc_id, or further up in the same text - is deleted.
-A line of at least ``LINE_WORDS`` words or ``LINE_BYTES`` bytes is a run by
+A line of at least ``line_words`` words or ``line_bytes`` bytes is a run by
 itself: it is deleted wherever it stands again, whatever its neighbours.  Only
-shorter lines need a repeated neighbour.
+shorter lines need a repeated neighbour; with ``line_words=1`` there are none,
+and every repeated line goes.
 
 Defined results: a null text has no lines and stays null; empty and blank
 texts are unchanged.  Blank lines between two deleted lines go with them.
 Rows equal in doc_id and text are one document listed twice: neither is
 earlier, both are treated alike.  A null doc_id counts as smallest.  Extra
-columns pass through.  A text whose lines are all deleted becomes empty.
+columns pass through, whatever their names; a column ``ld_lines`` or
+``ld_removed`` raises, because the result adds them.  A text whose lines are all deleted becomes empty.
 """
 
 from __future__ import annotations
@@ -27,11 +29,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import seeds, text as X
-from .common import Stage, prepare, text_key
+from .common import Stage, free_of, packed, prepare, text_key
 
 RUN_LINES = 2
 LINE_WORDS, LINE_BYTES = 3, 24
-LONE = "doc_id long, tkey int, pos int, anchor long, body long"
+LONE = "doc_id long, tkey binary, pos int, anchor long, body long"
 
 
 def line_bounds(texts: list[bytes]):
@@ -62,18 +64,20 @@ def _symbols(texts: list[bytes]):
     return _hashes(buf, s, e), first
 
 
-def _lone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _lone(line_words: int, line_bytes: int):
     """Lines that are a run by themselves: position, hash and bytes."""
-    for b in batches:
-        texts = X.texts_of(b)
-        for lo, hi in X.groups(texts):
-            buf, s, e, first, words = line_bounds(texts[lo:hi])
-            mine = np.flatnonzero((words >= LINE_WORDS) | (e - s >= LINE_BYTES))
-            s, e = s[mine], e[mine]
-            o = np.searchsorted(first, mine, "right") - 1
-            ids = pa.array(lo + o)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(ids), b.column(1).take(ids), pa.array((mine - first[o]).astype(np.int32)),
-                                              X.longs(_hashes(buf, s, e)), X.longs(e - s)], names=["doc_id", "tkey", "pos", "anchor", "body"])
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = X.texts_of(b)
+            for lo, hi in X.groups(texts):
+                buf, s, e, first, words = line_bounds(texts[lo:hi])
+                mine = np.flatnonzero((words >= line_words) | (e - s >= line_bytes))
+                s, e = s[mine], e[mine]
+                o = np.searchsorted(first, mine, "right") - 1
+                ids = pa.array(lo + o)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(ids), b.column(1).take(ids), pa.array((mine - first[o]).astype(np.int32)),
+                                                  X.longs(_hashes(buf, s, e)), X.longs(e - s)], names=["doc_id", "tkey", "pos", "anchor", "body"])
+    return fn
 
 
 def drop_lines(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
@@ -87,20 +91,19 @@ def drop_lines(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, i
     return b"\n".join(x for i, x in enumerate(lines) if i not in gone), len(full), n
 
 
-def dedup_lines(docs: DataFrame, run_lines: int = RUN_LINES) -> DataFrame:
+def dedup_lines(docs: DataFrame, run_lines: int = RUN_LINES, line_words: int = LINE_WORDS, line_bytes: int = LINE_BYTES) -> DataFrame:
     """``docs`` with ``text`` freed of repeated runs, plus ``ld_lines`` and
     ``ld_removed`` (longs)."""
     spark = docs.sparkSession
     prepare(spark)
+    free_of(docs, "ld_lines", "ld_removed")
     stage = Stage(spark, "lines")
-    keyed = docs.withColumn("ld__key", text_key())
-    base = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ld__key").alias("tkey"), "text")
+    rest = docs.select(packed(docs, "text"), F.col("doc_id").cast("long").alias("doc_id"), text_key(), "text")
+    base = rest.select("doc_id", "tkey", "text")
     spans = seeds.repeats(base, seeds.Plan(_symbols, run_lines, 1), True, stage)
-    lone = seeds.repeated(stage.put(base.mapInArrow(_lone, LONE), "lone"), ["anchor", "body"], "pos", True, stage, "lone-repeated")
+    lone = seeds.repeated(stage.put(base.mapInArrow(_lone(line_words, line_bytes), LONE), "lone"), ["anchor", "body"], "pos", True, stage, "lone-repeated")
     lone = lone.select("doc_id", "tkey", F.array(F.struct(F.col("pos").alias("s"), (F.col("pos") + 1).alias("e"))).alias("spans"))
     spans = spans.unionByName(lone).groupBy("doc_id", "tkey").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"))
-    rest = keyed.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"),
-                        F.col("doc_id").cast("long").alias("doc_id"), F.col("ld__key").alias("tkey"), "text")
     joined = seeds.with_spans(rest, spans).select("row", "ztext", "spans")
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as X
-from .common import Stage, prepare
+from .common import packed, prepare, Stage
 from .graph import components
 
 K, SHINGLE, FLOOR = 64, 5, 0.47
@@ -226,4 +226,5 @@ def near_duplicates(docs: DataFrame, num: int = NUM, den: int = DEN, k: int = K,
 def dedup(docs: DataFrame, **how) -> DataFrame:
     """``docs`` without the documents of a group other than its smallest id."""
     found = near_duplicates(docs, **how).where("not kept").select(F.col("doc_id").alias("nd_id")).distinct()
-    return docs.join(found, F.col("doc_id").cast("long") == F.col("nd_id"), "left_anti")
+    rows = docs.select(packed(docs), F.col("doc_id").cast("long").alias("id"))
+    return rows.join(found, F.col("id") == F.col("nd_id"), "left_anti").select("row.*")

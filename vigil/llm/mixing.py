@@ -19,7 +19,8 @@ Defined results: null domain, language or source is a leaf of its own; a null
 or empty text has 0 tokens; rows equal in doc_id rank alike and are taken or
 left together.  Shares are rounded down.  Nodes without a listed weight have
 ``default_weight``; weight 0 takes nothing.  An empty table gives no rows.
-Extra columns pass through; the taken epoch is added as ``mx_epoch``.
+Extra columns pass through, whatever their names; the taken epoch is added as
+``mx_epoch``, and a column of that name raises.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Stage, prepare, same
+from .common import Stage, free_of, packed, prepare, same
 from .quality import BLANK
 
 LEVELS = ("mx_l0", "mx_l1", "mx_l2")
@@ -89,7 +90,7 @@ def _fill(nodes: DataFrame, parent: list[str], me: list[str]) -> DataFrame:
     every = Window.partitionBy(*key)
     x = (x.withColumn("b_open", F.col("b") - F.coalesce(F.sum(F.when(F.col("full"), F.col("cap"))).over(every), zero))
          .withColumn("w_open", F.sum(F.when(F.col("full"), zero).otherwise(F.col("w"))).over(every)))
-    share = F.when(F.col("w") == 0, zero).otherwise(F.floor((F.col("w") * F.col("b_open")) / F.col("w_open")))
+    share = F.when(F.col("w") == 0, zero).otherwise(F.expr("(w * b_open) div nullif(w_open, 0)"))
     return x.withColumn("budget", F.when(F.col("full"), F.col("cap")).otherwise(share).cast(DEC)).drop(
         "before", "w_left", "full", "b_open", "w_open")
 
@@ -128,11 +129,13 @@ def mix(docs: DataFrame, levels: tuple[Column, Column, Column], weights: dict[tu
     spark = docs.sparkSession
     prepare(spark)
     stage = Stage(spark, "mixing")
-    sized = docs.withColumns({n: c.cast("string") for n, c in zip(LEVELS, levels)}).withColumn("mx_id", F.col("doc_id"))
-    narrow = stage.put(sized.select(*LEVELS, "mx_id", (tokens if tokens is not None else count_tokens()).alias("tokens")), "sizes")
+    free_of(docs, "mx_epoch")
+    named = [*[c.cast("string").alias(n) for n, c in zip(LEVELS, levels)], F.col("doc_id").alias("mx_id")]
+    sized = docs.select(packed(docs), *named)
+    narrow = stage.put(docs.select(*named, (tokens if tokens is not None else count_tokens()).alias("tokens")), "sizes")
     leaves = narrow.groupBy(*LEVELS).agg(F.sum("tokens").alias("avail"), F.count(F.lit(1)).alias("n_docs"))
     leaves = stage.put(leaves, "leaves")
-    b = F.floor(F.col("total") * F.lit(share[0]) / F.lit(share[1]))
+    b = F.expr(f"cast(total as {DEC}) * {int(share[0])} div {int(share[1])}")
     plan = leaf_budgets(leaves, weight_table(spark, weights), b, max_epochs, default_weight)
     a = leaves.select(*[F.col(c).alias(f"a_{c}") for c in LEVELS], "avail", "n_docs")
     plan = plan.join(a, _levels_match("a_")).drop(*[f"a_{c}" for c in LEVELS]).where("avail > 0")
@@ -159,7 +162,7 @@ def mix(docs: DataFrame, levels: tuple[Column, Column, Column], weights: dict[tu
     taken = sized.join(cut, _levels_match("p_"))
     last = F.col("epochs") - F.when(_rank(seed, F.col("epochs")) <= F.col("cut"), 0).otherwise(1)
     taken = taken.withColumn("mx_last", last).where("mx_last >= 0")
-    return taken.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.expr("sequence(0L, mx_last)")).alias("mx_epoch"))
+    return taken.select("row.*", F.explode(F.expr("sequence(0L, mx_last)")).alias("mx_epoch"))
 
 
 def _levels_match(prefix: str, mine: str = ""):

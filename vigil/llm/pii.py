@@ -51,7 +51,7 @@ _BEFORE, _AFTER = "([{\"'<", ".,;:!?)]}\"'>"
 _JOIN = re.compile(r"[\x20\t()\[\]-]+")
 _STOP = re.compile(r"[.,;:!?]")
 _DIGIT = re.compile(r"[0-9]+")
-EDGE = 48      # code points of context on each side
+EDGE = 48      # code points looked at first on each side of a span; more, until its whole words are seen
 
 
 def luhn(digits: str) -> bool:
@@ -84,10 +84,30 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     return out
 
 
+def _before(text: str, at: int) -> list[str]:
+    """The last two whole words before a position."""
+    edge = EDGE
+    while True:
+        words = _WORD.findall(text[max(0, at - edge):at])
+        if at <= edge or len(words) > 2:          # the first word may be cut
+            return words[-2:]
+        edge *= 4
+
+
+def _after(text: str, at: int) -> list[str]:
+    """The first whole word after a position."""
+    edge = EDGE
+    while True:
+        words = _WORD.findall(text[at:at + edge])
+        if at + edge >= len(text) or len(words) > 1:
+            return words[:1]
+        edge *= 4
+
+
 def patterns(text: str, start: int, end: int) -> list[str]:
     """Lexical patterns around text[start:end], digits written as 0."""
-    left = [_DIGIT.sub("0", w.lower()) for w in _WORD.findall(text[max(0, start - EDGE):start])][-2:]
-    right = [_DIGIT.sub("0", w.lower()) for w in _WORD.findall(text[end:end + EDGE])][:1]
+    left = [_DIGIT.sub("0", w.lower()) for w in _before(text, start)]
+    right = [_DIGIT.sub("0", w.lower()) for w in _after(text, end)]
     l1, r1 = left[-1] if left else "^", right[0] if right else "$"
     out = ["L " + " ".join(left), f"B {l1} _ {r1}"] if left else [f"B {l1} _ {r1}"]
     if l1[-1] in ":=#":
@@ -158,7 +178,7 @@ def instance(found: str) -> str:
 
 _SPAN = pa.struct([("kind", pa.string()), ("s", pa.int32()), ("e", pa.int32()), ("inst", pa.string()), ("pats", pa.list_(pa.string())),
                    ("rs", pa.int32()), ("re", pa.int32())])
-SCAN = "doc_id long, tkey int, found array<struct<kind:string, s:int, e:int, inst:string, pats:array<string>, rs:int, re:int>>"
+SCAN = "doc_id long, tkey binary, found array<struct<kind:string, s:int, e:int, inst:string, pats:array<string>, rs:int, re:int>>"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,8 +8,8 @@ bit arithmetic over the counts of distinct failure masks.
 
 Defined results: a null or blank text has no words (measurements 0, fails
 ``few_words``).  Repeated rows are judged alike, row by row.  Extra columns
-pass through ``apply_policy`` untouched; names of the ledger are prefixed
-there (``q_``) so they cannot clash.  An empty table gives an empty ledger.
+pass through untouched, whatever their names; a column that the ledger adds
+(``q_`` and a measurement, ``q_failed``, ``q_kept``) raises.  An empty table gives an empty ledger.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_of, fresh
+
 BLANK = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -98,22 +100,24 @@ def _repeat_words(words: Column) -> Column:
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the measurement columns (longs), each prefixed ``q_``."""
+    free_of(docs, *[f"q_{k}" for k in MEASURES], "q_failed", "q_kept")
+    w_, l_ = fresh(docs, "q__w"), fresh(docs, "q__l")
     t = F.coalesce(F.col(text), F.lit(""))
     words = F.filter(F.split(t, BLANK), lambda w: w != "")
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    df = docs.withColumn("q__w", words).withColumn("q__l", lines)
-    w = F.col("q__w")
+    df = docs.withColumn(w_, words).withColumn(l_, lines)
+    w = F.col(w_)
     out = {
         "n_words": F.size(w),
         "word_chars": F.length(t) - _chars_of(t, " \t\n\x0b\x0c\r"),
         "n_symbols": _chars_of(t, "#*$%&|<>"),
-        "n_lines": F.size("q__l"),
-        "n_dup_lines": F.size("q__l") - F.size(F.array_distinct("q__l")),
+        "n_lines": F.size(l_),
+        "n_dup_lines": F.size(l_) - F.size(F.array_distinct(l_)),
         "n_repeat_words": _repeat_words(w),
         "n_bangs": _chars_of(t, "!"),
         "n_upper": F.length(F.regexp_replace(t, r"[^\p{Lu}]+", "")),
     }
-    return df.withColumns({f"q_{k}": v.cast("long") for k, v in out.items()}).drop("q__w", "q__l")
+    return df.withColumns({f"q_{k}": v.cast("long") for k, v in out.items()}).drop(w_, l_)
 
 
 def ledger(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
@@ -140,8 +144,9 @@ def apply_policy(led: DataFrame, policy: str, rules=RULES, policies=None) -> Dat
 def kept(led: DataFrame, policy: str, rules=RULES, policies=None) -> DataFrame:
     """The rows the policy keeps.  The row number only stands in the filter's
     way: without it the optimizer copies every measurement into the filter."""
-    out = apply_policy(led.withColumn("q__row", F.monotonically_increasing_id()), policy, rules, policies)
-    return out.where(F.col("q_kept") & (F.col("q__row") >= 0)).drop("q__row")
+    row = fresh(led, "q__row")
+    out = apply_policy(led.withColumn(row, F.monotonically_increasing_id()), policy, rules, policies)
+    return out.where(F.col("q_kept") & (F.col(row) >= 0)).drop(row)
 
 
 def ablations(led: DataFrame, policy: str, rules=RULES, policies=None) -> DataFrame:

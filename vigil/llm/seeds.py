@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 from . import text as X
 from .common import Stage, same
 
-RUN = "doc_id long, tkey int, at long, anchor long, body long"      # at: first window * LEN + windows
+RUN = "doc_id long, tkey binary, at long, anchor long, body long"      # at: first window * LEN + windows
 LEN = 1 << 16
-WIN = "doc_id long, tkey int, pos int, anchor long, body long"
+WIN = "doc_id long, tkey binary, pos int, anchor long, body long"
 
 
 STEP = 1 << 20      # symbols handled at a time inside a long text

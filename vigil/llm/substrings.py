@@ -7,7 +7,8 @@ where it stands.
 
 Defined results: words are ``[^\\x20\\x09-\\x0D]+``, unchanged; a null or empty
 text has none.  Texts shorter than the window keep all words.  A row listed
-twice repeats itself.  Extra columns pass through.
+twice repeats itself.  Extra columns pass through, whatever their names; one
+that the result adds (``ss_words``, ``ss_removed``, ``ss_text``) raises.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import seeds, text as X
-from .common import Stage, prepare, text_key
+from .common import Stage, free_of, packed, prepare, text_key
 
 WINDOW, GRAM = 35, 10
 
@@ -45,12 +46,11 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, di
     kept words, or with ``digest`` their sha256 in lowercase hex."""
     spark = docs.sparkSession
     prepare(spark)
+    free_of(docs, "ss_words", "ss_removed", "ss_text")
     stage = Stage(spark, "substrings")
-    keyed = docs.withColumn("ss__key", text_key())
-    base = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ss__key").alias("tkey"), "text")
+    rest = docs.select(packed(docs, *["text"] * digest), F.col("doc_id").cast("long").alias("doc_id"), text_key(), "text")
+    base = rest.select("doc_id", "tkey", "text")
     spans = seeds.repeats(base, seeds.Plan(_symbols, window, gram), False, stage)
-    rest = keyed.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text" or not digest]).alias("row"),
-                        F.col("doc_id").cast("long").alias("doc_id"), F.col("ss__key").alias("tkey"), "text")
     joined = seeds.with_spans(rest, spans).select("row", "ztext", "spans")
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,7 +20,8 @@ Every byte covered by a repeated window is removed, in all places.
 
 Defined results: a null or empty text has no bytes; a text shorter than the
 window keeps all.  A row listed twice repeats itself.  Extra columns pass
-through.  Removal is by bytes, so a kept text need not be valid UTF-8: kept
+through, whatever their names; one that the result adds (``sa_bytes``,
+``sa_removed``, ``sa_spans``, ``sa_kept``) raises.  Removal is by bytes, so a kept text need not be valid UTF-8: kept
 bytes are returned as binary.
 """
 
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import seeds, text as X
-from .common import Stage, prepare, text_key
+from .common import Stage, free_of, packed, prepare, text_key
 
 WINDOW, PREFIX, WIDTH = 400, 16, 128
 
@@ -60,12 +61,11 @@ def dedup_bytes(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, wid
     ``sa_kept``: the kept bytes, or with ``digest`` the lowercase hex sha256 (as bytes)."""
     spark = docs.sparkSession
     prepare(spark)
+    free_of(docs, "sa_bytes", "sa_removed", "sa_spans", "sa_kept")
     stage = Stage(spark, "suffixes")
-    keyed = docs.withColumn("sa__key", text_key())
-    base = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("sa__key").alias("tkey"), "text")
+    rest = docs.select(packed(docs, *["text"] * digest), F.col("doc_id").cast("long").alias("doc_id"), text_key(), "text")
+    base = rest.select("doc_id", "tkey", "text")
     spans = seeds.repeats(base, seeds.Plan(_symbols, window, prefix, width), False, stage)
-    rest = keyed.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text" or not digest]).alias("row"),
-                        F.col("doc_id").cast("long").alias("doc_id"), F.col("sa__key").alias("tkey"), "text")
     joined = seeds.with_spans(rest, spans).select("row", "ztext", "spans")
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
