@@ -17,7 +17,7 @@ from conftest import SF0001
 def test_tools_run(spark):
     tel = C.telemetry(spark, SF0001)
     ev = C.events(tel)
-    h = api.get_model_health(tel, ev, C.drift_results(tel), C.AS_OF, model_name="click", time_window="24h")
+    h = api.get_model_health(tel, ev, C.stored_drift(spark, SF0001), C.AS_OF, model_name="click", time_window="24h")
     assert [r.model_name for r in h.collect()] == ["click"]
     c = api.compare_models(tel, C.AS_OF, "click", "view").collect()[0]
     assert c.model_a == "click" and c.summary

@@ -8,7 +8,8 @@ import __spark_entry__ as E
 from vigil.sources.tables import TABLES
 from conftest import SF0001
 
-ROWS_ONLY = {"compare_models", "anomaly_train", "anomaly_score", "forecast_seasonal", "stream_scoring"}
+ROWS_ONLY = {"anomaly_train", "anomaly_score", "forecast_seasonal", "stream_scoring", "health_forest", "alert_feed_forest",
+             "root_cause_forest"}
 
 
 def test_contract_keys():

@@ -63,9 +63,16 @@ def get_alerts(stored_alerts: DataFrame, external: DataFrame | None = None, mode
 
 def predict_saturation(telemetry: DataFrame, as_of, model_name: str | None = None,
                        metric: str | None = None, horizon_hours: int = 2,
-                       method: str = "auto") -> tuple[DataFrame, DataFrame]:
+                       method: str = "auto", store=None) -> tuple[DataFrame, DataFrame]:
     """(snapshot with recommendation, points limited to the requested hours).
-    Forecasts always cover the 6-hour horizon; risk refers to it."""
+    Forecasts always cover the 6-hour horizon; risk refers to it.  With a
+    ``store`` (``store.ResultStore``) snapshots stored in the last 35 minutes
+    are served and only the other series are forecast, and stored."""
+    if store is not None:
+        snap, pts = store.serve_forecast(telemetry, as_of, [metric] if metric else None, horizon_hours, method)
+        if model_name is not None:
+            snap, pts = (x.where(F.col("model_name") == model_name) for x in (snap, pts))
+        return advice.with_saturation_advice(snap), pts
     t = telemetry if model_name is None else telemetry.where(F.col("model_name") == model_name)
     snap, pts = forecast.forecast(t, as_of, [metric] if metric else None, method=method,
                                   requested_hours=horizon_hours)

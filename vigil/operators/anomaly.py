@@ -2,10 +2,10 @@
 
 Isolation Forest (Liu, Ting & Zhou, 2008) as Spark jobs:
 
-* **sample**: tree t of model m trains on the min(256, n) rows with the
-  smallest hash(seed, t, row) -- a uniform sample without replacement.  A
-  hash pre-filter keeps ~3 x 256 candidates per tree, so only a few hundred
-  rows per (model, tree) are ever sorted, however large the model is.
+* **sample**: tree t of model m trains on min(256, n) of the model's n rows,
+  drawn without replacement as ordinals by a stream seeded with (seed, t, m)
+  and joined to balanced row numbers.  One scheme at every size; the same rows
+  give the same forest, however they are partitioned.
 * **build**: ``groupBy(model, tree).applyInPandas`` grows one tree per group
   (groups are bounded by the sample size) and emits a node table.
 * **score**: rows are cut into buckets of bounded size and cogrouped with
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -32,20 +33,18 @@ from ..config import (FEATURES_LLM, FEATURES_TTS, FOREST_CONTAMINATION, FOREST_S
 from ..functions.exprs import rnd
 from ..windows import minus_seconds, ts_lit, since
 from .events import feature_slots
+from .guard import guarded, split, with_error
 from .panels import bucket_start
-from .scan import exact_quantiles
+from .scan import CHUNK, exact_quantiles, row_numbers, with_chunk
 
 SLOTS = ["f0", "f1", "f2", "f3"]
+BUCKET = 50_000          # rows numbered in one window
 NODE_SCHEMA = T.StructType([
     T.StructField("model_name", T.StringType()), T.StructField("tree", T.IntegerType()),
     T.StructField("node", T.IntegerType()), T.StructField("feature", T.IntegerType()),
     T.StructField("threshold", T.DoubleType()), T.StructField("left", T.IntegerType()),
     T.StructField("right", T.IntegerType()), T.StructField("path", T.DoubleType()),
 ])
-SCORE_SCHEMA = T.StructType([
-    T.StructField("model_name", T.StringType()), T.StructField("row_id", T.LongType()),
-    T.StructField("score", T.DoubleType()),
-])
 EULER_GAMMA = 0.5772156649015329
 
 
@@ -106,49 +105,46 @@ def _scaled(df: DataFrame, base: DataFrame) -> DataFrame:
 
 
 def sample_for_trees(train: DataFrame, base: DataFrame, n_trees: int = FOREST_TREES,
-                     sample: int = FOREST_SAMPLE, seed: int = FOREST_SEED,
-                     oversample: float = 3.0) -> DataFrame:
-    """(model, tree, row) for each tree's sample of min(sample, n) rows.
-
-    Each tree takes the rows with the smallest hash -- a uniform sample
-    without replacement.  Two regimes, chosen per model from its size:
-
-    * n <= trees x oversample x sample: every (row, tree) pair is hashed
-      independently (rows may serve several trees, as in the classic scheme);
-      the pre-filter keeps ~oversample x sample candidates per tree;
-    * larger n: one hash per row both filters (u < trees x q, q = oversample x
-      sample / n) and assigns the row to tree floor(u / q).  Each tree's
-      sample is still a uniform subset; samples are disjoint, which changes
-      nothing measurable when n is this large, and the work per row is one
-      hash instead of one per tree.
+                     sample: int = FOREST_SAMPLE, seed: int = FOREST_SEED) -> DataFrame:
+    """(model, tree, row, ``ordinal``) for each tree's sample of min(sample, n) rows.
+
+    Rows of a model are numbered 1..n in an order that depends on the rows
+    alone (hash bucket, then row); the buckets hold about ``BUCKET`` rows, so
+    the numbering spreads over tasks.  Each (model, tree) draws its ordinals
+    from its own seeded stream and meets the rows in a join on the number:
+    n_trees x sample small rows a model, whatever n is.
     """
-    from pyspark.sql import Window
-    n_tab = base.select("model_name", "n")
-    x = train.join(n_tab, "model_name")
-    limit_small = n_trees * oversample * sample
-    unit = lambda *cols: (F.xxhash64(F.lit(seed), F.col("model_name"), *cols).cast("double")
-                          / 18446744073709551616.0 + 0.5)
-    small = x.where(F.col("n") <= limit_small)
-    thr = F.least(F.lit(1.0), F.lit(oversample * sample) / F.col("n"))
-    cand_small = (small.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"))
-                       .select("*", unit(F.col("tree"), F.col("row_id")).alias("_u"))
-                       .where(F.col("_u") < thr))
-    big = x.where(F.col("n") > limit_small)
-    q = F.lit(oversample * sample) / F.col("n")
-    u = unit(F.lit(-1), F.col("row_id"))
-    cand_big = (big.select("*", u.alias("_u")).where(F.col("_u") < q * n_trees)
-                   .select(*x.columns, F.floor(F.col("_u") / q).cast("int").alias("tree"), "_u"))
-    cand = cand_small.select(*x.columns, F.col("tree").cast("int").alias("tree"), "_u").unionByName(cand_big)
-    w = Window.partitionBy("model_name", "tree").orderBy("_u", "row_id")
-    return cand.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= sample).drop("_r", "_u")
+    names = base.select("model_name", "n")
+    x = train.join(names, "model_name")
+    buckets = F.greatest(F.lit(1), F.ceil(F.col("n") / BUCKET)).cast("long")
+    x = with_chunk(x, F.pmod(F.xxhash64(F.lit(seed), "row_id", *SLOTS), buckets))
+    x = row_numbers(x, ["model_name"], ["row_id", *SLOTS], out="_rn").drop(CHUNK, "n")
+
+    def draw(batches):
+        for pdf in batches:
+            rows = []
+            for model, n, tree in zip(pdf["model_name"], pdf["n"], pdf["tree"]):
+                rng = np.random.default_rng([seed, 1, tree, _name_seed(model)])
+                rows.append(np.sort(rng.choice(n, min(sample, n), replace=False)) + 1)
+            yield pd.DataFrame({"model_name": pdf["model_name"].repeat([len(r) for r in rows]).to_numpy(),
+                                "tree": np.repeat(pdf["tree"].to_numpy(), [len(r) for r in rows]),
+                                "ordinal": np.concatenate(rows) if rows else np.empty(0, np.int64)})
+
+    trees = names.where("n > 0").select("model_name", "n", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"))
+    drawn = trees.repartition("model_name", "tree").mapInPandas(draw, "model_name string, tree int, ordinal long")
+    hit = drawn.select(F.col("model_name").alias("_m"), "tree", "ordinal")
+    return x.join(hit, (x.model_name == hit["_m"]) & (x["_rn"] == hit.ordinal)).drop("_m", "_rn")
+
+
+def _name_seed(model: str) -> int:
+    """The whole name seeds the stream: names that share a prefix must differ."""
+    return int.from_bytes(hashlib.sha256(model.encode()).digest()[:16], "little")
 
 
 def _grow(model: str, tree: int, Z: np.ndarray, seed: int) -> list[tuple]:
     """Grow one isolation tree; nodes as (node, feature, threshold, left, right, path)."""
     n = Z.shape[0]
-    # the whole name seeds the stream: names that share a prefix must differ
-    name = int.from_bytes(hashlib.sha256(model.encode()).digest()[:16], "little")
-    rng = np.random.default_rng([seed, tree, name])
+    rng = np.random.default_rng([seed, tree, _name_seed(model)])
     max_depth = int(math.ceil(math.log2(max(n, 2))))
     nodes: list[list] = []
     stack = [(np.arange(n), 0, 0)]
@@ -177,7 +173,9 @@ def _grow(model: str, tree: int, Z: np.ndarray, seed: int) -> list[tuple]:
 def _build_group(seed: int):
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         model, tree = str(pdf["model_name"].iloc[0]), int(pdf["tree"].iloc[0])
-        Z = pdf[[f"z_{s}" for s in SLOTS]].to_numpy(dtype=float)
+        Z = pdf.sort_values("ordinal")[[f"z_{s}" for s in SLOTS]].to_numpy(dtype=float)
+        if not np.isfinite(Z).all():
+            raise ValueError(f"a training row of {model} is not finite after scaling")
         rows = _grow(model, tree, Z, seed)
         return pd.DataFrame(rows, columns=[f.name for f in NODE_SCHEMA.fields])
     return build
@@ -185,12 +183,14 @@ def _build_group(seed: int):
 
 def build_forest(train: DataFrame, base: DataFrame, n_trees: int = FOREST_TREES,
                  sample: int = FOREST_SAMPLE, seed: int = FOREST_SEED) -> DataFrame:
-    """Node table for every model with at least TRAIN_MIN_ROWS rows."""
+    """Node table for every model with at least TRAIN_MIN_ROWS rows, plus
+    ``guard.ERROR``: a (model, tree) that cannot be grown has an error row."""
     ok = base.where(F.col("n") >= TRAIN_MIN_ROWS)
     s = sample_for_trees(train.join(ok.select("model_name"), "model_name", "left_semi"), ok,
                          n_trees, sample, seed)
-    z = _scaled(s, ok).select("model_name", "tree", *[f"z_{c}" for c in SLOTS])
-    return z.groupBy("model_name", "tree").applyInPandas(_build_group(seed), NODE_SCHEMA)
+    z = _scaled(s, ok).select("model_name", "tree", "ordinal", *[f"z_{c}" for c in SLOTS])
+    return z.groupBy("model_name", "tree").applyInPandas(
+        guarded(_build_group(seed), NODE_SCHEMA, ["model_name", "tree"]), with_error(NODE_SCHEMA))
 
 
 # -------------------------------------------------------------- scoring ----
@@ -218,24 +218,23 @@ def _walk(nodes: pd.DataFrame, Z: np.ndarray) -> np.ndarray:
     return total
 
 
-def _score_group(key, rows: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
-    if rows.empty:
-        return pd.DataFrame(columns=[f.name for f in SCORE_SCHEMA.fields])
-    if nodes.empty:
-        return pd.DataFrame({"model_name": rows["model_name"], "row_id": rows["row_id"],
-                             "score": np.nan})
-    Z = rows[[f"z_{s}" for s in SLOTS]].to_numpy(dtype=float)
-    n_trees = nodes["tree"].nunique()
-    psi = float(rows["psi"].iloc[0])
-    mean_path = _walk(nodes, Z) / n_trees
-    score = -np.power(2.0, -mean_path / avg_path_length([psi])[0])
-    return pd.DataFrame({"model_name": rows["model_name"].to_numpy(), "row_id": rows["row_id"].to_numpy(),
-                         "score": score})
+def _score_group(carry: list[str]):
+    def score_group(key, rows: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
+        out = rows[["model_name", *carry]]
+        if rows.empty or nodes.empty:
+            return out.assign(score=np.nan)
+        Z = rows[[f"z_{s}" for s in SLOTS]].to_numpy(dtype=float)
+        n_trees = nodes["tree"].nunique()
+        psi = float(rows["psi"].iloc[0])
+        mean_path = _walk(nodes, Z) / n_trees
+        return out.assign(score=-np.power(2.0, -mean_path / avg_path_length([psi])[0]))
+    return score_group
 
 
 def score_rows(rows: DataFrame, base: DataFrame, nodes: DataFrame, bucket_rows: int = 50000,
-               sample: int = FOREST_SAMPLE) -> DataFrame:
-    """score_samples (= -2^(-E[h]/c(psi))) for (model_name, row_id, f0..f3) rows.
+               sample: int = FOREST_SAMPLE, carry: Sequence[str] = ("row_id",)) -> DataFrame:
+    """score_samples (= -2^(-E[h]/c(psi))) for (model_name, row_id, f0..f3) rows:
+    (model_name, the ``carry`` columns, score).
 
     Rows of a model are spread over ceil(n / bucket_rows) buckets and each
     bucket is cogrouped with a copy of the model's node table."""
@@ -244,23 +243,33 @@ def score_rows(rows: DataFrame, base: DataFrame, nodes: DataFrame, bucket_rows:
     b = base.select("model_name", F.least(F.col("n"), F.lit(sample)).cast("double").alias("psi"))
     r = _scaled(rows, base).join(b, "model_name").join(nb, "model_name")
     r = r.withColumn("_bucket", F.pmod(F.xxhash64("row_id"), F.col("_nb")).cast("int"))
-    r = r.select("model_name", "_bucket", "row_id", "psi", *[f"z_{s}" for s in SLOTS])
+    r = r.select("model_name", "_bucket", *carry, "psi", *[f"z_{s}" for s in SLOTS])
+    schema = T.StructType([*[rows.schema[c] for c in ("model_name", *carry)], T.StructField("score", T.DoubleType())])
     nn = nodes.join(nb, "model_name").select(
         "*", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)).alias("_bucket")).drop("_nb")
     return (r.groupBy("model_name", "_bucket")
              .cogroup(nn.groupBy("model_name", "_bucket"))
-             .applyInPandas(_score_group, SCORE_SCHEMA))
+             .applyInPandas(_score_group(list(carry)), schema))
 
 
 def train(telemetry: DataFrame, as_of, days: int = 7, n_trees: int = FOREST_TREES,
           seed: int = FOREST_SEED) -> tuple[DataFrame, DataFrame]:
-    """Returns (model_baselines, forest_nodes).  The offset is the
-    contamination quantile of the training scores (decision value 0 there)."""
+    """Returns (model_baselines, forest_nodes) of the models that could be
+    trained; ``train_isolated`` also tells which could not."""
+    return train_isolated(telemetry, as_of, days, n_trees, seed)[:2]
+
+
+def train_isolated(telemetry: DataFrame, as_of, days: int = 7, n_trees: int = FOREST_TREES,
+                   seed: int = FOREST_SEED) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(model_baselines, forest_nodes, failed models with their error).  The
+    offset is the contamination quantile of the training scores (decision value
+    0 there).  A model whose trees raise does not keep the others from training."""
     tr = training_rows(telemetry, as_of, days)
     base = baselines(tr)
-    nodes = build_forest(tr, base, n_trees, seed=seed)
     from ..sources.sinks import materialize
-    nodes = materialize(nodes, "forest_nodes")
+    nodes, failed = split(materialize(build_forest(tr, base, n_trees, seed=seed), "forest_nodes"), ["model_name"])
+    base = base.join(failed.select("model_name"), "model_name", "left_anti")
+    tr = tr.join(failed.select("model_name"), "model_name", "left_anti")
     scores = score_rows(tr, base, nodes)
     off = exact_quantiles(scores, ["model_name"], "score", [FOREST_CONTAMINATION])
     trained = base.where(F.col("n") >= TRAIN_MIN_ROWS).join(
@@ -274,7 +283,7 @@ def train(telemetry: DataFrame, as_of, days: int = 7, n_trees: int = FOREST_TREE
         *[F.col(f"mean_{s}").alias(f"_exact_mean_{s}") for s in SLOTS],
         *[F.col(f"std_{s}").alias(f"_exact_std_{s}") for s in SLOTS],
         F.col("n").cast("int").alias("n_training_samples"), "score_offset")
-    return materialize(model_baselines, "model_baselines"), nodes
+    return materialize(model_baselines, "model_baselines"), nodes, failed
 
 
 # ------------------------------------------------------- window scoring ----
@@ -294,6 +303,11 @@ def contributing_dims(cur: DataFrame, model_baselines: DataFrame) -> Column:
         .otherwise(a["slot"] - b["slot"]))
 
 
+def top_dims(dims: Column, n: int = 3) -> Column:
+    """Names of the ``n`` most deviating dimensions, largest first."""
+    return F.array_join(F.transform(F.slice(dims, 1, n), lambda d: d["feature"]), ", ")
+
+
 def window_vectors(telemetry: DataFrame, seconds: int = 60) -> DataFrame:
     """AVG feature vector per (model, bucket), NULL and non-finite -> 0."""
     x = feature_slots(telemetry).select("model_name", "model_type", bucket_start("time", seconds).alias("bucket"),
@@ -319,7 +333,7 @@ def score_windows(telemetry: DataFrame, model_baselines: DataFrame, nodes: DataF
     trained = model_baselines.select("model_name")
     forest = score_vectors(vec.join(trained, "model_name", "left_semi"), model_baselines, nodes, seconds)
     z = zscore_events(vec.join(trained, "model_name", "left_anti"), stats, seconds).drop("max_abs_z")
-    z = z.select("*", F.col("dims")[0]["feature"].alias("top_feature"),
+    z = z.select("*", F.col("dims")[0]["feature"].alias("top_feature"), top_dims(F.col("dims")).alias("top_dims"),
                  F.aggregate("dims", F.lit(0.0), lambda acc, d: acc + d["deviation_pct"]).alias("total_deviation"))
     return forest.unionByName(z)
 
@@ -347,16 +361,18 @@ def zscore_events(vectors: DataFrame, stats: DataFrame, seconds: int = 60, z_thr
 def score_vectors(vectors: DataFrame, model_baselines: DataFrame, nodes: DataFrame,
                   seconds: int = 60) -> DataFrame:
     """Score (model_name, model_type, bucket, f0..f3) window vectors."""
-    vec = vectors.withColumn("row_id", F.xxhash64("model_name", "bucket"))
     mb = model_baselines
+    have = mb.select("model_name")
     base_for_scaling = mb.select("model_name", "n_training_samples",
                                  *[F.col(f"_exact_mean_{s}").alias(f"mean_{s}") for s in SLOTS],
                                  *[F.col(f"_exact_std_{s}").alias(f"std_{s}") for s in SLOTS]
                                  ).withColumnRenamed("n_training_samples", "n")
-    sc = score_rows(vec.join(mb.select("model_name"), "model_name", "left_semi")
-                       .select("model_name", "row_id", *SLOTS), base_for_scaling, nodes)
-    x = (vec.join(sc, ["model_name", "row_id"], "left")
-            .join(mb.select("model_name", "score_offset", *[f"mean_{s}" for s in SLOTS]), "model_name", "left"))
+    # the rows go through the groups whole, so nothing is joined back
+    carry = ["model_type", "bucket", *SLOTS]
+    rows = vectors.select("model_name", *carry).withColumn("row_id", F.unix_micros(F.col("bucket").cast("timestamp")))
+    sc = score_rows(rows.join(have, "model_name", "left_semi"), base_for_scaling, nodes, carry=carry)
+    none = rows.join(have, "model_name", "left_anti").select("model_name", *carry, F.lit(None).cast("double").alias("score"))
+    x = sc.unionByName(none).join(mb.select("model_name", "score_offset", *[f"mean_{s}" for s in SLOTS]), "model_name", "left")
     trained = F.col("score_offset").isNotNull()
     decision = F.col("score") - F.col("score_offset")
     dims = F.when(trained, contributing_dims(x, mb)).otherwise(F.array().cast(
@@ -367,30 +383,5 @@ def score_vectors(vectors: DataFrame, model_baselines: DataFrame, nodes: DataFra
         F.when(trained, rnd(decision, 6)).otherwise(F.lit(-0.1)).alias("anomaly_score"),
         F.when(trained, decision < 0).otherwise(F.lit(False)).alias("is_anomaly"),
         (~trained).alias("cold_start_mode"), dims.alias("dims"))
-    return out.select("*", F.col("dims")[0]["feature"].alias("top_feature"),
+    return out.select("*", F.col("dims")[0]["feature"].alias("top_feature"), top_dims(F.col("dims")).alias("top_dims"),
                       F.aggregate("dims", F.lit(0.0), lambda acc, d: acc + d["deviation_pct"]).alias("total_deviation"))
-
-
-def save_artifacts(model_baselines: DataFrame, nodes: DataFrame, root: str,
-                   existing_root: str | None = None) -> str:
-    """Upsert the trained artifacts by model (newest trained_at wins) into a
-    new version directory under ``root`` (S11); returns that directory."""
-    from ..sources.sinks import swap_write
-    from .maintenance import upsert_latest
-    spark = model_baselines.sparkSession
-    old = spark.read.parquet(f"{existing_root}/baselines") if existing_root else None
-    merged = upsert_latest(old, model_baselines, ["model_name"], "trained_at")
-    version = swap_write(merged, f"{root}/baselines_versions")
-    n = nodes.join(merged.select("model_name", "trained_at"), "model_name", "left_semi")
-    if existing_root:
-        old_nodes = spark.read.parquet(f"{existing_root}/nodes").join(
-            model_baselines.select("model_name"), "model_name", "left_anti")
-        n = n.unionByName(old_nodes)
-    nodes_path = swap_write(n, f"{root}/nodes_versions")
-    return f"{version}|{nodes_path}"
-
-
-def load_artifacts(spark, handle: str) -> tuple[DataFrame, DataFrame]:
-    """Latest baselines + forest nodes written by ``save_artifacts``."""
-    base_path, nodes_path = handle.split("|")
-    return spark.read.parquet(base_path), spark.read.parquet(nodes_path)

@@ -53,7 +53,7 @@ def welch(stats: DataFrame, pairs: DataFrame) -> DataFrame:
     return x.select(
         "model_a", "model_b", F.coalesce("metric_a", "metric_b").alias("metric"),
         F.coalesce("n_a", F.lit(0)).alias("n_a"), F.coalesce("n_b", F.lit(0)).alias("n_b"),
-        F.col("mean_a"), F.col("mean_b"),
+        F.col("mean_a"), F.col("mean_b"), *[F.col(f"{q}_{s}") for s in "ab" for q in ("p50", "p95", "p99")],
         F.when(both, t).alias("_t"), F.when(both, df_).alias("_df"), diff.alias("difference_pct"))
 
 
@@ -76,7 +76,7 @@ def compare_models(telemetry: DataFrame, pairs: DataFrame, as_of, metric: str =
                                 F.lit(metric), F.col("model_a"), F.col("model_b")))
     status = F.when((F.col("n_a") == 0) & (F.col("n_b") == 0), "no_data").otherwise("ok")
     return w.select("model_a", "model_b", "metric", status.alias("status"), "n_a", "n_b",
-                    "mean_a", "mean_b", "difference_pct", rnd("_t", 6).alias("t_statistic"),
+                    "mean_a", "mean_b", *[f"{q}_{s}" for s in "ab" for q in ("p50", "p95", "p99")], "difference_pct", rnd("_t", 6).alias("t_statistic"),
                     p.alias("p_value"), sig.alias("statistically_significant"),
                     summary.alias("summary"))
 

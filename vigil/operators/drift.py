@@ -117,8 +117,9 @@ def psi_table(ecdf: DataFrame, stats: DataFrame, n_bins: int = PSI_BINS, mode: s
     all_bins = bins.select(F.col("_bm").alias("model_name"), F.col("_bk").alias("metric"), "bin")
     counted = all_bins.join(binned, [*GROUP, "bin"], "left").join(
         stats.select(*GROUP, "n_reference", "n_comparison"), GROUP)
-    rp = F.greatest(F.coalesce(F.col("b_r"), F.lit(0)) / F.col("n_reference"), F.lit(PSI_CLIP))
-    cp = F.greatest(F.coalesce(F.col("b_c"), F.lit(0)) / F.col("n_comparison"), F.lit(PSI_CLIP))
+    # a side without rows has no proportions; its group is reported as insufficient_data
+    rp = F.greatest(F.try_divide(F.coalesce(F.col("b_r"), F.lit(0)), F.col("n_reference")), F.lit(PSI_CLIP))
+    cp = F.greatest(F.try_divide(F.coalesce(F.col("b_c"), F.lit(0)), F.col("n_comparison")), F.lit(PSI_CLIP))
     psi = counted.groupBy(*GROUP).agg(F.sum((cp - rp) * F.log(cp / rp)).alias("psi"))
     return edges.join(psi, GROUP, "left").select(*GROUP, F.coalesce("psi", F.lit(0.0)).alias("psi"))
 
@@ -138,8 +139,8 @@ def _psi_open(ecdf: DataFrame, stats: DataFrame, q: DataFrame, n_bins: int) -> D
     all_bins = bins.select(F.col("_bm").alias("model_name"), F.col("_bk").alias("metric"), "bin")
     counted = all_bins.join(binned, [*GROUP, "bin"], "left").join(
         stats.select(*GROUP, "n_reference", "n_comparison"), GROUP)
-    rp = F.coalesce(F.col("b_r"), F.lit(0)) / F.col("n_reference") + F.lit(PSI_CLIP)
-    cp = F.coalesce(F.col("b_c"), F.lit(0)) / F.col("n_comparison") + F.lit(PSI_CLIP)
+    rp = F.try_divide(F.coalesce(F.col("b_r"), F.lit(0)), F.col("n_reference")) + F.lit(PSI_CLIP)
+    cp = F.try_divide(F.coalesce(F.col("b_c"), F.lit(0)), F.col("n_comparison")) + F.lit(PSI_CLIP)
     psi = counted.groupBy(*GROUP).agg(F.sum((cp - rp) * F.log(cp / rp)).alias("psi"))
     return q.select(*GROUP).join(psi, GROUP, "left")
 
@@ -159,12 +160,20 @@ def drift_scan(telemetry: DataFrame, as_of, reference_window: str = "7d",
         if m not in DRIFT_METRICS:
             raise ValueError(f"unknown drift metric {m!r}; valid: {list(DRIFT_METRICS)}")
     tagged = tag_windows(telemetry, as_of, reference_window, comparison_window, metrics, strict)
-    dv = distinct_counts(tagged)
+    return drift_from_counts(distinct_counts(tagged), telemetry.select("model_name").distinct(), as_of, reference_window,
+                             comparison_window, metrics, p_method, n_chunks, psi_mode)
+
+
+def drift_from_counts(dv: DataFrame, models: DataFrame, as_of, reference_window: str, comparison_window: str,
+                      metrics: Sequence[str], p_method: str = "auto", n_chunks: int = 64,
+                      psi_mode: str = "clipped") -> DataFrame:
+    """Drift rows from per-side counts of distinct values (``distinct_counts``),
+    wherever they come from: one scan, or merged per-day state."""
     ecdf = ecdf_table(dv, n_chunks)
     stats = group_stats(ecdf)
     psi = psi_table(ecdf, stats, mode=psi_mode)
 
-    grid = telemetry.select("model_name").distinct().select(
+    grid = models.select(
         "model_name", F.explode(F.array(*[F.lit(m) for m in metrics])).alias("metric"))
     res = grid.join(stats, GROUP, "left").join(psi, GROUP, "left")
     n_r = F.coalesce(F.col("n_reference"), F.lit(0)).cast("int")

@@ -1,16 +1,11 @@
-"""Anomaly-event feeds derived from the fact table (A3, M8).
-
-``cold_start_events`` replays the scoring job over history: every 1-minute
-bucket in which a model has data yields the event the scorer writes when no
-trained model exists (constant score, not anomalous, no dimensions).
-"""
+"""Feature vectors of the anomaly detector from the fact table (A3, M4)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import COLD_START_SCORE, FEATURES_LLM, FEATURES_TTS
+from ..config import FEATURES_LLM, FEATURES_TTS
 from .panels import bucket_start
 
 
@@ -32,15 +27,3 @@ def window_features(df: DataFrame, seconds: int = 60) -> DataFrame:
     agg = x.groupBy("model_name", "model_type", "bucket").agg(
         *[F.avg(c).alias(c) for c in ["f0", "f1", "f2", "f3"]])
     return agg.where(F.coalesce("f0", "f1", "f2", "f3").isNotNull())
-
-
-def cold_start_events(df: DataFrame, seconds: int = 60) -> DataFrame:
-    w = window_features(df, seconds)
-    return w.select(
-        (F.col("bucket") + F.expr(f"INTERVAL {int(seconds)} SECONDS")).alias("computed_at"),
-        "model_name",
-        F.lit(COLD_START_SCORE).alias("anomaly_score"),
-        F.lit(False).alias("is_anomaly"),
-        F.lit(True).alias("cold_start_mode"),
-        F.lit(None).cast("string").alias("top_feature"),
-        F.lit(0.0).alias("total_deviation"))

@@ -99,12 +99,14 @@ def saturation(points: DataFrame, as_of) -> DataFrame:
 
 def forecast(telemetry: DataFrame, as_of, metrics: Sequence[str] | None = None,
              horizon_hours: int = FORECAST_MAX_HORIZON_H, method: str = "linear",
-             requested_hours: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Returns (snapshots, points) for every model x metric.
+             requested_hours: int | None = None, series: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Returns (snapshots, points) for every model x metric, from the given
+    bucket ``series`` or else from a scan.
 
     method='linear' is the cold-start fit for all series; 'auto' uses the
     seasonal fit where a series has at least 672 buckets."""
-    series = bucket_series(telemetry, as_of, metrics)
+    if series is None:
+        series = bucket_series(telemetry, as_of, metrics)
     fit = series_fit(series)
     pts = linear_points(fit, horizon_hours)
     cold = F.col("n") < FORECAST_MIN_BUCKETS

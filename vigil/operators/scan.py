@@ -98,6 +98,78 @@ def last_non_null_before(df: DataFrame, keys: Sequence[str], order: Sequence[str
         *[F.coalesce(F.col(f"_in_{v}"), F.col(f"_carry_{v}")).alias(f"{prefix}{v}") for v in values])
 
 
+def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str,
+              values: Sequence[str], ties: Sequence[str] = (), chunk: str = "hour", within_seconds: int | None = None,
+              strict: bool = False, prefix: str = "") -> DataFrame:
+    """Every left row with the newest right row of its key at or before its time.
+
+    Adds ``{prefix}{right_time}`` and ``{prefix}{value}`` columns, NULL where
+    no right row qualifies.  ``strict`` takes rows before the time only;
+    ``within_seconds`` ignores right rows older than that.  Of right rows with
+    equal times the largest by ``ties`` counts.  NULL keys or times match
+    nothing; every left row stays, repeated ones too.
+
+    Both sides are merged in one order per (key, time chunk) and the last right
+    row is carried across chunks by a per-chunk summary, so a hot key spreads
+    over its chunks and no side is broadcast or paired with the other.
+    """
+    side, t, row, hit = "_side", "_t", "_row", "_hit"
+    payload = F.struct(F.col(right_time).alias(f"{prefix}{right_time}"), *[F.col(v).alias(f"{prefix}{v}") for v in values])
+    r = right.where(F.col(right_time).isNotNull())
+    for k in keys:
+        r = r.where(F.col(k).isNotNull())
+    r = r.select(*keys, F.col(right_time).alias(t), F.lit(1 if strict else 0).alias(side), F.struct(*[F.col(c) for c in ties], payload.alias("_p")).alias(hit))
+    whole_row = F.struct(*[F.col(f"`{c}`") for c in left.columns])
+    lhs = left.select(*keys, F.col(left_time).alias(t), F.lit(0 if strict else 1).alias(side), whole_row.alias(row))
+    both = with_chunk(lhs.unionByName(r, allowMissingColumns=True), F.date_trunc(chunk, t))
+    if ties:
+        # one right row per (key, time): the largest of its ties
+        tied = r.groupBy(*keys, t, side).agg(F.max(hit).alias(hit))
+        both = with_chunk(lhs.unionByName(tied, allowMissingColumns=True), F.date_trunc(chunk, t))
+    order = Window.partitionBy(*keys, CHUNK).orderBy(F.col(t).asc_nulls_first(), side)
+    seen = F.last(hit, ignorenulls=True)
+    local = both.select(*keys, CHUNK, t, row, seen.over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("_in"),
+                        seen.over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_cl"))
+    summary = local.groupBy(*keys, CHUNK).agg(F.first("_cl").alias("_cl"))
+    prior = Window.partitionBy(*keys).orderBy(F.col(CHUNK).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    carry = summary.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(CHUNK).alias("_c"), F.last("_cl", ignorenulls=True).over(prior).alias("_carry"))
+    cond = local[CHUNK].eqNullSafe(carry["_c"])
+    for k in keys:
+        cond = cond & local[k].eqNullSafe(carry[f"_k_{k}"])
+    out = local.where(F.col(row).isNotNull()).join(carry, cond, "left").select(
+        row, t, F.when(F.col(t).isNotNull(), F.coalesce("_in", "_carry")).getField("_p").alias("_p"))
+    if within_seconds is not None:
+        at = F.col("_p").getField(f"{prefix}{right_time}")
+        fresh = F.unix_micros(F.col(t).cast("timestamp")) - F.unix_micros(at.cast("timestamp")) <= int(within_seconds) * 1_000_000
+        out = out.withColumn("_p", F.when(fresh, F.col("_p")))
+    names = [f"{prefix}{right_time}", *[f"{prefix}{v}" for v in values]]
+    return out.select(*[F.col(row).getField(c).alias(c) for c in left.columns], *[F.col("_p").getField(n).alias(n) for n in names])
+
+
+def rolling_means(df: DataFrame, keys: Sequence[str], time: str, value: str, span_seconds: int, step_seconds: int = 60,
+                  chunk: str = "day", out: str = "rolling_mean") -> DataFrame:
+    """Per key and step bucket that has rows: mean of ``value`` over the rows
+    of the ``span_seconds`` before the bucket's start.
+
+    Equals a RANGE frame of that length that ends just before the bucket.  A
+    bucket's sum and count enter the running total at its start and leave it
+    ``span_seconds`` later, so one balanced running sum answers every bucket.
+    Sums are decimals, so what leaves is exactly what entered.
+    """
+    dec = "decimal(38,9)"
+    b = df.select(*keys, F.window(time, f"{int(step_seconds)} seconds").getField("start").alias("bucket"),
+                  F.col(value).cast("double").alias("_v"))
+    b = b.groupBy(*keys, "bucket").agg(F.sum(F.col("_v").cast(dec)).cast(dec).alias("_s"), F.count("_v").alias("_n"))
+    zero = F.lit(0).cast(dec)
+    enter = b.select(*keys, "bucket", F.coalesce("_s", zero).alias("_s"), F.col("_n"), F.lit(1).alias("_own"))
+    leave = enter.select(*keys, (F.col("bucket") + F.expr(f"INTERVAL {int(span_seconds)} SECONDS")).alias("bucket"),
+                         (-F.col("_s")).alias("_s"), (-F.col("_n")).alias("_n"), F.lit(0).alias("_own"))
+    net = enter.unionByName(leave).groupBy(*keys, "bucket").agg(F.sum("_s").cast(dec).alias("_s"), F.sum("_n").alias("_n"), F.max("_own").alias("_own"))
+    run = running_sums(with_chunk(net, F.date_trunc(chunk, "bucket")), keys, ["bucket"], ["_s", "_n"], prefix="_cum", inclusive=False)
+    mean = F.when(F.col("_cum_n") > 0, F.col("_cum_s").cast("double") / F.col("_cum_n"))
+    return run.where(F.col("_own") == 1).select(*keys, "bucket", mean.alias(out))
+
+
 def value_chunks(df: DataFrame, keys: Sequence[str], value: str, n_chunks: int = 64,
                  accuracy: int = 2000) -> DataFrame:
     """Attach an order-preserving ``_chunk`` to a value domain.

@@ -14,10 +14,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import anomaly as _an
 from ..operators import drift as _drift
 from ..operators.counters import with_rates
+from ..operators.ledger import RunLedger
 from ..sources.tables import read_table
+from ..sources.tablestore import Table, data_stamp
 from ..sources.telemetry import telemetry_from_events
+from ..store import ResultStore
+from ..windows import as_of_value, minus_seconds, since, ts_lit
 
 AS_OF = "2024-01-31 00:00:00"
 REF_WINDOW, CMP_WINDOW = "30d", "10d"
@@ -47,22 +52,16 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Written once per session (date-partitioned Parquet under the shared
     checkpoint folder) and read back, the way the collector's table is
-    stored; keyed by the events file's size and mtime so new data
-    re-ingests.  The ``date`` partition column is kept so time windows
+    stored; keyed by names, sizes and times of the events files, wherever
+    they lie, so new data re-ingest.  The ``date`` partition column is kept so time windows
     (``windows.since``) prune partitions."""
     return spark.read.parquet(telemetry_path(spark, sf_dir))
 
 
 def telemetry_path(spark: SparkSession, sf_dir: str) -> str:
     """Path of the stored, date-partitioned fact table for ``sf_dir``."""
-    import os
     src = f"{sf_dir.rstrip('/')}/events.parquet"
-    try:
-        st = os.stat(src)
-        stamp = (st.st_size, st.st_mtime_ns)
-    except OSError:
-        stamp = None
-    key = (id(spark.sparkContext._jsc), src, stamp)
+    key = (id(spark.sparkContext._jsc), src, data_stamp(spark, src))
     path = _FACT_TABLES.get(key)
     if path is None:
         from ..sources.sinks import shared_path, write_table
@@ -72,6 +71,56 @@ def telemetry_path(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
+# ------------------------------------------------------- stored results ----
+
+_STORES: dict[str, str] = {}
+
+
+def result_store(spark: SparkSession, sf_dir: str) -> ResultStore:
+    """The result tables that the jobs keep for this fact table."""
+    fact = telemetry_path(spark, sf_dir)
+    if fact not in _STORES:
+        from ..sources.sinks import shared_path
+        _STORES[fact] = shared_path(spark, "results")
+    return ResultStore(spark, _STORES[fact])
+
+
+def stored_drift(spark, sf_dir, points=None, comparison_window: str = CMP_WINDOW) -> DataFrame:
+    """Stored drift rows of the given ``as_of`` points (default: ``AS_OF``).
+    Points the drift job has not done yet are run first, from the per-day state
+    (backfill); later calls only read."""
+    st, points = result_store(spark, sf_dir), [as_of_value(p) for p in points or [AS_OF]]
+    ledger, job = RunLedger(spark, f"{st.root}/ledger"), f"drift-{REF_WINDOW}-{comparison_window}"
+    tel = telemetry(spark, sf_dir)
+    ledger.run(job, points, lambda p: st.run_drift(tel, p, REF_WINDOW, comparison_window, p_method="series"))
+    missed = ledger.due(job, points)
+    if missed:
+        raise RuntimeError(f"drift runs not completed: {[r.asDict() for r in ledger.runs(job).where('status <> \'done\'').collect()]}")
+    return st.drift().where(F.col("computed_at").isin([ts_lit(p) for p in points])
+                            & (F.col("reference_window") == REF_WINDOW) & (F.col("comparison_window") == comparison_window))
+
+
+def stored_forest(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(baselines, nodes) of the stored forests; the training job runs once."""
+    st = result_store(spark, sf_dir)
+    ledger = RunLedger(spark, f"{st.root}/ledger")
+    ledger.run("train", [AS_OF], lambda p: st.save_artifacts(*_an.train(telemetry(spark, sf_dir), p)))
+    if ledger.due("train", [AS_OF]):
+        raise RuntimeError(f"training not completed: {ledger.runs('train').collect()}")
+    return st.load_artifacts()
+
+
+def forest_events(spark, sf_dir) -> DataFrame:
+    """Detector events of the stored forest, written by the scoring job once."""
+    st = result_store(spark, sf_dir)
+    ledger = RunLedger(spark, f"{st.root}/ledger")
+    ledger.run("score", [AS_OF], lambda p: st.events.replace(
+        _an.score_windows(telemetry(spark, sf_dir), *stored_forest(spark, sf_dir)).withColumn("date", F.to_date("computed_at"))))
+    if ledger.due("score", [AS_OF]):
+        raise RuntimeError(f"scoring not completed: {ledger.runs('score').collect()}")
+    return st.events.read().drop("date")
+
+
 # ------------------------------------------------------------------ drift --
 
 def _drift_all(spark, sf_dir, p_method="series"):
@@ -99,7 +148,6 @@ def q_drift_ks(spark, sf_dir):
 # ------------------------------------------------------- shared inputs ----
 
 from ..operators import alerts as _alerts  # noqa: E402
-from ..operators import anomaly as _an  # noqa: E402
 from ..operators import compare as _cmp  # noqa: E402
 from ..operators import forecast as _fc  # noqa: E402
 from ..operators import maintenance as _mnt  # noqa: E402
@@ -108,7 +156,6 @@ from ..operators.counters import vram_util_pct  # noqa: E402
 from ..operators.health import model_health  # noqa: E402
 from ..operators.rules import root_cause, root_cause_rows, rule_baselines  # noqa: E402
 from ..functions.exprs import rnd  # noqa: E402
-from ..windows import minus_seconds, since, ts_lit  # noqa: E402
 
 HEALTH_WINDOW = "24h"
 COMPARE_METRIC = "latency_p95_ms"
@@ -121,20 +168,22 @@ def events(tel: DataFrame) -> DataFrame:
     stats = _an.baselines(_an.training_rows(tel, AS_OF))
     return _an.zscore_events(_an.window_vectors(tel), stats).select(
         "computed_at", "model_name", "anomaly_score", "is_anomaly", "cold_start_mode",
-        F.col("dims")[0]["feature"].alias("top_feature"),
+        F.col("dims")[0]["feature"].alias("top_feature"), _an.top_dims(F.col("dims")).alias("top_dims"),
         rnd(F.aggregate("dims", F.lit(0.0), lambda acc, d: acc + d["deviation_pct"]), 2).alias("total_deviation"))
 
 
-def drift_results(tel: DataFrame) -> DataFrame:
-    return _drift.drift_scan(tel, AS_OF, REF_WINDOW, CMP_WINDOW, p_method="series")
-
-
 # ------------------------------------------------------- health / latest --
 
 @query("health_snapshot")
 def q_health(spark, sf_dir):
     tel = telemetry(spark, sf_dir)
-    return model_health(tel, events(tel), drift_results(tel), AS_OF, HEALTH_WINDOW)
+    return model_health(tel, events(tel), stored_drift(spark, sf_dir), AS_OF, HEALTH_WINDOW)
+
+
+@query("health_forest")
+def q_health_forest(spark, sf_dir):
+    """The health snapshot on the stored forest's events."""
+    return model_health(telemetry(spark, sf_dir), forest_events(spark, sf_dir), stored_drift(spark, sf_dir), AS_OF, HEALTH_WINDOW)
 
 
 @query("latest_per_model")
@@ -184,17 +233,36 @@ def q_anomaly_panel(spark, sf_dir):
               .agg(rnd(F.avg("anomaly_score"), 6).alias("avg_score")))
 
 
+#: as_of points of the stored drift history: the last three day ends
+HISTORY = [as_of_value(AS_OF) - _dt.timedelta(days=d) for d in (2, 1, 0)]
+
+
+@query("drift_history")
+def q_drift_history(spark, sf_dir):
+    """Drift rows of three runs, backfilled by the run ledger."""
+    return stored_drift(spark, sf_dir, HISTORY)
+
+
+@query("drift_incremental")
+def q_drift_incremental(spark, sf_dir):
+    """Drift from per-day state that two updates built, for windows that cut
+    through days; equals a full scan."""
+    from ..operators.daystate import DayState
+    from ..sources.sinks import shared_path
+    tel, state = telemetry(spark, sf_dir), DayState(spark, shared_path(spark, "daystate"))
+    state.update(tel, "2024-01-20 06:00:00")
+    state.update(tel, INCREMENTAL[0])
+    return state.drift(tel, *INCREMENTAL, p_method="series")
+
+
+INCREMENTAL = ("2024-01-30 13:37:00", "20d", "36h")
+
+
 @query("psi_panel")
 def q_psi_panel(spark, sf_dir):
-    """5-minute AVG PSI per 'model / metric' over the drift history: one scan
-    per day boundary (as_of at each day end of the last 3 days)."""
-    tel = telemetry(spark, sf_dir)
-    hist = None
-    for d in (2, 1, 0):
-        as_of = (_dt.datetime.fromisoformat(AS_OF) - _dt.timedelta(days=d)).isoformat(sep=" ")
-        r = _drift.drift_scan(tel, as_of, REF_WINDOW, CMP_WINDOW, p_method="series")
-        hist = r if hist is None else hist.unionByName(r)
-    h = hist.where(F.col("psi").isNotNull())
+    """5-minute AVG PSI per 'model / metric' over the stored drift history (one
+    run at each day end of the last 3 days)."""
+    h = stored_drift(spark, sf_dir, HISTORY).where(F.col("psi").isNotNull())
     return (h.groupBy(F.concat_ws(" / ", "model_name", "metric").alias("series"),
                       _pan.bucket_start("computed_at", 300).alias("bucket"))
              .agg(rnd(F.avg("psi"), 6).alias("avg_psi")))
@@ -279,6 +347,13 @@ def q_root_cause_latest(spark, sf_dir):
     return root_cause(tel, events(tel), AS_OF, lookback_minutes=1440, baselines=rule_baselines(tel, AS_OF))
 
 
+@query("root_cause_forest")
+def q_root_cause_forest(spark, sf_dir):
+    """The diagnosis on the stored forest's events."""
+    tel = telemetry(spark, sf_dir)
+    return root_cause(tel, forest_events(spark, sf_dir), AS_OF, lookback_minutes=1440, baselines=rule_baselines(tel, AS_OF))
+
+
 # -------------------------------------------------------------- alerts -----
 
 def external_feed(tel: DataFrame) -> DataFrame:
@@ -305,10 +380,10 @@ def external_feed(tel: DataFrame) -> DataFrame:
                     F.date_format(F.col("hour") + F.expr("INTERVAL 1 HOUR"), "yyyy-MM-dd'T'HH:mm:ss").alias("endsAt"))
 
 
-def stored_alerts(tel: DataFrame) -> DataFrame:
-    return (_alerts.detector_alerts(events(tel))
+def stored_alerts(tel: DataFrame, detector: DataFrame, drift: DataFrame) -> DataFrame:
+    return (_alerts.detector_alerts(detector)
             .unionByName(_alerts.threshold_alerts(tel, AS_OF))
-            .unionByName(_alerts.drift_alerts(drift_results(tel))))
+            .unionByName(_alerts.drift_alerts(drift)))
 
 
 @query("threshold_alerts")
@@ -318,7 +393,8 @@ def q_threshold_alerts(spark, sf_dir):
 
 @query("drift_alerts")
 def q_drift_alerts(spark, sf_dir):
-    return _alerts.drift_alerts(drift_results(telemetry(spark, sf_dir))).drop("anomaly_score", "resolved")
+    """Of one day against the 30 days before: short windows drift more."""
+    return _alerts.drift_alerts(stored_drift(spark, sf_dir, comparison_window="1d")).drop("anomaly_score", "resolved")
 
 
 @query("external_alerts")
@@ -328,7 +404,7 @@ def q_external_alerts(spark, sf_dir):
 
 def _feed(spark, sf_dir, **kw):
     tel = telemetry(spark, sf_dir)
-    return _alerts.alert_feed(stored_alerts(tel), _alerts.external_alerts(external_feed(tel)),
+    return _alerts.alert_feed(stored_alerts(tel, events(tel), stored_drift(spark, sf_dir)), _alerts.external_alerts(external_feed(tel)),
                               limit=ALERT_LIMIT, **kw)
 
 
@@ -342,6 +418,14 @@ def q_alert_feed_critical(spark, sf_dir):
     return _feed(spark, sf_dir, severity="critical", include_resolved=True).drop("_src", "anomaly_score")
 
 
+@query("alert_feed_forest")
+def q_alert_feed_forest(spark, sf_dir):
+    """The feed with the stored forest's events in place of z-score events."""
+    tel = telemetry(spark, sf_dir)
+    return _alerts.alert_feed(stored_alerts(tel, forest_events(spark, sf_dir), stored_drift(spark, sf_dir)),
+                              _alerts.external_alerts(external_feed(tel)), limit=ALERT_LIMIT).drop("_src", "anomaly_score")
+
+
 @query("alert_totals")
 def q_alert_totals(spark, sf_dir):
     return _alerts.alert_totals(_feed(spark, sf_dir))
@@ -370,6 +454,20 @@ def q_saturation(spark, sf_dir):
     return snap
 
 
+#: (as_of of the stored forecasts, their metrics): fresh enough at AS_OF
+CACHED = ("2024-01-30 23:40:00", ["gpu_util_pct", "requests_waiting"])
+
+
+@query("forecast_cached")
+def q_forecast_cached(spark, sf_dir):
+    """Saturation served at AS_OF: two metrics from snapshots stored 20 minutes
+    before, the others computed now."""
+    from ..sources.sinks import shared_path
+    tel, st = telemetry(spark, sf_dir), ResultStore(spark, shared_path(spark, "forecast_cache"))
+    st.serve_forecast(tel, CACHED[0], CACHED[1], method="linear")
+    return st.serve_forecast(tel, AS_OF, requested_hours=2, method="linear")[0]
+
+
 @query("queue_overlay")
 def q_queue_overlay(spark, sf_dir):
     """Queue history (15-min buckets) ++ forecast points as one series."""
@@ -407,6 +505,20 @@ def q_retention(spark, sf_dir):
                                           F.min("time").alias("oldest_kept"))
 
 
+@query("table_maintenance")
+def q_table_maintenance(spark, sf_dir):
+    """Daily snapshots in a partitioned table: append, upsert of the last three
+    days with corrected rows, retention by partition; then read back."""
+    from ..sources.sinks import shared_path
+    snaps = _daily_snapshots(telemetry(spark, sf_dir)).withColumn("day", F.to_date(F.col("computed_at") - F.expr("INTERVAL 1 DAY")))
+    t = Table(spark, shared_path(spark, "maintenance"), "day")
+    t.append(snaps)
+    late = snaps.where(F.col("day") >= F.lit("2024-01-28").cast("date"))
+    t.upsert(late.withColumns({"computed_at": F.col("computed_at") + F.expr("INTERVAL 1 HOUR"), "n": F.col("n") + 1000}), ["model_name", "day"])
+    t.drop_before("2024-01-11")
+    return t.read().withColumn("day", F.col("day").cast("string"))
+
+
 @query("stale_keys")
 def q_stale_keys(spark, sf_dir):
     """Drift keys whose stored result (one per minute bucket replayed) is
@@ -459,13 +571,24 @@ def q_anomaly_train(spark, sf_dir):
 
 @query("anomaly_score")
 def q_anomaly_score(spark, sf_dir):
-    tel = telemetry(spark, sf_dir)
-    mb, nodes = _an.train(tel, AS_OF)
-    ev = _an.score_windows(tel, mb, nodes)
+    """Every 1-minute window scored by the stored forest."""
+    ev = _an.score_windows(telemetry(spark, sf_dir), *stored_forest(spark, sf_dir))
     return ev.select("computed_at", "model_name", "anomaly_score", "is_anomaly", "cold_start_mode",
                      "top_feature", rnd("total_deviation", 2).alias("total_deviation"))
 
 
+@query("train_quarantine")
+def q_train_quarantine(spark, sf_dir):
+    """Training where one model's rows cannot be scaled: its status is 'error',
+    the others train as usual."""
+    tel = telemetry(spark, sf_dir)
+    huge = F.when(F.col("seq") % 2 == 0, F.lit(1.5e308)).otherwise(F.lit(-1.5e308))
+    bad = tel.withColumn("latency_p95_ms", F.when(F.col("model_name") == "error", huge).otherwise(F.col("latency_p95_ms")))
+    mb, _, failed = _an.train_isolated(bad, AS_OF, n_trees=4)
+    return mb.select("model_name", F.lit("ok").alias("status"), F.col("n_training_samples").cast("long").alias("n_training_samples")).unionByName(
+        failed.select("model_name", F.lit("error").alias("status"), F.lit(None).cast("long").alias("n_training_samples")))
+
+
 @query("forecast_seasonal")
 def q_forecast_seasonal(spark, sf_dir):
     """Seasonal fit where a series has >= 672 buckets, linear elsewhere."""
@@ -530,6 +653,29 @@ def q_scrape_metrics(spark, sf_dir):
                     *[rnd(c, 6).alias(c) for c in SCRAPE_DOUBLES])
 
 
+#: seconds a GPU or pod capture may lie before or after the model's scrape
+TICK_TOLERANCE = 3
+
+
+@query("tick_assembly")
+def q_tick_assembly(spark, sf_dir):
+    """Model scrapes joined in time with GPU and pod captures that come off
+    beat and now and then not at all."""
+    ev = _events_for_capture(spark, sf_dir)
+    reg, eid = _cap.registry(spark), F.col("event_id")
+
+    def captured(render, every: int, miss: int, off: int):
+        kept = ev.where(eid % every != miss)
+        ticks = kept.select(eid.alias("tick_id"), (F.col("ts") + F.make_dt_interval(secs=(eid % (2 * off + 1)) - off)).alias("tick_ts"))
+        return render(kept), ticks
+
+    gpu, gpu_ticks = captured(_cap.gpu_scrapes, 3, 0, 4)
+    pods, pod_ticks = captured(_cap.pod_documents, 4, 1, 2)
+    a = _ing.assemble_ticks(_ing.model_metrics(_cap.model_scrapes(ev), reg), _ing.timed(_ing.gpu_metrics(gpu, reg), gpu_ticks),
+                            _ing.timed(_ing.pod_usage(pods, reg), pod_ticks), TICK_TOLERANCE)
+    return a.select("scrape_id", "model_name", *[rnd(c, 6).alias(c) for c in ["latency_p95_ms", *_ing.GPU_COLUMNS.values(), "pod_cpu_millicores", "pod_mem_mb"]])
+
+
 # ----------------------------------------------------------- streaming -----
 
 from ..streaming import jobs as _st  # noqa: E402
@@ -543,8 +689,8 @@ def _fact_stream(spark, sf_dir):
 
 @query("stream_rate")
 def q_stream_rate(spark, sf_dir):
-    """Throughput from the keyed-state stream; equals counter_rate."""
-    r = _st.run_available_now(_st.counter_rate_stream(_fact_stream(spark, sf_dir)), "stream_rate")
+    """Throughput from the stream; equals counter_rate."""
+    r = _st.rate_run(_fact_stream(spark, sf_dir), "stream_rate")
     return r.select("model_name", "time", "seq", "request_success_total",
                     rnd("throughput_rps", 6).alias("throughput_rps"))
 
@@ -556,17 +702,16 @@ STREAM_BUCKET_METRICS = ["requests_waiting", "kv_cache_usage_pct", "gpu_util_pct
 
 @query("stream_bucket")
 def q_stream_bucket(spark, sf_dir):
-    """T4: watermarked 15-minute windows; only windows closed by the
-    watermark (max event time) are emitted."""
-    return _st.run_available_now(_st.bucket_stream(_fact_stream(spark, sf_dir), STREAM_BUCKET_METRICS, STREAM_DELAY),
-                                 "stream_bucket")
+    """T4: watermarked 15-minute windows, those open at the end included."""
+    return _st.bucket_run(_fact_stream(spark, sf_dir), telemetry(spark, sf_dir), STREAM_BUCKET_METRICS, STREAM_DELAY)
 
 
 _CAPTURE_TABLES: dict[tuple, str] = {}
 
 
 def _capture_path(spark, sf_dir, kind):
-    key = (id(spark.sparkContext._jsc), sf_dir, kind)
+    src = f"{sf_dir.rstrip('/')}/events.parquet"
+    key = (id(spark.sparkContext._jsc), src, data_stamp(spark, src), kind)
     if key not in _CAPTURE_TABLES:
         from ..sources.sinks import shared_path, write_table
         ev = _events_for_capture(spark, sf_dir)
@@ -603,7 +748,7 @@ from ..operators import advice as _adv  # noqa: E402
 
 @query("drift_advice")
 def q_drift_advice(spark, sf_dir):
-    d = drift_results(telemetry(spark, sf_dir)).where(F.col("status") == "ok")
+    d = stored_drift(spark, sf_dir).where(F.col("status") == "ok")
     return _adv.with_drift_advice(d).select("model_name", "metric", "severity", "interpretation",
                                             "recommendation")
 
@@ -616,10 +761,8 @@ def q_saturation_advice(spark, sf_dir):
 
 @query("stream_scoring")
 def q_stream_scoring(spark, sf_dir):
-    """Streamed 1-minute windows scored with the trained forest;
-    the output equals the batch ``anomaly_score`` for closed windows."""
-    tel = telemetry(spark, sf_dir)
-    mb, nodes = _an.train(tel, AS_OF)
-    ev = _st.scoring_stream(_fact_stream(spark, sf_dir), mb, nodes, STREAM_DELAY)
+    """Streamed 1-minute windows scored with the stored forest; the output
+    equals the batch ``anomaly_score``."""
+    ev = _st.scoring_run(_fact_stream(spark, sf_dir), telemetry(spark, sf_dir), *stored_forest(spark, sf_dir), STREAM_DELAY)
     return ev.select("computed_at", "model_name", "anomaly_score", "is_anomaly", "cold_start_mode",
                      "top_feature", rnd("total_deviation", 2).alias("total_deviation"))

@@ -173,6 +173,20 @@ def drift_scan_sql(as_of: str = AS_OF) -> str:
     return with_telemetry(*drift_ctes(as_of), body="SELECT * FROM _drift_rows")
 
 
+def drift_history_sql() -> str:
+    import datetime as dt
+    ctes, parts = [], []
+    for d in (2, 1, 0):
+        a = (dt.datetime.fromisoformat(AS_OF) - dt.timedelta(days=d)).strftime("%Y-%m-%d %H:%M:%S")
+        ctes += drift_ctes(a, sfx=f"_{d}")
+        parts.append(f"SELECT * FROM _drift_rows_{d}")
+    return with_telemetry(*ctes, body=" UNION ALL ".join(parts))
+
+
+def drift_incremental_sql() -> str:
+    return with_telemetry(*drift_ctes("2024-01-30 13:37:00", "20d", "36h"), body="SELECT * FROM _drift_rows")
+
+
 def drift_psi_sql(as_of: str = AS_OF) -> str:
     return with_telemetry(*drift_ctes(as_of), body="SELECT model_name, metric, psi FROM _drift_rows WHERE status = 'ok'")
 
@@ -192,6 +206,7 @@ def events_cte(as_of: str = AS_OF) -> str:
            for s in SLOT_SQL}
     devs = ", ".join(f"{R(d, 2)} AS d_{s}" for s, d in dev.items())
     name = {s: f"CASE WHEN model_type = 'tts' THEN '{tts}' ELSE '{llm}' END" for s, (llm, tts) in SLOT_NAMES.items()}
+    dims = ", ".join(f"{{{{'d': -d_{s}, 'i': {i}, 'f': {name[s]}}}}}" for i, s in enumerate(SLOT_SQL)).replace("{{", "{").replace("}}", "}")
     return ",\n".join([*train_ctes(as_of), f"""_wv AS (
   SELECT model_name, model_type, {bucket('time', 60)} AS bucket, {vec}
   FROM telemetry GROUP BY model_name, model_type, {bucket('time', 60)})""", f"""_wz AS (
@@ -201,6 +216,7 @@ def events_cte(as_of: str = AS_OF) -> str:
     z > 3.0 AS is_anomaly, TRUE AS cold_start_mode,
     CASE WHEN d_f0 >= greatest(d_f1, d_f2, d_f3) THEN {name['f0']} WHEN d_f1 >= greatest(d_f2, d_f3) THEN {name['f1']}
          WHEN d_f2 >= d_f3 THEN {name['f2']} ELSE {name['f3']} END AS top_feature,
+    array_to_string(list_transform(list_sort([{dims}])[1:3], lambda x: x.f), ', ') AS top_dims,
     {R('d_f0 + d_f1 + d_f2 + d_f3', 2)} AS total_deviation FROM _wz)"""])
 
 PANEL_METRICS = ["latency_p95_ms", "kv_cache_usage_pct", "gpu_util_pct", "requests_waiting",
@@ -394,6 +410,31 @@ FROM _w"""
     return with_telemetry(*ctes, body=body)
 
 
+def compare_models_sql(as_of: str = AS_OF, metric: str = "latency_p95_ms") -> str:
+    """p by Simpson's rule over the Student density, 4,000 steps."""
+    inner = compare_welch_sql(as_of, metric)
+    head = inner.rsplit("SELECT model_a, model_b, metric", 1)[0]
+    t, dfx = "(ma - mb) / sqrt(sa + sb)", "((sa + sb) * (sa + sb)) / (sa * sa / (na - 1) + sb * sb / (nb - 1))"
+    q = ", ".join(f"{s}.{c} AS {c}_{s}" for s in "ab" for c in ("p50", "p95", "p99"))
+    return head.rstrip() + f""",
+_wx AS (SELECT *, {t} AS t, {dfx} AS df FROM _w),
+_dens AS (SELECT model_a, t, df, exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi()) AS c,
+  sum(CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
+      * pow(1 + (i * abs(t) / 4000) * (i * abs(t) / 4000) / df, -(df + 1) / 2)) AS area
+  FROM _wx, (SELECT unnest(range(0, 4001)) AS i) WHERE both_ok AND sa + sb > 0 GROUP BY model_a, t, df),
+_pv AS (SELECT model_a, {R('1 - 2 * c * area * abs(t) / 12000', 6)} AS p FROM _dens),
+_full AS (SELECT w.*, v.p, {q}, CASE WHEN mean_a IS NOT NULL AND mean_b IS NOT NULL AND mean_b <> 0
+    THEN {R('(mean_a - mean_b) / mean_b * 100.0', 2)} END AS diff
+  FROM _wx w LEFT JOIN _pv v USING (model_a) LEFT JOIN _st a ON a.model_name = w.model_a LEFT JOIN _st b ON b.model_name = w.model_b)
+SELECT model_a, model_b, metric, CASE WHEN n_a = 0 AND n_b = 0 THEN 'no_data' ELSE 'ok' END AS status, n_a, n_b, mean_a, mean_b,
+  p50_a, p95_a, p99_a, p50_b, p95_b, p99_b, diff AS difference_pct, CASE WHEN both_ok THEN {R('t', 6)} END AS t_statistic,
+  p AS p_value, COALESCE(p < 0.05, FALSE) AS statistically_significant,
+  CASE WHEN diff IS NOT NULL THEN printf('mean %s: %s is %.1f%% %s than %s, p %s 0.05', '{metric}', model_a, {R('abs(diff)', 1)},
+      CASE WHEN diff > 0 THEN 'higher' ELSE 'lower' END, model_b, CASE WHEN COALESCE(p < 0.05, FALSE) THEN 'under' ELSE 'not under' END)
+    ELSE printf('%s has too few values of %s or %s', '{metric}', model_a, model_b) END AS summary
+FROM _full"""
+
+
 # ---------------------------------------------------------- root cause -----
 
 RULE_CONDITIONS = {"R1": (2, 2), "R2": (2, 2), "R3": (2, 2), "R4": (2, 2),
@@ -458,9 +499,9 @@ def root_cause_rows_sql() -> str:
     ctes = [events_cte(), """_mm AS (SELECT model_name, avg(latency_p95_ms) AS b_lat0, avg(ttft_p95_ms) AS b_ttft0,
   avg(tpot_mean_ms) AS b_tpot0 FROM telemetry GROUP BY model_name)""",
             f"""_rin AS (SELECT t.*, m.b_lat0, m.b_ttft0, m.b_tpot0, e.anomaly_score AS ev_score,
-  e.total_deviation AS ev_dev, e.top_feature AS ev_dims
+  e.total_deviation AS ev_dev, e.top_dims AS ev_dims
   FROM telemetry t LEFT JOIN _mm m USING (model_name)
-  LEFT JOIN _events e ON e.model_name = t.model_name AND e.computed_at = {bucket('t.time', 60)} + INTERVAL 60 SECOND)""",
+  ASOF LEFT JOIN _events e ON e.model_name = t.model_name AND t.time >= e.computed_at)""",
             f"_ri AS ({rule_inputs_sql('_rin')})"]
     return with_telemetry(*ctes, body=f"SELECT model_name, time, seq, {rules_select_sql()} FROM _ri")
 
@@ -471,7 +512,7 @@ def root_cause_latest_sql(as_of: str = AS_OF, lookback_minutes: int = 1440) -> s
     ctes = [events_cte(), f"""_evr AS (SELECT model_name, max(computed_at) AS computed_at,
   arg_max(anomaly_score, computed_at) AS ev_score, arg_max(is_anomaly, computed_at) AS is_anomaly,
   arg_max(cold_start_mode, computed_at) AS cold_start_mode, arg_max(total_deviation, computed_at) AS ev_dev,
-  arg_max(top_feature, computed_at) AS ev_dims
+  arg_max(top_dims, computed_at) AS ev_dims
   FROM _events WHERE computed_at >= {lo} AND computed_at <= {ts(as_of)} GROUP BY model_name)""",
             f"""_snap AS (SELECT model_name, {avgs} FROM telemetry
   WHERE time >= {lo} AND time <= {ts(as_of)} GROUP BY model_name)""",
@@ -515,13 +556,15 @@ def threshold_ctes(as_of: str = AS_OF) -> list[str]:
     CASE WHEN {v} {op} {c} THEN 'critical' WHEN {v} {op} {w} THEN 'warning' END AS severity,
     CASE WHEN {v} {op} {c} THEN {c} ELSE {w} END AS threshold, '{op}' AS op FROM _tb""")
     return [
-        f"""_bl AS (SELECT model_name, avg(latency_p95_ms) AS bl FROM telemetry
-  WHERE time >= {minus(as_of, 7 * 86400)} AND time < {ts(as_of)} GROUP BY model_name)""",
+        f"""_mb AS (SELECT model_name, {bucket('time', 60)} AS bucket, sum(CAST(latency_p95_ms AS DECIMAL(38, 9))) AS s,
+    count(latency_p95_ms) AS n FROM telemetry WHERE time < {ts(as_of)} GROUP BY ALL)""",
+        """_bl AS (SELECT model_name, bucket, CAST(sum(s) OVER w AS DOUBLE) / nullif(sum(n) OVER w, 0) AS bl FROM _mb
+  WINDOW w AS (PARTITION BY model_name ORDER BY bucket RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING))""",
         f"""_tb AS (SELECT b.*, l.bl FROM (
   SELECT model_name, model_type, {bucket('time', 60)} AS bucket, avg(latency_p95_ms) AS lat,
     avg(requests_waiting) AS rw, avg(kv_cache_usage_pct) AS kv, avg(gpu_mem_free_mb) AS free,
     avg(gpu_temp_celsius) AS temp, avg(CASE WHEN model_type = 'tts' THEN rtf END) AS rtf_t
-  FROM telemetry WHERE time < {ts(as_of)} GROUP BY ALL) b LEFT JOIN _bl l USING (model_name))""",
+  FROM telemetry WHERE time < {ts(as_of)} GROUP BY ALL) b LEFT JOIN _bl l USING (model_name, bucket))""",
         "_checks AS (" + "\n  UNION ALL ".join(parts) + ")",
         f"""_thr AS (SELECT 'threshold' AS source, 'threshold' AS alert_type, model_name,
   printf('%s %s %.4f', metric, op, {R('threshold', 4)}) AS title,
@@ -562,7 +605,7 @@ def threshold_alerts_sql() -> str:
 
 
 def drift_alerts_sql() -> str:
-    return with_telemetry(*drift_ctes(AS_OF), DRIFT_ALERTS_CTE,
+    return with_telemetry(*drift_ctes(AS_OF, cmp="1d"), DRIFT_ALERTS_CTE,
                           body="SELECT source, alert_type, model_name, title, description, severity, fired_at FROM _dal")
 
 
@@ -645,7 +688,13 @@ FROM _fit f
 LEFT JOIN (SELECT DISTINCT model_name, metric, threshold FROM _pts) t USING (model_name, metric)
 LEFT JOIN (SELECT model_name, metric, min(ds) AS saturation_time FROM _pts WHERE yhat_upper >= threshold
            GROUP BY model_name, metric) s USING (model_name, metric)"""
-    return with_telemetry(*fit_ctes(), body=body)
+    return with_telemetry(*fit_ctes(as_of), body=body)
+
+
+def forecast_cached_sql() -> str:
+    old = "('gpu_util_pct', 'requests_waiting')"
+    return (f"SELECT * FROM ({saturation_sql('2024-01-30 23:40:00')}) WHERE metric IN {old} UNION ALL "
+            f"SELECT * FROM ({saturation_sql()}) WHERE metric NOT IN {old}")
 
 
 def queue_overlay_sql() -> str:
@@ -667,6 +716,15 @@ WHERE rk = 1"""
     return with_telemetry(body=body)
 
 
+def table_maintenance_sql() -> str:
+    body = f"""SELECT model_name, CASE WHEN late THEN day + INTERVAL 25 HOUR ELSE day + INTERVAL 1 DAY END AS computed_at, latency_p95_ms,
+  CASE WHEN late THEN n + 1000 ELSE n END AS n, strftime(day, '%Y-%m-%d') AS day FROM (
+    SELECT model_name, date_trunc('day', time) AS day, {R('avg(latency_p95_ms)', 4)} AS latency_p95_ms, count(*) AS n,
+      date_trunc('day', time) >= TIMESTAMP '2024-01-28 00:00:00' AS late
+    FROM telemetry GROUP BY model_name, date_trunc('day', time)) WHERE day >= TIMESTAMP '2024-01-11 00:00:00'"""
+    return with_telemetry(body=body)
+
+
 def retention_sql(as_of: str = AS_OF, days: int = 20) -> str:
     return with_telemetry(body=f"""SELECT model_name, count(*) AS n_kept, min(time) AS oldest_kept
 FROM telemetry WHERE time >= {minus(as_of, days * 86400)} GROUP BY model_name""")
@@ -710,6 +768,11 @@ def anomaly_baselines_sql() -> str:
     return with_telemetry(*train_ctes(), body=f"SELECT model_name, model_type, n AS n_training_samples, {cols} FROM _abase")
 
 
+def train_quarantine_sql() -> str:
+    return with_telemetry(*train_ctes(), body="""SELECT model_name, CASE WHEN model_name = 'error' THEN 'error' ELSE 'ok' END AS status,
+  CASE WHEN model_name <> 'error' THEN CAST(n AS BIGINT) END AS n_training_samples FROM _abase WHERE n >= 10""")
+
+
 def contributing_dims_sql() -> str:
     vec_cols = ", ".join(f"avg({e}) AS {s}" for s, e in SLOT_SQL.items())
     parts = []
@@ -845,13 +908,28 @@ LEFT JOIN _pods p ON p.tick_id = c.event_id AND p.model_name = c.event_type"""
     return "WITH " + _CAP + ",\n" + _gpu_cte() + ",\n" + _pods_cte() + "\n" + body
 
 
+def tick_assembly_sql(tolerance: int = 3) -> str:
+    def side(name: str, src: str, every: int, miss: int, off: int) -> str:
+        return f"""{name} AS (SELECT g.*, c.ts + to_seconds((g.tick_id % {2 * off + 1}) - {off}) - INTERVAL {tolerance} SECOND AS seen
+  FROM {src} g JOIN _cap c ON c.event_id = g.tick_id WHERE g.tick_id % {every} <> {miss}
+  QUALIFY row_number() OVER (PARTITION BY g.model_name, seen ORDER BY g.tick_id DESC) = 1)"""
+
+    def near(s: str, expr: str, col: str) -> str:
+        return f"CASE WHEN c.ts - {s}.seen <= INTERVAL {2 * tolerance} SECOND THEN {expr} END AS {col}"
+    lat = _p6("value * 10.0 / 1000.0") + " * 1000.0"
+    cols = ", ".join([*(near("g", f"g.{c}", c) for c in GPU_BASE), near("p", R("p.cpu", 6), "pod_cpu_millicores"), near("p", R("p.mem", 6), "pod_mem_mb")])
+    return "WITH " + ",\n".join([_CAP, _gpu_cte(), _pods_cte(), side("_gt", "_gpu", 3, 0, 4), side("_pt", "_pods", 4, 1, 2)]) + f"""
+SELECT c.event_id AS scrape_id, c.event_type AS model_name, {R(lat, 6)} AS latency_p95_ms, {cols}
+FROM _cap c ASOF LEFT JOIN _gt g ON g.model_name = c.event_type AND c.ts >= g.seen
+ASOF LEFT JOIN _pt p ON p.model_name = c.event_type AND c.ts >= p.seen"""
+
+
 # ----------------------------------------------------------- streaming -----
 
 def stream_bucket_sql(metrics=("requests_waiting", "kv_cache_usage_pct", "gpu_util_pct", "rtf")) -> str:
     cols = ", ".join(f"{R(f'avg({m})', 6)} AS {m}" for m in metrics)
     return with_telemetry(body=f"""SELECT model_name, {bucket('time', 900)} AS bucket, {cols}
-FROM telemetry GROUP BY model_name, {bucket('time', 900)}
-HAVING {bucket('time', 900)} + INTERVAL 900 SECOND <= (SELECT max(time) FROM telemetry)""")
+FROM telemetry GROUP BY model_name, {bucket('time', 900)}""")
 
 
 # -------------------------------------------------------------- advice -----

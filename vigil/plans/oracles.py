@@ -41,6 +41,13 @@ ORACLES: dict[str, str] = {
     "retention": O.retention_sql(),
     "stale_keys": O.stale_keys_sql(),
 }
+ORACLES["drift_history"] = O.drift_history_sql()
+ORACLES["drift_incremental"] = O.drift_incremental_sql()
+ORACLES["forecast_cached"] = O.forecast_cached_sql()
+ORACLES["table_maintenance"] = O.table_maintenance_sql()
+ORACLES["train_quarantine"] = O.train_quarantine_sql()
+ORACLES["compare_models"] = O.compare_models_sql()
+ORACLES["tick_assembly"] = O.tick_assembly_sql()
 ORACLES["anomaly_baselines"] = O.anomaly_baselines_sql()
 ORACLES["contributing_dims"] = O.contributing_dims_sql()
 ORACLES["exposition_samples"] = O.exposition_samples_sql()
