@@ -1,9 +1,10 @@
 """Operator 8, exact substring dedup over sampled bytes.
 
-The method named for this operator, the difference-cover suffix array, is not
-used and was not tried: no suffixes or triples are sorted, nothing recurses on
-names, no neighbours in a sorted order are compared.  This is the winnowing of
-operator 7 (``seeds``) on bytes: positions are sampled by content (minima of the
+The method named for this operator, difference-cover suffix sorting, is built
+in ``cover`` and gives the same results, but it sorts every byte position
+several times: on 0.29 MB of documents it shuffled 189 MB and wrote 101 MB,
+against a budget of four times the input.  So this operator does not run on it.
+It is the winnowing of operator 7 (``seeds``) on bytes: positions are sampled by content (minima of the
 hashed ``prefix``-byte grams among ``width`` neighbours), so equal strings of
 ``window`` bytes sample equal offsets, and equal windows meet in grouped counts
 of 64-bit hashes.
