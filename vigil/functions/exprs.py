@@ -14,20 +14,14 @@ def rnd(x, digits: int) -> Column:
     """Round half away from zero on the binary value.
 
     Spark's ``round`` goes through a decimal string; this form is plain IEEE
-    arithmetic, so the same expression in SQL gives bit-identical results
-    (see ``sql_rnd``).  -0.0 is normalised to 0.0.
+    arithmetic, so the same expression in SQL gives bit-identical results.
+    -0.0 is normalised to 0.0.
     """
     x = _c(x)
     m = F.lit(float(10 ** digits))
     return F.when(x < 0, -F.floor(-x * m + 0.5) / m).otherwise(F.floor(x * m + 0.5) / m) + F.lit(0.0)
 
 
-def sql_rnd(expr: str, digits: int) -> str:
-    m = f"{float(10 ** digits)!r}"
-    return (f"(CASE WHEN ({expr}) < 0 THEN -floor(-({expr}) * {m} + 0.5) / {m} "
-            f"ELSE floor(({expr}) * {m} + 0.5) / {m} END + 0.0)")
-
-
 def finite(x) -> Column:
     x = _c(x)
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))

@@ -28,16 +28,6 @@ def ks_series_pvalue(n_ref: Column, n_cmp: Column, d: Column, terms: int = 100)
     return F.when(lam < 0.2, F.lit(1.0)).otherwise(F.least(F.greatest(2.0 * series, F.lit(0.0)), F.lit(1.0)))
 
 
-def sql_ks_series_pvalue(n_ref: str, n_cmp: str, d: str, terms: int = 100) -> str:
-    """DuckDB form of ``ks_series_pvalue`` (same arithmetic)."""
-    ne = f"(CAST({n_ref} AS DOUBLE) * {n_cmp} / ({n_ref} + {n_cmp}))"
-    lam = f"((sqrt({ne}) + 0.12 + 0.11 / sqrt({ne})) * {d})"
-    series = (f"list_reduce(list_transform(range(1, {terms + 1}), lambda k: "
-              f"pow(-1.0, k - 1) * exp(-2.0 * k * k * {lam} * {lam})), lambda a, b: a + b, 0.0)")
-    return (f"(CASE WHEN {lam} < 0.2 THEN 1.0 ELSE "
-            f"least(greatest(2.0 * {series}, 0.0), 1.0) END)")
-
-
 def _ks_exact_one(n: int, m: int, d: float) -> float:
     """P(D >= d) for two samples of sizes n, m.
 

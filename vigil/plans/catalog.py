@@ -716,14 +716,17 @@ def _capture_path(spark, sf_dir, kind):
         from ..sources.sinks import shared_path, write_table
         ev = _events_for_capture(spark, sf_dir)
         df = {"model": _cap.model_scrapes, "gpu": _cap.gpu_scrapes, "pods": _cap.pod_documents}[kind](ev)
-        _CAPTURE_TABLES[key] = write_table(df, shared_path(spark, f"capture_{kind}"))
+        if kind != "model":                # by day, so that a micro-batch reads its own days
+            df = df.withColumn("date", F.to_date("tick_ts"))
+        _CAPTURE_TABLES[key] = write_table(df, shared_path(spark, f"capture_{kind}"), ["date"] if kind != "model" else [])
     return _CAPTURE_TABLES[key]
 
 
 @query("stream_ingest")
 def q_stream_ingest(spark, sf_dir):
     """Captured scrapes streamed through the collector pipeline in
-    foreachBatch; GPU and pod captures are static sides joined per batch."""
+    foreachBatch; GPU and pod captures are static sides, partitioned by day, of
+    which a batch reads the days it has scrapes of."""
     mpath = _capture_path(spark, sf_dir, "model")
     gpu = spark.read.parquet(_capture_path(spark, sf_dir, "gpu"))
     pods = spark.read.parquet(_capture_path(spark, sf_dir, "pods"))
@@ -732,8 +735,10 @@ def q_stream_ingest(spark, sf_dir):
 
     def process(batch):
         ticks = batch.select(F.col("scrape_id").alias("tick_id"))
-        g = _ing.gpu_metrics(gpu.join(ticks, "tick_id", "left_semi"), reg)
-        p = _ing.pod_usage(pods.join(ticks, "tick_id", "left_semi"), reg)
+        days = [r[0] for r in batch.select(F.to_date("scrape_ts")).distinct().collect()]
+        mine = F.col("date").isin(days)
+        g = _ing.gpu_metrics(gpu.where(mine).join(ticks, "tick_id", "left_semi"), reg)
+        p = _ing.pod_usage(pods.where(mine).join(ticks, "tick_id", "left_semi"), reg)
         return _ing.assemble(_ing.model_metrics(batch, reg), g, p)
 
     a = _st.ingest_stream(stream, process, "stream_ingest")

@@ -1,20 +1,34 @@
 """DuckDB SQL equivalents of the registered queries (the correctness oracle).
 
 The fact-table projection is plain window SQL here; the Spark side computes
-the same values with balanced scans.  Float outputs are rounded with the
-same IEEE expression on both sides (``sql_rnd``).
+the same values with balanced scans.  Float outputs are rounded half away
+from zero on the binary value on both sides (``R``).
 """
 
 from __future__ import annotations
 
 from ..config import DRIFT_METRICS, PSI_BINS, PSI_CLIP, PSI_EDGE_EPS, ROOT_CAUSES
-from ..functions.exprs import sql_rnd as R
-from ..functions.stats import sql_ks_series_pvalue
 from ..operators.advice import RULE_ACTIONS
 
 AS_OF = "2024-01-31 00:00:00"
 
 
+def R(expr: str, digits: int) -> str:
+    """``expr`` rounded half away from zero in plain IEEE arithmetic; never -0.0."""
+    scale = f"{10.0 ** digits!r}"
+    return (f"(CASE WHEN ({expr}) < 0 THEN -floor(-({expr}) * {scale} + 0.5) / {scale} "
+            f"ELSE floor(({expr}) * {scale} + 0.5) / {scale} END + 0.0)")
+
+
+def ks_p(n: str, m: str, d: str) -> str:
+    """Two-sided asymptotic p of the KS statistic ``d``: 2 sum (-1)^(k-1) exp(-2 k^2 l^2) over 100 terms,
+    l = (sqrt(e) + 0.12 + 0.11 / sqrt(e)) d, e = nm / (n + m)."""
+    e = f"(CAST({n} AS DOUBLE) * {m} / ({n} + {m}))"
+    lam = f"((sqrt({e}) + 0.12 + 0.11 / sqrt({e})) * {d})"
+    terms = f"list_transform(range(1, 101), lambda k: pow(-1.0, k - 1) * exp(-2.0 * k * k * {lam} * {lam}))"
+    return f"(CASE WHEN {lam} < 0.2 THEN 1.0 ELSE least(greatest(2.0 * list_reduce({terms}, lambda a, b: a + b, 0.0), 0.0), 1.0) END)"
+
+
 def ts(s: str) -> str:
     return f"TIMESTAMP '{s}'"
 
@@ -148,7 +162,7 @@ def drift_ctes(as_of: str, ref: str = "30d", cmp: str = "10d", sfx: str = "", me
     COALESCE(t.nr, 0) >= 30 AND COALESCE(t.nc, 0) >= 30 AS ok,
     t.rm, t.cm, k.d,
     CASE WHEN q.model_name IS NOT NULL THEN COALESCE(p.psi, 0.0) END AS psi,
-    {sql_ks_series_pvalue("t.nr", "t.nc", "k.d")} AS p
+    {ks_p("t.nr", "t.nc", "k.d")} AS p
   FROM {n('_grid')} g
   LEFT JOIN {n('_tot')} t ON t.model_name = g.model_name AND t.metric = g.metric
   LEFT JOIN {n('_ks')} k ON k.model_name = g.model_name AND k.metric = g.metric

@@ -46,11 +46,6 @@ def minus_seconds(as_of, seconds: int) -> Column:
     return ts_lit(as_of_value(as_of) - _dt.timedelta(seconds=seconds))
 
 
-def sql_ts(as_of) -> str:
-    """`as_of` as a SQL literal usable by Spark SQL and DuckDB alike."""
-    return f"TIMESTAMP '{as_of_value(as_of).strftime('%Y-%m-%d %H:%M:%S')}'"
-
-
 def since(df, as_of, seconds: int, time_col: str = "time", open_end: bool = False):
     """Rows with ``as_of - seconds <= time <= as_of``: a past ``as_of`` does not
     see what came after it (``open_end`` keeps later rows).  When the frame
