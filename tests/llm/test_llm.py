@@ -298,6 +298,30 @@ def test_chat(spark):
     assert chat.windows(df.where("false")).count() == 0
 
 
+def test_chat_hot_conversation(spark):
+    """One conversation cut into several ranges, with equal turns, ties, a null
+    turn and one very long text: places and sums as counted one by one."""
+    turns = [(7, k // 3, ["user", "assistant", "user"][k % 3], words(5)) for k in range(600)]
+    turns += [(7, 50, "user", "same")] * 200
+    turns += [(7, None, "system", "rules"), (7, 10**12, "assistant", "y " * 200_000), (8, 0, "system", "s"), (8, 1, "user", "u")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(7)
+    aqe = "spark.sql.adaptive.coalescePartitions.enabled"
+    was = spark.conf.get(aqe)
+    spark.conf.set(aqe, "false")                # as many ranges as shuffle partitions
+    try:
+        placed = chat._placed(df).collect()
+    finally:
+        spark.conf.set(aqe, was)
+    rows = sorted((r for r in placed if r["conv_id"] == 7), key=lambda r: r["seq"])
+    assert [r["seq"] for r in rows] == list(range(1, len(turns) - 1))
+    total = 0
+    for r in rows:
+        total += r["tokens"] - r["system"]
+        assert r["upto"] == total and r["sys"] == rows[0]["tokens"]
+    want = sorted((t for t in turns if t[0] == 7), key=lambda t: (-1 if t[1] is None else t[1], t[2], t[3]))
+    assert [r["wtext"] for r in rows] == [t[3] for t in want]
+
+
 def test_components(spark):
     """A long path, a hot star, a ring and loose pairs: smallest reachable id."""
     from vigil.llm.common import Stage, prepare

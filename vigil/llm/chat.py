@@ -16,7 +16,7 @@ budget and ``history`` allow.  Only assistant turns in their own window are
 targets; repeated ones are masked.
 
 Defined results: a null text or role is empty; ties in ``turn`` are ordered by
-role, then text; a null turn comes first; a null conv_id is one conversation.
+role, then the text's first 64 code points, then its hash; a null turn comes first; a null conv_id is one conversation.
 Repeated rows are turns of their own.  Extra columns are ignored; an empty
 table gives no rows.
 """
@@ -26,10 +26,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import same
+from .common import prepare, same, Stage
 
 OPEN, CLOSE = "<|turn|>", "<|end|>\n"
 BUDGET, HISTORY = 1024, 256
+TIE = 64                       # code points of a text that order ties, before its hash
 #: Control strings of this and other public chat templates (fixed values).
 CONTROLS = ("<|turn|>", "<|end|>", "<|im_start|>", "<|im_end|>", "<|startoftext|>", "<|endoftext|>", "<s>", "</s>",
             "<<SYS>>", "<</SYS>>", "[INST]", "[/INST]")
@@ -54,20 +55,51 @@ def count_tokens(text: Column) -> Column:
     return F.size(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{M}]+|\p{N}|[^\s\p{L}\p{M}\p{N}]+"), F.lit(0))).cast("long")
 
 
-def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
-    """Rows (conv_id, window, text, n_repeated, spans, n_tokens): ``spans``
-    are the (start, end) code points of the targets in ``text``; the first
-    ``n_repeated`` turns of the window stand in it again."""
+def _placed(turns: DataFrame) -> DataFrame:
+    """The turns with their escaped texts, ``seq`` (place in the conversation),
+    ``system`` (tokens, if this is the system turn), ``sys`` (the same for the
+    whole conversation) and ``upto`` (tokens of the turns up to this one, but
+    for the system turn).
+
+    All conversations are sorted as one and cut into ranges of even size, so a
+    conversation with a third of all turns spreads over many tasks.  Numbers
+    and sums run within (conversation, range); one row for each of these
+    carries them on.  Only short keys are sorted; texts join by row."""
+    stage = Stage(turns.sparkSession, "chat")
     role = F.replace(escape(F.coalesce(F.col("role"), F.lit(""))), F.lit("\n"), F.lit("~3"))
     body = escape(F.coalesce(F.col("text"), F.lit("")))
     t = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
                      F.coalesce("role", F.lit("")).alias("role"), role.alias("wrole"), body.alias("wtext"))
     t = t.withColumn("tokens", count_tokens(F.concat("wrole", F.lit(" "), "wtext")) + F.lit(4))
-    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "wtext")
-    t = (t.withColumn("seq", F.row_number().over(order))
-         .withColumn("system", F.when((F.col("seq") == 1) & (F.col("role") == "system"), F.col("tokens")).otherwise(F.lit(0)))
-         .withColumn("sys", F.sum("system").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-         .withColumn("upto", F.sum(F.col("tokens") - F.col("system")).over(order.rowsBetween(Window.unboundedPreceding, 0))))
+    t = stage.put(t.withColumn("row", F.monotonically_increasing_id()), "turns")
+    key = ["turn", "role", "pre", "tie", "row"]
+    slim = t.select("conv_id", "turn", "role", F.substring("wtext", 1, TIE).alias("pre"), F.xxhash64("wtext").alias("tie"), "row", "tokens")
+    cut = slim.repartitionByRange("conv_id", *key).withColumn("chunk", F.spark_partition_id())
+    cut = stage.put(cut, "ranges")
+    order = Window.partitionBy("conv_id", "chunk").orderBy(*key)
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = cut.select("conv_id", "chunk", "row", "role", "tokens", F.row_number().over(order).alias("i"), F.sum("tokens").over(upto).alias("sum"))
+    x = stage.put(x, "local")
+    lead = F.max(F.when((F.col("i") == 1) & (F.col("role") == "system"), F.col("tokens")))
+    per = x.groupBy("conv_id", "chunk").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("all"), lead.alias("lead"))
+    chunks = Window.partitionBy("conv_id").orderBy("chunk")
+    before = chunks.rowsBetween(Window.unboundedPreceding, -1)
+    first = F.first("lead").over(chunks.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    carry = per.select(F.col("conv_id").alias("c_conv"), F.col("chunk").alias("c_chunk"), F.coalesce(first, F.lit(0)).alias("sys"),
+                       F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("all").over(before), F.lit(0)).alias("sum0"))
+    x = x.join(carry, same(F.col("conv_id"), F.col("c_conv")) & (F.col("chunk") == F.col("c_chunk")))
+    seq = F.col("i") + F.col("n0")
+    x = x.select("row", seq.alias("seq"), "sys", F.when(seq == 1, F.col("sys")).otherwise(F.lit(0)).alias("system"),
+                 (F.col("sum") + F.col("sum0") - F.col("sys")).alias("upto"))
+    return stage.put(t.join(x, "row").drop("row", "turn"), "placed")
+
+
+def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
+    """Rows (conv_id, window, text, n_repeated, spans, n_tokens): ``spans``
+    are the (start, end) code points of the targets in ``text``; the first
+    ``n_repeated`` turns of the window stand in it again."""
+    prepare(turns.sparkSession)
+    t = _placed(turns)
     is_sys = F.col("system") > 0
     t = t.withColumn("start", F.col("upto") - F.col("tokens") + F.col("system"))
     t = t.withColumn("stride", F.greatest(F.lit(1), F.floor((F.lit(budget) - F.col("sys")) / 2)).cast("long"))
