@@ -84,6 +84,30 @@ def test_minhash(docs, rows):
     assert got(minhash.near_duplicates(docs)) == sorted(want, key=repr)
 
 
+def test_minhash_hub_rounds(spark):
+    """A group whose members link with many others, few with the smallest: the
+    same components for any number of hub rounds, and as brute force."""
+    r = np.random.default_rng(3)
+    base, texts = [f"w{k}" for k in range(300)], []
+    for _ in range(60):
+        w = list(base)
+        for k in r.choice(300, 6, replace=False):
+            w[k] = f"x{r.integers(1 << 40)}"
+        texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [{tuple(w[k:k + 5]) for k in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    comp = list(range(len(sets)))
+    for _ in sets:
+        for a, s in enumerate(sets):
+            for b, u in enumerate(sets):
+                if 100 * len(s & u) >= 75 * len(s | u):
+                    comp[a] = comp[b] = min(comp[a], comp[b])
+    want = sorted(((i, len(s), comp[i], comp[i] == i) for i, s in enumerate(sets)), key=repr)
+    assert 1 < len(set(comp)) < len(comp)
+    for n in (0, 1, 4):
+        assert got(minhash.near_duplicates(df, hub_rounds=n)) == want
+
+
 def test_substrings(docs, rows):
     split = [WORD.findall(t or "") for _, t in rows]
     seen = collections.Counter(tuple(w[k:k + 35]) for w in split for k in range(len(w) - 34))

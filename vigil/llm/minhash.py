@@ -13,11 +13,15 @@ expected 0.75: more than five standard deviations).  So of its values, taken
 rarest first, only the first ``size - t + 1`` need a list entry; most
 documents have none, because a value seen once needs no list.
 
-Links are found in two rounds.  First every list links its members to its
-smallest member.  Then documents of *different* components that still share a
-list are compared wherever exact bounds on their full sets allow a link (see
-``_prefix_pairs``).  What the first round joined needs no second look:
-components, not pairs, are the result.
+Links are found in rounds.  First every list compares its members with its
+smallest member.  Hub rounds follow: in lists that hold different components,
+members meet two heads drawn at random, so a group whose members link with
+many others, though not with its smallest, soon is one component at a cost of
+two pairs an entry and round.  Last, documents of *different* components that
+still share a list are compared wherever exact bounds on their full sets allow
+a link (see ``_prefix_pairs``).  What one round joined needs no second look:
+components, not pairs, are the result; the number of hub rounds changes only
+how many pairs the last round meets.
 
 Defined results: a null or empty text has no shingles and links with
 nothing.  With fewer than 5 words the whole sequence is the one shingle.
@@ -41,6 +45,7 @@ from .graph import components
 
 K, SHINGLE, FLOOR = 64, 5, 0.47
 NUM, DEN = 75, 100
+HUB_ROUNDS = 2                 # at most; a cost, the result is the same for any number
 ODD = 8
 ODDS = [f"odd{i}" for i in range(ODD)]
 SALT = X.U(0x5851F42D4C957F2D)
@@ -159,8 +164,39 @@ def _prefix_pairs(docs: DataFrame, stage: Stage, num: int, den: int) -> DataFram
     return stage.put(pairs, "pairs")
 
 
+def _mixed(lists: DataFrame, comp: DataFrame) -> DataFrame:
+    """The entries of lists that hold documents of two components or more."""
+    lab = lists.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    lab = lab.withColumn("component", F.coalesce("component", "rep"))
+    ends = lab.groupBy("value").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1")
+    return lab.join(ends.select("value"), "value", "left_semi")
+
+
+def _hub_pairs(mixed: DataFrame, stage: Stage, turn: int) -> DataFrame:
+    """Each member against two heads of its list, where their components differ.
+    The order that chooses heads is drawn anew for each turn and is one for all
+    lists, so that the lists of a large group agree on few heads."""
+    x = mixed.withColumn("draw", F.xxhash64("rep", F.lit(turn)))
+    me = F.struct("draw", "rep", "component")
+    head = stage.put(x.groupBy("value").agg(F.array(F.min(me), F.max(me)).alias("heads")), f"heads{turn}")
+    head = head.select("value", F.explode("heads").alias("h")).select("value", F.col("h.rep").alias("b"), F.col("h.component").alias("cb"))
+    return mixed.join(head, "value").where("component <> cb").select(
+        F.greatest("rep", "b").alias("a"), F.least("rep", "b").alias("b")).distinct()
+
+
+def _merged(comp: DataFrame, links: DataFrame, stage: Stage, tag: str) -> DataFrame:
+    """Components after ``links`` more, found on the graph of the components
+    that they join."""
+    a, b = (comp.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
+    ends = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    met = components(ends, stage, tag).select(F.col("node").alias("old"), F.col("component").alias("new"))
+    old = comp.join(met, comp.component == met.old, "left").select("node", F.coalesce("new", "component").alias("component"))
+    alone = met.join(comp, met.old == comp.node, "left_anti").select(F.col("old").alias("node"), F.col("new").alias("component"))
+    return old.unionByName(alone)
+
+
 def near_duplicates(docs: DataFrame, num: int = NUM, den: int = DEN, k: int = K, size: int = SHINGLE,
-                    floor: float = FLOOR) -> DataFrame:
+                    floor: float = FLOOR, hub_rounds: int = HUB_ROUNDS) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
     prepare(spark)
@@ -193,28 +229,26 @@ def near_duplicates(docs: DataFrame, num: int = NUM, den: int = DEN, k: int = K,
         full = pairs.join(a, "a").join(b, "b").select("a", "b", "ha", "hb")
         return stage.put(full.mapInArrow(_exact(num, den), "a long, b long"), f"links{tag}")
 
-    def likely(pairs: DataFrame) -> DataFrame:
+    def likely(pairs: DataFrame, tag: str) -> DataFrame:
         a, b = (sk.select(F.col("rep").alias(x), F.col("sketch").alias(f"s{x}")) for x in "ab")
-        return stage.put(pairs.join(a, "a").join(b, "b").where(_est_ok(k, floor)).select("a", "b"), "likely")
+        return stage.put(pairs.join(a, "a").join(b, "b").where(_est_ok(k, floor)).select("a", "b"), f"likely{tag}")
 
-    # round 1: every member against the smallest member of its list
+    # hub rounds: the members of a list against its heads, smallest id first,
+    # then two drawn anew in every round, until a round joins nothing
+    lists = lists.select("rep", "n", "value")
     head = stage.put(lists.groupBy("value").agg(F.min("rep").alias("b")), "heads")
-    links = exact(likely(lists.join(head, "value").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()), "1")
-    comp = stage.put(components(links, stage, "cc1"), "comp1")
-    # round 2: documents of different components that still share a list
-    lab = lists.select("rep", "n", "value").join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    lab = stage.put(lab.withColumn("component", F.coalesce("component", "rep")), "labelled")
-    mixed = lab.groupBy("value").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("value")
-    mixed = stage.put(mixed, "mixed")
-    open_ = stage.put(lab.join(mixed, "value", "left_semi").select("rep", "n", "component").distinct(), "open")
-    more = exact(_prefix_pairs(open_.join(sets, "rep"), stage, num, den), "2")
-    # the few components that round 2 joins, as nodes of a smaller graph
-    a, b = (comp.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
-    more = more.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    met = components(more, stage, "cc2").select(F.col("node").alias("old"), F.col("component").alias("new"))
-    ends = comp.join(met, comp.component == met.old, "left").select("node", F.coalesce("new", "component").alias("component"))
-    alone = met.join(comp, met.old == comp.node, "left_anti").select(F.col("old").alias("node"), F.col("new").alias("component"))
-    comp = stage.put(ends.unionByName(alone), "comp2")
+    links = exact(likely(lists.join(head, "value").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct(), "0"), "0")
+    comp = stage.put(components(links, stage, "cc0"), "comp0")
+    for turn in range(1, hub_rounds + 1):
+        mixed = stage.put(_mixed(lists, comp), f"mixed{turn}")
+        links = exact(likely(_hub_pairs(mixed, stage, turn), str(turn)), str(turn))
+        if links.isEmpty():
+            break
+        comp = stage.put(_merged(comp, links, stage, f"cc{turn}"), f"comp{turn}")
+    # last round: documents of different components that still share a list
+    open_ = stage.put(_mixed(lists, comp).select("rep", "n", "component").distinct(), "open")
+    more = exact(_prefix_pairs(open_.join(sets, "rep"), stage, num, den), "last")
+    comp = stage.put(_merged(comp, more, stage, "cc-last"), "comp-last")
 
     member = reps.join(comp, reps.rep == comp.node, "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
     linked = rows.join(member, ["n", "s1", "s2"], "left")
