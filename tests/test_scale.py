@@ -49,3 +49,11 @@ def test_rendered_nulls_are_the_word_null(spark):
     assert 'vllm:e2e_request_latency_seconds{model_name="null",quantile="0.5"} null' in m
     assert 'vllm:request_success_total{model_name="null"} null' in m
     assert 'DCGM_FI_DEV_GPU_UTIL{gpu="0",Hostname="gpu-node-10"} null' in g
+
+
+def test_one_row_group_spreads_over_tasks_of_bounded_rows(spark, tmp_path):
+    path = str(tmp_path / "events.parquet")
+    _events(spark, 1000).coalesce(1).write.parquet(path)
+    for by in ((), ("ts", "event_id")):
+        sizes = spread(spark.read.parquet(path), 50, *by).groupBy(F.spark_partition_id()).count().collect()
+        assert sum(r["count"] for r in sizes) == 1000 and max(r["count"] for r in sizes) <= 100
