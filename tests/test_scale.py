@@ -57,3 +57,12 @@ def test_one_row_group_spreads_over_tasks_of_bounded_rows(spark, tmp_path):
     for by in ((), ("ts", "event_id")):
         sizes = spread(spark.read.parquet(path), 50, *by).groupBy(F.spark_partition_id()).count().collect()
         assert sum(r["count"] for r in sizes) == 1000 and max(r["count"] for r in sizes) <= 100
+
+
+def test_pod_sums_with_two_registry_matches_and_null_ticks(spark):
+    reg = spark.createDataFrame([("a", "llm", None, None, 0), ("ab", "llm", None, None, 1)], C.REGISTRY_DDL)
+    pods = spark.createDataFrame([(1, "ab-0", [("x", "1", "1Mi"), ("y", "250m", None)]), (1, "ab-1", [("x", "1", "1Mi")]),
+                                  (1, "ab-1", [("x", "1", "1Mi")]), (1, "ab-2", []), (2, "zz", [("x", "1", "1")]),
+                                  (None, "ab-0", [("x", "1", "1Mi")]), (3, None, [("x", "1", "1Mi")])],
+                                 "tick_id long, pod string, containers array<struct<name:string, cpu:string, memory:string>>")
+    assert [tuple(r) for r in I.pod_usage(pods, reg).collect()] == [(1, "a", 3250.0, 3.0)]
