@@ -59,6 +59,16 @@ def test_one_row_group_spreads_over_tasks_of_bounded_rows(spark, tmp_path):
         assert sum(r["count"] for r in sizes) == 1000 and max(r["count"] for r in sizes) <= 100
 
 
+def test_as_of_assembly_reads_no_capture_twice(spark):
+    ev, reg = C.with_counter_base(_events(spark, 20, seconds=1)), C.registry(spark)
+    ticks = ev.select(F.col("event_id").alias("tick_id"), F.col("ts").alias("tick_ts"))
+    out = I.assemble_ticks(I.model_metrics(C.model_scrapes(ev), reg), I.timed(I.gpu_metrics(C.gpu_scrapes(ev), reg), ticks),
+                           I.timed(I.pod_usage(C.pod_documents(ev), reg), ticks), 0)
+    assert "posexplode" not in _plan(out)
+    rows = {r.scrape_id: r for r in out.collect()}
+    assert len(rows) == 20 and rows[0].gpu_util_pct == 0.0 and rows[4].gpu_util_pct is None and rows[4].pod_mem_mb is not None
+
+
 def test_pod_sums_with_two_registry_matches_and_null_ticks(spark):
     reg = spark.createDataFrame([("a", "llm", None, None, 0), ("ab", "llm", None, None, 1)], C.REGISTRY_DDL)
     pods = spark.createDataFrame([(1, "ab-0", [("x", "1", "1Mi"), ("y", "250m", None)]), (1, "ab-1", [("x", "1", "1Mi")]),
