@@ -76,3 +76,12 @@ def test_pod_sums_with_two_registry_matches_and_null_ticks(spark):
                                   (None, "ab-0", [("x", "1", "1Mi")]), (3, None, [("x", "1", "1Mi")])],
                                  "tick_id long, pod string, containers array<struct<name:string, cpu:string, memory:string>>")
     assert [tuple(r) for r in I.pod_usage(pods, reg).collect()] == [(1, "a", 3250.0, 3.0)]
+
+
+def test_streamed_ingestion_runs_in_tasks_of_bounded_rows(spark, tmp_path, monkeypatch):
+    _events(spark, 400).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(Q, "CAPTURE_ROWS", 20)
+    out = Q.QUERIES["stream_ingest"](spark, str(tmp_path))
+    batch = Q.QUERIES["scrape_metrics"](spark, str(tmp_path))
+    assert out.count() == 400 and out.exceptAll(batch).count() == 0
+    assert len(out.inputFiles()) > 8                  # the session's shuffle partitions
