@@ -85,3 +85,16 @@ def test_streamed_ingestion_runs_in_tasks_of_bounded_rows(spark, tmp_path, monke
     batch = Q.QUERIES["scrape_metrics"](spark, str(tmp_path))
     assert out.count() == 400 and out.exceptAll(batch).count() == 0
     assert len(out.inputFiles()) > 8                  # the session's shuffle partitions
+
+
+def test_a_date_of_the_fact_table_is_not_cut_over_all_tasks(spark, tmp_path):
+    _events(spark, 600, seconds=600).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    conf = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(conf, "false")                     # as with partitions too large to be merged
+    try:
+        path = Q.telemetry_path(spark, str(tmp_path))
+    finally:
+        spark.conf.set(conf, "true")
+    per_date = [len(glob.glob(f"{d}/*.parquet")) for d in glob.glob(f"{path.removeprefix('file:')}/date=*")]
+    assert len(per_date) == 5 and max(per_date) == 1
+    assert spark.read.parquet(path).count() == 600
