@@ -3,6 +3,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from conftest import fact_rows, ts
 from vigil.operators import anomaly as A
 
 
@@ -99,3 +100,40 @@ def test_score_windows_zscore_for_untrained_models(spark):
     assert not ev[ev["model_name"] == "big"]["cold_start_mode"].any()
     tiny = ev[ev["model_name"] == "tiny"]
     assert tiny["cold_start_mode"].all() and (tiny["anomaly_score"] != -0.1).any()
+
+
+def test_training_rows_are_scored_once(spark, monkeypatch):
+    seen, score = spark.sparkContext.accumulator(0), A.score_rows
+
+    def counted(*a, **k):
+        out = score(*a, **k)
+
+        def fn(batches):
+            for pdf in batches:
+                seen.add(len(pdf))
+                yield pdf
+        return out.mapInPandas(fn, out.schema)
+    monkeypatch.setattr(A, "score_rows", counted)
+    rng = np.random.default_rng(3)
+    rows = [dict(time=ts("2024-01-02 00:00:00"), seq=i, model_name="m", model_type="llm", latency_p95_ms=float(x), ttft_p95_ms=1.0,
+                 kv_cache_usage_pct=2.0, requests_waiting=3) for i, x in enumerate(rng.normal(100, 5, 200))]
+    base, nodes = A.train(fact_rows(spark, rows, ["throughput_rps", "avg_prompt_tokens", "avg_completion_tokens"]), "2024-01-03 00:00:00", n_trees=5)
+    assert base.count() == 1 and nodes.count() > 0 and seen.value == 200
+
+
+def test_walk_of_trees_of_uneven_depth():
+    rng = np.random.default_rng(5)
+    Z = rng.normal(size=(64, 4))
+    Z[0] = Z[0, 0]
+    rows = [r for t in range(3) for r in A._grow("m", t, Z[:2 ** t * 4], 1)] + A._grow("m", 3, Z[:1], 1)
+    nodes = pd.DataFrame(rows, columns=[f.name for f in A.NODE_SCHEMA.fields])
+    Z[5, 2] = np.nan                       # a comparison with NaN leads to the right
+    exp = np.zeros(len(Z))
+    for _, t in nodes.groupby("tree"):
+        t = t.set_index("node")
+        for i, z in enumerate(Z):
+            n = 0
+            while t.feature[n] >= 0:
+                n = t.left[n] if z[t.feature[n]] <= t.threshold[n] else t.right[n]
+            exp[i] += t.path[n]
+    assert np.array_equal(A._walk(nodes.sample(frac=1.0, random_state=2).sort_values("tree", kind="stable"), Z), exp)

@@ -8,9 +8,11 @@ import io
 from pyspark.sql import functions as F
 
 from vigil.operators import ingest as I
+from vigil.operators.counters import with_rates
 from vigil.plans import catalog as Q
 from vigil.session import spread
 from vigil.sources import captures as C
+from vigil.sources.telemetry import telemetry_from_events
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -98,3 +100,16 @@ def test_a_date_of_the_fact_table_is_not_cut_over_all_tasks(spark, tmp_path):
     per_date = [len(glob.glob(f"{d}/*.parquet")) for d in glob.glob(f"{path.removeprefix('file:')}/date=*")]
     assert len(per_date) == 5 and max(per_date) == 1
     assert spark.read.parquet(path).count() == 600
+
+
+def test_events_are_ordered_once_and_move_narrow(spark, tmp_path):
+    ev = _events(spark, 300, seconds=20)
+    odd = ev.where("event_id % 50 = 0").withColumn("ts", F.when(F.col("event_id") % 100 != 0, F.col("ts")))
+    odd = odd.withColumn("props", F.lit(None).cast("string")).withColumn("value", F.lit(float("nan"))).unionByName(ev.where("event_id < 20"))
+    path = str(tmp_path / "events.parquet")
+    ev.unionByName(odd).write.parquet(path)
+    ev = spark.read.parquet(path)
+    got, exp = Q.build_telemetry(spark, str(tmp_path)), with_rates(telemetry_from_events(ev))
+    assert got.columns == exp.columns and got.dtypes == exp.dtypes
+    assert got.count() == exp.count() == 326 and got.exceptAll(exp).count() == exp.exceptAll(got).count() == 0
+    assert _plan(got).count("Arguments: hashpartitioning(") == 7      # 9 when the rates order the projected rows anew

@@ -198,23 +198,25 @@ def build_forest(train: DataFrame, base: DataFrame, n_trees: int = FOREST_TREES,
 def _walk(nodes: pd.DataFrame, Z: np.ndarray) -> np.ndarray:
     """Sum over trees of the path length of each row of Z."""
     total = np.zeros(Z.shape[0])
+    flat, row = np.ascontiguousarray(Z).ravel(), np.arange(Z.shape[0]) * Z.shape[1]
     for _, t in nodes.groupby("tree", sort=False):
         t = t.sort_values("node")
-        feat = t["feature"].to_numpy()
-        thr = t["threshold"].to_numpy()
-        left = t["left"].to_numpy()
-        right = t["right"].to_numpy()
-        path = t["path"].to_numpy()
+        feat, thr = t["feature"].to_numpy(np.int64), t["threshold"].to_numpy()
+        left, right = t["left"].to_numpy(np.int64), t["right"].to_numpy(np.int64)
+        inner, own = feat >= 0, np.arange(len(t))
+        levels, cur = 0, own[:1][inner[:1]]
+        while len(cur):
+            levels += 1
+            cur = np.concatenate([left[cur], right[cur]])
+            cur = cur[inner[cur]]
+        # a leaf leads to itself on both sides, so that all rows take all levels
+        child = np.concatenate([np.where(inner, right, own), np.where(inner, left, own)])
+        feat = np.where(inner, feat, 0)
         pos = np.zeros(Z.shape[0], dtype=np.int64)
-        while True:
-            f = feat[pos]
-            inner = f >= 0
-            if not inner.any():
-                break
-            rows = np.nonzero(inner)[0]
-            go_left = Z[rows, f[rows]] <= thr[pos[rows]]
-            pos[rows] = np.where(go_left, left[pos[rows]], right[pos[rows]])
-        total += path[pos]
+        for _ in range(levels):
+            go_left = flat.take(row + feat.take(pos)) <= thr.take(pos)
+            pos = child.take(pos + go_left * len(t))
+        total += t["path"].to_numpy().take(pos)
     return total
 
 
@@ -270,7 +272,7 @@ def train_isolated(telemetry: DataFrame, as_of, days: int = 7, n_trees: int = FO
     nodes, failed = split(materialize(build_forest(tr, base, n_trees, seed=seed), "forest_nodes"), ["model_name"])
     base = base.join(failed.select("model_name"), "model_name", "left_anti")
     tr = tr.join(failed.select("model_name"), "model_name", "left_anti")
-    scores = score_rows(tr, base, nodes)
+    scores = materialize(score_rows(tr, base, nodes), "training_scores")        # the quantiles read them more than once
     off = exact_quantiles(scores, ["model_name"], "score", [FOREST_CONTAMINATION])
     trained = base.where(F.col("n") >= TRAIN_MIN_ROWS).join(
         off.select("model_name", F.col("q")[0].alias("score_offset")), "model_name", "left")

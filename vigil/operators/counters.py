@@ -12,6 +12,7 @@ from .scan import CHUNK, last_non_null_before, with_chunk
 
 KEYS = ["model_name"]
 ORDER = ["time", "seq"]
+RATES = ["throughput_rps", "avg_prompt_tokens", "avg_completion_tokens"]
 
 
 def counter_deltas(df: DataFrame, counters: Sequence[str], time_chunk: str = "minute",
@@ -19,8 +20,9 @@ def counter_deltas(df: DataFrame, counters: Sequence[str], time_chunk: str = "mi
     """Adds ``delta_<c>``: current minus the previous non-NULL value of the
     same model; NULL on the first value, on NULL and on a reset (cur < prev).
     ``with_elapsed`` also adds ``elapsed_<c>``: seconds since that previous
-    value was observed."""
-    x = with_chunk(df, F.date_trunc(time_chunk, "time"))
+    value was observed.  Rows that carry a chunk of their time keep it, and
+    with it their partitioning."""
+    x = df if CHUNK in df.columns else with_chunk(df, F.date_trunc(time_chunk, "time"))
     tcols = []
     if with_elapsed:
         for c in counters:

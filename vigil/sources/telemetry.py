@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.counters import RATES, with_rates
 from ..operators.scan import CHUNK, row_numbers, with_chunk
 
 TELEMETRY_SCHEMA = T.StructType([
@@ -49,18 +50,38 @@ def sanitize(df: DataFrame, columns=None) -> DataFrame:
 
 
 def telemetry_from_events(events: DataFrame, time_chunk: str = "minute") -> DataFrame:
+    return project_events(_numbered(events, time_chunk))
+
+
+def rated_events(events: DataFrame, time_chunk: str = "minute") -> DataFrame:
+    """Numbered events with their counters and rates, as ``project_events``
+    takes them: ordered once, on narrow rows, in the (model, minute) partitions
+    of the row numbers.  ``project_events(rated_events(e))`` has the rows of
+    ``with_rates(telemetry_from_events(e))``."""
+    return with_rates(_numbered(events, time_chunk), time_chunk=time_chunk).drop(CHUNK)
+
+
+def _numbered(events: DataFrame, time_chunk: str) -> DataFrame:
     e = events.select(
-        "event_id", "ts", "user_id", "event_type", "value",
+        F.col("ts").alias("time"), F.col("event_id").alias("seq"), F.col("event_type").alias("model_name"), "user_id", "value",
         F.regexp_extract("props", r"([0-9]+)", 1).cast("int").alias("k"))
-    e = with_chunk(e, F.date_trunc(time_chunk, "ts"))
-    e = row_numbers(e, ["event_type"], ["ts", "event_id"], out="rn")
-    v, k, rn, eid = F.col("value"), F.col("k"), F.col("rn"), F.col("event_id")
-    is_tts = F.col("event_type") == "purchase"
-    ctr = (rn % 400) * 3
+    e = row_numbers(with_chunk(e, F.date_trunc(time_chunk, "time")), ["model_name"], ["time", "seq"], out="rn")
+    k, ctr = F.col("k"), (F.col("rn") % 400) * 3
+    return e.select(
+        "*",
+        ctr.cast("long").alias("request_success_total"),
+        (ctr * (50 + k)).cast("long").alias("prompt_tokens_total"),
+        (ctr * (20 + k)).cast("long").alias("generation_tokens_total"))
+
+
+def project_events(e: DataFrame) -> DataFrame:
+    """The fact rows of numbered events, with their rates if they have them."""
+    v, k, eid = F.col("value"), F.col("k"), F.col("seq")
+    is_tts = F.col("model_name") == "purchase"
     out = e.select(
-        F.col("ts").alias("time"),
-        eid.alias("seq"),
-        F.col("event_type").alias("model_name"),
+        "time",
+        "seq",
+        "model_name",
         F.when(is_tts, "tts").otherwise("llm").alias("model_type"),
         (v * 5.0).alias("latency_p50_ms"),
         (v * 10.0).alias("latency_p95_ms"),
@@ -68,9 +89,9 @@ def telemetry_from_events(events: DataFrame, time_chunk: str = "minute") -> Data
         (v * 2.0).alias("ttft_p50_ms"),
         F.when(k % 10 == 0, F.lit(None).cast("double")).otherwise(v * 4.0).alias("ttft_p95_ms"),
         (F.lit(20.0) + k.cast("double") / 10.0).alias("tpot_mean_ms"),
-        ctr.cast("long").alias("request_success_total"),
-        (ctr * (50 + k)).cast("long").alias("prompt_tokens_total"),
-        (ctr * (20 + k)).cast("long").alias("generation_tokens_total"),
+        "request_success_total",
+        "prompt_tokens_total",
+        "generation_tokens_total",
         (F.col("user_id") % 12).cast("int").alias("requests_running"),
         (F.col("user_id") % 30).cast("int").alias("requests_waiting"),
         k.cast("double").alias("kv_cache_usage_pct"),
@@ -82,5 +103,6 @@ def telemetry_from_events(events: DataFrame, time_chunk: str = "minute") -> Data
         ((eid * 29) % 4000).cast("int").alias("pod_cpu_millicores"),
         (F.lit(1000.0) + ((eid * 31) % 8000).cast("double")).alias("pod_mem_mb"),
         F.when(is_tts, v / 40.0).alias("rtf"),
+        *[c for c in RATES if c in e.columns],
     )
     return sanitize(out, DOUBLE_METRICS)
