@@ -138,6 +138,22 @@ def test_suffixes(docs, rows):
     assert got(out.select("doc_id", "sa_bytes", "sa_removed", "sa_spans", "k")) == sorted(want, key=repr)
 
 
+def test_suffixes_planted_passages(spark):
+    """A passage of over 50 words in two documents goes if it holds 400 bytes and stays below that."""
+    r = np.random.default_rng(8)
+    text = lambda n: " ".join("".join(r.choice(list("abcdefgh"), 5)) for _ in range(n))
+    rows, want = [], []
+    for i, size in enumerate([329, 399, 400, 401, 599]):
+        passage = text(100)[:size]
+        assert len(passage.split()) > 50
+        for k in (0, 1):
+            rows.append((2 * i + k, f"{text(40 + 9 * i)} {'pq'[k]}{passage}{'pq'[k]} {text(30 + 7 * k)}"))
+            gone = size if size >= 400 else 0
+            want.append((2 * i + k, len(rows[-1][1]), gone, int(gone > 0)))
+    out = suffixes.dedup_bytes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert got(out.select("doc_id", "sa_bytes", "sa_removed", "sa_spans")) == sorted(want, key=repr)
+
+
 def test_lines(docs):
     out = {r["doc_id"]: r for r in lines.dedup_lines(docs).collect()}
     assert out[13]["text"] == "other" and out[13]["ld_removed"] == 2
